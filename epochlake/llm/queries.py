@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifiers
+from . import bpe, classifiers, jaccard, repeats
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,18 +18,30 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_later_bytes(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifiers.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeated_words(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifiers.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_components(read(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_toxicity, op8_quality, op10_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op3_toxicity, op7_substring_dedup, op8_quality, op9_ngram_join, op10_bpe)}
 
 ORACLES: dict[str, str] = {}
