@@ -60,17 +60,19 @@ def features_of(sample: DataFrame, extract: Callable[[np.ndarray], tuple[np.ndar
     return sample.mapInArrow(run, "y int, idx binary, val binary")
 
 
-def scored(docs: DataFrame, score: Callable[[np.ndarray], float], held_out: Column, threshold: float) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; nothing is shuffled."""
+def scored(docs: DataFrame, score: Callable[[np.ndarray], float], held_out: Column, threshold: float, keep: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row, with docs' other columns if keep; nothing is shuffled."""
+    new = ("held_out", "score", "predicted")
+    names = [c for c in docs.columns if c.lower() not in new] if keep else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = pa.array([score(as_bytes(t)) for t in texts_of(batch, "text")], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), out], names=["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), batch.column("held_out"), out], names=[*names, "held_out", "score"])
 
-    base = docs.select("doc_id", held_out.alias("held_out"), "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return base.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    base = docs.select(*names, *(["text"] if "text" not in names else []), held_out.alias("held_out"))
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    return base.mapInArrow(run, f"{kinds}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 # --- character n-grams scaled by naive Bayes log-count ratios ---
@@ -205,13 +207,14 @@ def fit_ftrl(idx: list[np.ndarray], val: list[np.ndarray], y: np.ndarray, epochs
     return weights(slice(None))
 
 
-def quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Quality of every document: doc_id, held_out, score, predicted (score >= 0.7).
+def quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, keep: bool = False) -> DataFrame:
+    """Quality of every document: doc_id, held_out, score, predicted (score >= 0.7); other columns too if keep.
 
     Hashed word 1- and 2-grams (runs of word characters, runs of other characters) of the whole text, logistic
     regression by FTRL; a score is one sparse dot product. Labels are learnt from rows whose crc32(doc_id) mod 4
     isn't 2, at most max_rows of them (see labelled_sample). Null and empty texts score by the bias; without
-    labels all scores are 0.5. Rows that repeat are scored each; ids may be null; other columns are never read.
+    labels all scores are 0.5. Rows that repeat are scored each; ids may be null; columns named like the new ones are
+    replaced.
     """
     sample = labelled_sample(docs, labels, "quality", lambda c: fold(c, 4) != 2, max_rows)
     w = fit_ftrl(*collected(features_of(sample, word_features)))
@@ -221,4 +224,4 @@ def quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Dat
         idx, val = word_features(raw)
         return float(sigmoid(float(model.value[idx] @ val) + model.value[-1]))
 
-    return scored(docs, score, fold(F.col("doc_id"), 4) == 2, 0.7)
+    return scored(docs, score, fold(F.col("doc_id"), 4) == 2, 0.7, keep)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifiers, jaccard, repeats
+from . import bpe, classifiers, decontaminate, hnsw, html, jaccard, licenses, repeats
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,10 +22,26 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_later_bytes(read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifiers.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licence_lines(read(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.vector_links(read(spark, sf_dir, "embeddings"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeated_words(read(spark, sf_dir, "documents")).drop("kept")
 
@@ -42,6 +58,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op3_toxicity, op7_substring_dedup, op8_quality, op9_ngram_join, op10_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_html, op3_toxicity, op4_license_scan, op5_decontamination, op6_embedding_dedup, op7_substring_dedup, op8_quality, op9_ngram_join, op10_bpe)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_license_scan": licenses.licence_sql()}

@@ -33,13 +33,13 @@ FLUSH = 2_000_000
 # --- documents with a key that tells repeated ids apart ---
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, kd (id, null as the smallest value) and tie (hash of the text).
+def keyed(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id, text, other columns, kd (id, null as the smallest value) and tie (hash of the text).
 
     Rows with equal id and text are one document that is returned as often as it stands; rows with one id and
     different texts are different documents, ordered by tie.
     """
-    return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("kd"), F.xxhash64("text").alias("tie"))
+    return docs.select("doc_id", "text", *others, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("kd"), F.xxhash64("text").alias("tie"))
 
 
 # --- count-min sketch of anchors, counters saturating at two ---
@@ -225,15 +225,17 @@ def split_by_heat(distinct: DataFrame, hot: int) -> tuple[DataFrame, DataFrame,
     return counted.where("k = 1"), counted.where((F.col("k") > 1) & (F.col("k") <= hot)), counted.where(F.col("k") > hot)
 
 
-def remove_repeated_words(docs: DataFrame, rows: int = 4, bits: int = 24, hot: int = HOT_SEGMENTS) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, rows: int = 4, bits: int = 24, hot: int = HOT_SEGMENTS, keep: bool = False) -> DataFrame:
     """Drop every word that a window of 35 words covers whose words also start elsewhere.
 
     Words are `[^\\x20\\x09-\\x0D]+` of the whole text (null: none). Returns a row for each row of docs: doc_id,
     n_words, n_removed, kept (kept words joined by one space), kept_sha256. Windows are judged on the input. Documents
     under 35 words lose nothing; a null id is an id of its own; rows that repeat id and text are one document and
-    don't repeat each other's windows (see keyed). Window identity is 128 bits of hash (anchor and window).
+    don't repeat each other's windows (see keyed). Window identity is 128 bits of hash (anchor and window). With keep, the other columns of docs
+    come along, but for those named like the new ones or kd, tie and marks.
     """
     base = keyed(docs)
+    whole = keyed(docs, *(c for c in docs.columns if c.lower() not in ("doc_id", "text", "kd", "tie", "marks", "n_words", "n_removed", "kept", "kept_sha256"))) if keep else base
     maps = repeat_sketch(base, lambda raw: word_segments(raw)[0], rows, bits)
     found = repeated_word_windows(base, maps).withColumn("ph", F.xxhash64("kd", "tie", "start"))
     distinct = found.groupBy("h", "sh").agg((F.min("ph") < F.max("ph")).alias("many"), F.first("wh").alias("wh"))
@@ -248,14 +250,14 @@ def remove_repeated_words(docs: DataFrame, rows: int = 4, bits: int = 24, hot: i
     )
     marks = found.select("h", "sh", "kd", "tie", "start", "n").join(decided, ["h", "sh"])
 
-    def keep(raw: np.ndarray, starts: np.ndarray) -> tuple:
+    def cut(raw: np.ndarray, starts: np.ndarray) -> tuple:
         a, b = word_bounds(raw)
         gone = covered(len(a), starts, WORDS)
         whole = raw.tobytes()
         kept = b" ".join([whole[x:y] for x, y in zip(a[~gone].tolist(), b[~gone].tolist(), strict=True)])
         return len(a), int(gone.sum()), kept
 
-    return cut_documents(base, marks, keep, "n_words long, n_removed long")
+    return cut_documents(whole, marks, cut, "n_words long, n_removed long", keep=keep)
 
 
 # --- bytes: every window that also starts earlier goes ---
@@ -401,12 +403,12 @@ def remove_later_bytes(docs: DataFrame, rows: int = 3, bits: int = 26, hot: int
     marks = found.select("h", "sh", "kd", "tie", "start", "n").join(decided, ["h", "sh"])
     marks = marks.where(~at_first | (F.size("at") > 0)).select("kd", "tie", "start", "n", F.when(at_first, F.col("at")).otherwise(none).alias("at"))
 
-    def keep(raw: np.ndarray, starts: np.ndarray) -> tuple:
+    def cut(raw: np.ndarray, starts: np.ndarray) -> tuple:
         gone = covered(len(raw), starts, BYTES)
         spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
         return len(raw), int(gone.sum()), spans, raw[~gone].tobytes()
 
-    return cut_documents(base, marks, keep, "n_bytes long, n_removed long, n_spans long", "binary")
+    return cut_documents(base, marks, cut, "n_bytes long, n_removed long, n_spans long", "binary")
 
 
 # --- both: back to the documents ---
@@ -420,8 +422,11 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def cut_documents(base: DataFrame, marks: DataFrame, keep: Callable[[np.ndarray, np.ndarray], tuple], counts: str, kind: str = "string") -> DataFrame:
-    """Join the marked windows of each document to its text and cut; marks: kd, tie, start, n, at (null: all n)."""
+def cut_documents(base: DataFrame, marks: DataFrame, cut: Callable[[np.ndarray, np.ndarray], tuple], counts: str, kind: str = "string", keep: bool = False) -> DataFrame:
+    """Join the marked windows of each document to its text and cut; marks: kd, tie, start, n, at (null: all n).
+
+    With keep, all columns of base but the keys come along, else only the id.
+    """
     by_doc = marks.groupBy("kd", "tie").agg(F.collect_list(F.struct("start", "n", "at")).alias("marks"))
     names = [c.split()[0] for c in counts.split(", ")]
 
@@ -436,13 +441,14 @@ def cut_documents(base: DataFrame, marks: DataFrame, keep: Callable[[np.ndarray,
                     lists = m.values.field("at")
                     sizes = np.where(whole, 0, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
                     starts = np.concatenate((ragged(s[whole], n[whole]), np.repeat(s, sizes) + lists.flatten().to_numpy().astype(np.int64)))
-                out.append(keep(as_bytes(t), starts))
+                out.append(cut(as_bytes(t), starts))
             cols = [pa.array([o[k] for o in out], pa.int64()) for k in range(len(names))]
             kept = [o[-1] for o in out]
             sha = [hashlib.sha256(x).hexdigest() for x in kept]
             body = pa.array(kept, pa.binary()) if kind == "binary" else pa.array(kept, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols, body, pa.array(sha)], names=["doc_id", *names, "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *cols, body, pa.array(sha)], names=[*own, *names, "kept", "kept_sha256"])
 
-    id_kind = base.schema["doc_id"].dataType.simpleString()
-    joined = base.join(by_doc, ["kd", "tie"], "left").select("doc_id", "text", "marks")
-    return joined.mapInArrow(run, f"doc_id {id_kind}, {counts}, kept {kind}, kept_sha256 string")
+    own = [c for c in base.columns if c not in ("kd", "tie")] if keep else ["doc_id"]
+    kinds = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in own)
+    joined = base.join(by_doc, ["kd", "tie"], "left").select(*dict.fromkeys([*own, "text"]), "marks")
+    return joined.mapInArrow(run, f"{kinds}, {counts}, kept {kind}, kept_sha256 string")
