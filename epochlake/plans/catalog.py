@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from epochlake.plans import features, shape, spectral  # noqa: F401
