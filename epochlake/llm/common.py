@@ -57,6 +57,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Null ends are dropped; loops give the node itself; repeated edges count once.
     """
     now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    now = written(now.distinct(), "cc-edges")  # the edges may be costly, and both lines below read them
     nodes = now.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     now = now.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = written(now, "cc-edges")

@@ -167,14 +167,15 @@ def near_components(docs: DataFrame, size: int = 3, p: int = 90, q: int = 100) -
     known = written(base.mapInArrow(describe, f"doc_id {id_kind}, kd long, tie long, n_shingles long, code long, keys array<long>"), "sets")
     keys = known.select("code", F.explode("keys").alias("key")).repartition("key")
     shared = keys.groupBy("key").agg(F.min("code").alias("lo"), F.max("code").alias("hi")).where("lo < hi").select("key", "lo")
-    stars = keys.join(shared, "key").where("code <> lo").select(F.col("code").alias("a"), F.col("lo").alias("b")).distinct()
+    stars = keys.join(shared, "key").where("code <> lo").select(F.col("code").alias("a"), F.col("lo").alias("b"))
     blocks = connected_components(stars).select(F.col("id").alias("code"), F.col("component").alias("block"))
 
     chosen = known.groupBy("code").agg(F.min(F.struct("kd", "tie")).alias("at"), F.max("n_shingles").alias("n")).join(blocks, "code")
     chosen = written(chosen.select("code", "block", "n", "at.kd", "at.tie"), "blocks")
     total = chosen.groupBy("block").agg(F.ceil(F.sum("n") / CELL_SHINGLES).alias("chunks"))
     member = chosen.join(total, "block").withColumn("chunk", F.pmod(F.xxhash64("code"), F.col("chunks")))
-    texts = base.select("kd", "tie", "text").join(member, ["kd", "tie"])
+    # the members' number grows with the input, so they are never broadcast, however few they are here
+    texts = base.select("kd", "tie", "text").join(member.hint("merge"), ["kd", "tie"])
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
