@@ -34,31 +34,31 @@ def time_features(sig: DataFrame, *key: str) -> DataFrame:
     return a.where("n >= 3").select(*key, "mean", "variance", F.sqrt("variance").alias("std"), "rms", "median", mad.alias("mad"), "peak_to_peak", "skewness", "kurtosis", "line_length", "zero_crossing_rate", mobility.alias("mobility"), complexity.alias("complexity"))
 
 
-def followers(m: int, *key: str) -> tuple[Column, Column]:
-    """The next m samples of each signal in order, and whether all of them exist."""
-    w = Window.partitionBy(*key).orderBy("t_idx").rowsBetween(1, m)
-    return F.collect_list("x").over(w), F.count("x").over(w) == m
-
-
 def _code(bits: Column) -> Column:
     """The number whose bits are given, the most significant first."""
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a * 2 + b.cast("long"))
 
 
 def pattern_codes(sig: DataFrame, m: int, kind: str, *key: str) -> DataFrame:
-    """Codes of m following samples: lndp (signs of differences), lgp (gradients at least their mean), lbp (at least the centre)."""
-    ahead, complete = followers(m, *key)
-    s = sig.withColumn("ahead", ahead).withColumn("complete", complete).where("complete")
-    centre, run = F.col("x"), F.col("ahead")
+    """Codes of windows of m + 1 samples around a centre, an even m; bit zero belongs to the last neighbour.
+
+    lndp: differences of neighbours that don't fall; lgp: distances from the centre of at least their mean; lbp: neighbours
+    of at least the centre. t_idx is the window's first sample; a signal of n samples has n - m codes.
+    """
+    if m % 2 or m < 2:
+        raise ValueError("the number of neighbours must be even")
+    w, half = Window.partitionBy(*key).orderBy("t_idx").rowsBetween(0, m), m // 2
+    s = sig.withColumn("run", F.collect_list("x").over(w)).where(F.size("run") == m + 1)
+    run, centre = F.col("run"), F.element_at("run", half + 1)
+    around = F.concat(F.slice(run, 1, half), F.slice(run, half + 2, half))
     if kind == "lndp":
-        before = F.concat(F.array("x"), F.slice(run, 1, m - 1)) if m > 1 else F.array("x")
-        bits = F.zip_with(run, before, lambda b, a: b < a)
+        bits = F.zip_with(F.slice(run, 2, m), F.slice(run, 1, m), lambda b, a: b >= a)
     elif kind == "lgp":
-        gradient = F.transform(run, lambda v: F.abs(v - centre))
-        mean = F.aggregate(gradient, F.lit(0.0), lambda a, b: a + b) / m
-        bits = F.transform(gradient, lambda g: g >= mean)
+        distance = F.transform(around, lambda v: F.abs(v - centre))
+        mean = F.aggregate(distance, F.lit(0.0), lambda a, b: a + b) / m
+        bits = F.transform(distance, lambda g: g >= mean)
     elif kind == "lbp":
-        bits = F.transform(run, lambda v: v >= centre)
+        bits = F.transform(around, lambda v: v >= centre)
     else:
         raise ValueError(f"no pattern {kind}")
     return s.select(*key, "t_idx", _code(bits).alias("code"))

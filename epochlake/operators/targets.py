@@ -39,7 +39,7 @@ def group_kfold(df: DataFrame, group: str, k: int, seed: int) -> DataFrame:
     groups = group_list(df, group)
     parts = np.array_split(np.random.RandomState(seed).permutation(len(groups)), k)
     fold = {groups[i]: n for n, part in enumerate(parts) for i in part}
-    table = df.sparkSession.createDataFrame(list(fold.items()), df.select(group).schema.add("fold", "int"))
+    table = df.sparkSession.createDataFrame(list(fold.items()), f"`{group}` {df.schema[group].dataType.simpleString()}, fold int")
     return df.join(F.broadcast(table), group)
 
 
@@ -67,7 +67,7 @@ def stratified_group_kfold(df: DataFrame, group: str, k: int, seed: int) -> Data
             best = min(range(k), key=lambda f: (round(spread[f], 12), folds[f].sum()))
             folds[best] += y[g]
             out.append((task, own[g][group], best))
-    table = df.sparkSession.createDataFrame(out, df.select("task", group).schema.add("fold", "int"))
+    table = df.sparkSession.createDataFrame(out, f"task string, `{group}` {df.schema[group].dataType.simpleString()}, fold int")
     return df.join(F.broadcast(table), ["task", group])
 
 

@@ -29,15 +29,17 @@ def t1_label(spark, sf):
 
 
 def code_sql(kind: str, m: int) -> str:
-    at = lambda k: f"lead(x, {k}) OVER w"
+    at = lambda k: f"lead(x, {k}) OVER w" if k else "x"
+    near = [k for k in range(m + 1) if k != m // 2]
+    gap = {k: f"abs({at(k)} - {at(m // 2)})" for k in near}
     if kind == "lndp":
-        bit = lambda k: f"{at(k)} < {at(k - 1) if k > 1 else 'x'}"
+        bits = [f"{at(k + 1)} >= {at(k)}" for k in range(m)]
     elif kind == "lbp":
-        bit = lambda k: f"{at(k)} >= x"
+        bits = [f"{at(k)} >= {at(m // 2)}" for k in near]
     else:
-        mean = "(" + " + ".join(f"abs({at(k)} - x)" for k in range(1, m + 1)) + f") / {m}"
-        bit = lambda k: f"abs({at(k)} - x) >= {mean}"
-    code = " + ".join(f"CASE WHEN {bit(k)} THEN {2 ** (m - k)} ELSE 0 END" for k in range(1, m + 1))
+        mean = "(" + " + ".join(gap.values()) + f") / {m}"
+        bits = [f"{gap[k]} >= {mean}" for k in near]
+    code = " + ".join(f"CASE WHEN {bit} THEN {2 ** (m - 1 - k)} ELSE 0 END" for k, bit in enumerate(bits))
     return f"SELECT epoch_id, t_idx, CAST({code} AS BIGINT) AS code, {at(m)} AS far FROM sig1 WINDOW w AS (PARTITION BY epoch_id ORDER BY t_idx)"
 
 
