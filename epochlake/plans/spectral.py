@@ -188,12 +188,13 @@ def t13(spark, sf):
     return rounded(flatten_symmetric(covariance(spark, sf), 4, "epoch_id"), "value")
 
 
-@query("t18_matrix_grain_diff", with_("sig4", more="cw AS (SELECT epoch_id, ch_idx, t_idx // 8 AS win, t_idx, x - avg(x) OVER (PARTITION BY epoch_id, ch_idx, t_idx // 8) AS x FROM sig4), cf AS (SELECT epoch_id, ch_idx, t_idx, x - avg(x) OVER (PARTITION BY epoch_id, ch_idx) AS x FROM sig4), ew AS (SELECT a.epoch_id, a.win, a.ch_idx AS i, b.ch_idx AS j, sum(a.x * b.x) / 8 AS c FROM cw a JOIN cw b ON a.epoch_id = b.epoch_id AND a.t_idx = b.t_idx GROUP BY a.epoch_id, a.win, a.ch_idx, b.ch_idx), ef AS (SELECT a.epoch_id, a.ch_idx AS i, b.ch_idx AS j, sum(a.x * b.x) / 16 AS c FROM cf a JOIN cf b ON a.epoch_id = b.epoch_id AND a.t_idx = b.t_idx GROUP BY a.epoch_id, a.ch_idx, b.ch_idx)", sql="SELECT ef.epoch_id, ef.i, ef.j, round(avg(ew.c) - max(ef.c), 8) AS value FROM ew JOIN ef ON ew.epoch_id = ef.epoch_id AND ew.i = ef.i AND ew.j = ef.j GROUP BY ef.epoch_id, ef.i, ef.j"))
+@query("t18_matrix_grain_diff", with_("sig4", more="cw AS (SELECT epoch_id, ch_idx, t_idx // 8 AS win, t_idx, x - avg(x) OVER (PARTITION BY epoch_id, ch_idx, t_idx // 8) AS x FROM sig4), cf AS (SELECT epoch_id, ch_idx, t_idx, x - avg(x) OVER (PARTITION BY epoch_id, ch_idx) AS x FROM sig4), ew AS (SELECT a.epoch_id, a.win, a.ch_idx AS i, b.ch_idx AS j, sum(a.x * b.x) / 8 AS c FROM cw a JOIN cw b ON a.epoch_id = b.epoch_id AND a.t_idx = b.t_idx GROUP BY a.epoch_id, a.win, a.ch_idx, b.ch_idx), ef AS (SELECT a.epoch_id, a.ch_idx AS i, b.ch_idx AS j, sum(a.x * b.x) / 16 AS c FROM cf a JOIN cf b ON a.epoch_id = b.epoch_id AND a.t_idx = b.t_idx GROUP BY a.epoch_id, a.ch_idx, b.ch_idx)", sql="SELECT ef.epoch_id, ef.i, ef.j, round(avg(ew.c) - max(ef.c), 8) + 0.0::DOUBLE AS value FROM ew JOIN ef ON ew.epoch_id = ef.epoch_id AND ew.i = ef.i AND ew.j = ef.j GROUP BY ef.epoch_id, ef.i, ef.j"))
 def t18(spark, sf):
     s = sig4(spark, sf)
     part = spatial.empirical(s.withColumn("win", F.floor(F.col("t_idx") / 8)), 8, "epoch_id", "win").groupBy("epoch_id", "i", "j").agg(F.avg("value").alias("w"))
     full = spatial.empirical(s, 16, "epoch_id")
-    return rounded(part.join(full, ["epoch_id", "i", "j"]).select("epoch_id", "i", "j", (F.col("w") - F.col("value")).alias("value")), "value")
+    gap = F.round(F.col("w") - F.col("value"), 8) + F.lit(0.0)  # no negative zero
+    return part.join(full, ["epoch_id", "i", "j"]).select("epoch_id", "i", "j", gap.alias("value"))
 
 
 @query("c3_log_covariance")
