@@ -20,8 +20,10 @@ from .common import texts_of
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 30
 STRIDE = 1024
-GROUP_PARTS = 4_000_000
-KEPT_PARTS = 800_000
+#: Rows encoded together, new words merged together, and parts of texts that a worker remembers.
+ROWS = 2048
+MERGED_WORDS = 150_000
+KEPT_PARTS = 600_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -71,21 +73,21 @@ class PairIndexEncoder:
         self.__dict__.update(vocabulary)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = (a << 20) | b
+        key = (a.astype(np.int64) << 20) | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NEVER)
 
     def merge(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols and word numbers (ascending) of all words after every merge."""
         n = len(symbols)
-        sym = symbols.copy()
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        sym = symbols.astype(np.int32)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         nxt[np.flatnonzero(np.diff(word, append=-1))] = -1
         prv[np.flatnonzero(np.diff(word, prepend=-1))] = -1
-        rank_at = np.full(n, NEVER, dtype=np.int64)
-        has = np.flatnonzero(nxt >= 0)
+        rank_at = np.full(n, NEVER, dtype=np.int32)
+        has = np.flatnonzero(nxt >= 0).astype(np.int32)
         rank_at[has] = self.rank(sym[has], sym[has + 1])
-        log = [np.flatnonzero(rank_at < NEVER)]
+        log = [np.flatnonzero(rank_at < NEVER).astype(np.int32)]
         alive = np.ones(n, dtype=bool)
         for low in range(0, len(self.left), STRIDE):
             waiting = np.concatenate(log) if len(log) > 1 else log[0]
@@ -119,7 +121,7 @@ class PairIndexEncoder:
                 before = prv[at]
                 touched = np.unique(np.concatenate((at, before[before >= 0])))
                 follows = nxt[touched]
-                fresh = np.full(len(touched), NEVER, dtype=np.int64)
+                fresh = np.full(len(touched), NEVER, dtype=np.int32)
                 ok = follows >= 0
                 fresh[ok] = self.rank(sym[touched[ok]], sym[follows[ok]])
                 rank_at[touched] = fresh
@@ -217,16 +219,14 @@ class Codec:
         return ([first] if first else []) + [" " + p for p in rest]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text; texts are taken together until they have many parts."""
+        """Ids of each text; new parts are learnt together until there are very many."""
         group: list[np.ndarray] = []
-        size = 0
         for text in texts:
             pieces = self.pieces(text)
-            group.append(np.fromiter(map(self.parts.number.__getitem__, pieces), dtype=np.int64, count=len(pieces)))
-            size += len(pieces)
-            if size >= GROUP_PARTS or len(self.parts.number) >= KEPT_PARTS:
+            group.append(np.fromiter(map(self.parts.number.__getitem__, pieces), dtype=np.int32, count=len(pieces)))
+            if len(self.parts.number) >= KEPT_PARTS:
                 yield from self._ids(group)
-                group, size = [], 0
+                group = []
         yield from self._ids(group)
 
     def _ids(self, group: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -244,18 +244,23 @@ class Codec:
         inside = [[p] if p in self.special else self.split(p) for p in new]
         counts = np.array([len(x) for x in inside], dtype=np.int64)
         numbers = np.fromiter((self.words.number[w] for x in inside for w in x), dtype=np.int64, count=int(counts.sum()))
-        raw = [b"" if w in self.special else w.encode("utf-8", "surrogatepass") for w in self.words.fresh()]
-        symbols, owner = self.encoder.merge(self.encoder.byte_id[np.frombuffer(b"".join(raw), dtype=np.uint8)], np.repeat(np.arange(len(raw)), [len(x) for x in raw]))
-        lengths = np.bincount(owner, minlength=len(raw)).astype(np.int64)
-        for k, w in enumerate(self.words.fresh()):
-            if w in self.special:
-                at = int(lengths[:k].sum())
-                symbols, lengths[k] = np.insert(symbols, at, self.special[w]), 1
-        self.words.add(symbols, lengths)
+        fresh = self.words.fresh()
+        for k in range(0, len(fresh), MERGED_WORDS):
+            self.words.add(*self._merged(fresh[k : k + MERGED_WORDS]))
         total = np.concatenate(([0], np.cumsum(self.words.lengths[numbers])))
         ends = np.cumsum(counts)
         self.parts.add(self.words.of(numbers), total[ends] - total[ends - counts])
 
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, laid end to end, and their number for each word."""
+        raw = [b"" if w in self.special else w.encode("utf-8", "surrogatepass") for w in words]
+        symbols, owner = self.encoder.merge(self.encoder.byte_id[np.frombuffer(b"".join(raw), dtype=np.uint8)], np.repeat(np.arange(len(raw)), [len(x) for x in raw]))
+        lengths = np.bincount(owner, minlength=len(raw)).astype(np.int64)
+        for k, w in enumerate(words):
+            if w in self.special:
+                symbols, lengths[k] = np.insert(symbols, int(lengths[:k].sum()), self.special[w]), 1
+        return symbols, lengths
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become the replacement character."""
         return self.spelled[ragged(self.starts[ids], self.lengths[ids])].tobytes().decode("utf-8", "replace")
@@ -290,7 +295,7 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", keep: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(name, vocabulary)
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             texts = [(t or b"").decode("utf-8", "replace") for t in texts_of(batch, text)]
             ids, back, n, h, g = [], [], [], [], []
             for x in codec.encode(texts):
