@@ -34,6 +34,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what a kernel makes of one batch stays small beside long texts."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> Iterator[bytes | None]:
     """UTF-8 bytes of a string column, None for null; no copy of the whole column."""
     col = batch.column(column)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .classifiers import RUN_CLASS
-from .common import texts_of
+from .common import slices, texts_of
 from .text import LOWER, WORD_BASE, Rolling, as_bytes, word_hashes
 
 SHINGLE = 5
@@ -161,7 +161,7 @@ def leaks(docs: DataFrame, items: DataFrame, p: int = 80, q: int = 100) -> DataF
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(held.value, p, q)
-            for batch in batches:
+            for batch in slices(batches):
                 at, item, best = [], [], []
                 for row, t in enumerate(texts_of(batch, "text")):
                     for i, s in bench.leaks(as_bytes(t)).items():

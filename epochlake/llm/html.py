@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import slices, texts_of
 
 #: Element names and class or id words that mark what isn't main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -207,7 +207,7 @@ def extract(pages: DataFrame, least_pages: int = 10, least_share: float = 0.2) -
     base = pages.select("page_id", "url", "html").withColumn("host", host_of("url")).withColumn("tie", F.xxhash64("page_id", "url", "html"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at, marks = [], []
             for row, t in enumerate(texts_of(batch, "html")):
                 got = {n.mark for n in templates_of(parse((t or b"").decode("utf-8", "replace")))}
@@ -223,7 +223,7 @@ def extract(pages: DataFrame, least_pages: int = 10, least_share: float = 0.2) -
     cut = marked.join(common, ["host", "mark"]).select("tie", "mark").distinct().groupBy("tie").agg(F.collect_list("mark").alias("marks"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for t, marks in zip(texts_of(batch, "html"), batch.column("marks").to_pylist(), strict=True):
                 root = parse((t or b"").decode("utf-8", "replace"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, texts_of, written
+from .common import connected_components, slices, texts_of, written
 from .repeats import keyed, whole_groups
 from .text import LOWER, as_bytes, mix, shingles, word_bounds, word_hashes
 
@@ -154,7 +154,7 @@ def near_components(docs: DataFrame, size: int = 3, p: int = 90, q: int = 100) -
     base = keyed(docs)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(as_bytes(t), size) for t in texts_of(batch, "text")]
             keys = [keys_of(s, p, q) for s in sets]
             ends = np.cumsum([0, *map(len, keys)])
@@ -178,7 +178,7 @@ def near_components(docs: DataFrame, size: int = 3, p: int = 90, q: int = 100) -
     texts = base.select("kd", "tie", "text").join(member.hint("merge"), ["kd", "tie"])
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(as_bytes(t), size).tobytes() for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("code", "block", "chunk", "chunks")), pa.array(sets, pa.binary())], names=["code", "block", "chunk", "chunks", "tokens"])
 
