@@ -25,5 +25,5 @@ def l2(spark, sf):
 
 @query("l3_stream_dedup_fingerprint", "SELECT sha256(text) AS fp FROM documents GROUP BY sha256(text)")
 def l3(spark, sf):
-    d = live.stream_of(spark, sf, "documents").select(F.sha2(F.col("text").cast("binary"), 256).alias("fp"), F.timestamp_seconds(F.col("doc_id") % 1000).alias("ts"))
+    d = live.stream_of(spark, sf, "documents").select(F.sha2(F.col("text").cast("binary"), 256).alias("fp"), F.timestamp_seconds(1_600_000_000 + F.col("doc_id") % 1000).alias("ts"))
     return live.drained(live.first_fingerprints(d, "365 days"), "append", scratch(spark)).select("fp")
