@@ -11,6 +11,7 @@ window instead of by anchor.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ragged
-from .common import texts_of, written
+from .common import slices, texts_of, written
 from .text import BYTE_BASE, WORD_BASE, Rolling, anchored_runs, as_bytes, byte_values, mix, word_bounds, word_hashes
 
 WINDOW_BASE = 0x8CB92BA72F3D8DD7
-#: Anchors with more different segments than this are dealt out by window.
-HOT_SEGMENTS = 1000
+#: Anchors with more different segments than one task should hold (some megabytes) are dealt out by window.
+HOT_SEGMENTS = 20_000
 BLOCK_BITS = 16
 FLUSH = 2_000_000
 
@@ -74,7 +75,7 @@ def repeat_sketch(docs: DataFrame, anchors: Callable[[np.ndarray], np.ndarray],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[np.ndarray] = []
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             for t in texts_of(batch, "text"):
                 a = anchors(as_bytes(t))
                 if len(a):
@@ -128,10 +129,19 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 20_00
         values = table.column(key).to_numpy()
         cut = int(np.searchsorted(values, values[-1]))
         if cut:
-            yield table.slice(0, cut)
+            yield from at_changes(table.slice(0, cut), key, least)
             held, rows = table.slice(cut).combine_chunks().to_batches(), table.num_rows - cut
     if rows:
-        yield pa.Table.from_batches(held)
+        yield from at_changes(pa.Table.from_batches(held), key, least)
+
+
+def at_changes(table: pa.Table, key: str, least: int) -> Iterator[pa.Table]:
+    """Parts of about `least` rows, cut where the sorted key changes."""
+    values, at = table.column(key).to_numpy(), 0
+    while at < len(values):
+        end = len(values) if at + least >= len(values) else int(np.searchsorted(values, values[at + least - 1], side="right"))
+        yield table.slice(at, end - at)
+        at = end
 
 
 def window_rows(table: pa.Table, column: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,14 +166,14 @@ WORD_GRAM = 8
 def word_segments(raw: np.ndarray) -> tuple[np.ndarray, ...]:
     """Anchors, first windows, window counts of a text's segments, and the hash of each window."""
     words = word_hashes(raw, *word_bounds(raw))
-    return *anchored_runs(Rolling(words, WORD_BASE).windows(WORD_GRAM), WORDS - WORD_GRAM + 1), words
+    return *anchored_runs(Rolling(words, WORD_BASE).raw_windows(WORD_GRAM), WORDS - WORD_GRAM + 1), words
 
 
 def repeated_word_windows(docs: DataFrame, maps: Broadcast) -> DataFrame:
     """Segments whose anchor may repeat: (h, sh, kd, tie, ph, start, n, wh)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], [], [], []]
             for t, kd, tie in zip(texts_of(batch, "text"), batch.column("kd").to_numpy(), batch.column("tie").to_numpy(), strict=True):
                 h, first, count, words = word_segments(as_bytes(t))
@@ -208,7 +218,7 @@ def unpacked_words(segments: DataFrame) -> DataFrame:
     """One row for each window of hot anchors: (h, sh, i, w, many)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             table = pa.Table.from_batches([batch])
             raw, counts, first = window_rows(table, "wh", 8)
             owner = np.repeat(np.arange(len(counts)), counts)
@@ -268,30 +278,52 @@ BYTE_GRAM = 20
 
 def byte_segments(raw: np.ndarray) -> tuple[np.ndarray, ...]:
     rolling = Rolling(byte_values(raw), BYTE_BASE)
-    return *anchored_runs(rolling.windows(BYTE_GRAM), BYTES - BYTE_GRAM + 1), rolling
+    return *anchored_runs(rolling.raw_windows(BYTE_GRAM), BYTES - BYTE_GRAM + 1), rolling
 
 
 def repeated_byte_windows(docs: DataFrame, maps: Broadcast) -> DataFrame:
-    """Segments whose anchor may repeat: (h, sh, kd, tie, start, n, body)."""
+    """Segments whose anchor may repeat: (h, sh, kd, tie, start, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
+        for batch in slices(batches):
+            out: list[list] = [[], [], [], [], [], []]
             for t, kd, tie in zip(texts_of(batch, "text"), batch.column("kd").to_numpy(), batch.column("tie").to_numpy(), strict=True):
                 h, first, count, rolling = byte_segments(as_bytes(t))
                 ok = may_repeat(maps.value, h)
                 if not ok.any():
                     continue
                 h, first, count = h[ok], first[ok], count[ok]
-                ends = first + count + BYTES - 1
-                sh = rolling.ranges(first, ends)
+                sh = rolling.ranges(first, first + count + BYTES - 1)
                 for k, x in enumerate((h.view(np.int64), sh.view(np.int64), np.full(len(h), kd), np.full(len(h), tie), first.astype(np.int32), count.astype(np.int32))):
                     out[k].append(x)
-                out[6] += [t[a:b] for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
-            if out[6]:
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in out[:6]), pa.array(out[6], pa.binary())], names=["h", "sh", "kd", "tie", "start", "n", "body"])
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["h", "sh", "kd", "tie", "start", "n"])
+
+    return docs.select("text", "kd", "tie").mapInArrow(run, "h long, sh long, kd long, tie long, start int, n int")
 
-    return docs.select("text", "kd", "tie").mapInArrow(run, "h long, sh long, kd long, tie long, start int, n int, body binary")
+
+def bodies_of(base: DataFrame, segments: DataFrame) -> DataFrame:
+    """The bytes of segments: (h, sh, kd, tie, start, body).
+
+    The text side of the join has the columns and the partitioning of cut_documents, so that its shuffle is reused.
+    """
+    wanted = segments.groupBy("kd", "tie").agg(F.collect_list(F.struct("h", "sh", "start", "n")).alias("wanted"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            lists = batch.column("wanted")
+            sizes = lists.value_lengths().to_numpy()
+            h, sh, start, n = (lists.flatten().field(c) for c in ("h", "sh", "start", "n"))
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            ends = (start.to_numpy().astype(np.int64) + n.to_numpy() + BYTES - 1).tolist()
+            spans = iter(zip(start.to_pylist(), ends, strict=True))
+            bodies = []
+            for t, k in zip(texts_of(batch, "text"), sizes.tolist(), strict=True):
+                bodies += [t[a:b] for a, b in itertools.islice(spans, k)]
+            yield pa.RecordBatch.from_arrays([h, sh, batch.column("kd").take(rows), batch.column("tie").take(rows), start, pa.array(bodies, pa.binary())], names=["h", "sh", "kd", "tie", "start", "body"])
+
+    joined = base.join(wanted.hint("merge"), ["kd", "tie"]).select("doc_id", "text", "kd", "tie", "wanted")
+    return joined.mapInArrow(run, "h long, sh long, kd long, tie long, start int, body binary")
 
 
 def smaller_neighbours(rank: np.ndarray, run: np.ndarray) -> np.ndarray:
@@ -334,7 +366,7 @@ def earlier_factors(bodies: list[bytes], anchor: np.ndarray, position: tuple[np.
         return owner, place
     width = -(-BYTES // 8) * 8
     block = np.zeros((len(at), width), dtype=np.uint8)
-    block[:, :BYTES] = text[at[:, None] + np.arange(BYTES)]
+    block[:, :BYTES] = np.lib.stride_tricks.sliding_window_view(text, BYTES)[at]
     block = np.concatenate((anchor[owner].astype(">i8").view(np.uint8).reshape(-1, 8), block), axis=1)
     columns = block.view(">u8").astype(np.uint64)
     order = np.lexsort(columns.T[::-1])
@@ -353,7 +385,7 @@ def previous_windows(segments: DataFrame) -> DataFrame:
     """(h, sh, at): windows of each segment's first place that also start earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "h", 5000):
+        for table in whole_groups(batches, "h", 3000):
             bodies = [b.as_py() for b in table.column("body")]
             position = tuple(table.column(c).to_numpy() for c in ("kd", "tie", "start"))
             owner, place = earlier_factors(bodies, table.column("h").to_numpy(), position)
@@ -366,7 +398,7 @@ def unpacked_bytes(segments: DataFrame) -> DataFrame:
     """One row for each window of hot anchors: (h, sh, i, w, kd, tie, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for h, sh, kd, tie, start, body in zip(*(batch.column(c).to_pylist() for c in ("h", "sh", "kd", "tie", "start", "body")), strict=True):
                 w = Rolling(byte_values(as_bytes(body)), BYTE_BASE).windows(BYTES).view(np.int64)
                 i = np.arange(len(w), dtype=np.int32)
@@ -387,15 +419,15 @@ def remove_later_bytes(docs: DataFrame, rows: int = 3, bits: int = 26, hot: int
     maps = repeat_sketch(base, lambda raw: byte_segments(raw)[0], rows, bits)
     found = repeated_byte_windows(base, maps)
     place = F.struct("kd", "tie", "start")
-    distinct = found.groupBy("h", "sh").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.first("body").alias("body"))
-    distinct = written(distinct.select("h", "sh", "lo.*", (F.col("lo") != F.col("hi")).alias("many"), "body"), "byte-segments")
-    alone, ordinary, burning = split_by_heat(distinct, hot)
-    windows = unpacked_bytes(burning)
+    distinct = found.groupBy("h", "sh").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("n").alias("n"))
+    distinct = written(distinct.select("h", "sh", "lo.*", "n", (F.col("lo") != F.col("hi")).alias("many")), "byte-segments")
+    _, ordinary, burning = split_by_heat(distinct, hot)
+    windows = unpacked_bytes(bodies_of(base, burning))
     where = F.struct("kd", "tie", "place")
     first = windows.groupBy("h", "w").agg(F.min(where).alias("first"))
     later = windows.join(first, ["h", "w"]).where(where != F.col("first")).groupBy("h", "sh").agg(F.collect_set("i").alias("at"))
     none = F.lit(None).cast("array<int>").alias("at")
-    ordinary_at = previous_windows(ordinary)
+    ordinary_at = previous_windows(bodies_of(base, ordinary))
     own = ordinary_at.unionByName(later)
     firsts = distinct.select("h", "sh", F.col("kd").alias("kd0"), F.col("tie").alias("tie0"), F.col("start").alias("start0"), "many")
     decided = firsts.join(own, ["h", "sh"], "left").where(F.col("many") | (F.size("at") > 0))
@@ -431,7 +463,7 @@ def cut_documents(base: DataFrame, marks: DataFrame, cut: Callable[[np.ndarray,
     names = [c.split()[0] for c in counts.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for t, m in zip(texts_of(batch, "text"), batch.column("marks"), strict=True):
                 starts = np.zeros(0, dtype=np.int64)

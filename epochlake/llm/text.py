@@ -8,6 +8,7 @@ import numpy as np
 SPACES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93
+ORDER = 0xC2B2AE3D27D4EB4F
 PLACE_BITS = 31
 
 IS_WORD = np.ones(256, dtype=bool)
@@ -53,12 +54,16 @@ class Rolling:
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
-    def windows(self, size: int) -> np.ndarray:
-        """Hash of every window of `size` values."""
+    def raw_windows(self, size: int) -> np.ndarray:
+        """Polynomial of every window of `size` values, not mixed."""
         n = len(self.sums) - size
         if n <= 0:
             return np.zeros(0, dtype=np.uint64)
-        return mix((self.sums[size:] - self.sums[:n]) * self.down[:n])
+        return (self.sums[size:] - self.sums[:n]) * self.down[:n]
+
+    def windows(self, size: int) -> np.ndarray:
+        """Hash of every window of `size` values."""
+        return mix(self.raw_windows(size))
 
 
 def as_bytes(text: bytes | None) -> np.ndarray:
@@ -104,6 +109,7 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 def anchored_runs(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Minimizers: each window of `width` consecutive grams chooses its smallest (leftmost of equals).
 
+    Grams are polynomials that aren't mixed; the high bits of a product order them, and the chosen are mixed.
     Returns the chosen gram's hash, the first window and the number of windows of each run of windows that
     choose the same place. The choice depends on a window's content alone, so equal windows choose equal
     grams at equal offsets.
@@ -112,7 +118,7 @@ def anchored_runs(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
         none = np.zeros(0, dtype=np.int64)
         return np.zeros(0, dtype=np.uint64), none, none
     shift = np.uint64(PLACE_BITS)
-    best = sliding_min((grams >> shift << shift) | np.arange(len(grams), dtype=np.uint64), width)
+    best = sliding_min((grams * np.uint64(ORDER) >> shift << shift) | np.arange(len(grams), dtype=np.uint64), width)
     place = (best & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
     first = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
-    return grams[place[first]], first, np.diff(np.concatenate((first, [len(place)])))
+    return mix(grams[place[first]]), first, np.diff(np.concatenate((first, [len(place)])))
