@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import slices, texts_of
 from .text import BYTE_BASE, LOWER, WORD_BASE, Rolling, as_bytes, byte_values, word_hashes
 
 #: Bound of the labelled rows that a classifier is fitted on.
@@ -52,7 +52,7 @@ def collected(df: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], np.nda
 
 def features_of(sample: DataFrame, extract: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             pairs = [extract(as_bytes(t)) for t in texts_of(batch, "text")]
             cols = [pa.array([x.astype(kind).tobytes() for x in part], pa.binary()) for part, kind in (([p[0] for p in pairs], np.int32), ([p[1] for p in pairs], np.float32))]
             yield pa.RecordBatch.from_arrays([batch.column("y"), *cols], names=["y", "idx", "val"])
@@ -66,7 +66,7 @@ def scored(docs: DataFrame, score: Callable[[np.ndarray], float], held_out: Colu
     names = [c for c in docs.columns if c.lower() not in new] if keep else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = pa.array([score(as_bytes(t)) for t in texts_of(batch, "text")], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), batch.column("held_out"), out], names=[*names, "held_out", "score"])
 
@@ -77,9 +77,11 @@ def scored(docs: DataFrame, score: Callable[[np.ndarray], float], held_out: Colu
 
 # --- character n-grams scaled by naive Bayes log-count ratios ---
 
-GRAM_SIZES = (3, 4, 5)
+GRAM_SIZES = (4, 5, 6)
 GRAM_BITS = 22
 MAX_GRAMS = 16384
+#: Least log-likelihood ratio of a feature; chance alone passes this for one n-gram in 100,000.
+LEAST_APART = 20.0
 
 
 def gram_buckets(raw: np.ndarray) -> np.ndarray:
@@ -98,7 +100,7 @@ def gram_counts(sample: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << GRAM_BITS), dtype=np.int32)
-        for batch in batches:
+        for batch in slices(batches):
             for t, y in zip(texts_of(batch, "text"), batch.column("y").to_pylist(), strict=True):
                 total[y][np.unique(gram_buckets(as_bytes(t)))] += 1
         some = np.flatnonzero(total.any(axis=0))
@@ -109,6 +111,15 @@ def gram_counts(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "gram int, y1 int, y0 int").groupBy("gram").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
 
 
+def apart_from_chance(y1: Column, y0: Column, pos: int, neg: int) -> Column:
+    """Log-likelihood ratio statistic of a feature held by y1 of pos and y0 of neg rows."""
+
+    def part(seen: Column, rows: int, all_seen: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen * (pos + neg) / (all_seen * rows))).otherwise(0.0)
+
+    return 2 * (part(y1, pos, y1 + y0) + part(y0, neg, y1 + y0) + part(pos - y1, pos, pos + neg - y1 - y0) + part(neg - y0, neg, pos + neg - y1 - y0))
+
+
 def fit_logistic(idx: list[np.ndarray], scale: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 150) -> tuple[np.ndarray, float]:
     """Logistic regression on present features times their scale, by full-batch Adam; returns weights and bias."""
     n, size = len(y), len(scale)
@@ -144,8 +155,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Da
         flat = 0.5 if not pos + neg else (pos + 1) / (pos + neg + 2) * 0.5
         return scored(docs, lambda raw: flat, held, 0.5)
     ratio = F.log((F.col("y1") + 1) / (pos + 2)) - F.log((F.col("y0") + 1) / (neg + 2))
-    spread = F.sqrt(1 / (F.col("y1") + 1) + 1 / (F.col("y0") + 1))
-    grams = gram_counts(sample).select("gram", ratio.alias("r"), F.abs(ratio / spread).alias("z")).where("z > 4").orderBy(F.desc("z"), "gram").limit(MAX_GRAMS).toArrow()
+    apart = apart_from_chance(F.col("y1"), F.col("y0"), pos, neg)
+    grams = gram_counts(sample).select("gram", ratio.alias("r"), apart.alias("g")).where(F.col("g") > LEAST_APART).orderBy(F.desc("g"), "gram").limit(MAX_GRAMS).toArrow()
     number = np.full(1 << GRAM_BITS, -1, dtype=np.int16)
     number[grams.column("gram").to_numpy()] = np.arange(len(grams))
     table = docs.sparkSession.sparkContext.broadcast(number)
