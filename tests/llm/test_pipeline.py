@@ -32,11 +32,13 @@ def test_stages_and_run(spark):
         assert r.text == (c.kept if c.n_removed else before[r.doc_id].text) and (r.n_chars == len(r.text) if c.n_removed else r.n_chars == before[r.doc_id].n_chars)
     assert after.count() == sum(1 for c in cut.values() if c.kept or not c.n_removed)
 
-    items = [r.text for r in common.read(spark, SF, "benchmark").collect()]
-    leaks = {r.doc_id for r in after.collect() if any(t in r.text for t in items)}
+    line = lambda t: " ".join(t.lower().split())
+    items = [line(r.text) for r in common.read(spark, SF, "benchmark").collect()]
+    leaks = {r.doc_id for r in after.collect() if any(t in line(r.text) for t in items)}
     before_leaks = after
     after = common.written(pipeline.benchmark_leaks(spark, after, SF), "t")
-    assert {r.doc_id for r in before_leaks.collect()} - {r.doc_id for r in after.collect()} == leaks
+    dropped = {r.doc_id for r in before_leaks.collect()} - {r.doc_id for r in after.collect()}
+    assert leaks <= dropped  # an item of which a little was cut may be similar enough still
     assert after.columns == NAMES
 
     last = pipeline.tokens(spark, after, SF).collect()
