@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,16 +22,72 @@ def draws(spark: SparkSession, groups: list, n: int, seed: int) -> DataFrame:
     return spark.createDataFrame(rows, f"rep int, subject {kind}, mult long")
 
 
+#: Chances that a Poisson variable of mean one is at most 0, 1, 2, ...; beyond the last is less than one in 2^32.
+POISSON_STEPS = tuple(math.fsum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12))
+
+
+def hashed_mult(seed: int) -> Column:
+    """Multiplicity of a subject in a replicate, a Poisson variable of mean one.
+
+    By inversion of the first 32 bits of the MD5 of seed, replicate and subject. (A CRC is linear: with it the draws of
+    two replicates differ by one constant.)
+    """
+    text = F.concat_ws("|", F.lit(seed).cast("string"), F.col("rep").cast("string"), F.col("subject").cast("string"))
+    u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    # the transform computes the hash once for all steps
+    return F.element_at(F.transform(F.array(u), lambda v: F.size(F.filter(F.array(*map(F.lit, POISSON_STEPS)), lambda s: s <= v))), 1).cast("long")
+
+
+def hashed(stats: DataFrame, n: int, seed: int) -> DataFrame:
+    """Rows of subjects repeated for each replicate that draws them: rep, mult. Nothing is joined or shuffled."""
+    reps = stats.where("subject IS NOT NULL").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return reps.withColumn("mult", hashed_mult(seed)).where("mult > 0")
+
+
 def hashed_draws(groups: DataFrame, n: int, seed: int) -> DataFrame:
-    """Multiplicities by a Poisson draw from a hash of replicate and group: any number of groups, no driver, any engine.
+    """Multiplicities by a Poisson draw from a hash of replicate and group: any number of groups, no driver, any engine."""
+    return hashed(groups.select("subject").distinct(), n, seed).select("rep", "subject", "mult")
+
 
-    A group's multiplicity is that of a Poisson variable of mean one, by inversion of a uniform hash.
+def complete_bootstrap(stats: DataFrame, n: int, seed: int, most: int = 100) -> DataFrame:
+    """Mean balanced accuracy of the first n replicates in which every task has both classes: rep, value.
+
+    Attempts are numbered from 0 and doubled until n are complete, at most to `most` for each; an error if they never
+    are. The n rows are computed once and kept.
     """
-    u = F.pmod(F.crc32(F.concat_ws("|", F.lit(seed).cast("string"), F.col("rep").cast("string"), F.col("subject").cast("string"))), F.lit(1_000_000)) / 1_000_000.0
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    mult = sum(((u >= s).cast("long") for s in steps), F.lit(0).cast("long"))
-    reps = groups.select("subject").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return reps.withColumn("mult", mult).where("mult > 0").select("rep", "subject", "mult")
+    tried = n
+    while True:
+        reps = bootstrap_sums(hashed(stats, tried, seed), n).localCheckpoint()
+        if reps.count() >= n:
+            return reps
+        if tried >= n * most:
+            raise RuntimeError("Could not draw enough class-complete bootstrap samples")
+        tried = min(2 * tried, n * most)
+
+
+def complete_draws(stats: DataFrame, n: int, seed: int) -> DataFrame:
+    """Hashed draws of the replicates of complete_bootstrap: rep, subject, mult."""
+    reps = complete_bootstrap(stats, n, seed).select("rep")
+    return stats.where("subject IS NOT NULL").select("subject").distinct().crossJoin(F.broadcast(reps)).withColumn("mult", hashed_mult(seed)).where("mult > 0")
+
+
+def bootstrap_metrics(df: DataFrame, drawn: DataFrame, sample: str, *key: str) -> DataFrame:
+    """Balanced accuracy, mean squared score error, mean sample IoU and Hamming loss per key and replicate.
+
+    Every metric is made of sums that add up over subjects; the draws are class-complete (see complete_draws).
+    """
+    y, p, d = F.col("y") == 1, F.col("pred") == 1, F.col("score") - F.col("y")
+    one = lambda c: F.sum(c.cast("long"))
+    cells = df.groupBy(*key, "subject", "task").agg(one(y & p).alias("tp"), one(y & ~p).alias("fn"), one(~y & ~p).alias("tn"), one(~y & p).alias("fp"), F.sum(d * d).alias("sq"))
+    names = ("tp", "fn", "tn", "fp", "sq")
+    per = cells.join(drawn, "subject").groupBy(*key, "rep", "task").agg(*(F.sum(F.col(c) * F.col("mult")).alias(c) for c in names))
+    n = F.sum(F.col("tp") + F.col("fn") + F.col("tn") + F.col("fp"))
+    most = per.groupBy(*key, "rep").agg(F.avg(balanced(*(F.col(c) for c in names[:4]))).alias("balanced_accuracy"), (F.sum("sq") / n).alias("score_mse"), (F.sum(F.col("fn") + F.col("fp")) / n).alias("hamming_loss"))
+    rows = df.groupBy(*key, "subject", sample).agg(one(y & p).alias("i"), one(y | p).alias("u"))
+    iou = F.when(F.col("u") == 0, 1.0).otherwise(F.col("i") / F.col("u"))
+    units = rows.groupBy(*key, "subject").agg(F.sum(iou).alias("iou"), F.count("*").alias("n"))
+    shared = units.join(drawn, "subject").groupBy(*key, "rep").agg((F.sum(F.col("iou") * F.col("mult")) / F.sum(F.col("n") * F.col("mult"))).alias("sample_iou"))
+    return most.join(shared, [*key, "rep"]).select(*key, "rep", "balanced_accuracy", "score_mse", "sample_iou", "hamming_loss")
 
 
 def bootstrap(stats: DataFrame, drawn: DataFrame, kept: int | None = None) -> DataFrame:
@@ -38,8 +96,13 @@ def bootstrap(stats: DataFrame, drawn: DataFrame, kept: int | None = None) -> Da
     Replicates that lack a class in any task are left out; with kept, the first so many others stay. The cost is
     subjects times tasks times replicates, whatever the number of rows behind the statistics.
     """
+    return bootstrap_sums(stats.join(drawn, "subject"), kept)
+
+
+def bootstrap_sums(drawn: DataFrame, kept: int | None = None) -> DataFrame:
+    """The same from the statistics of the drawn subjects: rep, mult, task and the four counts."""
     parts = [F.sum(F.col(c) * F.col("mult")).alias(c) for c in ("tp", "fn", "tn", "fp")]
-    per = stats.join(drawn, "subject").groupBy("rep", "task").agg(*parts)
+    per = drawn.groupBy("rep", "task").agg(*parts)
     ok = (F.col("tp") + F.col("fn") > 0) & (F.col("tn") + F.col("fp") > 0)
     reps = per.groupBy("rep").agg(F.min(ok.cast("int")).alias("ok"), F.avg(F.when(ok, balanced(*(F.col(c) for c in ("tp", "fn", "tn", "fp"))))).alias("value")).where("ok = 1").drop("ok")
     if kept is not None:

@@ -288,12 +288,63 @@ def u14(spark, sf):
 
 @query("u1_cluster_bootstrap")
 def u1(spark, sf):
-    c = metrics.confusion(scores_big(spark, sf), "subject", "task").withColumn("task", F.lit("all"))
-    c = c.groupBy("subject", "task").agg(*(F.sum(x).alias(x) for x in ("tp", "fn", "tn", "fp")))
-    reps = resample.bootstrap(c, resample.hashed_draws(c, 200, 42))
+    c = metrics.confusion(scores_big(spark, sf), "subject", "task")
+    reps = resample.complete_bootstrap(c, REPLICATES, 42)
     return r6(resample.percentile_interval(reps.withColumn("all", F.lit("all")), F.col("value"), 0.05, "all"), "low", "high")
 
 
+# --- the same of all four metrics, with hashed draws; the SQL tries twice as many replicates as it keeps ---
+
+REPLICATES = 2000
+MULT = " + ".join(f"CAST(u >= CAST({s!r} AS DOUBLE) AS BIGINT)" for s in resample.POISSON_STEPS)
+METRICS = ("balanced_accuracy", "score_mse", "sample_iou", "hamming_loss")
+HASHED = (
+    f"hu AS (SELECT r.rep, s.subject, CAST(('0x' || substr(md5('42|' || r.rep || '|' || s.subject), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u FROM (SELECT DISTINCT subject FROM scores) s CROSS JOIN (SELECT CAST(unnest(range(0, {2 * REPLICATES})) AS INTEGER) AS rep) r), "
+    f"hm AS (SELECT rep, subject, {MULT} AS mult FROM hu), "
+    f"hc AS (SELECT run_id, subject, task, {SUMS}, sum((score - y) * (score - y)) AS sq FROM scores GROUP BY run_id, subject, task), "
+    "ht AS (SELECT run_id, rep, task, sum(tp * mult) AS tp, sum(fn * mult) AS fn, sum(tn * mult) AS tn, sum(fp * mult) AS fp, sum(sq * mult) AS sq FROM hc JOIN hm ON hc.subject = hm.subject WHERE mult > 0 GROUP BY run_id, rep, task), "
+    f"hr AS (SELECT run_id, rep, avg({BA}) AS balanced_accuracy, sum(sq) / sum(tp + fn + tn + fp) AS score_mse, CAST(sum(fn + fp) AS DOUBLE) / sum(tp + fn + tn + fp) AS hamming_loss FROM ht GROUP BY run_id, rep HAVING min(tp + fn) > 0 AND min(tn + fp) > 0 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY rep) <= {REPLICATES}), "
+    "hk AS (SELECT run_id, subject, key, sum(y * pred) AS i, sum(greatest(y, pred)) AS n FROM scores GROUP BY run_id, subject, key), "
+    "hs AS (SELECT run_id, subject, sum(CASE WHEN n = 0 THEN 1.0 ELSE CAST(i AS DOUBLE) / n END) AS iou, count(*) AS n FROM hk GROUP BY run_id, subject), "
+    "hi AS (SELECT run_id, rep, sum(CAST(iou AS DOUBLE) * mult) / sum(n * mult) AS sample_iou FROM hs JOIN hm ON hs.subject = hm.subject WHERE mult > 0 GROUP BY run_id, rep), "
+    "hb AS (SELECT hr.run_id, hr.rep, balanced_accuracy, score_mse, sample_iou, hamming_loss FROM hr JOIN hi ON hr.run_id = hi.run_id AND hr.rep = hi.rep), "
+    "hl AS (" + " UNION ALL ".join(f"SELECT run_id, rep, '{m}' AS metric, {m} AS value FROM hb" for m in METRICS) + ")"
+)
+
+
+def hashed_metrics(spark, sf):
+    s = scores(spark, sf)
+    c = metrics.confusion(s.where("run_id = 'a'"), "subject", "task")
+    return resample.bootstrap_metrics(s, resample.complete_draws(c, REPLICATES, 42), "key", "run_id")
+
+
+def hashed_long(spark, sf):
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS))
+    return hashed_metrics(spark, sf).select("run_id", "rep", F.explode(each).alias("m")).select("run_id", "rep", "m.metric", "m.value")
+
+
+@query("u2_bootstrap_metrics", with_("scores", more=HASHED, sql=f"SELECT run_id, rep, {', '.join(f'round({m}, 6) AS {m}' for m in METRICS)} FROM hb"))
+def u2_metrics(spark, sf):
+    return r6(hashed_metrics(spark, sf), *METRICS)
+
+
+@query("u3_metric_intervals", with_("scores", more=HASHED, sql="SELECT run_id, metric, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM hl GROUP BY run_id, metric"))
+def u3_metrics(spark, sf):
+    return r6(resample.percentile_interval(hashed_long(spark, sf), F.col("value"), 0.05, "run_id", "metric"), "low", "high")
+
+
+HASHED_PAIR = "hp AS (SELECT a.rep, a.metric, b.value - a.value AS diff FROM hl a JOIN hl b ON a.rep = b.rep AND a.metric = b.metric AND a.run_id = 'a' AND b.run_id = 'b')"
+
+
+@query("u4_metric_differences", with_("scores", more=f"{HASHED}, {HASHED_PAIR}", sql="SELECT metric, count(*) AS n, round(avg(diff), 6) AS mean, round(quantile_cont(diff, 0.025), 6) AS low, round(quantile_cont(diff, 0.975), 6) AS high, round(least(1.0, 2 * least(avg(CASE WHEN diff <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN diff >= 0 THEN 1.0 ELSE 0.0 END))), 6) AS p FROM hp GROUP BY metric"))
+def u4_metrics(spark, sf):
+    a = F.max(F.when(F.col("run_id") == "a", F.col("value")))
+    b = F.max(F.when(F.col("run_id") == "b", F.col("value")))
+    d = hashed_long(spark, sf).groupBy("rep", "metric").agg((b - a).alias("diff")).where("diff IS NOT NULL")
+    out = d.groupBy("metric").agg(F.count("*").alias("n"), F.avg("diff").alias("mean"), F.percentile("diff", 0.025).alias("low"), F.percentile("diff", 0.975).alias("high"), resample.sign_p(F.col("diff")).alias("p"))
+    return r6(out, "mean", "low", "high", "p")
+
+
 @query("m7_apply_platt", with_("scores", sql="SELECT run_id, key, task, round(1 / (1 + exp(-(2.5 * score - 1.25))), 6) AS score FROM scores"))
 def m7(spark, sf):
     return scores(spark, sf).select("run_id", "key", "task", F.round(logistic(2.5 * F.col("score") - 1.25), 6).alias("score"))
