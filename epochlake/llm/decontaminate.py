@@ -102,7 +102,7 @@ class Benchmark:
             self.seen[k] = known, table
         for (k, size), group in sorted(by_size.items()):
             prints = np.concatenate([fingerprints(bit_signs(s).sum(axis=0, keepdims=True)) for _, s in group])
-            self.sizes.append((k, size - k + 1, [g[0] for g in group], [g[1] for g in group], HammingIndex(prints)))
+            self.sizes.append((k, size - k + 1, [g[0] for g in group], np.stack([g[1] for g in group]), HammingIndex(prints)))
 
     def leaks(self, raw: np.ndarray) -> dict[int, float]:
         """Items that a window of the text is similar to, with the best similarity."""
@@ -118,9 +118,18 @@ class Benchmark:
                 hit[at + 1] = 1
                 hits[k] = grams, np.cumsum(hit)
         for k, width, items, sets, index in self.sizes:
-            if k not in hits or len(hits[k][0]) < width:
+            if k not in hits:
                 continue
             grams, total = hits[k]
+            if len(grams) < width:
+                # the text is its one window; similar ones share at least p / (p + q) of all shingles of both
+                least = self.p * (width + len(grams))
+                if total[-1] * (self.p + self.q) >= least:
+                    for item in np.flatnonzero(np.isin(sets, grams).sum(axis=1) * (self.p + self.q) >= least).tolist():
+                        s = weighted_similarity(grams, sets[item])
+                        if s * self.q >= self.p and s > found.get(items[item], 0.0):
+                            found[items[item]] = s
+                continue
             # similar windows share at least 2p / (p + q) of their shingles with the item, so with all items
             start = np.flatnonzero((total[width:] - total[:-width]) * (self.p + self.q) >= 2 * self.p * width)
             for part in np.split(start, range(4096, len(start), 4096)):
@@ -144,7 +153,7 @@ def leaks(docs: DataFrame, items: DataFrame, p: int = 80, q: int = 100) -> DataF
     five-word shingles with all items to reach p/q are ruled out by that bound. The SimHash of the others is looked
     up among the items' within RADIUS bits, and what is found is verified: counts of shingles, sum of smaller over
     sum of larger, at least p/q. Words are lower-cased runs of letters and digits. Items of fewer than five words
-    count as one shingle; items without words, and null items, match nothing. Null and empty texts hold nothing.
+    count as one shingle; a text of fewer words than an item is compared with it as a whole, without SimHash; items without words, and null items, match nothing. Null and empty texts hold nothing.
     Rows that repeat give repeated rows; null ids stay null; other columns are never read. SimHash at radius 20 of 64 bits misses a
     window just at the threshold in about one case of 4000, and copies or lightly changed copies practically never.
 
