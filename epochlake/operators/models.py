@@ -117,7 +117,7 @@ def predict_logistic(df: DataFrame, x: list[str], y: str) -> DataFrame:
 def one_vs_rest(df: DataFrame, x: list[str], classes: int) -> DataFrame:
     from pyspark.ml.classification import LogisticRegression, OneVsRest
 
-    model = OneVsRest(classifier=LogisticRegression(regParam=0.01, maxIter=10)).fit(assembled(df, x, "y"))
+    model = OneVsRest(classifier=LogisticRegression(regParam=0.01)).fit(assembled(df, x, "y"))
     rows = [(c, f, float(w)) for c, m in enumerate(model.models) for f, w in zip(x, m.coefficients.toArray(), strict=True)]
     return df.sparkSession.createDataFrame(rows, "class int, feature string, weight double")
 

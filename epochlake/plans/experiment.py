@@ -9,7 +9,7 @@ from epochlake.functions.columns import flag
 from epochlake.operators import metrics, models, select, targets as op
 from epochlake.plans.evaluation import BA, SUMS, r6
 from epochlake.plans.registry import query
-from epochlake.sources.tables import class_scores, epochs, part_features, read, scores, sig1, targets, with_
+from epochlake.sources.tables import N, class_scores, epochs, part_features, read, scores, sig1, targets, with_
 
 SIDE = "CASE WHEN subject % 3 = 0 THEN 'test' ELSE 'train' END"
 
@@ -328,5 +328,5 @@ def m12(spark, sf):
 
 @query("m13_ovr_logistic")
 def m13(spark, sf):
-    e = read(spark, sf, "embeddings").select(*(F.col("embedding")[k].cast("double").alias(f"x{k + 1}") for k in range(3)), F.col("label").cast("double").alias("y"))
-    return models.one_vs_rest(e, X, 10)
+    e = read(spark, sf, "embeddings").select(*(F.col("embedding")[k].cast("double").alias(f"x{k + 1}") for k in range(N)), F.col("label").cast("double").alias("y"))
+    return models.one_vs_rest(e, [f"x{k + 1}" for k in range(N)], 10)
