@@ -18,11 +18,11 @@ def crop(sig: DataFrame, start_s: float, stop_s: float, fs: float) -> DataFrame:
     return sig.where((F.col("t_idx") >= a) & (F.col("t_idx") < b))
 
 
-def windows(sig: DataFrame, n: int, width: int, stride: int) -> DataFrame:
-    """Complete sliding windows of n samples: each sample once for each window that holds it (win, w_idx)."""
-    last = (n - width) // stride
+def windows(sig: DataFrame, n: int | Column, width: int, stride: int) -> DataFrame:
+    """Complete sliding windows of n samples, a number or a column: each sample once for each window that holds it (win, w_idx)."""
+    last = F.floor(((F.lit(n) if isinstance(n, int) else n) - width) / stride)
     lo = F.greatest(F.lit(0), F.ceil((F.col("t_idx") - width + 1) / stride)).cast("int")
-    hi = F.least(F.lit(last), F.floor(F.col("t_idx") / stride)).cast("int")
+    hi = F.least(last, F.floor(F.col("t_idx") / stride)).cast("int")
     fit = sig.where((lo <= hi) & (last >= 0)).withColumn("win", F.explode(F.sequence(lo, hi)))
     return fit.withColumn("w_idx", F.col("t_idx") - F.col("win") * stride)
 
