@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,128 +12,283 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import slices, texts_of, written
 
 #: Element names and class or id words that mark what isn't main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
-DROPPED = frozenset("head nav header footer aside form button select script style textarea title noscript template iframe svg math dialog menu object canvas audio video noembed noframes xmp".split())
-BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes".split())
+DROPPED = frozenset("head nav header footer aside form button select script style textarea title noscript template iframe svg dialog menu object canvas audio video noembed noframes".split())
+BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul xmp".split())
+INLINE = frozenset("abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header menu modal nav navbar navigation newsletter notice notices popup promo promoted related respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split())
+#: Words that may stand beside one of those in a compound such as site-footer; with any other word the name tells nothing.
+NEUTRAL = frozenset("area bar block bottom box buttons container content footer global google group holder icons inner js links list items main module outer page pane panel placeholder popup posts primary region row secondary section signup site slot top unit wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 MAIN = frozenset(("article", "main"))
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ol ul dl dt dd table tr td th tbody b i em strong a span code figure figcaption article main section br".split())
+#: Inside the main element these are its text: no class and no recurrence takes them away, nor lists unless of links.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr tbody thead tfoot caption figcaption article main a xmp".split())
+LISTS = frozenset("ul ol dl table figure".split())
 #: An open element of the first kind ends where one of the second starts inside the same parent.
 CLOSES = {"p": BLOCKS - {"br"}, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "tbody", "tfoot")), "td": frozenset(("td", "th", "tr", "tbody")), "th": frozenset(("td", "th", "tr", "tbody")), "option": frozenset(("option",))}
+CLOSED_BY = {name: [c for c, by in CLOSES.items() if name in by] for name in BLOCKS}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/><]*)")
+PLAIN_TAG = re.compile(r"(/?)([a-zA-Z][^\s/><]*)([^>\"']*)>")
+TAG_END = re.compile(r"[>\"']")
+COMMENT_END = re.compile(r"--!?>")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-WORDS = re.compile(r"[a-z]+")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
+#: A site template stands on half of a host's different pages, three at least, or on so many of them.
+LEAST_PAGES = 3
+LEAST_SHARE = 0.5
+MANY_PAGES = 50
+#: Recurring subtrees that hold most of a page, and so many words, are what the page says.
+MAIN_WORDS = 40
+
 
 class Node:
-    __slots__ = ("children", "closed", "drop", "mark", "name", "parent")
+    __slots__ = ("children", "closed", "drop", "has_main", "links", "mark", "name", "soft", "words")
 
-    def __init__(self, name: str, parent: "Node | None", drop: bool = False):
-        self.name, self.parent, self.drop = name, parent, drop
+    def __init__(self, name: str, drop: bool = False, soft: bool = False):
+        self.name, self.drop, self.soft = name, drop, soft
         self.children: list[Node | str] = []
-        self.mark, self.closed = 0, False
+        self.has_main = name in MAIN
+        self.closed = False
+        self.mark = self.words = self.links = 0
 
 
-def is_boilerplate(name: str, attributes: str) -> bool:
-    if name in DROPPED:
-        return True
+BREAK = Node("br")
+
+
+def marked_by_words(names: str) -> bool:
+    """Whether one of the class or id names is a boilerplate word, alone or with neutral words."""
+    for name in names.split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        if any(w in BOILERPLATE for w in words) and all(w in BOILERPLATE or w in NEUTRAL for w in words):
+            return True
+    return False
+
+
+def boilerplate(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element isn't main text, and whether only its class or id says so; inside: in the main element."""
+    if name in DROPPED and not (name == "header" and inside):
+        return True, False
     if not attributes or name in ("html", "body"):
-        return False
+        return False, False
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in values or values.get("aria-hidden") == "true" or HIDDEN.search(values.get("style", "")):
-        return True
+        return True, False
     if values.get("role", "").lower() in ROLES:
+        return True, False
+    names = values.get("class", "") + " " + values.get("id", "")
+    if name in MAIN:
+        return "comment" in names.lower(), False
+    if inside and (name in PROSE or name in INLINE or name in LISTS and not marked_by_words(names) or name == "header"):
+        return False, False
+    if inside and "header" in names.lower():
+        names = " ".join(n for n in names.split() if "header" not in n.lower())
+    return marked_by_words(names), True
+
+
+def tag_end(html: str, at: int) -> int:
+    """Where the tag whose attributes start here ends, quoted values passed over; -1 if nowhere."""
+    while (m := TAG_END.search(html, at)) is not None:
+        if m[0] == ">":
+            return m.start()
+        k = m.start() - 1
+        while k > 0 and html[k].isspace():
+            k -= 1
+        close = html.find(m[0], m.end()) if html[k] == "=" else -1
+        at = close + 1 if close >= 0 else m.end()
+    return -1
+
+
+class Tree:
+    """The open elements while a page is read; every step costs a constant beside what it closes."""
+
+    def __init__(self):
+        self.root = Node("#root")
+        self.open = [self.root]
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+        self.blocks = [0]
+        self.barriers = [0]
+        self.mains = 0
+
+    def text(self, text: str) -> None:
+        self.open[-1].children.append(text)
+
+    def push(self, node: Node) -> None:
+        k = len(self.open)
+        self.open[-1].children.append(node)
+        self.open.append(node)
+        self.at[node.name].append(k)
+        if node.name in BLOCKS:
+            self.blocks.append(k)
+            if node.name != "p":
+                self.barriers.append(k)
+        self.mains += node.name in MAIN and not node.drop
+
+    def pop(self, down_to: int, tagged: bool = False) -> None:
+        """Close all elements from the innermost to this one; what has no end tag of its own keeps main text."""
+        while len(self.open) > down_to:
+            node = self.open.pop()
+            k = len(self.open)
+            self.at[node.name].pop()
+            for marks in (self.blocks, self.barriers):
+                if marks[-1] == k:
+                    marks.pop()
+            self.mains -= node.name in MAIN and not node.drop
+            if node.drop and node.has_main and (node.soft or k > down_to or not tagged):
+                node.drop = False
+            self.open[-1].has_main |= node.has_main and not node.drop
+
+    def end(self, name: str) -> None:
+        if self.at[name] and (name in BLOCKS or self.at[name][-1] > self.blocks[-1]):  # a stray inline end tag ends no block
+            self.pop(self.at[name][-1], True)
+
+    def start(self, name: str, attributes: str) -> bool:
+        """Open an element; whether it stays open."""
+        if name in ("br", "hr"):
+            if name == "hr" and self.at["p"] and self.at["p"][-1] >= self.barriers[-1]:
+                self.pop(self.at["p"][-1])
+            self.text(BREAK)
+            return False
+        if name in BLOCKS:
+            while (last := max((self.at[c][-1] for c in CLOSED_BY[name] if self.at[c]), default=-1)) >= self.barriers[-1]:
+                self.pop(last)
+        elif name == "a" and self.at["a"] and self.at["a"][-1] > self.blocks[-1]:
+            self.pop(self.at["a"][-1])
+        if name in VOID:
+            return False
+        drop, soft = boilerplate(name, attributes, self.mains > 0)
+        if name in INLINE and not drop and not self.at[name]:
+            return False
+        if attributes.endswith("/") and name not in BLOCKS | RAW:
+            return False
+        self.push(Node(name, drop, soft))
         return True
-    if name in MAIN and "comment" not in values.get("class", "") + values.get("id", ""):
-        return False
-    return any(w in BOILERPLATE for w in WORDS.findall((values.get("class", "") + " " + values.get("id", "")).lower()))
 
 
 def parse(html: str) -> Node:
-    """A tree of elements and texts; forgiving about missing and stray end tags."""
-    root = node = Node("#root", None)
-    at, end = 0, len(html)
+    """A tree of elements and texts; forgiving about missing and stray end tags. Linear in the page's length.
+
+    Formatting elements are passed over, so that a paragraph is one run of text. Where a tag never ends outside
+    quotes, the rest of the page is read without heed of quotes; a < that begins nothing is text.
+    """
+    tree = Tree()
+    at, end, last = 0, len(html), html.rfind(">")
+    quotes = True
     while at < end:
-        m = TOKEN.search(html, at)
-        if m is None:
-            node.children.append(html[at:])
+        i = html.find("<", at)
+        if i < 0 or i > last:
+            tree.text(html[at:])
             break
-        if m.start() > at:
-            node.children.append(html[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
-            if m[0].startswith("<![CDATA["):
-                node.children.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+        if i > at:
+            tree.text(html[at:i])
+        following = html[i + 1 : i + 2]
+        if following in ("!", "?"):
+            if html.startswith("<!--", i):
+                if html.startswith((">", "->"), i + 4):
+                    at = html.index(">", i + 4) + 1
+                else:
+                    m = COMMENT_END.search(html, i + 4)
+                    at = m.end() if m else end
+            elif html.startswith("<![CDATA[", i):
+                k = html.find("]]>", i)
+                tree.text(html[i + 9 : k if k >= 0 else end].replace("&", "&amp;"))
+                at = k + 3 if k >= 0 else end
+            else:
+                at = html.index(">", i) + 1
             continue
-        name = name.lower()
+        m = PLAIN_TAG.match(html, i + 1) if quotes else TAG.match(html, i + 1)
+        if m is not None and quotes:
+            close = m.end() - 1
+        else:
+            m = TAG.match(html, i + 1)
+            if m is None:
+                if following == "/":  # </> and the like are comments
+                    at = html.index(">", i) + 1
+                else:
+                    tree.text("<")
+                    at = i + 1
+                continue
+            close = tag_end(html, m.end()) if quotes else -1
+            if close < 0:
+                quotes = False
+                close = html.index(">", i)
+        at = close + 1
+        name = m[2].lower()
         if m[1]:
-            up = node
-            while up is not root and up.name != name:
-                if name not in BLOCKS and up.name in BLOCKS:  # a stray inline end tag ends no block
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                node = up.parent
-            continue
-        if name in BLOCKS:
-            up = node
-            while up.name in CLOSES or up.name not in BLOCKS and up is not root:
-                if name in CLOSES.get(up.name, ()):
-                    node = up.parent
-                    break
-                if up.name in ("li", "dt", "dd", "td", "th", "tr", "option"):
-                    break
-                up = up.parent
-        child = Node(name, node, is_boilerplate(name, m[3]))
-        node.children.append(child)
-        if name in VOID or m[3].endswith("/") and name not in BLOCKS | RAW:
+            tree.end(name)
             continue
-        if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-            at = close.end() if close else end
+        if not tree.start(name, html[m.end(2) : close]) or name not in RAW:
             continue
-        node = child
-    return root
+        found = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+        if name == "xmp":
+            tree.text(html[at : found.start() if found else end].replace("&", "&amp;"))
+        at = found.end() if found else end
+        tree.pop(len(tree.open) - 1, True)
+    tree.pop(1)
+    return tree.root
 
 
-def hash_subtrees(node: Node, out: list[Node], inside: bool = False) -> int:
-    """Hash of each element's name and content, children included; those that may be templates go to out.
+def hash_subtrees(root: Node) -> list[Node]:
+    """Hash, words and words in links of each element, children included; returns those that may be templates.
 
-    Within the main element only containers that aren't prose may be templates: an article's own paragraphs and
-    lists stay whatever their number.
+    Within the main element these are only containers that aren't prose, and lists only where most of their words
+    are links: an article's own paragraphs and lists stay whatever their number.
     """
-    stack: list[tuple[Node, bool, int, list[int]]] = [(node, inside, 0, [])]
-    while True:
-        top, within, k, parts = stack.pop()
-        if k < len(top.children):
-            child = top.children[k]
+    out: list[Node] = []
+    stack = [(root, False, iter(root.children), xxhash.xxh64("#root"))]
+    while stack:
+        node, within, rest, digest = stack[-1]
+        for child in rest:
             if isinstance(child, str):
-                text = " ".join(child.split())
-                stack.append((top, within, k + 1, [*parts, xxhash.xxh64_intdigest(text)] if text else parts))
-            else:
-                stack.append((top, within, k + 1, parts))
-                if child.drop:
-                    continue
-                stack.append((child, within or child.name in MAIN, 0, []))
-            continue
-        top.mark = xxhash.xxh64_intdigest(f"{top.name}:{parts}") - (1 << 63)
-        has_main = top.name in MAIN or any(isinstance(c, Node) and c.closed for c in top.children)
-        top.closed = has_main
-        if parts and not has_main and top.name not in ("#root", "html", "body") and not (within and top.name in PROSE):
-            out.append(top)
-        if not stack:
-            return top.mark
-        above = stack.pop()
-        stack.append((above[0], above[1], above[2], [*above[3], top.mark]))
+                words = child.split()
+                if words:
+                    digest.update(" ".join(words))
+                    node.words += len(words)
+            elif not child.drop and child is not BREAK:
+                stack.append((child, within or child.name in MAIN, iter(child.children), xxhash.xxh64("<" + child.name)))
+                break
+        else:
+            stack.pop()
+            node.mark = digest.intdigest() - (1 << 63)
+            node.closed = node.closed or node.name in MAIN
+            if node.name == "a":
+                node.links = node.words
+            prose = within and (node.name in PROSE or node.name in LISTS and 2 * node.links <= node.words)
+            if node.words and not node.closed and not prose and node.name not in ("#root", "html", "body"):
+                out.append(node)
+            if stack:
+                above = stack[-1]
+                above[3].update(digest.digest() + b">")
+                above[0].words += node.words
+                above[0].links += node.links
+                above[0].closed |= node.closed
+    return out
+
+
+def delete_templates(root: Node, gone: set[int]) -> None:
+    """Drop the outermost subtrees whose hash is in gone.
+
+    Where they hold most of the page's words, and more than a few, they are its main text and not a template;
+    then only those go that consist mostly of links.
+    """
+    may_go = {id(n) for n in hash_subtrees(root) if n.mark in gone}
+    found, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        for c in node.children:
+            if isinstance(c, Node) and not c.drop and c is not BREAK:
+                (found if id(c) in may_go else stack).append(c)
+    total = sum(n.words for n in found)
+    if total >= MAIN_WORDS and 2 * total >= root.words:
+        found = [n for n in found if 2 * n.links > n.words]
+    for n in found:
+        n.drop = True
 
 
 def blocks_of(node: Node) -> Iterator[str]:
@@ -161,78 +317,107 @@ def blocks_of(node: Node) -> Iterator[str]:
     yield from flush()
 
 
-def main_nodes(root: Node) -> list[Node]:
-    """Outermost main elements in page order, articles before a main element around other things; else the page."""
-    found: dict[str, list[Node]] = {"article": [], "main": []}
-    stack: list[Node | str] = [root]
+def prose_words(node: Node) -> int:
+    """Words outside links of what isn't dropped."""
+    total, stack = 0, [node]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, str):
+                total += len(c.split())
+            elif not c.drop and c.name != "a":
+                stack.append(c)
+    return total
+
+
+def outermost(root: Node, name: str) -> list[Node]:
+    found, stack = [], [root]
     while stack:
         x = stack.pop()
-        if isinstance(x, str) or x.drop:
-            continue
-        if x.name in MAIN:
-            found[x.name].append(x)
-            if x.name == "article":
-                continue
-        stack += reversed(x.children)
-    return found["article"] or found["main"][:1] or [root]
+        if x.name == name:
+            found.append(x)
+        else:
+            stack += [c for c in reversed(x.children) if isinstance(c, Node) and not c.drop]
+    return found
 
 
-def main_text(root: Node) -> str:
-    return " ".join(b for node in main_nodes(root) for b in blocks_of(node))
+def main_nodes(root: Node) -> list[Node]:
+    """The main parts in page order.
 
+    In a main element its one article, if that holds most of its words outside links, else the main element whole:
+    teasers don't stand for the story around them. Without a main element the articles, unless they hold less than
+    a quarter of the page's words outside links, else the page.
+    """
+    mains = [m for m in outermost(root, "main") if prose_words(m)]
+    if mains:
+        out = []
+        for m in mains:
+            whole = prose_words(m)
+            ruling = [a for a in outermost(m, "article") if 2 * prose_words(a) > whole]
+            out += ruling or [m]
+        return out
+    articles = outermost(root, "article")
+    return articles if articles and 4 * sum(map(prose_words, articles)) >= prose_words(root) else [root]
 
-def templates_of(root: Node) -> list[Node]:
-    out: list[Node] = []
-    hash_subtrees(root, out)
-    return out
+
+def main_text(root: Node) -> str:
+    return " ".join(b for node in main_nodes(root) for b in blocks_of(node))
 
 
 def host_of(url: Column | str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, least_pages: int = 10, least_share: float = 0.2) -> DataFrame:
+def site_templates(marked: DataFrame, least_pages: int, least_share: float, many_pages: int) -> DataFrame:
+    """(host, mark) of the subtrees that recur: counted over different contents, so that a repeated page is one page."""
+    sizes = marked.groupBy("host").agg(F.count_distinct("content").alias("pages"))
+    counts = marked.select("host", "content", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= least_pages)
+    enough = F.least(F.lit(float(many_pages)), least_share * F.col("pages"))
+    return counts.join(sizes, "host").where(F.col("n") >= enough).select("host", "mark")
+
+
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars, for each row of pages.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go by element name,
-    role, class or id. Then site templates: every remaining subtree's hash is counted per host, and a subtree that
-    stands on at least least_pages pages and least_share of the host's pages is deleted from them, except what holds
-    the main element and, within it, prose. The text is that of the articles, else of the main element, else of the
-    page; references are decoded, white space in a block is one space, blocks are joined by one space.
-
-    Pages without a host count as one host. Null and empty html give an empty text; broken markup is read
-    forgivingly. Rows that repeat give repeated rows and count as pages each; other columns are never read. The hashes of one
-    host are counted by a partial aggregation and marked by a join that splits large hosts, so no task holds a host.
+    role, class or id; inside an article or main element its header stays, and classes decide on containers only.
+    Then site templates: every remaining subtree's hash is counted per host over pages of different content, and a
+    subtree that stands on least_share of them and least_pages, or on many_pages, is deleted, except what holds the
+    main element, prose within it, and subtrees that are most of what the page says (see delete_templates). The
+    text is that of the main element or the articles (see main_nodes), else of the page; references are decoded,
+    white space in a block is one space, blocks are joined by one space.
+
+    Pages without a host belong to no site and have no templates. Null and empty html give an empty text; broken
+    markup is read forgivingly, very long pages in linear time. Rows that repeat give repeated rows and count as one
+    page; other columns are never read. The hashes are counted by partial aggregations and found again by a salted
+    join, so no task holds a host.
     """
     base = pages.select("page_id", "url", "html").withColumn("host", host_of("url")).withColumn("tie", F.xxhash64("page_id", "url", "html"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            at, marks = [], []
-            for row, t in enumerate(texts_of(batch, "html")):
-                got = {n.mark for n in templates_of(parse((t or b"").decode("utf-8", "replace")))}
-                at += [row] * len(got)
-                marks += got
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("host").take(rows), batch.column("tie").take(rows), pa.array(marks, pa.int64())], names=["host", "tie", "mark"])
-
-    marked = base.select("host", "tie", "html").mapInArrow(hashes, "host string, tie long, mark long")
-    sizes = base.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = marked.groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    common = counts.join(sizes, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "mark")
-    cut = marked.join(common, ["host", "mark"]).select("tie", "mark").distinct().groupBy("tie").agg(F.collect_list("mark").alias("marks"))
+            content, marks = [], []
+            for t in texts_of(batch, "html"):
+                root = parse((t or b"").decode("utf-8", "replace"))
+                marks.append(list({n.mark for n in hash_subtrees(root)}))
+                content.append(root.mark)
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("tie"), pa.array(content, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["host", "tie", "content", "marks"])
+
+    marked = written(base.where("host <> ''").select("host", "tie", "html").mapInArrow(hashes, "host string, tie long, content long, marks array<long>"), "page-subtrees")
+    common = site_templates(marked, least_pages, least_share, many_pages)
+    salts = 16
+    common = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    placed = marked.select("host", "tie", F.pmod("tie", F.lit(salts)).cast("int").alias("salt"), F.explode("marks").alias("mark"))
+    cut = placed.join(common, ["host", "mark", "salt"]).groupBy("tie").agg(F.collect_set("mark").alias("gone"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
-            for t, marks in zip(texts_of(batch, "html"), batch.column("marks").to_pylist(), strict=True):
+            for t, gone in zip(texts_of(batch, "html"), batch.column("gone").to_pylist(), strict=True):
                 root = parse((t or b"").decode("utf-8", "replace"))
-                if marks:
-                    gone = set(marks)
-                    for n in templates_of(root):
-                        n.drop = n.drop or n.mark in gone
+                if gone:
+                    delete_templates(root, set(gone))
                 out.append(main_text(root))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     id_kind = pages.schema["page_id"].dataType.simpleString()
-    return base.join(cut, "tie", "left").select("page_id", "url", "html", "marks").mapInArrow(texts, f"page_id {id_kind}, url string, text string, n_chars long")
+    return base.join(cut, "tie", "left").select("page_id", "url", "html", "gone").mapInArrow(texts, f"page_id {id_kind}, url string, text string, n_chars long")
