@@ -1,11 +1,12 @@
-"""Repeated passages: a count-min prefilter over anchors, word windows that repeat, byte windows seen before.
+"""Repeated passages: word windows that repeat, after a count-min prefilter; byte windows with an earlier factor.
 
 Both operators look at every window of a fixed length (words or bytes) of every document. Windows are dealt by
 anchors (minimizers): a window's smallest gram depends on its content alone, so equal windows share an anchor,
-and runs of windows with one anchor travel as one segment. Two sketch bitmaps tell which anchors may repeat;
-only their segments are shuffled. Equal segments are merged by a partial aggregation before windows are compared,
-so thousands of copies arrive as a few rows, and anchors with very many different segments are dealt out by
-window instead of by anchor.
+and runs of windows with one anchor travel as one segment: an anchor, a content hash and a place, not the text.
+Segments are found once and stored. Equal ones are merged by a partial aggregation before windows are compared, so
+thousands of copies arrive as a few rows; only segments whose anchor has different ones fetch their content, each
+once. An anchor with more content than one task should hold is dealt out by longer anchors of the same windows, in
+the end by the windows themselves; the comparison is the same at every level.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +22,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ragged
 from .common import slices, texts_of, written
 from .text import BYTE_BASE, WORD_BASE, Rolling, anchored_runs, as_bytes, byte_values, mix, word_bounds, word_hashes
 
-WINDOW_BASE = 0x8CB92BA72F3D8DD7
-#: Anchors with more different segments than one task should hold (some megabytes) are dealt out by window.
-HOT_SEGMENTS = 20_000
+#: Words or bytes that the segments of one anchor may hold together before longer anchors deal them out.
+GROUP_UNITS = 400_000
 BLOCK_BITS = 16
 FLUSH = 2_000_000
+#: The sketch has four cells a row for each anchor, and so many bits a row at most (rows * 2^27 bits are 64 MB).
+MOST_BITS = 27
 
 
 # --- documents with a key that tells repeated ids apart ---
@@ -43,20 +45,128 @@ def keyed(docs: DataFrame, *others: str) -> DataFrame:
     return docs.select("doc_id", "text", *others, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("kd"), F.xxhash64("text").alias("tie"))
 
 
-# --- count-min sketch of anchors, counters saturating at two ---
+# --- segments ---
+
+
+@dataclass(frozen=True)
+class Kind:
+    """What windows are made of: units of a text as 64-bit values, units of a window, units of the grams by level."""
+
+    values: Callable[[np.ndarray], np.ndarray]
+    base: int
+    width: int
+    grams: tuple[int, ...]
+
+
+BYTES = Kind(byte_values, BYTE_BASE, 100, (20, 60, 100))
+WORDS = Kind(lambda raw: word_hashes(raw, *word_bounds(raw)), WORD_BASE, 35, (8, 20, 35))
+SEGMENT = "h long, sh int, kd long, tie long, start int, n int, again boolean"
+
+
+def segments_of(values: np.ndarray, kind: Kind, level: int) -> tuple[np.ndarray, ...]:
+    """Anchors, content hashes, first windows, window counts of a text's segments, and whether the anchor recurs."""
+    rolling, gram = Rolling(values, kind.base), kind.grams[level]
+    h, first, count, again = anchored_runs(rolling.raw_windows(gram), kind.width - gram + 1)
+    sh = rolling.ranges(first, first + count + (kind.width - 1)) >> np.uint64(32)
+    return h.view(np.int64), sh.astype(np.uint32).view(np.int32), first, count, again
+
+
+def segment_batch(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    if parts:
+        names = [c.split()[0] for c in SEGMENT.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=names)
+
+
+def segments(base: DataFrame, kind: Kind) -> DataFrame:
+    """All segments of all documents, anchored by the shortest grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            parts = []
+            for t, kd, tie in zip(texts_of(batch, "text"), batch.column("kd").to_numpy(), batch.column("tie").to_numpy(), strict=True):
+                h, sh, first, count, again = segments_of(kind.values(as_bytes(t)), kind, 0)
+                if len(h):
+                    parts.append((h, sh, np.full(len(h), kd), np.full(len(h), tie), first.astype(np.int32), count.astype(np.int32), again))
+            yield from segment_batch(parts)
+
+    return base.select("text", "kd", "tie").mapInArrow(run, SEGMENT)
+
+
+def fetched(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts with the segments (h, start, n, many) that are wanted of them.
+
+    The text side of the join has the columns and the partitioning of cut_documents, so that its shuffle is reused.
+    """
+    lists = wanted.groupBy("kd", "tie").agg(F.collect_list(F.struct("h", "start", "n", "many")).alias("wanted"))
+    return base.join(lists.hint("merge"), ["kd", "tie"]).select("doc_id", "text", "kd", "tie", "wanted")
+
+
+def once(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Slices without the rows that repeat the document before them; a join sorts its rows by document."""
+    last = None
+    for batch in slices(batches, rows):
+        kd, tie = batch.column("kd").to_numpy(), batch.column("tie").to_numpy()
+        if not len(kd):
+            continue
+        new = np.ones(len(kd), dtype=bool)
+        new[1:] = (kd[1:] != kd[:-1]) | (tie[1:] != tie[:-1])
+        new[0] = last != (kd[0], tie[0])
+        last = kd[-1], tie[-1]
+        yield batch if new.all() else batch.filter(pa.array(new))
+
+
+def different_places(table: pa.Table) -> pa.Table:
+    """Rows of a table sorted by h without those at the place of another, which a repeated document brings."""
+    cols = [table.column(c).to_numpy() for c in ("start", "tie", "kd", "h")]
+    order = np.lexsort(cols)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in cols], axis=0)
+    return table if new.all() else table.take(pa.array(np.sort(order[new])))
+
+
+def wanted_of(batch: pa.RecordBatch) -> tuple[np.ndarray, list[pa.Array]]:
+    """Row of each wanted segment and its fields."""
+    lists = batch.column("wanted")
+    sizes = lists.value_lengths().to_numpy()
+    return sizes, [lists.flatten().field(c) for c in ("h", "start", "n", "many")]
+
+
+def refined(texts: DataFrame, kind: Kind, level: int) -> DataFrame:
+    """Segments of the wanted stretches, anchored by longer grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in once(batches, 64):
+            sizes, (h, start, n, _) = wanted_of(batch)
+            spans = iter(zip(h.to_pylist(), start.to_pylist(), n.to_pylist(), strict=True))
+            parts = []
+            for t, kd, tie, k in zip(texts_of(batch, "text"), batch.column("kd").to_pylist(), batch.column("tie").to_pylist(), sizes.tolist(), strict=True):
+                values = kind.values(as_bytes(t))
+                for above, a, count in itertools.islice(spans, k):
+                    own, sh, first, got, again = segments_of(values[a : a + count + kind.width - 1], kind, level)
+                    own = mix(own.view(np.uint64) ^ mix(np.array([above]).view(np.uint64))).view(np.int64)
+                    parts.append((own, sh, np.full(len(own), kd), np.full(len(own), tie), (first + a).astype(np.int32), got.astype(np.int32), again))
+            yield from segment_batch(parts)
+
+    return texts.mapInArrow(run, SEGMENT)
+
+
+# --- count-min sketch ---
 
 
 def cells(values: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(values ^ np.uint64(0x9E3779B97F4A7C15 * (row + 1) & (2**64 - 1))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def repeat_sketch(docs: DataFrame, anchors: Callable[[np.ndarray], np.ndarray], rows: int, bits: int) -> Broadcast:
-    """Bitmaps of the sketch cells that were hit at least twice; rows * 2^bits bits, whatever the input.
+def count_sketch(found: DataFrame, rows: int = 4, most_bits: int = MOST_BITS) -> Broadcast:
+    """Count-min sketch of how often windows stand, counters saturating at two, as one bit a cell: two or more.
 
-    Each task sends its non-empty cells by blocks, blocks are merged in Spark, and the merged bitmaps go to all
-    tasks. Cells only overestimate: an anchor that repeats has all its cells set. With more anchors than cells the
-    prefilter lets more through and costs shuffle, not results.
+    Every window is counted at its anchor: an equal window brings an equal anchor, so the count of the anchor's cell
+    is at least the count of any of its windows, and the sketch's estimate never falls below it. Each task sends its
+    non-empty cells by blocks, blocks are merged in Spark, and the merged bitmaps go to all tasks. The number of
+    cells follows the number of segments up to rows * 2^most_bits bits; with more the prefilter lets more through,
+    at most all segments, which the exact pass is made for.
     """
+    bits = min(most_bits, max(BLOCK_BITS, (4 * found.count()).bit_length()))
 
     def part(pending: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         got = np.concatenate(pending)
@@ -68,19 +178,17 @@ def repeat_sketch(docs: DataFrame, anchors: Callable[[np.ndarray], np.ndarray],
             twice = (count > 1).astype(np.uint8)
             spans = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row * (1 << max(0, bits - BLOCK_BITS)) + int(block[s.start]) for s in spans], pa.int32()), pa.array([offsets[s].tobytes() for s in spans], pa.binary()), pa.array([np.packbits(twice[s]).tobytes() for s in spans], pa.binary())],
+                [pa.array([row * (1 << (bits - BLOCK_BITS)) + int(block[s.start]) for s in spans], pa.int32()), pa.array([offsets[s].tobytes() for s in spans], pa.binary()), pa.array([np.packbits(twice[s]).tobytes() for s in spans], pa.binary())],
                 names=["block", "cells", "twice"],
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[np.ndarray] = []
         size = 0
-        for batch in slices(batches):
-            for t in texts_of(batch, "text"):
-                a = anchors(as_bytes(t))
-                if len(a):
-                    pending.append(a)
-                    size += len(a)
+        for batch in batches:
+            h, again = batch.column("h").to_numpy().view(np.uint64), batch.column("again").to_numpy(zero_copy_only=False)
+            pending += [h, h[again]]
+            size += len(h)
             if size >= FLUSH:
                 yield from part(pending)
                 pending, size = [], 0
@@ -94,28 +202,36 @@ def repeat_sketch(docs: DataFrame, anchors: Callable[[np.ndarray], np.ndarray],
             total[at] += 1 + np.unpackbits(np.frombuffer(t.as_py(), dtype=np.uint8), count=len(at))
         return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(total > 1).tobytes()], pa.binary())})
 
-    found = docs.select("text").mapInArrow(run, "block int, cells binary, twice binary").groupBy("block").applyInArrow(merge, "block int, bits binary").toArrow()
-    size = 1 << max(0, bits - BLOCK_BITS)
-    maps = np.zeros((rows * size, 1 << (BLOCK_BITS - 3)), dtype=np.uint8)
-    for block, packed in zip(found.column("block").to_pylist(), found.column("bits"), strict=True):
+    merged = found.select("h", "again").mapInArrow(run, "block int, cells binary, twice binary").groupBy("block").applyInArrow(merge, "block int, bits binary").toArrow()
+    maps = np.zeros((rows << (bits - BLOCK_BITS), 1 << (BLOCK_BITS - 3)), dtype=np.uint8)
+    for block, packed in zip(merged.column("block").to_pylist(), merged.column("bits"), strict=True):
         maps[block] = np.frombuffer(packed.as_py(), dtype=np.uint8)
-    return docs.sparkSession.sparkContext.broadcast(maps.reshape(rows, -1))
+    return found.sparkSession.sparkContext.broadcast(maps.reshape(rows, -1))
 
 
-def may_repeat(maps: np.ndarray, values: np.ndarray) -> np.ndarray:
+def estimated_twice(maps: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the estimate of each anchor's windows is two or more: the smallest of its cells in all rows."""
     bits = int(maps.shape[1] * 8).bit_length() - 1
     ok = np.ones(len(values), dtype=bool)
     for row in range(len(maps)):
-        cell = cells(values, row, min(bits, 63))
+        cell = cells(values, row, bits)
         ok &= (maps[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
     return ok
 
 
+def estimated_repeated(found: DataFrame, maps: Broadcast) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(estimated_twice(maps.value, batch.column("h").to_numpy().view(np.uint64))))
+
+    return found.mapInArrow(run, SEGMENT)
+
+
 # --- groups that stand together in a sorted partition ---
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 20_000) -> Iterator[pa.Table]:
-    """Tables of some rows that end where the key changes; the input is sorted by the key."""
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 20_000, weight: str | None = None) -> Iterator[pa.Table]:
+    """Tables of some rows, or some weight, that end where the key changes; the input is sorted by the key."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
@@ -123,146 +239,128 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 20_00
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows < least:
+        if rows < (20_000 if weight else least):
             continue
         table = pa.Table.from_batches(held)
         values = table.column(key).to_numpy()
         cut = int(np.searchsorted(values, values[-1]))
         if cut:
-            yield from at_changes(table.slice(0, cut), key, least)
+            yield from at_changes(table.slice(0, cut), key, least, weight)
             held, rows = table.slice(cut).combine_chunks().to_batches(), table.num_rows - cut
     if rows:
-        yield from at_changes(pa.Table.from_batches(held), key, least)
+        yield from at_changes(pa.Table.from_batches(held), key, least, weight)
 
 
-def at_changes(table: pa.Table, key: str, least: int) -> Iterator[pa.Table]:
-    """Parts of about `least` rows, cut where the sorted key changes."""
-    values, at = table.column(key).to_numpy(), 0
+def at_changes(table: pa.Table, key: str, least: int, weight: str | None) -> Iterator[pa.Table]:
+    """Parts of about `least` rows or weight, cut where the sorted key changes."""
+    values = table.column(key).to_numpy()
+    ends = np.append(np.flatnonzero(values[1:] != values[:-1]) + 1, len(values))
+    total = np.cumsum(table.column(weight).to_numpy().astype(np.int64))[ends - 1] if weight else ends
+    at = done = 0
     while at < len(values):
-        end = len(values) if at + least >= len(values) else int(np.searchsorted(values, values[at + least - 1], side="right"))
-        yield table.slice(at, end - at)
-        at = end
+        k = min(int(np.searchsorted(total, done + least)), len(ends) - 1)
+        yield table.slice(at, int(ends[k]) - at)
+        at, done = int(ends[k]), int(total[k])
 
 
-def window_rows(table: pa.Table, column: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The binary cells of a column as one array of `width`-byte items, the count and first item of each row."""
-    parts = [x.as_py() for x in table.column(column)]
-    counts = np.array([len(p) // width for p in parts], dtype=np.int64)
-    return np.frombuffer(b"".join(parts), dtype=np.uint8), counts, np.cumsum(counts) - counts
+def run_marks(kd: np.ndarray, tie: np.ndarray, start: np.ndarray, owner: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Marked windows (owner ascending, then place) as runs: kd, tie, start, n."""
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = (np.diff(owner) != 0) | (np.diff(place) != 1)
+    first = np.flatnonzero(new)
+    of = owner[first]
+    return pa.RecordBatch.from_arrays([pa.array(kd[of]), pa.array(tie[of]), pa.array((start[of] + place[first]).astype(np.int32)), pa.array(np.diff(np.append(first, len(owner))).astype(np.int32))], names=["kd", "tie", "start", "n"])
 
 
-def list_column(owner: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
-    """Lists of values by owner (ascending)."""
-    ends = np.searchsorted(owner, np.arange(rows + 1))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
-
-
-# --- words: every window that stands twice anywhere goes ---
+MARK = "kd long, tie long, start int, n int"
+Compare = Callable[[DataFrame], DataFrame]
 
-WORDS = 35
-WORD_GRAM = 8
 
+def marked_windows(base: DataFrame, found: DataFrame, kind: Kind, compare: Compare, first_stays: bool, level: int = 0, most: int = GROUP_UNITS) -> DataFrame:
+    """Runs of windows to remove (kd, tie, start, n), of all segments in found.
 
-def word_segments(raw: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchors, first windows, window counts of a text's segments, and the hash of each window."""
-    words = word_hashes(raw, *word_bounds(raw))
-    return *anchored_runs(Rolling(words, WORD_BASE).raw_windows(WORD_GRAM), WORDS - WORD_GRAM + 1), words
+    Segments that stand at several places are marked at all of them (but for the first, if first_stays). One place
+    of each different segment is compared with those of the others of its anchor, unless it is the only one.
+    """
+    place = F.struct("kd", "tie", "start")
+    distinct = found.groupBy("h", "sh").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("n").alias("n"), F.max("again").alias("again"))
+    distinct = written(distinct.select("h", "sh", "lo.*", "n", "again", (F.col("lo") != F.col("hi")).alias("many")), f"segments-{level}")
+    copies = distinct.where("many").select("h", "sh", F.struct("kd", "tie", "start").alias("lo"))
+    marks = found.join(copies, ["h", "sh"])
+    marks = (marks.where(place != F.col("lo")) if first_stays else marks).select("kd", "tie", "start", "n")
+    units = F.col("n") + F.lit(kind.width - 1)
+    heads = distinct.groupBy("h").agg(F.count("*").alias("k"), F.sum(units).alias("units"), F.max("again").alias("loops")).where("k > 1 OR loops")
+    heads = heads.select("h", (F.col("units") > most).alias("heavy"))
+    shared = distinct.select("h", "kd", "tie", "start", "n", "many").join(heads, "h")
+    last = level == len(kind.grams) - 1
+    marks = marks.unionByName(compare(fetched(base, shared if last else shared.where("NOT heavy"))))
+    if not last and not heads.where("heavy").isEmpty():
+        finer = written(refined(fetched(base, shared.where("heavy")), kind, level + 1), "finer-segments")
+        marks = marks.unionByName(marked_windows(base, finer, kind, compare, first_stays, level + 1, most))
+    return marks
 
 
-def repeated_word_windows(docs: DataFrame, maps: Broadcast) -> DataFrame:
-    """Segments whose anchor may repeat: (h, sh, kd, tie, ph, start, n, wh)."""
+# --- words: every window that stands twice anywhere goes ---
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out: list[list] = [[], [], [], [], [], [], []]
-            for t, kd, tie in zip(texts_of(batch, "text"), batch.column("kd").to_numpy(), batch.column("tie").to_numpy(), strict=True):
-                h, first, count, words = word_segments(as_bytes(t))
-                ok = may_repeat(maps.value, h)
-                if not ok.any():
-                    continue
-                h, first, count = h[ok], first[ok], count[ok]
-                windows = Rolling(words, WINDOW_BASE).windows(WORDS)
-                sh = Rolling(windows, WORD_BASE).ranges(first, first + count)
-                for k, x in enumerate((h.view(np.int64), sh.view(np.int64), np.full(len(h), kd), np.full(len(h), tie), first.astype(np.int32), count.astype(np.int32))):
-                    out[k].append(x)
-                out[6] += [windows[a : a + n].tobytes() for a, n in zip(first.tolist(), count.tolist(), strict=True)]
-            if out[6]:
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in out[:6]), pa.array(out[6], pa.binary())], names=["h", "sh", "kd", "tie", "start", "n", "wh"])
+WINDOW_BASE = 0x8CB92BA72F3D8DD7
 
-    return docs.select("text", "kd", "tie").mapInArrow(run, "h long, sh long, kd long, tie long, start int, n int, wh binary")
 
+def windows_twice(texts: DataFrame) -> DataFrame:
+    """Marks of windows that another window under their anchor equals; segments marked as a whole are left out."""
 
-def same_windows(segments: DataFrame) -> DataFrame:
-    """(h, sh, at): the windows of each segment that another segment of its anchor has too, or that stand twice."""
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in once(batches):
+            sizes, (h, start, n, many) = wanted_of(batch)
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            spans = iter(zip(start.to_pylist(), n.to_pylist(), strict=True))
+            wh: list[bytes] = []
+            for t, k in zip(texts_of(batch, "text"), sizes.tolist(), strict=True):
+                windows = Rolling(WORDS.values(as_bytes(t)), WINDOW_BASE).windows(WORDS.width)
+                wh += [windows[a : a + c].tobytes() for a, c in itertools.islice(spans, k)]
+            yield pa.RecordBatch.from_arrays([h, batch.column("kd").take(rows), batch.column("tie").take(rows), start, n, many, pa.array(wh, pa.binary())], names=["h", "kd", "tie", "start", "n", "many", "wh"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "h"):
-            raw, counts, _ = window_rows(table, "wh", 8)
+        for table in whole_groups(batches, "h", 200_000, "n"):
+            table = different_places(table)
+            counts = table.column("n").to_numpy().astype(np.int64)
+            w = np.frombuffer(b"".join(x.as_py() for x in table.column("wh")), dtype=np.uint64)
             owner = np.repeat(np.arange(len(counts)), counts)
-            w, h = raw.view(np.uint64), table.column("h").to_numpy()[owner]
-            many = table.column("many").to_numpy()[owner]
+            h = table.column("h").to_numpy()[owner]
             order = np.lexsort((w, h))
-            new = np.ones(len(w), dtype=bool)
-            new[1:] = (w[order][1:] != w[order][:-1]) | (h[order][1:] != h[order][:-1])
-            group = np.cumsum(new) - 1
-            twice = (np.bincount(group) > 1) | (np.bincount(group, weights=many[order]) > 0)
+            same = (w[order][1:] == w[order][:-1]) & (h[order][1:] == h[order][:-1])
             hit = np.zeros(len(w), dtype=bool)
-            hit[order] = twice[group]
+            hit[order[1:][same]] = True
+            hit[order[:-1][same]] = True
+            hit &= ~table.column("many").to_numpy(zero_copy_only=False)[owner]
             place = np.arange(len(w)) - np.repeat(np.cumsum(counts) - counts, counts)
-            yield pa.RecordBatch.from_arrays([table.column("h").combine_chunks(), table.column("sh").combine_chunks(), list_column(owner[hit], place[hit], len(counts))], names=["h", "sh", "at"])
-
-    return segments.select("h", "sh", "many", "wh").repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, sh long, at array<int>")
+            yield run_marks(*(table.column(c).to_numpy() for c in ("kd", "tie", "start")), owner[hit], place[hit])
 
+    held = texts.mapInArrow(fetch, "h long, kd long, tie long, start int, n int, many boolean, wh binary")
+    return held.repartition("h").sortWithinPartitions("h").mapInArrow(run, MARK)
 
-def unpacked_words(segments: DataFrame) -> DataFrame:
-    """One row for each window of hot anchors: (h, sh, i, w, many)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            table = pa.Table.from_batches([batch])
-            raw, counts, first = window_rows(table, "wh", 8)
-            owner = np.repeat(np.arange(len(counts)), counts)
-            cols = [table.column(c).to_numpy()[owner] for c in ("h", "sh", "many")]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array((np.arange(len(owner)) - first[owner]).astype(np.int32)), pa.array(raw.view(np.int64)), pa.array(cols[2])], names=["h", "sh", "i", "w", "many"])
-
-    return segments.select("h", "sh", "many", "wh").mapInArrow(run, "h long, sh long, i int, w long, many boolean")
-
-
-def split_by_heat(distinct: DataFrame, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Segments alone under their anchor, those of ordinary anchors, those of hot anchors."""
-    heads = distinct.groupBy("h").agg(F.count("*").alias("k"))
-    counted = distinct.join(heads, "h")
-    return counted.where("k = 1"), counted.where((F.col("k") > 1) & (F.col("k") <= hot)), counted.where(F.col("k") > hot)
-
-
-def remove_repeated_words(docs: DataFrame, rows: int = 4, bits: int = 24, hot: int = HOT_SEGMENTS, keep: bool = False) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, rows: int = 4, most_bits: int = MOST_BITS, most: int = GROUP_UNITS, keep: bool = False) -> DataFrame:
     """Drop every word that a window of 35 words covers whose words also start elsewhere.
 
     Words are `[^\\x20\\x09-\\x0D]+` of the whole text (null: none). Returns a row for each row of docs: doc_id,
     n_words, n_removed, kept (kept words joined by one space), kept_sha256. Windows are judged on the input. Documents
     under 35 words lose nothing; a null id is an id of its own; rows that repeat id and text are one document and
-    don't repeat each other's windows (see keyed). Window identity is 128 bits of hash (anchor and window). With keep, the other columns of docs
-    come along, but for those named like the new ones or kd, tie and marks.
+    don't repeat each other's windows (see keyed). Segments are told by 96 bits of hash (anchor and content), windows
+    by 128 (anchor and window). With keep, the other columns of docs come along, but for those named like the new
+    ones or kd, tie and marks.
+
+    A count-min sketch, merged of the partitions' sketches, rules out windows estimated to stand once; the second
+    pass groups the rest exactly and loses none (see count_sketch).
     """
     base = keyed(docs)
     whole = keyed(docs, *(c for c in docs.columns if c.lower() not in ("doc_id", "text", "kd", "tie", "marks", "n_words", "n_removed", "kept", "kept_sha256"))) if keep else base
-    maps = repeat_sketch(base, lambda raw: word_segments(raw)[0], rows, bits)
-    found = repeated_word_windows(base, maps).withColumn("ph", F.xxhash64("kd", "tie", "start"))
-    distinct = found.groupBy("h", "sh").agg((F.min("ph") < F.max("ph")).alias("many"), F.first("wh").alias("wh"))
-    distinct = written(distinct, "word-segments")
-    alone, ordinary, burning = split_by_heat(distinct, hot)
-    windows = unpacked_words(burning)
-    twice = windows.groupBy("h", "w").agg(F.count("*").alias("c"), F.max("many").alias("any")).where("c > 1 OR any").select("h", "w")
-    decided = (
-        alone.where("many").select("h", "sh", F.lit(None).cast("array<int>").alias("at"))
-        .unionByName(same_windows(ordinary).where("size(at) > 0"))
-        .unionByName(windows.join(twice, ["h", "w"]).groupBy("h", "sh").agg(F.collect_set("i").alias("at")))
-    )
-    marks = found.select("h", "sh", "kd", "tie", "start", "n").join(decided, ["h", "sh"])
-
-    def cut(raw: np.ndarray, starts: np.ndarray) -> tuple:
+    found = written(segments(base, WORDS), "word-segments")
+    found = estimated_repeated(found, count_sketch(found, rows, most_bits))
+    marks = marked_windows(base, found, WORDS, windows_twice, False, most=most)
+
+    def cut(raw: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple:
         a, b = word_bounds(raw)
-        gone = covered(len(a), starts, WORDS)
+        gone = covered(len(a), starts, counts + (WORDS.width - 1))
         whole = raw.tobytes()
         kept = b" ".join([whole[x:y] for x, y in zip(a[~gone].tolist(), b[~gone].tolist(), strict=True)])
         return len(a), int(gone.sum()), kept
@@ -272,90 +370,63 @@ def remove_repeated_words(docs: DataFrame, rows: int = 4, bits: int = 24, hot: i
 
 # --- bytes: every window that also starts earlier goes ---
 
-BYTES = 100
-BYTE_GRAM = 20
-
-
-def byte_segments(raw: np.ndarray) -> tuple[np.ndarray, ...]:
-    rolling = Rolling(byte_values(raw), BYTE_BASE)
-    return *anchored_runs(rolling.raw_windows(BYTE_GRAM), BYTES - BYTE_GRAM + 1), rolling
-
-
-def repeated_byte_windows(docs: DataFrame, maps: Broadcast) -> DataFrame:
-    """Segments whose anchor may repeat: (h, sh, kd, tie, start, n)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out: list[list] = [[], [], [], [], [], []]
-            for t, kd, tie in zip(texts_of(batch, "text"), batch.column("kd").to_numpy(), batch.column("tie").to_numpy(), strict=True):
-                h, first, count, rolling = byte_segments(as_bytes(t))
-                ok = may_repeat(maps.value, h)
-                if not ok.any():
-                    continue
-                h, first, count = h[ok], first[ok], count[ok]
-                sh = rolling.ranges(first, first + count + BYTES - 1)
-                for k, x in enumerate((h.view(np.int64), sh.view(np.int64), np.full(len(h), kd), np.full(len(h), tie), first.astype(np.int32), count.astype(np.int32))):
-                    out[k].append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["h", "sh", "kd", "tie", "start", "n"])
 
-    return docs.select("text", "kd", "tie").mapInArrow(run, "h long, sh long, kd long, tie long, start int, n int")
+def common_with_smaller(rank: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each place in suffix order its common prefix with the previous place of smaller rank (0 where none is).
 
-
-def bodies_of(base: DataFrame, segments: DataFrame) -> DataFrame:
-    """The bytes of segments: (h, sh, kd, tie, start, body).
-
-    The text side of the join has the columns and the partitioning of cut_documents, so that its shuffle is reused.
+    lcp[k] is the common prefix of places k - 1 and k. All places chase pointers together: if the place pointed to
+    isn't smaller, nothing between it and where it points itself is either. Pointers whose common prefix has come
+    to nothing are given up.
     """
-    wanted = segments.groupBy("kd", "tie").agg(F.collect_list(F.struct("h", "sh", "start", "n")).alias("wanted"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            lists = batch.column("wanted")
-            sizes = lists.value_lengths().to_numpy()
-            h, sh, start, n = (lists.flatten().field(c) for c in ("h", "sh", "start", "n"))
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            ends = (start.to_numpy().astype(np.int64) + n.to_numpy() + BYTES - 1).tolist()
-            spans = iter(zip(start.to_pylist(), ends, strict=True))
-            bodies = []
-            for t, k in zip(texts_of(batch, "text"), sizes.tolist(), strict=True):
-                bodies += [t[a:b] for a, b in itertools.islice(spans, k)]
-            yield pa.RecordBatch.from_arrays([h, sh, batch.column("kd").take(rows), batch.column("tie").take(rows), start, pa.array(bodies, pa.binary())], names=["h", "sh", "kd", "tie", "start", "body"])
-
-    joined = base.join(wanted.hint("merge"), ["kd", "tie"]).select("doc_id", "text", "kd", "tie", "wanted")
-    return joined.mapInArrow(run, "h long, sh long, kd long, tie long, start int, body binary")
-
-
-def smaller_neighbours(rank: np.ndarray, run: np.ndarray) -> np.ndarray:
-    """Whether a smaller rank stands before or after within the same run; runs are numbered 0, 1, ... in order.
-
-    Previous and next smaller positions in suffix order: running minima from both ends, which start anew in each run.
+    before, common = np.arange(-1, len(rank) - 1), lcp.copy()
+    open_ = np.flatnonzero(common > 0)
+    open_ = open_[rank[before[open_]] > rank[open_]]
+    while len(open_):
+        j = before[open_]
+        common[open_] = np.minimum(common[open_], common[j])
+        before[open_] = before[j]
+        open_ = open_[(common[open_] > 0) & (before[open_] >= 0)]
+        open_ = open_[rank[before[open_]] > rank[open_]]
+    common[before < 0] = 0
+    return common
+
+
+def longest_previous_factors(suffixes: np.ndarray, rank: np.ndarray, prefix: int = 0) -> np.ndarray:
+    """Longest previous factor of each suffix: its longest common prefix with any suffix of smaller rank.
+
+    Suffixes are rows of bytes, cut at a width; the first `prefix` bytes name a group and don't count. Suffix array,
+    common prefixes of neighbours, and previous and next smaller ranks in suffix order (Crochemore and Ilie).
     """
-    n = len(rank)
-    forward = rank - run * n
-    backward = rank - (run[-1] - run if n else run) * n
-    before = np.minimum.accumulate(forward)
-    after = np.minimum.accumulate(backward[::-1])[::-1]
-    return (before < forward) | (after < backward)
+    n, width = suffixes.shape
+    order = np.argsort(np.ascontiguousarray(suffixes).view(f"S{width}").ravel(), kind="stable") if n else np.zeros(0, dtype=np.int64)
+    lcp = np.zeros(n, dtype=np.int64)
+    for a in range(1, n, 1 << 15):
+        b = min(n, a + (1 << 15))
+        differ = suffixes[order[a - 1 : b - 1]] != suffixes[order[a:b]]
+        lcp[a:b] = np.maximum(np.where(differ.any(axis=1), differ.argmax(axis=1), width) - prefix, 0)
+    ranks = rank[order]
+    before = common_with_smaller(ranks, lcp)
+    after = common_with_smaller(ranks[::-1], np.concatenate((lcp[:1], lcp[1:][::-1])))[::-1]
+    out = np.zeros(n, dtype=np.int64)
+    out[order] = np.maximum(before, after)
+    return out
 
 
 def earlier_factors(bodies: list[bytes], anchor: np.ndarray, position: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Windows with a previous factor of full length: (segment, window) numbers, ascending.
 
     The windows are the suffixes of the segments, cut at the window length. Those whose hash stands alone under
-    their anchor can't match and are left out of the sort. The others are sorted as suffixes; neighbours with a
-    common prefix of the full length form runs, and a window whose run has a smaller position before or after it
-    in suffix order has a longest previous factor of at least the window length.
+    their anchor have no factor of that length and are left out; the rank of the others is their place in the corpus.
     """
+    size = BYTES.width
     sizes = np.array([len(b) for b in bodies], dtype=np.int64)
-    counts = sizes - BYTES + 1
+    counts = sizes - size + 1
     text = np.frombuffer(b"".join(bodies), dtype=np.uint8)
     begin = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(bodies)), counts)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     at = begin[owner] + place
-    rolling = Rolling(byte_values(text), BYTE_BASE)
-    key = mix(rolling.ranges(at, at + BYTES) ^ mix(anchor[owner].view(np.uint64)))
+    key = Rolling(byte_values(text), BYTE_BASE).windows(size)[at] ^ mix(anchor.view(np.uint64))[owner]
     order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
     some = np.zeros(len(key), dtype=bool)
@@ -364,79 +435,55 @@ def earlier_factors(bodies: list[bytes], anchor: np.ndarray, position: tuple[np.
     owner, place, at = owner[some], place[some], at[some]
     if not len(at):
         return owner, place
-    width = -(-BYTES // 8) * 8
-    block = np.zeros((len(at), width), dtype=np.uint8)
-    block[:, :BYTES] = np.lib.stride_tricks.sliding_window_view(text, BYTES)[at]
-    block = np.concatenate((anchor[owner].astype(">i8").view(np.uint8).reshape(-1, 8), block), axis=1)
-    columns = block.view(">u8").astype(np.uint64)
-    order = np.lexsort(columns.T[::-1])
-    lcp = np.concatenate(([False], (columns[order][1:] == columns[order][:-1]).all(axis=1)))
-    doc, tie, start = (p[owner] for p in position)
+    names = anchor[owner].astype(">i8").view(np.uint8).reshape(-1, 8)
+    suffixes = np.concatenate((names, np.lib.stride_tricks.sliding_window_view(text, size)[at]), axis=1)
+    by = np.lexsort((position[2][owner] + place, *(p[owner] for p in position[1::-1])))
     rank = np.empty(len(at), dtype=np.int64)
-    by = np.lexsort((start + place, tie, doc))
-    d, t, s = doc[by], tie[by], (start + place)[by]
-    rank[by] = np.cumsum(np.concatenate(([0], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1]))))
-    hit = np.zeros(len(at), dtype=bool)
-    hit[order] = smaller_neighbours(rank[order], np.cumsum(~lcp) - 1)
+    rank[by] = np.arange(len(at))
+    hit = longest_previous_factors(suffixes, rank, 8) >= size
     return owner[hit], place[hit]
 
 
-def previous_windows(segments: DataFrame) -> DataFrame:
-    """(h, sh, at): windows of each segment's first place that also start earlier."""
+def windows_before(texts: DataFrame) -> DataFrame:
+    """Marks of the windows of wanted segments that also start earlier."""
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in once(batches):
+            sizes, (h, start, n, _) = wanted_of(batch)
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            ends = (start.to_numpy().astype(np.int64) + n.to_numpy() + (BYTES.width - 1)).tolist()
+            spans = iter(zip(start.to_pylist(), ends, strict=True))
+            bodies: list[bytes] = []
+            for t, k in zip(texts_of(batch, "text"), sizes.tolist(), strict=True):
+                bodies += [t[a:b] for a, b in itertools.islice(spans, k)]
+            yield pa.RecordBatch.from_arrays([h, batch.column("kd").take(rows), batch.column("tie").take(rows), start, n, pa.array(bodies, pa.binary())], names=["h", "kd", "tie", "start", "n", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "h", 3000):
+        for table in whole_groups(batches, "h", 120_000, "n"):
+            table = different_places(table)
             bodies = [b.as_py() for b in table.column("body")]
             position = tuple(table.column(c).to_numpy() for c in ("kd", "tie", "start"))
-            owner, place = earlier_factors(bodies, table.column("h").to_numpy(), position)
-            yield pa.RecordBatch.from_arrays([table.column("h").combine_chunks(), table.column("sh").combine_chunks(), list_column(owner, place, len(bodies))], names=["h", "sh", "at"])
-
-    return segments.select("h", "sh", "kd", "tie", "start", "body").repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, sh long, at array<int>")
-
+            yield run_marks(*position, *earlier_factors(bodies, table.column("h").to_numpy(), position))
 
-def unpacked_bytes(segments: DataFrame) -> DataFrame:
-    """One row for each window of hot anchors: (h, sh, i, w, kd, tie, place)."""
+    held = texts.mapInArrow(fetch, "h long, kd long, tie long, start int, n int, body binary")
+    return held.repartition("h").sortWithinPartitions("h").mapInArrow(run, MARK)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            for h, sh, kd, tie, start, body in zip(*(batch.column(c).to_pylist() for c in ("h", "sh", "kd", "tie", "start", "body")), strict=True):
-                w = Rolling(byte_values(as_bytes(body)), BYTE_BASE).windows(BYTES).view(np.int64)
-                i = np.arange(len(w), dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), x, dtype=np.int64)) for x in (h, sh)] + [pa.array(i), pa.array(w)] + [pa.array(np.full(len(w), x, dtype=np.int64)) for x in (kd, tie)] + [pa.array(i + np.int32(start))], names=["h", "sh", "i", "w", "kd", "tie", "place"])
-
-    return segments.select("h", "sh", "kd", "tie", "start", "body").mapInArrow(run, "h long, sh long, i int, w long, kd long, tie long, place int")
 
-
-def remove_later_bytes(docs: DataFrame, rows: int = 3, bits: int = 26, hot: int = HOT_SEGMENTS) -> DataFrame:
+def remove_later_bytes(docs: DataFrame, most: int = GROUP_UNITS) -> DataFrame:
     """Drop every byte that a string of 100 bytes covers which also starts earlier.
 
     Texts are UTF-8 bytes (null: empty), matches don't cross documents, earlier is a smaller (doc_id, start). Returns
     a row for each row of docs: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary), kept_sha256.
     Texts under 100 bytes lose nothing; a null id is smaller than all others; rows that repeat id and text are one
-    document (see keyed). A copy of a segment is told by 128 bits of hash, windows of different segments by their bytes.
+    document (see keyed); other columns are never read. A copy of a segment is told by 96 bits of hash (anchor and
+    content), windows of different segments by their bytes. Long texts count whole.
     """
     base = keyed(docs)
-    maps = repeat_sketch(base, lambda raw: byte_segments(raw)[0], rows, bits)
-    found = repeated_byte_windows(base, maps)
-    place = F.struct("kd", "tie", "start")
-    distinct = found.groupBy("h", "sh").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("n").alias("n"))
-    distinct = written(distinct.select("h", "sh", "lo.*", "n", (F.col("lo") != F.col("hi")).alias("many")), "byte-segments")
-    _, ordinary, burning = split_by_heat(distinct, hot)
-    windows = unpacked_bytes(bodies_of(base, burning))
-    where = F.struct("kd", "tie", "place")
-    first = windows.groupBy("h", "w").agg(F.min(where).alias("first"))
-    later = windows.join(first, ["h", "w"]).where(where != F.col("first")).groupBy("h", "sh").agg(F.collect_set("i").alias("at"))
-    none = F.lit(None).cast("array<int>").alias("at")
-    ordinary_at = previous_windows(bodies_of(base, ordinary))
-    own = ordinary_at.unionByName(later)
-    firsts = distinct.select("h", "sh", F.col("kd").alias("kd0"), F.col("tie").alias("tie0"), F.col("start").alias("start0"), "many")
-    decided = firsts.join(own, ["h", "sh"], "left").where(F.col("many") | (F.size("at") > 0))
-    at_first = (F.col("kd") == F.col("kd0")) & (F.col("tie") == F.col("tie0")) & (F.col("start") == F.col("start0"))
-    marks = found.select("h", "sh", "kd", "tie", "start", "n").join(decided, ["h", "sh"])
-    marks = marks.where(~at_first | (F.size("at") > 0)).select("kd", "tie", "start", "n", F.when(at_first, F.col("at")).otherwise(none).alias("at"))
-
-    def cut(raw: np.ndarray, starts: np.ndarray) -> tuple:
-        gone = covered(len(raw), starts, BYTES)
+    found = written(segments(base, BYTES), "byte-segments")
+    marks = marked_windows(base, found, BYTES, windows_before, True, most=most)
+
+    def cut(raw: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple:
+        gone = covered(len(raw), starts, counts + (BYTES.width - 1))
         spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
         return len(raw), int(gone.sum()), spans, raw[~gone].tobytes()
 
@@ -446,34 +493,28 @@ def remove_later_bytes(docs: DataFrame, rows: int = 3, bits: int = 26, hot: int
 # --- both: back to the documents ---
 
 
-def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
-    """Places that a window starting at one of `starts` covers."""
+def covered(n: int, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places within one of the stretches."""
     step = np.zeros(n + 1, dtype=np.int32)
     np.add.at(step, starts, 1)
-    np.add.at(step, np.minimum(starts + width, n), -1)
+    np.add.at(step, np.minimum(starts + sizes, n), -1)
     return np.cumsum(step[:n]) > 0
 
 
-def cut_documents(base: DataFrame, marks: DataFrame, cut: Callable[[np.ndarray, np.ndarray], tuple], counts: str, kind: str = "string", keep: bool = False) -> DataFrame:
-    """Join the marked windows of each document to its text and cut; marks: kd, tie, start, n, at (null: all n).
+def cut_documents(base: DataFrame, marks: DataFrame, cut: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple], counts: str, kind: str = "string", keep: bool = False) -> DataFrame:
+    """Join the marked runs of windows of each document to its text and cut; marks: kd, tie, start, n.
 
     With keep, all columns of base but the keys come along, else only the id.
     """
-    by_doc = marks.groupBy("kd", "tie").agg(F.collect_list(F.struct("start", "n", "at")).alias("marks"))
+    by_doc = marks.groupBy("kd", "tie").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
     names = [c.split()[0] for c in counts.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: list[tuple] = []
             for t, m in zip(texts_of(batch, "text"), batch.column("marks"), strict=True):
-                starts = np.zeros(0, dtype=np.int64)
-                if m.is_valid and len(m.values):
-                    s, n = (m.values.field(c).to_numpy().astype(np.int64) for c in ("start", "n"))
-                    whole = m.values.field("at").is_null().to_numpy(zero_copy_only=False)
-                    lists = m.values.field("at")
-                    sizes = np.where(whole, 0, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
-                    starts = np.concatenate((ragged(s[whole], n[whole]), np.repeat(s, sizes) + lists.flatten().to_numpy().astype(np.int64)))
-                out.append(cut(as_bytes(t), starts))
+                start, n = (m.values.field(c).to_numpy().astype(np.int64) if m.is_valid else np.zeros(0, dtype=np.int64) for c in ("start", "n"))
+                out.append(cut(as_bytes(t), start, n))
             cols = [pa.array([o[k] for o in out], pa.int64()) for k in range(len(names))]
             kept = [o[-1] for o in out]
             sha = [hashlib.sha256(x).hexdigest() for x in kept]

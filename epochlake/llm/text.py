@@ -106,19 +106,28 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchored_runs(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizers: each window of `width` consecutive grams chooses its smallest (leftmost of equals).
+def anchored_runs(grams: np.ndarray, width: int, most: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minimizers: each window of `width` consecutive grams chooses its smallest.
 
     Grams are polynomials that aren't mixed; the high bits of a product order them, and the chosen are mixed.
-    Returns the chosen gram's hash, the first window and the number of windows of each run of windows that
-    choose the same place. The choice depends on a window's content alone, so equal windows choose equal
-    grams at equal offsets.
+    Neighbouring windows that choose an equal gram form a run of at most `most` windows. Returns each run's gram
+    hash, its first window, its number of windows and whether the gram may stand in it more than once. The choice
+    depends on a window's content alone, so equal windows choose equal grams; a run of equal bytes is few runs.
     """
     if len(grams) < width:
         none = np.zeros(0, dtype=np.int64)
-        return np.zeros(0, dtype=np.uint64), none, none
+        return np.zeros(0, dtype=np.uint64), none, none, np.zeros(0, dtype=bool)
     shift = np.uint64(PLACE_BITS)
     best = sliding_min((grams * np.uint64(ORDER) >> shift << shift) | np.arange(len(grams), dtype=np.uint64), width)
     place = (best & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-    first = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
-    return mix(grams[place[first]]), first, np.diff(np.concatenate((first, [len(place)])))
+    chosen = grams[place]
+    new = np.concatenate(([True], chosen[1:] != chosen[:-1]))
+    first = np.flatnonzero(new)
+    count = np.diff(np.concatenate((first, [len(place)])))
+    last = first + count - 1
+    again = place[first] != place[last]
+    if count.max() > most:
+        parts = -(-count // most)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        first, count, again = np.repeat(first, parts) + nth * most, np.minimum(np.repeat(count, parts) - nth * most, most), np.repeat(again, parts)
+    return mix(chosen[first]), first, count, again

@@ -24,7 +24,7 @@ def test_stages_and_run(spark):
     after = common.written(pipeline.near_copies(spark, after, SF), "t")
     assert {str(r.doc_id) for r in after.collect()} == wanted
 
-    cut = {r.doc_id: r for r in repeats.remove_repeated_words(after, bits=16).collect()}
+    cut = {r.doc_id: r for r in repeats.remove_repeated_words(after).collect()}
     before = {r.doc_id: r for r in after.collect()}
     after = common.written(pipeline.repeated_passages(spark, after, SF), "t")
     for r in after.collect():

@@ -1,8 +1,10 @@
 """Repeated words and bytes against brute force."""
 
 import hashlib
+import random
 import re
 
+import numpy as np
 import pytest
 from cases import documents, passages
 from pyspark.sql import functions as F
@@ -50,25 +52,86 @@ def brute_bytes(docs, tie, size=100):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("hot", "bits"), [(1000, 24), (3, 8)])
-def test_words(spark, hot, bits):
-    docs = passages()
-    got = repeats.remove_repeated_words(documents(spark, docs).repartition(3), bits=max(bits, 16), hot=hot)
+def long_runs():
+    """Equal units in a row, short periods, and one anchor in very many contexts."""
+    rng = random.Random(11)
+    docs = [(1000, "z" * 9000), (1001, "x" + "z" * 5000 + "y"), (1002, "ab" * 3000), (1003, "q " * 4000), (1004, "a b c " * 900), (1005, "q " * 100)]
+    core = " ".join(f"core{k}" for k in range(12))
+    docs += [(2000 + k, " ".join(f"l{rng.randrange(50)}" for _ in range(40)) + f" {core} " + " ".join(f"r{rng.randrange(50)}" for _ in range(40))) for k in range(60)]
+    return docs + [(3000 + k, docs[10 + k][1][60:]) for k in range(20)]
+
+
+@pytest.mark.parametrize(("most", "bits"), [(repeats.GROUP_UNITS, 27), (300, 16), (60, 16)])
+def test_words(spark, most, bits):
+    docs = passages() + long_runs()
+    got = repeats.remove_repeated_words(documents(spark, docs).repartition(3), most_bits=bits, most=most)
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == brute_words(docs)
 
 
-@pytest.mark.parametrize(("hot", "bits"), [(1000, 18), (3, 16)])
-def test_bytes(spark, hot, bits):
-    docs = passages()
+@pytest.mark.parametrize("most", [repeats.GROUP_UNITS, 900, 120])
+def test_bytes(spark, most):
+    docs = passages() + long_runs()
     tie = {r[0]: r[1] for r in spark.createDataFrame([(t or "",) for _, t in docs], "t string").select("t", F.xxhash64("t")).collect()}
-    got = repeats.remove_later_bytes(documents(spark, docs).repartition(3), bits=bits, hot=hot)
+    got = repeats.remove_later_bytes(documents(spark, docs).repartition(3), most=most)
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == brute_bytes(docs, tie)
 
 
+def test_longest_previous_factors():
+    rng = random.Random(1)
+    texts = [b"", b"a", b"a" * 60, b"ab" * 40, b"abcabx" * 12] + [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 150))) for _ in range(30)]
+    for text in texts:
+        for width in (7, 40):
+            n = len(text)
+            suffixes = np.array([list(text[i : i + width].ljust(width, bytes([1]))) for i in range(n)], dtype=np.uint8).reshape(n, width)
+            rank = np.array(rng.sample(range(n), n), dtype=np.int64) if rng.random() < 0.5 else np.arange(n)
+            same = lambda a, b: next((k for k in range(width) if a[k] != b[k]), width)
+            want = [max((same(suffixes[i], suffixes[j]) for j in range(n) if rank[j] < rank[i]), default=0) for i in range(n)]
+            assert repeats.longest_previous_factors(suffixes, rank).tolist() == want
+
+
+def test_one_anchor_of_many_segments():
+    """Every batch that a task compares is bounded, and a batch of that size takes little memory."""
+    import resource
+
+    rng = np.random.default_rng(3)
+    core = b"one anchor of twenty"
+    bodies = [rng.integers(97, 123, 80, dtype=np.uint8).tobytes() + core + rng.integers(97, 123, 80, dtype=np.uint8).tobytes() for _ in range(1000)]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    position = np.arange(2000), np.zeros(2000, dtype=np.int64), np.zeros(2000, dtype=np.int64)
+    owner, _ = repeats.earlier_factors(bodies * 2, np.zeros(2000, dtype=np.int64), position)
+    assert np.unique(owner).tolist() == list(range(1000, 2000))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+
+
+def test_equal_bytes_make_few_segments():
+    for kind, raw in ((repeats.BYTES, b"0" * 1_000_000), (repeats.WORDS, b"0 " * 500_000)):
+        assert len(repeats.segments_of(kind.values(np.frombuffer(raw, dtype=np.uint8)), kind, 0)[0]) < 600
+
+
+@pytest.mark.parametrize("most_bits", [16, 27])
+def test_estimates_are_never_below_the_counts(spark, most_bits):
+    docs = passages() + long_runs()
+    base = repeats.keyed(documents(spark, docs))
+    found = repeats.segments(base, repeats.WORDS)
+    maps = repeats.count_sketch(found, most_bits=most_bits).value
+    texts = {d.text for d in base.select("text").collect() if d.text}
+    counts = {}
+    for t in texts:
+        w = t.split()
+        for i in range(len(w) - 34):
+            counts[tuple(w[i : i + 35])] = counts.get(tuple(w[i : i + 35]), 0) + 1
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        h, _, first, n, _ = repeats.segments_of(repeats.WORDS.values(np.frombuffer(t.encode(), dtype=np.uint8)), repeats.WORDS, 0)
+        twice = repeats.estimated_twice(maps, h.view(np.uint64))
+        for ok, a, k in zip(twice, first.tolist(), n.tolist(), strict=True):
+            assert ok or all(counts.get(tuple(w[i : i + 35]), 1) == 1 for i in range(a, a + k))
+
+
 def test_empty_and_kept_columns(spark):
     none = documents(spark, [])
-    assert repeats.remove_repeated_words(none, bits=16).count() == 0
-    assert repeats.remove_later_bytes(none, bits=16).count() == 0
-    cut = repeats.remove_repeated_words(documents(spark, passages()), bits=16, keep=True)
+    assert repeats.remove_repeated_words(none).count() == 0
+    assert repeats.remove_later_bytes(none).count() == 0
+    cut = repeats.remove_repeated_words(documents(spark, passages()), keep=True)
     assert {"lang", "source", "n_chars", "score", "kept"} <= set(cut.columns)
     assert cut.count() == len(passages())
