@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, slices, texts_of, written
 from .repeats import keyed, whole_groups
 from .text import LOWER, as_bytes, mix, shingles, word_bounds, word_hashes
 
-#: Bits of one sketch block; at most so many blocks get keys; under so many blocks the guarantee is strict.
+#: Bits of one sketch block, and blocks for each difference that two sets of a band may have.
 BLOCK = 4096
-MOST_BLOCKS = 96
-STRICT_BLOCKS = 32
-#: Shingles that one cell of a candidate group holds on each side.
+SLACK = 1.4
+#: Shingles and sets that one cell of a candidate group holds on each side.
 CELL_SHINGLES = 400_000
+CELL_SETS = 1000
 BAND = 1.5
 
 
@@ -48,7 +49,7 @@ def parity_blocks(tokens: np.ndarray, blocks: int, seed: int) -> tuple[np.ndarra
     """XOR of the codes of the bits that stand in each block of the parity sketch, and their number.
 
     Each token flips one bit of one block, so the Hamming distance of two sketches is at most the symmetric
-    difference, and with more blocks than differences at least one block is equal.
+    difference, and all blocks are equal but for as many as there are differences.
     """
     g = mix(tokens ^ np.uint64(seed))
     at, count = np.unique((g >> np.uint64(32)) % np.uint64(blocks) * np.uint64(BLOCK) + (g & np.uint64(BLOCK - 1)), return_counts=True)
@@ -65,30 +66,35 @@ def parity_blocks(tokens: np.ndarray, blocks: int, seed: int) -> tuple[np.ndarra
 def keys_of(tokens: np.ndarray, p: int, q: int) -> np.ndarray:
     """Pigeonhole keys of a set: its size band, and the next band if a larger partner may stand there.
 
-    In a band, two sets within the threshold differ in at most d tokens, so of d + 1 blocks one is equal. Blocks
-    with no or one bit tell little; where there are few blocks they get keys of a second sketch's blocks besides,
-    which keeps the guarantee. Where there are many, about a third of the blocks of any such pair are equal, and
-    the first 96 with two bits or more suffice (the chance that all of them differ is below 1e-18).
+    A band has a number of blocks that all its sets share. A set and any partner differ in at most d tokens, d by the
+    set's own size, so at most d blocks differ and the set may pass over all but d + 1 blocks: first those with the
+    fewest bits, which tell least, then those with the lowest number. No linked pair is lost: of its equal blocks,
+    which have equal bits and so stand in the same order for both, the last one is passed over by neither, since
+    more equal blocks than either passes over come before it or are it. A block with no or one bit that has to be
+    used after all gets a key for each block of a second sketch, of which one is equal too.
     """
     n = len(tokens)
     if n == 0:
         return np.zeros(0, dtype=np.uint64)
+    largest = n * q // p
     band = int(np.searchsorted(EDGES, n, side="right")) - 1
     out = []
-    for b in (band, band + 1) if n * q // p >= EDGES[band + 1] else (band,):
-        d = int(most_different(2 * int(EDGES[b + 1] - 1), p, q))
+    for b in (band, band + 1) if largest >= EDGES[band + 1] else (band,):
+        top = int(EDGES[b + 1]) - 1
+        d = int(most_different(n + min(top, largest), p, q))
         if d == 0:
             continue
-        blocks = d + 1
+        most = int(most_different(2 * top, p, q))
+        blocks = int(SLACK * (most + 1))
         value, number = parity_blocks(tokens, blocks, 2 * b + 1)
-        key = mix(value ^ mix(np.arange(blocks, dtype=np.uint64) + np.uint64((b + 1) << 32)))
-        key, number = key[:MOST_BLOCKS], number[:MOST_BLOCKS]
-        out.append(key[number > 1])
-        poor = key[number <= 1]
-        if blocks <= STRICT_BLOCKS and len(poor):
-            second, _ = parity_blocks(tokens, blocks, 2 * b + 2)
-            second = mix(second + np.arange(1, blocks + 1, dtype=np.uint64))
-            out.append(mix(poor[:, None] ^ second[None, :]).ravel())
+        used = np.argsort(number, kind="stable")[blocks - d - 1 :]
+        key = mix(value[used] ^ mix(used.astype(np.uint64) + np.uint64((b + 1) << 32)))
+        poor = number[used] <= 1
+        out.append(key[~poor])
+        if poor.any():
+            second, _ = parity_blocks(tokens, most + 1, 2 * b + 2)
+            second = mix(second + np.arange(1, most + 2, dtype=np.uint64))
+            out.append(mix(key[poor][:, None] ^ second[None, :]).ravel())
     return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=np.uint64)
 
 
@@ -146,10 +152,11 @@ def near_components(docs: DataFrame, size: int = 3, p: int = 90, q: int = 100) -
     and empty texts have none and link with nothing. Equal sets are one class, whatever their number. Rows with a
     null id take part; a component without any id is null. Long texts count whole.
 
-    Candidate classes share a pigeonhole key. They are joined to blocks by linking each member of a key to the
-    key's smallest member (never all pairs), and only texts of blocks with two classes or more are shuffled. A
-    block's classes are compared cell by cell; a large block has several chunks, each pair of chunks a cell of
-    bounded size. Sets and classes are told by 64-bit hashes.
+    Columns of docs besides id and text are never read. Candidate classes share a pigeonhole key. They are joined to
+    blocks by linking each member of a key to the key's smallest member (never all pairs), and only texts of blocks
+    with two classes or more are shuffled. A block's classes are compared cell by cell. A block larger than a cell is
+    split by set size, so that only sizes whose sets may be linked meet, and a size with very many sets into chunks,
+    each pair of chunks a cell of bounded sets and shingles. Sets and classes are told by 64-bit hashes.
     """
     base = keyed(docs)
 
@@ -165,26 +172,38 @@ def near_components(docs: DataFrame, size: int = 3, p: int = 90, q: int = 100) -
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     known = written(base.mapInArrow(describe, f"doc_id {id_kind}, kd long, tie long, n_shingles long, code long, keys array<long>"), "sets")
-    keys = known.select("code", F.explode("keys").alias("key")).repartition("key")
+    first = known.where("size(keys) > 0").groupBy("code").agg(F.min(F.struct("kd", "tie")).alias("at"), F.max("n_shingles").alias("n"))
+    keys = first.select("code", "at.*").join(known.select("code", "kd", "tie", "keys"), ["code", "kd", "tie"]).groupBy("code", "kd", "tie").agg(F.any_value("keys").alias("keys"))
+    keys = keys.select("code", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("code").alias("lo"), F.max("code").alias("hi")).where("lo < hi").select("key", "lo")
     stars = keys.join(shared, "key").where("code <> lo").select(F.col("code").alias("a"), F.col("lo").alias("b"))
     blocks = connected_components(stars).select(F.col("id").alias("code"), F.col("component").alias("block"))
 
-    chosen = known.groupBy("code").agg(F.min(F.struct("kd", "tie")).alias("at"), F.max("n_shingles").alias("n")).join(blocks, "code")
-    chosen = written(chosen.select("code", "block", "n", "at.kd", "at.tie"), "blocks")
-    total = chosen.groupBy("block").agg(F.ceil(F.sum("n") / CELL_SHINGLES).alias("chunks"))
-    member = chosen.join(total, "block").withColumn("chunk", F.pmod(F.xxhash64("code"), F.col("chunks")))
+    chosen = written(first.join(blocks, "code").select("code", "block", "n", "at.kd", "at.tie"), "blocks")
+    whole = chosen.groupBy("block").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
+    fits = (F.col("sets") <= CELL_SETS) & (F.col("total") <= CELL_SHINGLES)
+    steps = F.floor(F.log("n") / math.log(q / p)).cast("int") if p < q else F.col("n").cast("int")
+    member = chosen.join(whole, "block").withColumn("step", F.when(fits, 0).otherwise(steps))
+    chunks = F.ceil(F.greatest(F.sum("n") / CELL_SHINGLES, F.count("*") / CELL_SETS)).cast("int")
+    parts = member.groupBy("block", "step").agg(chunks.alias("chunks"))
+    row = Window.partitionBy("block").orderBy("step")  # one row for each size step of a block
+    own = F.struct("step", "chunks")
+    around = F.array(F.lag(own).over(row), own, F.lead(own).over(row))
+    parts = parts.withColumn("near", F.filter(around, lambda x: F.abs(x["step"] - F.col("step")) <= 1))
+    member = member.drop("sets", "total").join(parts, ["block", "step"]).withColumn("chunk", F.pmod(F.xxhash64("code"), F.col("chunks")).cast("int"))
     # the members' number grows with the input, so they are never broadcast, however few they are here
     texts = base.select("kd", "tie", "text").join(member.hint("merge"), ["kd", "tie"])
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingle_set(as_bytes(t), size).tobytes() for t in texts_of(batch, "text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("code", "block", "chunk", "chunks")), pa.array(sets, pa.binary())], names=["code", "block", "chunk", "chunks", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("code", "block", "step", "chunk", "near")), pa.array(sets, pa.binary())], names=["code", "block", "step", "chunk", "near", "tokens"])
 
-    held = texts.select("text", "code", "block", "chunk", "chunks").mapInArrow(cells, "code long, block long, chunk long, chunks long, tokens binary")
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    held = held.withColumn("cell", F.xxhash64("block", F.least("chunk", "other"), F.greatest("chunk", "other"))).withColumn("alike", F.col("chunk") == F.col("other"))
+    near_kind = "array<struct<step: int, chunks: int>>"
+    held = texts.select("text", "code", "block", "step", "chunk", "near").mapInArrow(cells, f"code long, block long, step int, chunk int, near {near_kind}, tokens binary")
+    held = held.select("code", "block", F.struct("step", "chunk").alias("own"), "tokens", F.explode("near").alias("other"))
+    held = held.withColumn("with", F.explode(F.transform(F.sequence(F.lit(0), F.col("other.chunks") - 1), lambda k: F.struct(F.col("other.step").alias("step"), k.alias("chunk")))))
+    held = held.select("code", "tokens", F.xxhash64("own").alias("chunk"), (F.col("own") == F.col("with")).alias("alike"), F.xxhash64("block", F.least("own", "with"), F.greatest("own", "with")).alias("cell"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "cell", 200):

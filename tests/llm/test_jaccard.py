@@ -47,10 +47,11 @@ def brute(docs, k, p, q):
     return sorted((str(d), len(sets[i]), str(least.get(find(i)))) for i, (d, _) in enumerate(docs))
 
 
-@pytest.mark.parametrize("cell", [400_000, 300])
+@pytest.mark.parametrize(("cell", "sets"), [(400_000, 1000), (300, 1000), (400_000, 4)])
 @pytest.mark.parametrize(("k", "p"), [(3, 90), (5, 80)])
-def test_components(spark, monkeypatch, cell, k, p):
+def test_components(spark, monkeypatch, cell, sets, k, p):
     monkeypatch.setattr(jaccard, "CELL_SHINGLES", cell)
+    monkeypatch.setattr(jaccard, "CELL_SETS", sets)
     docs = corpus()
     random.Random(1).shuffle(docs)
     got = jaccard.near_components(documents(spark, docs).repartition(3), k, p, 100).collect()
@@ -61,14 +62,28 @@ def test_empty(spark):
     assert jaccard.near_components(documents(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("n", [10, 11, 19, 40, 120, 900, 5000])
-def test_pairs_at_the_threshold_share_a_key(n):
+@pytest.mark.parametrize("p", [80, 90])
+@pytest.mark.parametrize("n", [5, 8, 10, 11, 19, 40, 62, 63, 120, 316, 900, 5000, 20000])
+def test_pairs_at_the_threshold_share_a_key(n, p):
+    """Every split of the differences between the two sets, so that sizes differ by any amount."""
     rng = np.random.default_rng(n)
-    for trial in range(60):
-        d = int(jaccard.most_different(2 * n, 90, 100))
-        base = rng.integers(0, 2**63, n + d, dtype=np.uint64)
-        cut = rng.integers(0, d // 2 + 1)
-        a, b = np.unique(base[: n - cut]), np.unique(base[d // 2 : n - cut + d // 2] if trial % 2 else base[: n - cut - d // 2])
-        both, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
-        if 100 * both >= 90 * union and both < union:
-            assert len(np.intersect1d(jaccard.keys_of(a, 90, 100), jaccard.keys_of(b, 90, 100)))
+    pairs = 0
+    for trial in range(60 if n < 5000 else 12):
+        both = rng.integers(0, 2**63, n, dtype=np.uint64)
+        d = int(both.size * (100 - p) / p)
+        a = d if trial % 3 == 0 else int(rng.integers(0, d + 1))
+        one = np.unique(np.concatenate((both, rng.integers(0, 2**63, a, dtype=np.uint64))))
+        two = np.unique(np.concatenate((both, rng.integers(0, 2**63, d - a, dtype=np.uint64))))
+        union = len(np.union1d(one, two))
+        if 100 * n >= p * union and n < union:
+            pairs += 1
+            assert len(np.intersect1d(jaccard.keys_of(one, p, 100), jaccard.keys_of(two, p, 100)))
+    assert pairs or d == 0
+
+
+def test_keys_stay_few():
+    rng = np.random.default_rng(1)
+    for p, most in ((90, 0.4), (80, 1.2)):
+        sizes = np.exp(rng.uniform(np.log(20), np.log(8000), 150)).astype(int)
+        keys = sum(len(jaccard.keys_of(np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)), p, 100)) for n in sizes)
+        assert keys <= most * sizes.sum()
