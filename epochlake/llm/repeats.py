@@ -3,10 +3,11 @@
 Both operators look at every window of a fixed length (words or bytes) of every document. Windows are dealt by
 anchors (minimizers): a window's smallest gram depends on its content alone, so equal windows share an anchor,
 and runs of windows with one anchor travel as one segment: an anchor, a content hash and a place, not the text.
-Segments are found once and stored. Equal ones are merged by a partial aggregation before windows are compared, so
-thousands of copies arrive as a few rows; only segments whose anchor has different ones fetch their content, each
-once. An anchor with more content than one task should hold is dealt out by longer anchors of the same windows, in
-the end by the windows themselves; the comparison is the same at every level.
+Segments are shuffled once, by anchor, and told apart as they stream by in order: copies of a segment are marked at
+once, an anchor's only segment is done with, and only segments whose anchor has different ones fetch their content,
+each once. An anchor with more content than one task should hold is dealt out by longer anchors of the same windows,
+in the end by the windows themselves; the comparison is the same at every level. Anchors that stand in many documents
+are salted, so that their copies are passed in parts before their firsts go on to longer anchors.
 """
 
 from __future__ import annotations
@@ -27,6 +28,13 @@ from .text import BYTE_BASE, WORD_BASE, Rolling, anchored_runs, as_bytes, byte_v
 
 #: Words or bytes that the segments of one anchor may hold together before longer anchors deal them out.
 GROUP_UNITS = 400_000
+#: Segments of one anchor that a task holds before it passes them on to longer anchors unseen.
+GROUP_ROWS = 50_000
+#: Documents looked at for anchors that stand in a hundredth of them or more, and parts that such anchors are dealt to.
+LOOKED_AT = 5000
+SALTS = 64
+#: Segments for longer anchors that are broadcast to the texts instead of shuffled to them (some megabytes).
+FEW = 100_000
 BLOCK_BITS = 16
 FLUSH = 2_000_000
 #: The sketch has four cells a row for each anchor, and so many bits a row at most (rows * 2^27 bits are 64 MB).
@@ -60,7 +68,7 @@ class Kind:
 
 BYTES = Kind(byte_values, BYTE_BASE, 100, (20, 60, 100))
 WORDS = Kind(lambda raw: word_hashes(raw, *word_bounds(raw)), WORD_BASE, 35, (8, 20, 35))
-SEGMENT = "h long, sh int, kd long, tie long, start int, n int, again boolean"
+SEGMENT = "h long, salt int, sh int, kd long, tie long, start int, n int, again boolean"
 
 
 def segments_of(values: np.ndarray, kind: Kind, level: int) -> tuple[np.ndarray, ...]:
@@ -77,8 +85,9 @@ def segment_batch(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=names)
 
 
-def segments(base: DataFrame, kind: Kind) -> DataFrame:
-    """All segments of all documents, anchored by the shortest grams."""
+def segments(base: DataFrame, kind: Kind, common: np.ndarray | None = None) -> DataFrame:
+    """All segments of all documents, anchored by the shortest grams; those of common anchors salted by document."""
+    common = np.zeros(0, dtype=np.int64) if common is None else common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -86,19 +95,28 @@ def segments(base: DataFrame, kind: Kind) -> DataFrame:
             for t, kd, tie in zip(texts_of(batch, "text"), batch.column("kd").to_numpy(), batch.column("tie").to_numpy(), strict=True):
                 h, sh, first, count, again = segments_of(kind.values(as_bytes(t)), kind, 0)
                 if len(h):
-                    parts.append((h, sh, np.full(len(h), kd), np.full(len(h), tie), first.astype(np.int32), count.astype(np.int32), again))
+                    salt = np.where(np.isin(h, common), 1 + int(tie) % SALTS, 0).astype(np.int32)
+                    parts.append((h, salt, sh, np.full(len(h), kd), np.full(len(h), tie), first.astype(np.int32), count.astype(np.int32), again))
             yield from segment_batch(parts)
 
     return base.select("text", "kd", "tie").mapInArrow(run, SEGMENT)
 
 
-def fetched(base: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts with the segments (h, start, n, many) that are wanted of them.
+def common_anchors(base: DataFrame, kind: Kind) -> np.ndarray:
+    """Anchors that stand in a hundredth of some documents, for salting only; no result depends on which they are."""
+    every = max(1, base.count() // LOOKED_AT)
+    some = base.where(F.pmod(F.xxhash64("kd", "tie"), F.lit(every)) == 0)
+    held = segments(some, kind).groupBy("h").agg(F.count_distinct("kd", "tie").alias("k")).where(F.col("k") >= max(20, LOOKED_AT // 100))
+    return np.sort(held.select("h").toArrow().column("h").to_numpy())
+
+
+def fetched(base: DataFrame, wanted: DataFrame, small: bool = False) -> DataFrame:
+    """Texts with the segments (h, start, n, many) that are wanted of them; small: so few that they are broadcast.
 
     The text side of the join has the columns and the partitioning of cut_documents, so that its shuffle is reused.
     """
     lists = wanted.groupBy("kd", "tie").agg(F.collect_list(F.struct("h", "start", "n", "many")).alias("wanted"))
-    return base.join(lists.hint("merge"), ["kd", "tie"]).select("doc_id", "text", "kd", "tie", "wanted")
+    return base.join(F.broadcast(lists) if small else lists.hint("merge"), ["kd", "tie"]).select("doc_id", "text", "kd", "tie", "wanted")
 
 
 def once(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
@@ -144,7 +162,7 @@ def refined(texts: DataFrame, kind: Kind, level: int) -> DataFrame:
                 for above, a, count in itertools.islice(spans, k):
                     own, sh, first, got, again = segments_of(values[a : a + count + kind.width - 1], kind, level)
                     own = mix(own.view(np.uint64) ^ mix(np.array([above]).view(np.uint64))).view(np.int64)
-                    parts.append((own, sh, np.full(len(own), kd), np.full(len(own), tie), (first + a).astype(np.int32), got.astype(np.int32), again))
+                    parts.append((own, np.zeros(len(own), dtype=np.int32), sh, np.full(len(own), kd), np.full(len(own), tie), (first + a).astype(np.int32), got.astype(np.int32), again))
             yield from segment_batch(parts)
 
     return texts.mapInArrow(run, SEGMENT)
@@ -273,30 +291,97 @@ def run_marks(kd: np.ndarray, tie: np.ndarray, start: np.ndarray, owner: np.ndar
 
 
 MARK = "kd long, tie long, start int, n int"
-Compare = Callable[[DataFrame], DataFrame]
-
-
-def marked_windows(base: DataFrame, found: DataFrame, kind: Kind, compare: Compare, first_stays: bool, level: int = 0, most: int = GROUP_UNITS) -> DataFrame:
+#: What is to be done with a segment: mark all its windows, compare them, deal them out by longer anchors.
+GONE, COMPARED, FINER = 0, 1, 2
+DECISION = "h long, kd long, tie long, start int, n int, many boolean, what int"
+
+
+class Decisions:
+    """What is to be done with the segments of anchors that stream by in the order of segments_in_order."""
+
+    def __init__(self, width: int, first_stays: bool, most: int, last: bool, most_rows: int):
+        self.width, self.first_stays, self.most, self.last, self.most_rows = width, first_stays, most, last, most_rows
+
+    def of(self, rows: dict[str, np.ndarray], before: bool, after: bool, whole: bool) -> pa.RecordBatch:
+        """Decisions on rows of whole groups, or of a part of one that goes to longer anchors unseen.
+
+        before, after: a row of the same group, which only shows what changes, stands at the beginning, at the end.
+        """
+        group, segment, place = (np.any([rows[c][1:] != rows[c][:-1] for c in cols], axis=0) for cols in (("h", "salt"), ("h", "salt", "sh"), ("kd", "tie", "start")))
+        own = slice(int(before), len(rows["h"]) - int(after))
+        first = np.append([True], segment)
+        copy = ~first & np.append([False], place)
+        # a first has copies if a row at another place follows before the next first
+        firsts = np.flatnonzero(first)
+        many = np.zeros(len(first), dtype=bool)
+        many[firsts] = np.logical_or.reduceat(copy, firsts)
+        starts = np.flatnonzero(np.append([True], group))
+        number = np.cumsum(np.append([True], group)) - 1
+        units = np.add.reduceat(np.where(first, rows["n"].astype(np.int64) + (self.width - 1), 0), starts)[number]
+        several = (np.add.reduceat(first.astype(np.int64), starts) > 1)[number] | np.logical_or.reduceat(rows["again"], starts)[number]
+        # of a group not seen whole the first copy goes along, lest it be the only one that shows that there are any
+        copies = np.cumsum(copy)
+        some = first | copy & (copies - copies[firsts][np.cumsum(first) - 1] == 1) & (not whole)
+        finer = some & ((units > self.most) | (rows["salt"] > 0) | (not whole)) & (not self.last)
+        compared = some & ~finer & (several | (not whole))
+        gone = copy | (many & (not self.first_stays))
+        out = []
+        for what, rows_of in ((GONE, gone), (COMPARED, compared), (FINER, finer)):
+            at = np.flatnonzero(rows_of[own]) + own.start
+            out.append([*(rows[c][at] for c in ("h", "kd", "tie", "start", "n")), many[at], np.full(len(at), what, dtype=np.int32)])
+        names = [c.split()[0] for c in DECISION.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=names)
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in SEGMENT.split(", ")]
+        held: list[pa.RecordBatch] = []
+        count, cut = 0, False  # cut: the first held row has been decided on and its group goes on
+
+        def arrays(table: pa.Table, a: int, b: int) -> dict[str, np.ndarray]:
+            return {c: table.column(c).slice(a, b - a).to_numpy() for c in names}
+
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                count += batch.num_rows
+                if count < self.most_rows:
+                    continue
+            if not count:
+                continue
+            table, n = pa.Table.from_batches(held), count
+            keys = [table.column(c).to_numpy() for c in ("h", "salt")]
+            changes = np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])) + 1
+            end = n if batch is None else int(changes[-1]) if len(changes) else 0
+            at = 0
+            if cut and end:  # the rest of a group that was too large to see whole
+                at = int(changes[0]) if len(changes) else n
+                yield self.of(arrays(table, 0, at), True, False, False)
+                cut = False
+            if end > at:
+                yield self.of(arrays(table, at, end), False, False, True)
+            if not end:
+                yield self.of(arrays(table, 0, n), cut, True, False)
+                end, cut = n - 2, True
+            # after a cut the last two rows stay: one that shows what changes, one undecided
+            held, count = table.slice(end).combine_chunks().to_batches(), n - end
+
+
+def marked_windows(base: DataFrame, found: DataFrame, kind: Kind, compare: Callable[[DataFrame], DataFrame], first_stays: bool, level: int = 0, most: int = GROUP_UNITS) -> DataFrame:
     """Runs of windows to remove (kd, tie, start, n), of all segments in found.
 
-    Segments that stand at several places are marked at all of them (but for the first, if first_stays). One place
-    of each different segment is compared with those of the others of its anchor, unless it is the only one.
+    Segments that stand at several places are marked at all of them (but for the first, if first_stays). The first
+    place of each different segment is compared with those of the others of its anchor, unless it is the only one.
     """
-    place = F.struct("kd", "tie", "start")
-    distinct = found.groupBy("h", "sh").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("n").alias("n"), F.max("again").alias("again"))
-    distinct = written(distinct.select("h", "sh", "lo.*", "n", "again", (F.col("lo") != F.col("hi")).alias("many")), f"segments-{level}")
-    copies = distinct.where("many").select("h", "sh", F.struct("kd", "tie", "start").alias("lo"))
-    marks = found.join(copies, ["h", "sh"])
-    marks = (marks.where(place != F.col("lo")) if first_stays else marks).select("kd", "tie", "start", "n")
-    units = F.col("n") + F.lit(kind.width - 1)
-    heads = distinct.groupBy("h").agg(F.count("*").alias("k"), F.sum(units).alias("units"), F.max("again").alias("loops")).where("k > 1 OR loops")
-    heads = heads.select("h", (F.col("units") > most).alias("heavy"))
-    shared = distinct.select("h", "kd", "tie", "start", "n", "many").join(heads, "h")
     last = level == len(kind.grams) - 1
-    marks = marks.unionByName(compare(fetched(base, shared if last else shared.where("NOT heavy"))))
-    if not last and not heads.where("heavy").isEmpty():
-        finer = written(refined(fetched(base, shared.where("heavy")), kind, level + 1), "finer-segments")
-        marks = marks.unionByName(marked_windows(base, finer, kind, compare, first_stays, level + 1, most))
+    order = found.repartition("h", "salt").sortWithinPartitions("h", "salt", "sh", "kd", "tie", "start")
+    decided = written(order.mapInArrow(Decisions(kind.width, first_stays, most, last, GROUP_ROWS), DECISION), f"segments-{level}")
+    marks = decided.where(f"what = {GONE}").select("kd", "tie", "start", "n")
+    marks = marks.unionByName(compare(fetched(base, decided.where(f"what = {COMPARED}"))))
+    finer = decided.where(f"what = {FINER}")
+    if not last and not finer.isEmpty():
+        few = finer.select("kd", "tie").count() <= FEW
+        deeper = refined(fetched(base, finer, few), kind, level + 1)
+        marks = marks.unionByName(marked_windows(base, deeper, kind, compare, first_stays, level + 1, most))
     return marks
 
 
@@ -354,7 +439,7 @@ def remove_repeated_words(docs: DataFrame, rows: int = 4, most_bits: int = MOST_
     """
     base = keyed(docs)
     whole = keyed(docs, *(c for c in docs.columns if c.lower() not in ("doc_id", "text", "kd", "tie", "marks", "n_words", "n_removed", "kept", "kept_sha256"))) if keep else base
-    found = written(segments(base, WORDS), "word-segments")
+    found = written(segments(base, WORDS, common_anchors(base, WORDS)), "word-segments")
     found = estimated_repeated(found, count_sketch(found, rows, most_bits))
     marks = marked_windows(base, found, WORDS, windows_twice, False, most=most)
 
@@ -479,7 +564,7 @@ def remove_later_bytes(docs: DataFrame, most: int = GROUP_UNITS) -> DataFrame:
     content), windows of different segments by their bytes. Long texts count whole.
     """
     base = keyed(docs)
-    found = written(segments(base, BYTES), "byte-segments")
+    found = segments(base, BYTES, common_anchors(base, BYTES))
     marks = marked_windows(base, found, BYTES, windows_before, True, most=most)
 
     def cut(raw: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple:

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import documents, passages
 from pyspark.sql import functions as F
@@ -52,6 +53,25 @@ def brute_bytes(docs, tie, size=100):
     return sorted(out)
 
 
+@pytest.mark.parametrize("first_stays", [True, False])
+def test_decisions_on_parts_equal_those_on_the_whole(first_stays):
+    """Marks don't depend on how rows arrive; what is cut off goes on to longer anchors, first copies included."""
+    rng = np.random.default_rng(5)
+    keys = sorted((int(rng.integers(4)), 0, int(rng.integers(5)), int(rng.integers(6)), 0, int(rng.integers(3))) for _ in range(300))
+    names = [c.split()[0] for c in repeats.SEGMENT.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+    columns = [pa.array(x, k) for x, k in zip(zip(*keys, strict=True), kinds, strict=True)] + [pa.array([3] * 300, pa.int32()), pa.array([False] * 300)]
+    batch = pa.RecordBatch.from_arrays(columns, names=names)
+    marks = []
+    for rows, size in ((1000, 300), (2, 1), (7, 5), (40, 13)):
+        parts = [batch.slice(k, size) for k in range(0, 300, size)]
+        got = [r for b in repeats.Decisions(35, first_stays, 10**9, False, rows)(iter(parts)) for r in b.to_pylist()]
+        gone = {(r["h"], r["kd"], r["start"]) for r in got if r["what"] == repeats.GONE}
+        seen = gone | {(r["h"], r["kd"], r["start"]) for r in got if r["what"] != repeats.GONE}
+        marks.append(gone)
+        assert first_stays and gone == marks[0] or gone <= marks[0] and marks[0] <= seen
+
+
 def long_runs():
     """Equal units in a row, short periods, and one anchor in very many contexts."""
     rng = random.Random(11)
@@ -61,15 +81,17 @@ def long_runs():
     return docs + [(3000 + k, docs[10 + k][1][60:]) for k in range(20)]
 
 
-@pytest.mark.parametrize(("most", "bits"), [(repeats.GROUP_UNITS, 27), (300, 16), (60, 16)])
-def test_words(spark, most, bits):
+@pytest.mark.parametrize(("most", "bits", "rows"), [(repeats.GROUP_UNITS, 27, 50_000), (300, 16, 7), (60, 16, 50_000), (300, 16, 2)])
+def test_words(spark, monkeypatch, most, bits, rows):
+    monkeypatch.setattr(repeats, "GROUP_ROWS", rows)
     docs = passages() + long_runs()
     got = repeats.remove_repeated_words(documents(spark, docs).repartition(3), most_bits=bits, most=most)
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == brute_words(docs)
 
 
-@pytest.mark.parametrize("most", [repeats.GROUP_UNITS, 900, 120])
-def test_bytes(spark, most):
+@pytest.mark.parametrize(("most", "rows"), [(repeats.GROUP_UNITS, 50_000), (900, 7), (120, 50_000), (900, 2)])
+def test_bytes(spark, monkeypatch, most, rows):
+    monkeypatch.setattr(repeats, "GROUP_ROWS", rows)
     docs = passages() + long_runs()
     tie = {r[0]: r[1] for r in spark.createDataFrame([(t or "",) for _, t in docs], "t string").select("t", F.xxhash64("t")).collect()}
     got = repeats.remove_later_bytes(documents(spark, docs).repartition(3), most=most)
