@@ -8,10 +8,9 @@ import re
 import numpy as np
 import pytest
 from cases import documents, odd_texts, passages
-from compare import compare, connect
 from pyspark.sql import functions as F
 
-from epochlake.llm import bpe, classifiers, common, decontaminate, hnsw, html, licenses, queries
+from epochlake.llm import bpe, classifiers, common, decontaminate, hnsw, html, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -74,29 +73,6 @@ def test_labels_of_the_fold_are_not_read(spark):
     assert a == b
 
 
-# --- licences ---
-
-
-def test_licences_equal_sql(spark):
-    con = connect(SF)
-    assert compare(licenses.licence_lines(common.read(spark, SF, "documents")), con, licenses.licence_sql()) == ""
-
-
-def test_licence_odd_cases(spark):
-    texts = odd_texts() + [(1, "intro\nLICENSED, under the apache license; version 2.0\nend"), (2, "Released under the MIT License."), (2, "Released under the MIT License."), (3, "x " * 50000 + "\nReleased under a MIT License.")]
-    got = sorted((r.doc_id, r.line, r.licence, r.dice) for r in licenses.licence_lines(documents(spark, texts)).collect())
-    assert got[:4] == [(1, -1, "Apache-2.0", 0.875), (1, 1, "Apache-2.0", 1.0), (2, 0, "MIT", 1.0), (2, 0, "MIT", 1.0)]
-    assert licenses.licence_lines(documents(spark, [])).count() == 0
-
-
-def test_prefilter_bigrams_suffice():
-    templates = licenses.template_arrays()
-    needed = set(licenses.needed_bigrams(templates, 80, 100))
-    for _, grams in templates:
-        own = [g for g in grams if tuple(g.split(" ")) in needed]
-        assert 2 * 100 * (len(grams) - len(own)) < 80 * (len(grams) + len(grams) - len(own))
-
-
 # --- leaks ---
 
 
