@@ -7,7 +7,7 @@ Segments are shuffled once, by anchor, and told apart as they stream by in order
 once, an anchor's only segment is done with, and only segments whose anchor has different ones fetch their content,
 each once. An anchor with more content than one task should hold is dealt out by longer anchors of the same windows,
 in the end by the windows themselves; the comparison is the same at every level. Anchors that stand in many documents
-are salted, so that their copies are passed in parts before their firsts go on to longer anchors.
+are salted: their copies are passed in parts, and only the first segments of each part meet.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from .common import slices, texts_of, written
 from .text import BYTE_BASE, WORD_BASE, Rolling, anchored_runs, as_bytes, byte_values, mix, word_bounds, word_hashes
 
 #: Words or bytes that the segments of one anchor may hold together before longer anchors deal them out.
-GROUP_UNITS = 400_000
+GROUP_UNITS = 3_000_000
 #: Segments of one anchor that a task holds before it passes them on to longer anchors unseen.
 GROUP_ROWS = 50_000
 #: Documents looked at for anchors that stand in a hundredth of them or more, and parts that such anchors are dealt to.
@@ -150,7 +150,7 @@ def wanted_of(batch: pa.RecordBatch) -> tuple[np.ndarray, list[pa.Array]]:
 
 
 def refined(texts: DataFrame, kind: Kind, level: int) -> DataFrame:
-    """Segments of the wanted stretches, anchored by longer grams."""
+    """Segments of the wanted stretches, anchored by longer grams, all salted by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in once(batches, 64):
@@ -162,7 +162,7 @@ def refined(texts: DataFrame, kind: Kind, level: int) -> DataFrame:
                 for above, a, count in itertools.islice(spans, k):
                     own, sh, first, got, again = segments_of(values[a : a + count + kind.width - 1], kind, level)
                     own = mix(own.view(np.uint64) ^ mix(np.array([above]).view(np.uint64))).view(np.int64)
-                    parts.append((own, np.zeros(len(own), dtype=np.int32), sh, np.full(len(own), kd), np.full(len(own), tie), (first + a).astype(np.int32), got.astype(np.int32), again))
+                    parts.append((own, np.full(len(own), 1 + int(tie) % SALTS, dtype=np.int32), sh, np.full(len(own), kd), np.full(len(own), tie), (first + a).astype(np.int32), got.astype(np.int32), again))
             yield from segment_batch(parts)
 
     return texts.mapInArrow(run, SEGMENT)
@@ -291,9 +291,10 @@ def run_marks(kd: np.ndarray, tie: np.ndarray, start: np.ndarray, owner: np.ndar
 
 
 MARK = "kd long, tie long, start int, n int"
-#: What is to be done with a segment: mark all its windows, compare them, deal them out by longer anchors.
-GONE, COMPARED, FINER = 0, 1, 2
-DECISION = "h long, kd long, tie long, start int, n int, many boolean, what int"
+#: What is to be done with a segment: mark all its windows, compare them, deal them out by longer anchors, decide
+#: again on what the parts of a salted anchor have left.
+GONE, COMPARED, FINER, AGAIN = 0, 1, 2, 3
+DECISION = SEGMENT + ", many boolean, what int"
 
 
 class Decisions:
@@ -322,14 +323,15 @@ class Decisions:
         # of a group not seen whole the first copy goes along, lest it be the only one that shows that there are any
         copies = np.cumsum(copy)
         some = first | copy & (copies - copies[firsts][np.cumsum(first) - 1] == 1) & (not whole)
-        finer = some & ((units > self.most) | (rows["salt"] > 0) | (not whole)) & (not self.last)
-        compared = some & ~finer & (several | (not whole))
+        again = some & (rows["salt"] > 0)
+        finer = some & ~again & ((units > self.most) | (not whole)) & (not self.last)
+        compared = some & ~again & ~finer & (several | (not whole))
         gone = copy | (many & (not self.first_stays))
         out = []
-        for what, rows_of in ((GONE, gone), (COMPARED, compared), (FINER, finer)):
-            at = np.flatnonzero(rows_of[own]) + own.start
-            out.append([*(rows[c][at] for c in ("h", "kd", "tie", "start", "n")), many[at], np.full(len(at), what, dtype=np.int32)])
         names = [c.split()[0] for c in DECISION.split(", ")]
+        for what, rows_of in ((GONE, gone), (COMPARED, compared), (FINER, finer), (AGAIN, again)):
+            at = np.flatnonzero(rows_of[own]) + own.start
+            out.append([*(rows[c][at] for c in names[:-2]), many[at], np.full(len(at), what, dtype=np.int32)])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=names)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,23 +368,37 @@ class Decisions:
             held, count = table.slice(end).combine_chunks().to_batches(), n - end
 
 
-def marked_windows(base: DataFrame, found: DataFrame, kind: Kind, compare: Callable[[DataFrame], DataFrame], first_stays: bool, level: int = 0, most: int = GROUP_UNITS) -> DataFrame:
+def marked_windows(base: DataFrame, found: DataFrame, kind: Kind, compare: Callable[[DataFrame], DataFrame], first_stays: bool, most: int = GROUP_UNITS) -> DataFrame:
     """Runs of windows to remove (kd, tie, start, n), of all segments in found.
 
     Segments that stand at several places are marked at all of them (but for the first, if first_stays). The first
     place of each different segment is compared with those of the others of its anchor, unless it is the only one.
+    What a salted anchor's parts leave is put together where a task can hold it, else dealt out by longer anchors.
     """
-    last = level == len(kind.grams) - 1
-    order = found.repartition("h", "salt").sortWithinPartitions("h", "salt", "sh", "kd", "tie", "start")
-    decided = written(order.mapInArrow(Decisions(kind.width, first_stays, most, last, GROUP_ROWS), DECISION), f"segments-{level}")
+    decided = found.sparkSession.createDataFrame([], DECISION)
+    last = len(kind.grams) - 1
+    for level in range(last + 1):
+
+        def decide(segments: DataFrame, level: int = level) -> DataFrame:
+            order = segments.repartition("h", "salt").sortWithinPartitions("h", "salt", "sh", "kd", "tie", "start")
+            return written(order.mapInArrow(Decisions(kind.width, first_stays, most, level == last, GROUP_ROWS), DECISION), f"segments-{level}")
+
+        now = decide(found)
+        decided = decided.unionByName(now)
+        finer = now.where(f"what = {FINER}")
+        left = now.where(f"what = {AGAIN}").drop("what", "many").withColumn("salt", F.lit(0))
+        if not left.isEmpty():
+            held = left.groupBy("h").agg(F.sum(F.col("n") + F.lit(kind.width - 1)).alias("units"))
+            left = left.join(held, "h").withColumn("fits", (F.col("units") <= most) | F.lit(level == last))
+            now = decide(left.where("fits").select(found.columns))
+            finer = finer.unionByName(now.where(f"what = {FINER}")).select("h", "kd", "tie", "start", "n", "many").unionByName(left.where("NOT fits").select("h", "kd", "tie", "start", "n", F.lit(False).alias("many")))
+            decided = decided.unionByName(now)
+        if level == last or finer.isEmpty():
+            break
+        few = finer.count() <= FEW
+        found = refined(fetched(base, finer, few), kind, level + 1)
     marks = decided.where(f"what = {GONE}").select("kd", "tie", "start", "n")
-    marks = marks.unionByName(compare(fetched(base, decided.where(f"what = {COMPARED}"))))
-    finer = decided.where(f"what = {FINER}")
-    if not last and not finer.isEmpty():
-        few = finer.select("kd", "tie").count() <= FEW
-        deeper = refined(fetched(base, finer, few), kind, level + 1)
-        marks = marks.unionByName(marked_windows(base, deeper, kind, compare, first_stays, level + 1, most))
-    return marks
+    return marks.unionByName(compare(fetched(base, decided.where(f"what = {COMPARED}"))))
 
 
 # --- words: every window that stands twice anywhere goes ---
@@ -441,7 +457,7 @@ def remove_repeated_words(docs: DataFrame, rows: int = 4, most_bits: int = MOST_
     whole = keyed(docs, *(c for c in docs.columns if c.lower() not in ("doc_id", "text", "kd", "tie", "marks", "n_words", "n_removed", "kept", "kept_sha256"))) if keep else base
     found = written(segments(base, WORDS, common_anchors(base, WORDS)), "word-segments")
     found = estimated_repeated(found, count_sketch(found, rows, most_bits))
-    marks = marked_windows(base, found, WORDS, windows_twice, False, most=most)
+    marks = marked_windows(base, found, WORDS, windows_twice, False, most)
 
     def cut(raw: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple:
         a, b = word_bounds(raw)
@@ -497,36 +513,47 @@ def longest_previous_factors(suffixes: np.ndarray, rank: np.ndarray, prefix: int
     return out
 
 
-def earlier_factors(bodies: list[bytes], anchor: np.ndarray, position: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+def earlier_factors(bodies: list[bytes], anchor: np.ndarray, position: tuple[np.ndarray, ...], most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """Windows with a previous factor of full length: (segment, window) numbers, ascending.
 
     The windows are the suffixes of the segments, cut at the window length. Those whose hash stands alone under
-    their anchor have no factor of that length and are left out; the rank of the others is their place in the corpus.
+    their anchor have no factor of that length and are left out; the others are taken in portions of about `most`
+    that keep equal hashes together. Their rank is their place in the corpus.
     """
     size = BYTES.width
     sizes = np.array([len(b) for b in bodies], dtype=np.int64)
-    counts = sizes - size + 1
     text = np.frombuffer(b"".join(bodies), dtype=np.uint8)
-    begin = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(bodies)), counts)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = begin[owner] + place
-    key = Rolling(byte_values(text), BYTE_BASE).windows(size)[at] ^ mix(anchor.view(np.uint64))[owner]
+    ends, begin = np.cumsum(sizes - size + 1), np.cumsum(sizes) - sizes
+    key = np.empty(ends[-1] if len(ends) else 0, dtype=np.uint64)
+    cuts = [*range(0, len(bodies), 2000), len(bodies)]
+    for a, b in itertools.pairwise(cuts):
+        counts = sizes[a:b] - size + 1
+        owner = np.repeat(np.arange(a, b), counts)
+        at = np.arange(len(owner)) + np.repeat(begin[a:b] - begin[a] - (np.cumsum(counts) - counts), counts)
+        part = Rolling(byte_values(text[begin[a] : begin[b - 1] + sizes[b - 1]]), BYTE_BASE).windows(size)[at]
+        key[ends[a] - counts[0] : ends[b - 1]] = part ^ mix(anchor.view(np.uint64))[owner]
     order = np.argsort(key)
-    same = key[order][1:] == key[order][:-1]
-    some = np.zeros(len(key), dtype=bool)
-    some[order[1:][same]] = True
-    some[order[:-1][same]] = True
-    owner, place, at = owner[some], place[some], at[some]
-    if not len(at):
-        return owner, place
-    names = anchor[owner].astype(">i8").view(np.uint8).reshape(-1, 8)
-    suffixes = np.concatenate((names, np.lib.stride_tricks.sliding_window_view(text, size)[at]), axis=1)
-    by = np.lexsort((position[2][owner] + place, *(p[owner] for p in position[1::-1])))
-    rank = np.empty(len(at), dtype=np.int64)
-    rank[by] = np.arange(len(at))
-    hit = longest_previous_factors(suffixes, rank, 8) >= size
-    return owner[hit], place[hit]
+    same = key[order[1:]] == key[order[:-1]]
+    some = order[np.append(same, False) | np.append([False], same)] if len(key) else order
+    heads = np.append(np.flatnonzero(np.append([True], key[some[1:]] != key[some[:-1]])), len(some)) if len(some) else np.zeros(1, dtype=np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(text, size) if len(some) else text
+    found = [np.zeros((2, 0), dtype=np.int64)]
+    a = 0
+    while a < len(some):
+        b = int(heads[min(np.searchsorted(heads, a + most), len(heads) - 1)])
+        owner = np.searchsorted(ends, some[a:b], side="right")
+        place = some[a:b] - (ends[owner] - sizes[owner] + size - 1)
+        names = anchor[owner].astype(">i8").view(np.uint8).reshape(-1, 8)
+        suffixes = np.concatenate((names, windows[begin[owner] + place]), axis=1)
+        by = np.lexsort((position[2][owner] + place, *(p[owner] for p in position[1::-1])))
+        rank = np.empty(len(by), dtype=np.int64)
+        rank[by] = np.arange(len(by))
+        hit = longest_previous_factors(suffixes, rank, 8) >= size
+        found.append(np.stack((owner[hit], place[hit])))
+        a = b
+    owner, place = np.concatenate(found, axis=1)
+    by = np.lexsort((place, owner))
+    return owner[by], place[by]
 
 
 def windows_before(texts: DataFrame) -> DataFrame:
@@ -565,7 +592,7 @@ def remove_later_bytes(docs: DataFrame, most: int = GROUP_UNITS) -> DataFrame:
     """
     base = keyed(docs)
     found = segments(base, BYTES, common_anchors(base, BYTES))
-    marks = marked_windows(base, found, BYTES, windows_before, True, most=most)
+    marks = marked_windows(base, found, BYTES, windows_before, True, most)
 
     def cut(raw: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple:
         gone = covered(len(raw), starts, counts + (BYTES.width - 1))

@@ -1,8 +1,11 @@
 """Repeated words and bytes against brute force."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -112,17 +115,22 @@ def test_longest_previous_factors():
 
 
 def test_one_anchor_of_many_segments():
-    """Every batch that a task compares is bounded, and a batch of that size takes little memory."""
-    import resource
-
-    rng = np.random.default_rng(3)
-    core = b"one anchor of twenty"
-    bodies = [rng.integers(97, 123, 80, dtype=np.uint8).tobytes() + core + rng.integers(97, 123, 80, dtype=np.uint8).tobytes() for _ in range(1000)]
-    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
-    position = np.arange(2000), np.zeros(2000, dtype=np.int64), np.zeros(2000, dtype=np.int64)
-    owner, _ = repeats.earlier_factors(bodies * 2, np.zeros(2000, dtype=np.int64), position)
-    assert np.unique(owner).tolist() == list(range(1000, 2000))
-    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+    """As many segments as one task compares at once, all of their windows repeated: memory stays bounded."""
+    code = """
+import numpy as np, resource
+from epochlake.llm import repeats
+rng = np.random.default_rng(3)
+core = b"one anchor of twenty"
+n = repeats.GROUP_UNITS // 180
+half = [rng.integers(97, 123, 80, dtype=np.uint8).tobytes() + core + rng.integers(97, 123, 80, dtype=np.uint8).tobytes() for _ in range(n // 2)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+position = np.arange(2 * len(half)), np.zeros(2 * len(half), dtype=np.int64), np.zeros(2 * len(half), dtype=np.int64)
+owner, place = repeats.earlier_factors(half * 2, np.zeros(2 * len(half), dtype=np.int64), position)
+assert np.array_equal(np.unique(owner), np.arange(len(half), 2 * len(half))) and len(owner) == 81 * len(half)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert int(out.stdout) < 400
 
 
 def test_equal_bytes_make_few_segments():
