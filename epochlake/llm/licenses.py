@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from functools import reduce
 
@@ -50,6 +51,11 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), SEPARATORS, " "))
 
 
+def listed(values: list[str]) -> Column:
+    """A literal array; one string that the optimiser splits, where thousands of single literals are slow to plan."""
+    return F.split(F.lit("|".join(values)), "\\|")
+
+
 def template_grams(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[Template]:
     """Names and word bigrams in order; those of one word are left out."""
     out = []
@@ -118,30 +124,33 @@ def licences(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, templates:
     split = some.select("doc_id", F.explode(F.array(F.split(normal(low), " "))).alias("w")).where(F.size("w") > 1)
     w = F.col("w")
     grams = split.select("doc_id", F.explode(F.array(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))).alias("grams"))
-    # places of the bigrams that guide anything, by far the fewest of a text
-    own = F.array(*map(F.lit, sorted({g for _, t in known for g in guides(t, words)})))
-    placed = grams.withColumn("at", F.explode(F.array(F.filter(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))), lambda x: F.array_contains(own, x["g"]))))).where(F.size("at") > 0)
-
-    def best(number: int, name: str, t: list[str]) -> Column:
+    # the telling bigrams of a text, by far the fewest of its bigrams, and their places
+    own = listed(sorted({g for _, t in known for g in guides(t, words)}))
+    some = grams.withColumn("has", F.explode(F.array(F.array_intersect("grams", own)))).where(F.size("has") > 0)
+    placed = some.withColumn("at", F.explode(F.array(F.filter(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))), lambda x: F.array_contains("has", x["g"])))))
+
+    kind = "array<struct<licence: string, template: int, m: int, n: int, grams: array<string>, guide: map<string, int>, keys: array<string>>>"
+    rows = []
+    for k, (name, t) in enumerate(known):
         guide = guides(t, words)
-        offsets = F.create_map(*(F.lit(x) for pair in guide.items() for x in pair))
-        distinct = sorted(set(t))
-        n, all_of = len(distinct), F.array(*map(F.lit, distinct))
-        starts = F.array_distinct(F.transform(F.filter("at", lambda x: F.map_contains_key(offsets, x["g"])), lambda x: x["i"] - F.element_at(offsets, x["g"])))
+        rows.append({"licence": name, "template": k, "m": len(t), "n": len(set(t)), "grams": sorted(set(t)), "guide": guide, "keys": list(guide)})
+    fits = F.filter(F.from_json(F.lit(json.dumps(rows)), kind), lambda t: (F.size("grams") * (2 * q - p) >= t["n"] * p) & F.arrays_overlap("has", t["keys"]))
+
+    def alike(t: Column) -> Column:
+        starts = F.array_distinct(F.transform(F.filter("at", lambda x: F.map_contains_key(t["guide"], x["g"])), lambda x: x["i"] - F.element_at(t["guide"], x["g"])))
 
         def unit(s: Column) -> Column:
-            part = F.array_distinct(F.slice("grams", F.greatest(s, F.lit(0)) + 1, F.lit(len(t)) + F.least(s, F.lit(0))))
-            return F.struct(F.size(F.array_intersect(part, all_of)).alias("both"), (F.size(part) + n).alias("total"), F.greatest(s, F.lit(0)).alias("word"))
-
-        alike = F.filter(F.transform(starts, unit), lambda u: 2 * q * u["both"] >= p * u["total"])
-        # the larger quotient, told without rounding; then the smaller place
-        first = F.array_max(F.transform(alike, lambda u: F.struct((u["both"] * F.lit(10**6) * 2 / u["total"]).alias("d"), (-u["word"]).alias("s"), u["both"], u["total"])))
-        row = F.struct(F.lit(name).alias("licence"), F.lit(number).alias("template"), (-first["s"]).alias("word"), F.round(2 * first["both"] / first["total"], 6).alias("dice"))
-        fits = (F.size("grams") * (2 * q - p) >= n * p) & F.exists("at", lambda x: F.map_contains_key(offsets, x["g"]))
-        return F.when(fits & first.isNotNull(), row)
-
-    found = placed.select("doc_id", F.explode(F.array(*(best(k, name, t) for k, (name, t) in enumerate(known)))).alias("m")).where("m IS NOT NULL")
-    return found.select("doc_id", "m.*")
+            part = F.array_distinct(F.slice("grams", F.greatest(s, F.lit(0)) + 1, t["m"] + F.least(s, F.lit(0))))
+            return F.struct(F.size(F.array_intersect(part, t["grams"])).alias("both"), (F.size(part) + t["n"]).alias("total"), F.greatest(s, F.lit(0)).alias("word"))
+
+        def dice(u: Column) -> Column:
+            return F.struct((2 * u["both"] / u["total"]).alias("dice"), (-u["word"]).alias("back"))
+
+        enough = F.filter(F.transform(starts, unit), lambda u: 2 * q * u["both"] >= p * u["total"])
+        return F.struct(t["licence"].alias("licence"), t["template"].alias("template"), F.array_max(F.transform(enough, dice)).alias("best"))
+
+    found = placed.select("doc_id", F.explode(F.transform(fits, alike)).alias("m")).where("m.best IS NOT NULL")
+    return found.select("doc_id", "m.licence", "m.template", (-F.col("m.best.back")).alias("word"), F.round("m.best.dice", 6).alias("dice"))
 
 
 def licence_sql(threshold: tuple[int, int] = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> str:
