@@ -6,14 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
-from .text import BYTE_BASE, LOWER, WORD_BASE, Rolling, as_bytes, byte_values, word_hashes
+from .common import slices, texts_of, written
+from .text import BYTE_BASE, WORD_BASE, Rolling, as_bytes, word_hashes
 
-#: Bound of the labelled rows that a classifier is fitted on.
+#: Bounds of what a classifier is fitted on: rows, and bytes of their texts; a single text has an eighth at most.
 MAX_ROWS = 8000
+MAX_BYTES = 48_000_000
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -21,12 +22,13 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Callable[[Column], Column], max_rows: int = MAX_ROWS) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Callable[[Column], Column], max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Texts and labels (text, y) of at most max_rows labelled documents outside the held-out fold.
 
-    The rows are those whose id has the smallest hash, so the choice doesn't depend on order. Ids without a label
-    of 0 or 1 are left out; an id with several labels counts with the largest. The id list is bounded, so it is
-    broadcast and the documents aren't shuffled; at most max_rows rows leave the join unless ids repeat.
+    The rows are those whose id has the smallest hash, so the choice doesn't depend on order, as far as their texts
+    have max_bytes together; texts larger than an eighth of that aren't learnt from. Ids without a label of 0 or 1
+    are left out; an id with several labels counts with the largest; rows that repeat id and text are one. The id
+    list is bounded, so it is broadcast and the documents aren't shuffled; the rows are stored, read once.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn(F.col("doc_id")))
@@ -35,7 +37,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Calla
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y").repartition(8)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), size.alias("bytes")).where(F.col("bytes") <= max_bytes // 8)
+    rows = written(rows.join(F.broadcast(ids), "doc_id"), f"labelled-{label}")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("tie")]
+    keys = rows.select("doc_id", "tie", "bytes").distinct().orderBy(*order).limit(max_rows)
+    total = F.sum("bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # max_rows rows at most
+    keys = keys.withColumn("total", total).where(F.col("total") <= max_bytes).select("doc_id", "tie")
+    return rows.join(F.broadcast(keys), ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie"]).select("text", "y")
 
 
 def sigmoid(x: np.ndarray | float) -> np.ndarray | float:
@@ -44,10 +53,10 @@ def sigmoid(x: np.ndarray | float) -> np.ndarray | float:
 
 def collected(df: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Feature numbers, values and labels of a bounded sample, in an order that doesn't depend on the run."""
-    rows = df.orderBy("y", "idx", "val").toArrow()
-    idx = [np.frombuffer(x.as_py(), dtype=np.int32) for x in rows.column("idx")]
-    val = [np.frombuffer(x.as_py(), dtype=np.float32) for x in rows.column("val")]
-    return idx, val, rows.column("y").to_numpy().astype(np.float64)
+    got = df.toArrow()
+    rows = sorted(zip(got.column("y").to_pylist(), got.column("idx").to_pylist(), got.column("val").to_pylist(), strict=True))
+    idx = [np.frombuffer(r[1], dtype=np.int32) for r in rows]
+    return idx, [np.frombuffer(r[2], dtype=np.float32) for r in rows], np.array([r[0] for r in rows], dtype=np.float64)
 
 
 def features_of(sample: DataFrame, extract: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -77,21 +86,19 @@ def scored(docs: DataFrame, score: Callable[[np.ndarray], float], held_out: Colu
 
 # --- character n-grams scaled by naive Bayes log-count ratios ---
 
-GRAM_SIZES = (4, 5, 6)
+GRAM_SIZES = (3, 4, 5)
 GRAM_BITS = 22
-MAX_GRAMS = 16384
-#: Least log-likelihood ratio of a feature; chance alone passes this for one n-gram in 100,000.
-LEAST_APART = 20.0
+#: Log-likelihood ratio above which every n-gram is a feature; chance alone passes this for one in 100,000.
+APART = 20.0
+#: The n-grams that stand out most are features in any case, so many of those that chance passes for one in a hundred.
+LEAST_GRAMS = 500
+SLIGHTLY_APART = 6.6
 
 
 def gram_buckets(raw: np.ndarray) -> np.ndarray:
-    """Hash buckets of all byte n-grams of a text; ASCII letters lower-cased, every run of non-letters one space."""
-    low = LOWER[raw]
-    letter = ((low >= 97) & (low <= 122)) | (low >= 128)
-    kept = letter.copy()
-    kept[1:] |= letter[:-1]
-    low = np.where(letter, low, np.uint8(32))[kept]
-    rolling = Rolling(byte_values(np.concatenate(([32], low, [32])).astype(np.uint8)), BYTE_BASE)
+    """Hash buckets of all character n-grams of a text; lower-cased, every run of white space one space."""
+    text = " " + " ".join(raw.tobytes().decode("utf-8", "replace").lower().split()) + " "
+    rolling = Rolling(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1), BYTE_BASE)
     return np.concatenate([(rolling.windows(n) ^ np.uint64(n)) >> np.uint64(64 - GRAM_BITS) for n in GRAM_SIZES]).astype(np.int32)
 
 
@@ -138,27 +145,38 @@ def fit_logistic(idx: list[np.ndarray], scale: np.ndarray, y: np.ndarray, l2: fl
     return w[:size] * scale, float(w[size])
 
 
+def chosen_grams(counts: DataFrame, pos: int, neg: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that are features, ascending, and their naive Bayes log-count ratios; bounded by the hash space."""
+    ratio = F.log((F.col("y1") + 1) / (pos + 2)) - F.log((F.col("y0") + 1) / (neg + 2))
+    apart = apart_from_chance(F.col("y1"), F.col("y0"), pos, neg)
+    grams = counts.select("gram", ratio.alias("r"), apart.alias("g")).where(F.col("g") > SLIGHTLY_APART).toArrow()
+    gram, r, g = (grams.column(c).to_numpy() for c in ("gram", "r", "g"))
+    rank = np.lexsort((gram, -g))
+    kept = np.sort(rank[: max(LEAST_GRAMS, int((g > APART).sum()))])
+    kept = kept[np.argsort(gram[kept])]
+    return gram[kept], r[kept]
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Toxicity of every document: doc_id, held_out, score, predicted (score >= 0.5).
 
     Binary character n-gram features are scaled by their naive Bayes log-count ratio and weighted by logistic
-    regression. Only n-grams whose ratio stands out from chance are features, so long texts don't gather noise.
-    Labels are learnt from rows whose crc32(doc_id) mod 5 isn't 0, at most max_rows of them (see labelled_sample);
-    the model is bounded by MAX_GRAMS. Null and empty texts score by the bias; without labels of both kinds all
-    scores are 0.5 or less. Rows that repeat are scored each; ids may be null; other columns are never read.
+    regression. Features are the n-grams whose ratio stands out from chance, so long texts don't gather noise.
+    Labels are learnt from rows whose crc32(doc_id) mod 5 isn't 0, at most max_rows of them (see labelled_sample).
+    Null and empty texts score as texts without features; with labels of one kind only every score is their smoothed
+    share of toxic rows, without labels 0. Rows that repeat are scored each; ids may be null; texts count whole;
+    other columns are never read.
     """
     sample = labelled_sample(docs, labels, "toxic", lambda c: fold(c, 5) != 0, max_rows)
     held = fold(F.col("doc_id"), 5) == 0
     per = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     pos, neg = per.get(1, 0), per.get(0, 0)
     if not pos or not neg:
-        flat = 0.5 if not pos + neg else (pos + 1) / (pos + neg + 2) * 0.5
+        flat = (pos + 1) / (pos + neg + 2) if pos + neg else 0.0
         return scored(docs, lambda raw: flat, held, 0.5)
-    ratio = F.log((F.col("y1") + 1) / (pos + 2)) - F.log((F.col("y0") + 1) / (neg + 2))
-    apart = apart_from_chance(F.col("y1"), F.col("y0"), pos, neg)
-    grams = gram_counts(sample).select("gram", ratio.alias("r"), apart.alias("g")).where(F.col("g") > LEAST_APART).orderBy(F.desc("g"), "gram").limit(MAX_GRAMS).toArrow()
-    number = np.full(1 << GRAM_BITS, -1, dtype=np.int16)
-    number[grams.column("gram").to_numpy()] = np.arange(len(grams))
+    grams, ratios = chosen_grams(gram_counts(sample), pos, neg)
+    number = np.full(1 << GRAM_BITS, -1, dtype=np.int32)
+    number[grams] = np.arange(len(grams))
     table = docs.sparkSession.sparkContext.broadcast(number)
 
     def present(raw: np.ndarray) -> np.ndarray:
@@ -166,7 +184,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Da
         return np.unique(got[got >= 0])
 
     idx, _, y = collected(features_of(sample, lambda raw: (present(raw), np.zeros(0))))
-    weights, bias = fit_logistic(idx, grams.column("r").to_numpy(), y)
+    weights, bias = fit_logistic(idx, ratios, y)
     return scored(docs, lambda raw: float(sigmoid(weights[present(raw)].sum() + bias)), held, 0.5)
 
 
@@ -223,16 +241,20 @@ def quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, keep:
 
     Hashed word 1- and 2-grams (runs of word characters, runs of other characters) of the whole text, logistic
     regression by FTRL; a score is one sparse dot product. Labels are learnt from rows whose crc32(doc_id) mod 4
-    isn't 2, at most max_rows of them (see labelled_sample). Null and empty texts score by the bias; without
-    labels all scores are 0.5. Rows that repeat are scored each; ids may be null; columns named like the new ones are
-    replaced.
+    isn't 2, at most max_rows of them (see labelled_sample). Null and empty texts score by the bias; with labels of
+    one kind only every score is their smoothed share of good rows, without labels 0. Rows that repeat are scored
+    each; ids may be null; texts count whole; columns named like the new ones are replaced.
     """
     sample = labelled_sample(docs, labels, "quality", lambda c: fold(c, 4) != 2, max_rows)
-    w = fit_ftrl(*collected(features_of(sample, word_features)))
-    model = docs.sparkSession.sparkContext.broadcast(w)
+    held = fold(F.col("doc_id"), 4) == 2
+    idx, val, y = collected(features_of(sample, word_features))
+    if len(np.unique(y)) < 2:
+        flat = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.0
+        return scored(docs, lambda raw: float(flat), held, 0.7, keep)
+    model = docs.sparkSession.sparkContext.broadcast(fit_ftrl(idx, val, y))
 
     def score(raw: np.ndarray) -> float:
         idx, val = word_features(raw)
         return float(sigmoid(float(model.value[idx] @ val) + model.value[-1]))
 
-    return scored(docs, score, fold(F.col("doc_id"), 4) == 2, 0.7, keep)
+    return scored(docs, score, held, 0.7, keep)

@@ -10,7 +10,7 @@ import pytest
 from cases import documents, odd_texts, passages
 from pyspark.sql import functions as F
 
-from epochlake.llm import bpe, classifiers, common, decontaminate, hnsw, html, queries
+from epochlake.llm import bpe, common, decontaminate, hnsw, html, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -45,34 +45,6 @@ def test_bpe_forgets_when_full(monkeypatch):
     assert [codec.decode(x) for x in codec.encode(texts)] == texts
 
 
-# --- classifiers ---
-
-
-@pytest.mark.parametrize(("fit", "label", "limit"), [(classifiers.toxicity, "toxic", 0.95), (classifiers.quality, "quality", 0.9)])
-def test_held_out_accuracy(spark, fit, label, limit):
-    docs, labels = common.read(spark, SF, "documents"), common.read(spark, SF, "labels")
-    rows = fit(docs, labels).join(labels, "doc_id").where("held_out").collect()
-    assert np.mean([r["predicted"] == r[label] for r in rows]) >= limit
-
-
-@pytest.mark.parametrize("fit", [classifiers.toxicity, classifiers.quality])
-def test_classifier_odd_cases(spark, fit):
-    docs = documents(spark, passages())
-    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert fit(docs, none).count() == docs.count()
-    some = spark.createDataFrame([(k, k % 2, k % 2) for k in range(40)] + [(None, 1, 1), (3, None, None), (3, 0, 0)], "doc_id long, quality int, toxic int")
-    rows = fit(docs, some).collect()
-    assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
-    assert fit(documents(spark, []), some).count() == 0
-
-
-def test_labels_of_the_fold_are_not_read(spark):
-    docs, labels = common.read(spark, SF, "documents"), common.read(spark, SF, "labels")
-    turned = labels.withColumn("quality", F.when(classifiers.fold(F.col("doc_id"), 4) == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
-    a, b = (classifiers.quality(docs, x).orderBy("doc_id").collect() for x in (labels, turned))
-    assert a == b
-
-
 # --- leaks ---
 
 
