@@ -92,15 +92,32 @@ def test_leaks_in_parts(spark, monkeypatch):
 
 def test_hamming_index_finds_all():
     rng = np.random.default_rng(4)
-    prints = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    words = decontaminate.BITS // 64
+    prints = rng.integers(0, 2**63, (300, words), dtype=np.uint64)
     asked = prints[:80].copy()
     for k in range(80):
-        for b in rng.choice(64, k % 24, replace=False):
-            asked[k] ^= np.uint64(1) << np.uint64(b)
-    want = {(i, j) for i in range(80) for j in range(300) if int(asked[i] ^ prints[j]).bit_count() <= decontaminate.RADIUS}
+        for b in rng.choice(decontaminate.BITS, 2 + k % 70, replace=False).tolist():
+            asked[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    far = lambda a, b: sum(int(x).bit_count() for x in a ^ b)
+    want = {(i, j) for i in range(80) for j in range(300) if far(asked[i], prints[j]) <= decontaminate.RADIUS}
+    assert len(want) >= 75
     assert {tuple(x) for x in decontaminate.HammingIndex(prints).within(asked).tolist()} == want
 
 
+@pytest.mark.parametrize("n", [9, 18, 45, 180])
+def test_fingerprints_at_the_threshold_are_within_the_radius(n):
+    """Thousands of pairs of windows of n shingles whose similarity is just 0.8."""
+    rng = np.random.default_rng(n)
+    missed = 0
+    for _ in range(3000):
+        both = rng.integers(0, 2**63, n - n // 9, dtype=np.uint64)
+        a, b = (np.concatenate((both, rng.integers(0, 2**63, n // 9, dtype=np.uint64))) for _ in range(2))
+        assert abs(decontaminate.weighted_similarity(a, b) - 0.8) < 1e-9
+        x, y = (decontaminate.fingerprints(decontaminate.bit_signs(s).sum(axis=0, keepdims=True)) for s in (a, b))
+        missed += int(np.bitwise_count(x ^ y).sum()) > decontaminate.RADIUS
+    assert missed <= 1
+
+
 # --- pages ---
 
 
