@@ -277,10 +277,10 @@ def codec_of(name: str, vocabulary: Broadcast) -> Codec:
     return _codecs[name]
 
 
-def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", keep: bool = True) -> DataFrame:
+def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", keep: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """Encode `text` of every row and decode the ids again.
 
-    Adds ids (array<int>) and decoded (string) if keep, and n_tokens, ids_sha256 (ids as little-endian unsigned
+    Adds ids (array<int>) and decoded (string) as far as keep names them, and n_tokens, ids_sha256 (ids as little-endian unsigned
     32-bit integers) and decoded_sha256 (UTF-8). Null and empty texts have no ids. Strings of special tokens in a
     text become their ids. Long texts are encoded whole. Other columns, and repeated rows, pass through as they
     are; columns named like those added are replaced. Nothing is shuffled; the vocabulary that is broadcast is
@@ -288,7 +288,7 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", keep: bool
     """
     loaded = load_vocabulary(vocabulary_path)
     name, vocabulary = loaded["name"], docs.sparkSession.sparkContext.broadcast(loaded)
-    added = {"ids": "array<int>", "decoded": "string"} if keep else {}
+    added = {k: kind for k, kind in (("ids", "array<int>"), ("decoded", "string")) if k in keep}
     added |= {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
     base = docs.drop(*(c for c in docs.columns if c.lower() in added and c != text))
     names = [c for c in base.columns if c.lower() not in added]
@@ -303,10 +303,11 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", keep: bool
                 n.append(len(x))
                 h.append(hashlib.sha256(x.astype("<u4").tobytes()).hexdigest())
                 g.append(hashlib.sha256(y.encode("utf-8", "surrogatepass")).hexdigest())
-                if keep:
+                if "ids" in keep:
                     ids.append(x)
+                if "decoded" in keep:
                     back.append(y)
-            made = [pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())] if keep else []
+            made = [pa.array(x, kind) for k, x, kind in (("ids", ids, pa.list_(pa.int32())), ("decoded", back, pa.string())) if k in keep]
             made += [pa.array(n, pa.int64()), pa.array(h, pa.string()), pa.array(g, pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, *added])
 
@@ -316,5 +317,5 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", keep: bool
 
 def digest(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    out = encode(docs.select("doc_id", "text"), vocabulary_path, keep=False)
+    out = encode(docs.select("doc_id", "text"), vocabulary_path, keep=())
     return out.select("doc_id", F.col("n_tokens"), "ids_sha256", "decoded_sha256")

@@ -17,12 +17,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a temporary one only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder that driver and executors share, as spark.checkpoint.dir or setCheckpointDir names it.
+
+    A temporary one is made only in local mode, where driver and executors are one machine; elsewhere none is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-ckpt-")
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spark-ckpt-")
+        spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 

@@ -243,7 +243,8 @@ def vector_links(vectors: DataFrame, least: float = 0.95, shards: int = SHARDS)
     vec_id reachable, itself included), kept (vec_id = component_id). A vector that is null, zero or empty or holds
     null or non-finite components links with nothing. Vectors of different length are never compared. Equal vectors
     are one class that is searched once and counted with its size. A row with a null vec_id takes part like any
-    other; its component_id is null if no row of its group has an id, and kept is then false.
+    other; its component_id is null if no row of its group has an id, and kept is then false. Vectors of any length
+    are taken whole; other columns of vectors are never read, whatever their names.
 
     Each shard's graph is built in one task from its part of the vectors; every vector is sent to every shard and
     queried in batches as it streams by, so a task holds one shard and one batch. Candidates are verified in double

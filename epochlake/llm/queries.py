@@ -19,42 +19,52 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that a 100-byte string covers which also starts earlier."""
     return repeats.remove_later_bytes(read(spark, sf_dir, "documents")).drop("kept")
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return html.extract(read(spark, sf_dir, "pages"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from labels outside the held-out fold."""
     return classifiers.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that a document holds, with the best matching place of each template."""
     return licenses.licences(read(spark, sf_dir, "documents"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with their similarity."""
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with the number of their links, their group, and whether they stay."""
     return hnsw.vector_links(read(spark, sf_dir, "embeddings"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words that a 35-word window covers which stands elsewhere too."""
     return repeats.remove_repeated_words(read(spark, sf_dir, "documents")).drop("kept")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from labels outside the held-out fold."""
     return classifiers.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the size of their shingle set and the group of near copies they belong to."""
     return jaccard.near_components(read(spark, sf_dir, "documents"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digests of every document's token ids and of what they decode to."""
     return bpe.digest(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
