@@ -16,7 +16,8 @@ from epochlake.llm.common import read, written
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learnt from the labels, doesn't reject (score >= 0.7).
 
-    Rows are kept as they stand; a text is scored once for each row that repeats it.
+    Rows are kept as they stand; a text is scored once for each row that repeats it. Null and empty texts score by the
+    classifier's bias; columns besides id and text are passed on, whatever their names.
     """
     found = classifiers.quality(docs, read(spark, sf_dir, "labels"), keep=True)
     return found.where("predicted = 1").select(docs.columns)
@@ -27,6 +28,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Links: similarity of five-word shingles of 0.8 or more. Documents without words link with nothing and stay.
     Documents without an id stay unless they are copies of one with an id; an id that stays keeps all its rows.
+    Columns besides id and text are passed on, whatever their names.
     """
     groups = jaccard.near_components(docs, size=5, p=80, q=100)
     # rows of a group that stay: smallest id, or no id in the whole group
@@ -47,14 +49,21 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none and stay; a null id goes with all rows of null id if one of them holds an item;
+    columns besides id and text are passed on, whatever their names.
+    """
     found = decontaminate.leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, checked by decoding: doc_id, lang, source, ids, n_tokens and digests."""
-    coded = bpe.encode(docs, queries.tokenizer_path(), keep=True)
+    """Token ids of each document, checked by decoding: doc_id, lang, source, ids, n_tokens and digests.
+
+    Null and empty texts have no ids; rows that repeat are encoded each; other columns of docs are left behind.
+    """
+    coded = bpe.encode(docs, queries.tokenizer_path(), keep=("ids",))
     return coded.select("doc_id", "lang", "source", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
