@@ -39,29 +39,39 @@ def _code(bits: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a * 2 + b.cast("long"))
 
 
+KINDS = ("lndp", "lgp", "lbp")
+
+
+def _bits(kind: str, run: Column, m: int) -> Column:
+    half = m // 2
+    centre = F.element_at(run, half + 1)
+    around = F.concat(F.slice(run, 1, half), F.slice(run, half + 2, half))
+    if kind == "lndp":
+        return F.zip_with(F.slice(run, 2, m), F.slice(run, 1, m), lambda b, a: b >= a)
+    if kind == "lgp":
+        distance = F.transform(around, lambda v: F.abs(v - centre))
+        mean = F.aggregate(distance, F.lit(0.0), lambda a, b: a + b) / m
+        return F.transform(distance, lambda g: g >= mean)
+    if kind == "lbp":
+        return F.transform(around, lambda v: v >= centre)
+    raise ValueError(f"no pattern {kind}")
+
+
+def neighbourhoods(sig: DataFrame, m: int, *key: str) -> DataFrame:
+    """Windows of m + 1 samples around a centre as arrays `run`, an even m; t_idx is the window's first sample."""
+    if m % 2 or m < 2:
+        raise ValueError("the number of neighbours must be even")
+    w = Window.partitionBy(*key).orderBy("t_idx").rowsBetween(0, m)
+    return sig.withColumn("run", F.collect_list("x").over(w)).where(F.size("run") == m + 1)
+
+
 def pattern_codes(sig: DataFrame, m: int, kind: str, *key: str) -> DataFrame:
     """Codes of windows of m + 1 samples around a centre, an even m; bit zero belongs to the last neighbour.
 
     lndp: differences of neighbours that don't fall; lgp: distances from the centre of at least their mean; lbp: neighbours
     of at least the centre. t_idx is the window's first sample; a signal of n samples has n - m codes.
     """
-    if m % 2 or m < 2:
-        raise ValueError("the number of neighbours must be even")
-    w, half = Window.partitionBy(*key).orderBy("t_idx").rowsBetween(0, m), m // 2
-    s = sig.withColumn("run", F.collect_list("x").over(w)).where(F.size("run") == m + 1)
-    run, centre = F.col("run"), F.element_at("run", half + 1)
-    around = F.concat(F.slice(run, 1, half), F.slice(run, half + 2, half))
-    if kind == "lndp":
-        bits = F.zip_with(F.slice(run, 2, m), F.slice(run, 1, m), lambda b, a: b >= a)
-    elif kind == "lgp":
-        distance = F.transform(around, lambda v: F.abs(v - centre))
-        mean = F.aggregate(distance, F.lit(0.0), lambda a, b: a + b) / m
-        bits = F.transform(distance, lambda g: g >= mean)
-    elif kind == "lbp":
-        bits = F.transform(around, lambda v: v >= centre)
-    else:
-        raise ValueError(f"no pattern {kind}")
-    return s.select(*key, "t_idx", _code(bits).alias("code"))
+    return neighbourhoods(sig, m, *key).select(*key, "t_idx", _code(_bits(kind, F.col("run"), m)).alias("code"))
 
 
 def code_histogram(codes: DataFrame, m: int, *key: str, share: bool = True) -> DataFrame:
@@ -74,14 +84,12 @@ def code_histogram(codes: DataFrame, m: int, *key: str, share: bool = True) -> D
 
 
 def local_patterns(sig: DataFrame, m: int, *key: str) -> DataFrame:
-    """Histogram shares of the three families, named by family and zero-padded code."""
+    """Histogram shares of the three families, named by family and zero-padded code; one pass over the signal."""
     digits = len(str(2**m - 1))
-    parts = None
-    for kind in ("lndp", "lgp", "lbp"):
-        h = code_histogram(pattern_codes(sig, m, kind, *key), m, *key)
-        h = h.select(*key, F.concat(F.lit(f"{kind}:code_"), F.lpad(F.col("code").cast("string"), digits, "0")).alias("feature"), "value")
-        parts = h if parts is None else parts.unionByName(h)
-    return parts
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), _code(_bits(k, F.col("run"), m)).alias("code")) for k in KINDS))
+    codes = neighbourhoods(sig, m, *key).select(*key, F.explode(kinds).alias("c")).select(*key, "c.kind", "c.code")
+    name = F.concat("kind", F.lit(":code_"), F.lpad(F.col("code").cast("string"), digits, "0"))
+    return code_histogram(codes, m, *key, "kind").select(*key, name.alias("feature"), "value")
 
 
 def long_form(wide: DataFrame, *key: str, block: str = "time") -> DataFrame:
@@ -100,7 +108,7 @@ def flatten_symmetric(matrix: DataFrame, channels: int, *key: str) -> DataFrame:
 
 def select_blocks(features: DataFrame, names: list[str]) -> DataFrame:
     """Blocks in the given order; a block that nothing has is an error."""
-    known = {r[0] for r in features.select("block").distinct().limit(10_000).collect()}
+    known = {r[0] for r in features.where(F.col("block").isin(names)).select("block").distinct().collect()}
     if missing := [n for n in names if n not in known]:
         raise ValueError(f"unknown blocks: {missing}")
     order = F.create_map(*(x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k))))

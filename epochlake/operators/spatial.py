@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,28 +10,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def empirical(sig: DataFrame, n: int, *key: str) -> DataFrame:
-    """Covariance over n samples per key: i, j, value for all channel pairs.
+def _covariances(sig: DataFrame, n: int, key: tuple[str, ...], finish: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Matrices of each key as rows (i, j, value): an epoch is gathered once, its products are taken where it lies."""
+    cells = F.struct(F.col("ch_idx").cast("int").alias("c"), F.col("t_idx").cast("long").alias("t"), F.col("x").cast("double").alias("x"))
+    whole = sig.groupBy(*key).agg(F.collect_list(cells).alias("s"))
 
-    Channels of one sample are gathered to an array, so the pairs come from a row and no join is needed; the sums
-    are combined before they are shuffled.
-    """
-    centred = sig.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy(*key, "ch_idx")))
-    rows = centred.groupBy(*key, "t_idx").agg(F.array_sort(F.collect_list(F.struct("ch_idx", "x"))).alias("v"))
-    pairs = rows.select(*key, F.explode("v").alias("a"), "v").select(*key, "a", F.explode("v").alias("b"))
-    return pairs.groupBy(*key, F.col("a.ch_idx").alias("i"), F.col("b.ch_idx").alias("j")).agg((F.sum(F.col("a.x") * F.col("b.x")) / n).alias("value"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("s")
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            c, t, x = (lists.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("c", "t", "x"))
+            rows, left, right, value = [], [], [], []
+            for k in range(batch.num_rows):
+                part = slice(ends[k], ends[k + 1])
+                channels, row = np.unique(c[part], return_inverse=True)
+                times, col = np.unique(t[part], return_inverse=True)
+                m, seen = np.zeros((len(channels), len(times))), np.zeros((len(channels), len(times)), dtype=bool)
+                m[row, col], seen[row, col] = x[part], True
+                m = np.where(seen, m - m.sum(axis=1, keepdims=True) / seen.sum(axis=1, keepdims=True), 0.0)
+                cov = finish(m @ m.T / n)
+                rows.append(np.full(cov.size, k))
+                left.append(np.repeat(channels, len(channels)))
+                right.append(np.tile(channels, len(channels)))
+                value.append(cov.ravel())
+            if rows:
+                of = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([*(batch.column(f).take(of) for f in key), pa.array(np.concatenate(left).astype(np.int32)), pa.array(np.concatenate(right).astype(np.int32)), pa.array(np.concatenate(value))], names=[*key, "i", "j", "value"])
+
+    kinds = "".join(f"`{f}` {sig.schema[f].dataType.simpleString()}, " for f in key)
+    return whole.mapInArrow(run, f"{kinds}i int, j int, value double")
+
+
+def empirical(sig: DataFrame, n: int, *key: str) -> DataFrame:
+    """Covariance over n samples per key: i, j, value for all channel pairs; a missing sample adds nothing."""
+    return _covariances(sig, n, key, lambda c: c)
 
 
 def covariance(sig: DataFrame, channels: int, n: int, *key: str) -> DataFrame:
     """Covariance with oracle approximating shrinkage towards mean variance; constant signals give zeros."""
-    c = empirical(sig, n, *key)
-    w = Window.partitionBy(*key)
-    mu = F.sum(F.when(F.col("i") == F.col("j"), F.col("value")).otherwise(0.0)).over(w) / channels
-    alpha = F.avg(F.col("value") * F.col("value")).over(w)
-    c = c.withColumn("mu", mu).withColumn("alpha", alpha)
-    below = (n + 1) * (F.col("alpha") - F.col("mu") * F.col("mu") / channels)
-    s = F.when(below > 0, F.least(F.lit(1.0), (F.col("alpha") + F.col("mu") * F.col("mu")) / below)).otherwise(1.0)
-    return c.withColumn("s", s).select(*key, "i", "j", ((1 - F.col("s")) * F.col("value") + F.when(F.col("i") == F.col("j"), F.col("s") * F.col("mu")).otherwise(0.0)).alias("value"))
+
+    def shrunk(c: np.ndarray) -> np.ndarray:
+        mu, alpha = np.trace(c) / channels, (c * c).mean()
+        below = (n + 1) * (alpha - mu * mu / channels)
+        s = min(1.0, (alpha + mu * mu) / below) if below > 0 else 1.0
+        return (1 - s) * c + s * mu * np.eye(len(c))
+
+    return _covariances(sig, n, key, shrunk)
 
 
 def correlation(cov: DataFrame, *key: str) -> DataFrame:

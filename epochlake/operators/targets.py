@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Groups that a driver-side permutation may list; more is an error, since the list is small by design.
-MOST_GROUPS = 1_000_000
+#: Groups that a driver-side permutation may list; more is an error, since the list is dealt and broadcast (megabytes).
+MOST_GROUPS = 100_000
 
 
 def pixel_targets(images: DataFrame, *key: str) -> DataFrame:
@@ -30,8 +30,10 @@ def group_shuffle_split(df: DataFrame, group: str, test_size: float, seed: int)
     """Rows with side 'train' or 'test': ceil(test_size * groups) groups of a seeded permutation are test."""
     groups = group_list(df, group)
     order = np.random.RandomState(seed).permutation(len(groups))
-    test = [groups[k] for k in order[: math.ceil(test_size * len(groups))]]
-    return df.withColumn("side", F.when(F.col(group).isin(test), "test").otherwise("train"))
+    test = math.ceil(test_size * len(groups))
+    sides = [(groups[k], "test" if n < test else "train") for n, k in enumerate(order.tolist())]
+    table = df.sparkSession.createDataFrame(sides, f"`{group}` {df.schema[group].dataType.simpleString()}, side string")
+    return df.join(F.broadcast(table), group)
 
 
 def group_kfold(df: DataFrame, group: str, k: int, seed: int) -> DataFrame:
@@ -72,9 +74,22 @@ def stratified_group_kfold(df: DataFrame, group: str, k: int, seed: int) -> Data
 
 
 def leave_one_out(df: DataFrame, group: str) -> DataFrame:
-    """Every row once per group as direction, 'test' where it belongs to it."""
-    groups = df.select(F.col(group).alias("direction")).distinct()
-    return df.crossJoin(F.broadcast(groups)).withColumn("side", F.when(F.col(group) == F.col("direction"), "test").otherwise("train"))
+    """Every row once per group as direction, 'test' where it belongs to it; the groups are a bounded list.
+
+    The rows are as many as rows times groups; where only counts are wanted, leave_one_out_counts needs no such rows.
+    """
+    kind = df.schema[group].dataType.simpleString()
+    known = df.sparkSession.createDataFrame([(group_list(df, group),)], f"directions array<{kind}>")
+    spread = df.crossJoin(F.broadcast(known)).withColumn("direction", F.explode("directions")).drop("directions")
+    return spread.withColumn("side", F.when(F.col(group) == F.col("direction"), "test").otherwise("train"))
+
+
+def leave_one_out_counts(df: DataFrame, group: str) -> DataFrame:
+    """Rows on each side of each direction, from the counts of the groups: direction, side, n."""
+    per = df.groupBy(F.col(group).alias("direction")).agg(F.count("*").alias("own"))
+    both = per.join(F.broadcast(per.agg(F.sum("own").alias("total"))))
+    sides = F.array(F.struct(F.lit("test").alias("side"), F.col("own").alias("n")), F.struct(F.lit("train").alias("side"), (F.col("total") - F.col("own")).alias("n")))
+    return both.select("direction", F.explode(sides).alias("s")).select("direction", "s.side", "s.n").where("n > 0")
 
 
 def within_subject(df: DataFrame, subject: str, trial: str) -> DataFrame:

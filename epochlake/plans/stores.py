@@ -15,10 +15,14 @@ from epochlake.sources.tables import class_scores, epochs, read, scores, scores_
 
 
 def scratch(spark) -> str:
-    """A new folder below the one that all executors share."""
+    """A new folder below the one that all executors share; a temporary one in local mode only."""
     import tempfile
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/epochlake-{uuid.uuid4().hex}"
 
 
