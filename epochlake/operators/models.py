@@ -71,17 +71,141 @@ def fit_pls(df: DataFrame, x: list[str], y: list[str], components: int) -> DataF
     return coefficients(df, x, y, w, mean[k:] - mean[:k] @ w)
 
 
-def fit_lda(df: DataFrame, x: list[str], shrinkage: float) -> DataFrame:
-    """Two-class discriminant weights from class means and pooled covariance."""
+def fit_lda(df: DataFrame, x: list[str], shrinkage: float | None) -> DataFrame:
+    """Two-class discriminant weights from class means and pooled covariance.
+
+    shrinkage None: each class's covariance is shrunk by the Ledoit-Wolf amount of its standardised features; 0: none,
+    and directions without variance are left out (the form by singular values).
+    """
     grams = {c: centred_gram(df.where(F.col("y") == c), x) for c in (0, 1)}
     n = sum(g[2] for g in grams.values())
-    s = sum(g[0] for g in grams.values()) / max(n, 1)
-    s = (1 - shrinkage) * s + shrinkage * np.trace(s) / len(x) * np.eye(len(x))
-    w = np.linalg.solve(s, grams[1][1] - grams[0][1])
+    if shrinkage is None:
+        s = sum(_ledoit_wolf(df.where(F.col("y") == c).select(x).dropna(), x, *grams[c]) * grams[c][2] for c in (0, 1)) / max(n, 1)
+    else:
+        s = sum(g[0] for g in grams.values()) / max(n, 1)
+        s = (1 - shrinkage) * s + shrinkage * np.trace(s) / len(x) * np.eye(len(x))
+    apart = grams[1][1] - grams[0][1]
+    w = np.linalg.pinv(s, hermitian=True) @ apart if shrinkage == 0 else np.linalg.solve(s, apart)
     b = -(grams[1][1] + grams[0][1]) @ w / 2 + np.log(max(grams[1][2], 1) / max(grams[0][2], 1))
     return coefficients(df, x, ["y"], w[:, None], np.array([b]))
 
 
+def _ledoit_wolf(rows: DataFrame, x: list[str], gram: np.ndarray, mean: np.ndarray, n: int) -> np.ndarray:
+    """Covariance of standardised columns shrunk to its mean variance, in the columns' own scale.
+
+    Besides the products of columns it takes one sum over rows, of their squared lengths squared.
+    """
+    if not n:
+        return np.zeros_like(gram)
+    scale = np.sqrt(np.diag(gram) / n)
+    scale[scale == 0] = 1.0
+    s = gram / n / np.outer(scale, scale)
+    lengths = sum(F.pow((F.col(c) - float(m)) / float(d), 2) for c, m, d in zip(x, mean, scale, strict=True))
+    beta = rows.agg(F.sum(lengths * lengths)).first()[0]
+    p, mu, norm = len(x), np.trace(s) / len(x), float((s * s).sum())
+    delta = (norm - p * mu * mu) / p
+    by = min((beta / n - norm) / (p * n), delta)
+    amount = by / delta if delta > 0 else 0.0
+    return ((1 - amount) * s + amount * mu * np.eye(p)) * np.outer(scale, scale)
+
+
+def distinct_rows(df: DataFrame, *columns: str) -> DataFrame:
+    """Different rows with their number as weight, rows with a null left out: fits see each once."""
+    return df.select(*columns).dropna().groupBy(*columns).agg(F.count("*").cast("double").alias("rows"))
+
+
+def fit_logistic_grid(df: DataFrame, x: list[str], task: str, fold: str, grid: list[dict], parallel: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Candidates of a logistic model by mean balanced accuracy over folds, and the weights of the best refitted.
+
+    A candidate has k (features with the largest F score of the training rows), c (inverse penalty, as 1 / (c * n)),
+    l1 (share of the absolute penalty) and balanced (classes weighted to equal shares). Equal rows are one weighted
+    row; each fit is a Spark job of its own, some at a time. Returns (candidate, k, c, l1, balanced, score, rank) and
+    (task, feature, weight), features not selected with weight 0.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = distinct_rows(df, *x, task, fold).withColumnRenamed(task, "label").cache()
+    folds = sorted(r[0] for r in rows.select(fold).distinct().limit(1001).collect())
+    if len(folds) > 1000:
+        raise ValueError("more than 1000 folds")
+
+    def chosen(train: DataFrame, k: int) -> list[str]:
+        w = F.col("rows")
+        per = train.groupBy("label").agg(F.sum(w).alias("n"), *(F.sum(w * F.col(c)).alias(f"s_{c}") for c in x), *(F.sum(w * F.col(c) * F.col(c)).alias(f"q_{c}") for c in x)).collect()
+        score = {}
+        for c in x:
+            n, s, q = (np.array([r[f"{a}{c}" if a != "n" else "n"] for r in per]) for a in ("n", "s_", "q_"))
+            between = (s * s / n).sum() - s.sum() ** 2 / n.sum()
+            within = (q - s * s / n).sum()
+            score[c] = between / within if within > 0 else 0.0
+        return [c for c in x if c in sorted(x, key=lambda c: (-score[c], x.index(c)))[:k]]
+
+    def fit(train: DataFrame, g: dict):  # noqa: ANN202
+        per = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.sum("rows").alias("n")).collect()}
+        n, names = sum(per.values()), chosen(train, g["k"])
+        weight = F.col("rows") * F.coalesce(*(F.when(F.col("label") == y, n / (len(per) * c)) for y, c in per.items())) if g["balanced"] else F.col("rows")
+        data = VectorAssembler(inputCols=names, outputCol="features").transform(train.withColumn("weight", weight))
+        return names, LogisticRegression(regParam=1 / (g["c"] * n), elasticNetParam=float(g["l1"]), weightCol="weight", standardization=False, tol=1e-8, maxIter=200).fit(data)
+
+    def score(job: tuple[dict, object]) -> float:
+        g, held = job
+        names, model = fit(rows.where(F.col(fold) != F.lit(held)), g)
+        test = VectorAssembler(inputCols=names, outputCol="features").transform(rows.where(F.col(fold) == F.lit(held)))
+        per = model.transform(test).groupBy("label").agg((F.sum(F.when(F.col("prediction") == F.col("label"), F.col("rows")).otherwise(0.0)) / F.sum("rows")).alias("recall")).collect()
+        return float(np.mean([r["recall"] for r in per]))
+
+    jobs = [(g, f) for g in grid for f in folds]
+    with ThreadPoolExecutor(parallel) as pool:
+        scores = np.array(list(pool.map(score, jobs))).reshape(len(grid), len(folds)).mean(axis=1)
+    order = sorted(range(len(grid)), key=lambda k: (-round(scores[k], 12), k))
+    names, best = fit(rows, grid[order[0]])
+    rows.unpersist()
+    weights = dict(zip(names, best.coefficients.toArray().tolist(), strict=True))
+    table = [(k, g["k"], float(g["c"]), float(g["l1"]), bool(g["balanced"]), float(scores[k]), order.index(k) + 1) for k, g in enumerate(grid)]
+    spark = df.sparkSession
+    return spark.createDataFrame(table, "candidate int, k int, c double, l1 double, balanced boolean, score double, rank int"), spark.createDataFrame([(task, c, weights.get(c, 0.0)) for c in x] + [(task, "(intercept)", float(best.intercept))], "task string, feature string, weight double")
+
+
+def out_of_fold(df: DataFrame, x: list[str], y: str, fold: str, folds: int, alpha: float = 1.0) -> DataFrame:
+    """Rows with score: the decision value of a ridge classifier that was fitted on the other folds (0 to folds - 1).
+
+    Each fold's model is solved from sums of products of the rest; the scores are one expression over all rows, and a
+    row whose fold isn't among them is an error, so that every row is covered once.
+    """
+    if not df.where(F.col(fold).isNull() | ~F.col(fold).between(0, folds - 1)).isEmpty():
+        raise ValueError("rows outside the folds")
+    cases = []
+    signs = df.withColumn("sign", 2.0 * F.col(y) - 1.0)
+    for f in range(folds):
+        w = {r["feature"]: r["weight"] for r in fit_ridge(signs.where(F.col(fold) != f), x, ["sign"], alpha).collect()}
+        cases.append(F.when(F.col(fold) == f, F.lit(w["(intercept)"]) + sum(F.col(c) * w[c] for c in x)))
+    return df.withColumn("score", F.coalesce(*cases))
+
+
+def fit_hinge(df: DataFrame, x: list[str], y: str, penalty: float, rounds: int = 60) -> DataFrame:
+    """Hinge-loss weights by subgradient steps of size 1 / (penalty * t), averaged over the second half of the steps.
+
+    Each step is one aggregation over the different rows; the intercept isn't penalised.
+    """
+    rows = distinct_rows(df, *x, y).withColumn("sign", 2.0 * F.col(y) - 1.0).cache()
+    n = rows.agg(F.sum("rows")).first()[0] or 1.0
+    w, total, taken = np.zeros(len(x) + 1), np.zeros(len(x) + 1), 0
+    for t in range(1, rounds + 1):
+        margin = F.col("sign") * (F.lit(float(w[-1])) + sum(F.col(c) * float(v) for c, v in zip(x, w, strict=False)))
+        short = F.when(margin < 1, F.col("rows") * F.col("sign")).otherwise(0.0)
+        g = np.array(rows.agg(*(F.sum(short * F.col(c)) for c in x), F.sum(short)).first(), dtype=float) / n
+        step = 1 / (penalty * (t + 10))
+        w = w + step * (g - penalty * np.append(w[:-1], 0.0))
+        if t > rounds // 2:
+            total, taken = total + w, taken + 1
+    rows.unpersist()
+    w = total / max(taken, 1)
+    return coefficients(df, x, [y], w[:-1, None], np.array([w[-1]]))
+
+
 def assembled(df: DataFrame, x: list[str], y: str) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 

@@ -121,6 +121,65 @@ def tangent_space(cov: DataFrame, channels: int, train: Column, *key: str) -> Da
     return _mapped(matrices(cov, channels, *key), channels, lambda m: _log(white @ m @ white), *key)
 
 
+def _power(m: np.ndarray, by: float) -> np.ndarray:
+    values, vectors = np.linalg.eigh(m)
+    return vectors @ np.diag(np.maximum(values, 1e-12 * values.max()) ** by) @ vectors.T
+
+
+def riemannian_mean(cov: DataFrame, channels: int, *key: str, rounds: int = 20, tol: float = 1e-9) -> np.ndarray:
+    """Affine-invariant mean of positive matrices: the place where the logarithms of all average to zero.
+
+    Each round averages log(M^-1/2 C M^-1/2) in Spark; only channels squared numbers reach the driver.
+    """
+    mean = mean_matrix(matrices(cov, channels, *key), channels)
+    for _ in range(rounds):
+        root, white = _power(mean, 0.5), _power(mean, -0.5)
+        logs = _mapped(matrices(cov, channels, *key), channels, lambda m, white=white: _log(white @ m @ white), *key)
+        step = mean_matrix(matrices(logs, channels, *key), channels)
+        values, vectors = np.linalg.eigh(step)
+        mean = root @ (vectors @ np.diag(np.exp(values)) @ vectors.T) @ root
+        if np.linalg.norm(step) < tol:
+            break
+    return mean
+
+
+def riemannian_tangent(cov: DataFrame, channels: int, train: Column, *key: str) -> DataFrame:
+    """Logarithm of each matrix at the affine-invariant mean of the training matrices."""
+    white = _power(riemannian_mean(cov.where(train), channels, *key), -0.5)
+    return _mapped(matrices(cov, channels, *key), channels, lambda m: _log(white @ m @ white), *key)
+
+
+def xdawn_covariances(sig: DataFrame, channels: int, n: int, filters: int, train: Column) -> tuple[DataFrame, int]:
+    """Shrunk covariances of filtered epochs joined to filtered class templates, and their number of channels.
+
+    sig has epoch_id, y, ch_idx, t_idx, x. A class's template is the average of its training epochs; its filters
+    enhance the template against the training signals (generalised eigenproblem of channel size, solved here). The
+    templates seen through their filters are put beside every epoch seen through all filters, as in ERP covariances.
+    """
+    known = sig.where(train)
+    templates = known.groupBy("y", "ch_idx", "t_idx").agg(F.avg("x").alias("x")).orderBy("y", "ch_idx", "t_idx").collect()  # classes * channels * n cells
+    classes = sorted({r["y"] for r in templates})
+    evoked = {y: np.zeros((channels, n)) for y in classes}
+    for r in templates:
+        evoked[r["y"]][r["ch_idx"], r["t_idx"]] = r["x"]
+    noise = mean_matrix(matrices(empirical(known, n, "epoch_id"), channels, "epoch_id"), channels)
+    white = _power(noise, -0.5)
+    bank = []
+    for y in classes:
+        e = evoked[y] - evoked[y].mean(axis=1, keepdims=True)
+        values, vectors = np.linalg.eigh(white @ (e @ e.T / n) @ white)
+        bank.append((white @ vectors[:, np.argsort(-values, kind="stable")[:filters]]).T)
+    prototypes = np.concatenate([f @ evoked[y] for y, f in zip(classes, bank, strict=True)])
+    bank_rows = np.concatenate(bank)
+    half = len(bank_rows)
+    weights = sig.sparkSession.createDataFrame([(k, c, float(v)) for k, f in enumerate(bank_rows) for c, v in enumerate(f)], "f int, ch_idx int, w double")
+    seen = sig.join(F.broadcast(weights), "ch_idx").groupBy("epoch_id", "t_idx", (F.col("f") + half).alias("f")).agg(F.sum(F.col("x") * F.col("w")).alias("x"))
+    fixed = sig.sparkSession.createDataFrame([(k, t, float(v)) for k, p in enumerate(prototypes) for t, v in enumerate(p)], "f int, t_idx int, x double")
+    beside = sig.select("epoch_id").distinct().crossJoin(F.broadcast(fixed)).select("epoch_id", "t_idx", "f", "x")
+    joined = seen.select("epoch_id", "t_idx", "f", "x").unionByName(beside).withColumnRenamed("f", "ch_idx")
+    return covariance(joined, 2 * half, n, "epoch_id"), 2 * half
+
+
 def csp_features(sig: DataFrame, channels: int, n: int, components: int, train: Column) -> DataFrame:
     """Common spatial patterns of two classes: log power of each epoch along filters that separate them most.
 

@@ -94,3 +94,17 @@ def unpaired(a: DataFrame, b: DataFrame, *key: str) -> DataFrame:
 
 def not_finite(c: Column) -> Column:
     return F.isnan(c) | (F.abs(c) == float("inf"))
+
+
+def comparison_frame(runs: DataFrame) -> DataFrame:
+    """A row for each model and for each contrast of two models over their common subjects: kind, name, n, value, better.
+
+    runs has subject, run_id, ba. value is the mean of a model, or the mean difference of the later named model from
+    the earlier; better is the share of subjects with a larger value. Subjects without a value are left out.
+    """
+    model = runs.groupBy("run_id").agg(F.count("ba").alias("n"), F.round(F.avg("ba"), 6).alias("value"))
+    model = model.select(F.lit("model").alias("kind"), F.col("run_id").alias("name"), "n", "value", F.lit(None).cast("double").alias("better"))
+    x, y = (runs.where("ba IS NOT NULL").select("subject", F.col("run_id").alias(f"run_{s}"), F.col("ba").alias(f"ba_{s}")) for s in "xy")
+    pairs = x.join(y, "subject").where("run_x < run_y").groupBy("run_x", "run_y")
+    contrast = pairs.agg(F.count("*").alias("n"), F.round(F.avg(F.col("ba_y") - F.col("ba_x")), 6).alias("value"), F.round(F.avg((F.col("ba_y") > F.col("ba_x")).cast("double")), 6).alias("better"))
+    return model.unionByName(contrast.select(F.lit("contrast").alias("kind"), F.concat("run_y", F.lit("-"), "run_x").alias("name"), "n", "value", "better"))

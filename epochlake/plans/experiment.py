@@ -330,3 +330,42 @@ def m12(spark, sf):
 def m13(spark, sf):
     e = read(spark, sf, "embeddings").select(*(F.col("embedding")[k].cast("double").alias(f"x{k + 1}") for k in range(N)), F.col("label").cast("double").alias("y"))
     return models.one_vs_rest(e, [f"x{k + 1}" for k in range(N)], 10)
+
+
+GRID = [{"k": k, "c": c, "l1": l1, "balanced": balanced} for k in (2, 3) for c in (0.01, 1.0) for l1 in (0.0, 1.0) for balanced in (False, True)]
+
+
+@query("m1_logistic_grid")
+def m1_grid(spark, sf):
+    t = line_table(spark, sf).withColumn("fold", F.col("subject") % 3)
+    candidates, _ = models.fit_logistic_grid(t, X, "y1", "fold", GRID)
+    return candidates
+
+
+@query("m1_logistic_refit")
+def m1_refit(spark, sf):
+    t = line_table(spark, sf).withColumn("fold", F.col("subject") % 3)
+    _, weights = models.fit_logistic_grid(t, X, "y1", "fold", [g for g in GRID if g["balanced"]])
+    return weights
+
+
+@query("m6_out_of_fold_platt")
+def m6_oof(spark, sf):
+    t = line_table(spark, sf).withColumn("fold", (F.col("subject") % 5).cast("int"))
+    oof = models.out_of_fold(t, X, "y1", "fold", 5).select("score", F.col("y1").alias("y")).cache()
+    return models.platt(oof)
+
+
+@query("m12_lda_auto_shrinkage")
+def m12_auto(spark, sf):
+    return models.fit_lda(line_table(spark, sf).withColumn("y", F.col("y1").cast("int")), X, None)
+
+
+@query("m12_lda_svd")
+def m12_svd(spark, sf):
+    return models.fit_lda(line_table(spark, sf).withColumn("y", F.col("y1").cast("int")), X, 0.0)
+
+
+@query("m14_hinge_subgradient")
+def m14_hinge(spark, sf):
+    return models.fit_hinge(line_table(spark, sf), X, "y1", 0.01)

@@ -213,6 +213,18 @@ def c5(spark, sf):
     return rounded(spatial.tangent_space(covariance(spark, sf), 4, F.col("epoch_id") % 10 != 0, "epoch_id"), "value", digits=6)
 
 
+@query("c5_riemannian_tangent")
+def c5_riemannian(spark, sf):
+    return rounded(spatial.riemannian_tangent(covariance(spark, sf), 4, F.col("epoch_id") % 10 != 0, "epoch_id"), "value", digits=6)
+
+
+@query("c5_xdawn_covariances")
+def c5_xdawn(spark, sf):
+    lab = epochs(spark, sf).select("epoch_id", (F.col("label") % 2).cast("int").alias("y"))
+    cov, channels = spatial.xdawn_covariances(sig4(spark, sf).join(lab, "epoch_id"), 4, 16, 2, F.col("epoch_id") % 10 != 0)
+    return rounded(spatial.riemannian_tangent(cov, channels, F.col("epoch_id") % 10 != 0, "epoch_id"), "value", digits=6)
+
+
 @query("p5_morlet_power")
 def p5(spark, sf):
     from epochlake.operators.wavelets import morlet_power

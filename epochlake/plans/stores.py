@@ -244,6 +244,16 @@ def r11(spark, sf):
     return t.agg(F.count("*").alias("n"), F.round(F.avg("diff"), 6).alias("mean"), F.round(F.avg((F.col("diff") > 0).cast("double")), 6).alias("better"))
 
 
+FRAME = """SELECT 'model' AS kind, run_id AS name, count(ba) AS n, round(avg(ba), 6) AS value, CAST(NULL AS DOUBLE) AS better FROM m GROUP BY run_id
+UNION ALL SELECT 'contrast', y.run_id || '-' || x.run_id, count(*), round(avg(y.ba - x.ba), 6), round(avg(CASE WHEN y.ba > x.ba THEN 1.0 ELSE 0.0 END), 6)
+FROM m x JOIN m y ON x.subject = y.subject AND x.run_id < y.run_id WHERE x.ba IS NOT NULL AND y.ba IS NOT NULL GROUP BY x.run_id, y.run_id"""
+
+
+@query("r11_models_and_contrasts", with_("scores", more=RUNS, sql=FRAME))
+def r11_frame(spark, sf):
+    return store.comparison_frame(run_table(spark, sf))
+
+
 @query("r12_leader_checks", with_("scores", more=RUNS, sql="SELECT run_id, subject AS leader, ba FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ba DESC NULLS LAST, subject) AS r FROM m) WHERE r = 1"))
 def r12(spark, sf):
     w = Window.partitionBy("run_id").orderBy(F.desc_nulls_last("ba"), "subject")
