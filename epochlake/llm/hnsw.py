@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +14,11 @@ from .common import connected_components, written
 from .text import mix
 
 DEGREE = 16
-#: Shards are at least so many, and more only where one would hold more vectors than this.
+#: Shards are at least so many, and more where one would hold more vectors than this (about 100 MB with its graph and
+#: what a search keeps); queries come in slices of so many vectors, each a task of its own beside a shard.
 SHARDS = 6
-SHARD_VECTORS = 500_000
+SHARD_VECTORS = 60_000
+SLICE_VECTORS = 10_000
 FIRST_BEAM = 48
 RECALL = 0.99
 AUDITS = 256
@@ -198,23 +201,29 @@ def audited_beam(graph: Graph, least: float) -> int:
     return beam
 
 
-def shard_links(codes: np.ndarray, counts: np.ndarray, vectors: np.ndarray, queries: Iterator[tuple[np.ndarray, np.ndarray]], least: float) -> Iterator[tuple[int, int, list[int]]]:
-    """For each query with links in this shard: code, number of linked vectors, one member of each linked group."""
+def verified(graph: Graph, exact: np.ndarray, q: np.ndarray, beam: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, number) of the vectors found whose cosine in double precision is at least `least`."""
+    rows, found = graph.search(q.astype(np.float32), beam, least - SLACK)
+    sims = np.empty(len(rows))
+    for k in range(0, len(rows), 100_000):
+        sims[k : k + 100_000] = np.einsum("ad,ad->a", q[rows[k : k + 100_000]], exact[found[k : k + 100_000]])
+    return rows[sims >= least], found[sims >= least]
+
+
+def steps(queries: int, stored: int) -> Iterator[tuple[int, int]]:
+    """Batches of queries that keep what a search remembers to some megabytes."""
+    step = int(np.clip(8_000_000 // max(stored, 1), 16, 512))
+    return ((a, min(a + step, queries)) for a in range(0, queries, step))
+
+
+def built_shard(codes: np.ndarray, counts: np.ndarray, vectors: np.ndarray, least: float) -> bytes:
+    """A shard ready for queries: vectors, graph, the beam that its audit asks for, and which vectors link within it."""
     exact = unit(vectors.astype(np.float64))
     graph = Graph(exact.astype(np.float32), codes)
     beam = audited_beam(graph, least - SLACK)
-    step = int(np.clip(8_000_000 // len(codes), 16, 512))
-
-    def links(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows, found = graph.search(q.astype(np.float32), beam, least - SLACK)
-        sims = np.empty(len(rows))
-        for k in range(0, len(rows), 100_000):
-            sims[k : k + 100_000] = np.einsum("ad,ad->a", q[rows[k : k + 100_000]], exact[found[k : k + 100_000]])
-        return rows[sims >= least], found[sims >= least]
-
     group = np.arange(len(codes))
-    for a in range(0, len(codes), step):
-        rows, found = links(exact[a : a + step])
+    for a, b in steps(len(codes), len(codes)):
+        rows, found = verified(graph, exact, exact[a:b], beam, least)
         lo, hi = np.minimum(rows + a, found), np.maximum(rows + a, found)
         for x, y in np.unique(np.stack((lo, hi), axis=1)[lo < hi], axis=0).tolist():
             while group[x] != x:
@@ -224,16 +233,35 @@ def shard_links(codes: np.ndarray, counts: np.ndarray, vectors: np.ndarray, quer
             group[max(x, y)] = min(x, y)
     while (group[group] != group).any():
         group = group[group]
-    for q_codes, q_vectors in queries:
-        q = unit(q_vectors.astype(np.float64))
-        for a in range(0, len(q), step):
-            rows, found = links(q[a : a + step])
-            other = codes[found] != q_codes[a + rows]
+    layers = [(layer.nodes.astype(np.int32), layer.degree, layer.links[layer.nodes]) for layer in graph.layers]
+    return pickle.dumps((codes, counts, vectors, layers, beam, group.astype(np.int32)))
+
+
+class Shard:
+    """A built shard, read back."""
+
+    def __init__(self, stored: bytes):
+        self.codes, self.counts, vectors, layers, self.beam, self.group = pickle.loads(stored)
+        self.exact = unit(vectors.astype(np.float64))
+        self.graph = Graph.__new__(Graph)
+        self.graph.x, self.graph.layers = self.exact.astype(np.float32), []
+        for nodes, degree, links in layers:
+            layer = Layer(self.graph.x, nodes, degree)
+            layer.links[nodes] = links
+            self.graph.layers.append(layer)
+
+    def links(self, codes: np.ndarray, vectors: np.ndarray, least: float) -> Iterator[tuple[int, int, list[int]]]:
+        """For each query with links in this shard: code, number of linked vectors, one member of each linked group."""
+        q = unit(vectors.astype(np.float64))
+        for a, b in steps(len(q), len(self.codes)):
+            rows, found = verified(self.graph, self.exact, q[a:b], self.beam, least)
+            other = self.codes[found] != codes[a + rows]
             rows, found = rows[other], found[other]
-            total = np.bincount(rows, weights=counts[found], minlength=step).astype(np.int64)
-            pairs = np.unique(np.stack((rows, group[found]), axis=1), axis=0)
+            total = np.bincount(rows, weights=self.counts[found], minlength=b - a).astype(np.int64)
+            pairs = np.unique(np.stack((rows, self.group[found]), axis=1), axis=0)
+            heads = np.searchsorted(pairs[:, 0], np.arange(b - a + 1))
             for r in np.unique(rows).tolist():
-                yield int(q_codes[a + r]), int(total[r]), codes[pairs[pairs[:, 0] == r, 1]].tolist()
+                yield int(codes[a + r]), int(total[r]), self.codes[pairs[heads[r] : heads[r + 1], 1]].tolist()
 
 
 def vector_links(vectors: DataFrame, least: float = 0.95, shards: int = SHARDS) -> DataFrame:
@@ -246,62 +274,66 @@ def vector_links(vectors: DataFrame, least: float = 0.95, shards: int = SHARDS)
     other; its component_id is null if no row of its group has an id, and kept is then false. Vectors of any length
     are taken whole; other columns of vectors are never read, whatever their names.
 
-    Each shard's graph is built in one task from its part of the vectors; every vector is sent to every shard and
-    queried in batches as it streams by, so a task holds one shard and one batch. Candidates are verified in double
-    precision. A query returns one member of each group it links to in the shard, not all links.
+    Each shard's graph is built in one task from its part of the vectors and stored in the shared folder. Every vector
+    is sent to every shard, in slices: a task holds one shard and a batch of one slice, so there are as many tasks as
+    shards times slices. Candidates are verified in double precision. A query returns one member of each group it links
+    to in the shard, not all links.
     """
     sound = F.coalesce(F.size("embedding") > 0, F.lit(False)) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     clean = F.when(F.coalesce(sound, F.lit(False)), F.transform("embedding", lambda v: v + F.lit(0).cast("float")))
     rows = vectors.select("vec_id", clean.alias("embedding")).withColumn("code", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")))
     classes = rows.where("code IS NOT NULL").groupBy("code").agg(F.first("embedding").alias("embedding"), F.count("*").alias("weight"))
-    wanted = max(shards, -(-classes.count() // SHARD_VECTORS))
+    number = classes.count()
+    wanted = max(shards, -(-number // SHARD_VECTORS))
     held = classes.withColumn("dim", F.size("embedding").cast("long"))
-    stored = held.withColumn("shard", F.col("dim") * wanted + F.pmod(F.xxhash64("code"), F.lit(wanted))).withColumn("kind", F.lit(0))
-    asked = held.withColumn("shard", F.explode(F.sequence(F.col("dim") * wanted, F.col("dim") * wanted + (wanted - 1)))).withColumn("kind", F.lit(1))
-    columns = ["shard", "kind", "code", "weight", "embedding"]
+    stored = held.withColumn("shard", F.col("dim") * wanted + F.pmod(F.xxhash64("code"), F.lit(wanted)))
+    slices = max(1, -(-number // SLICE_VECTORS))
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("embedding").flatten().to_numpy().reshape(batch.num_rows, -1)
 
-    def matrix(batch: pa.RecordBatch, a: int, b: int) -> np.ndarray:
-        return batch.column("embedding").slice(a, b - a).flatten().to_numpy().reshape(b - a, -1)
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            cols = (np.concatenate(x) for x in zip(*((p.column("code").to_numpy(), p.column("weight").to_numpy(), matrix(p)) for p in parts), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([parts[0].column("shard")[0].as_py()], pa.int64()), pa.array([built_shard(*cols, least)], pa.binary())], names=["shard", "graph"])
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         for batch in batches:
-            shard, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
-            cuts = np.concatenate(([0], np.flatnonzero((np.diff(shard) != 0) | (np.diff(kind) != 0)) + 1, [len(shard)]))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if b > a:
-                    yield int(shard[a]), int(kind[a]), batch.column("code").to_numpy()[a:b], batch.column("weight").to_numpy()[a:b], matrix(batch, a, b)
+            shard = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b == a:
+                    continue
+                if parts and parts[0].column("shard")[0].as_py() != shard[a]:
+                    yield done()
+                    parts.clear()
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield done()
+
+    order = stored.select("shard", "code", "weight", "embedding").repartition("shard").sortWithinPartitions("shard", "code")
+    graphs = written(order.mapInArrow(build, "shard long, graph binary"), "vector-graphs")
+    part = F.pmod(F.xxhash64("code", F.lit(1)), F.lit(slices)).cast("int")
+    asked = held.withColumn("shard", F.explode(F.sequence(F.col("dim") * wanted, F.col("dim") * wanted + (wanted - 1)))).select("shard", part.alias("slice"), "code", "embedding", F.lit(None).cast("binary").alias("graph"))
+    beside = graphs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(None).cast("long").alias("code"), F.lit(None).cast(classes.schema["embedding"].dataType).alias("embedding"), "graph")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = parts(batches)
-        part = next(stream, None)
-        while part is not None:
-            shard, index = part[0], []
-            while part is not None and part[:2] == (shard, 0):
-                index.append(part[2:])
-                part = next(stream, None)
-            if not index:  # an empty shard has no links
-                while part is not None and part[0] == shard:
-                    part = next(stream, None)
-                continue
-
-            def queries() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                nonlocal part
-                while part is not None and part[0] == shard:
-                    yield part[2], part[4]
-                    part = next(stream, None)
-
-            out: list[tuple[int, int, list[int]]] = []
-            for row in shard_links(*(np.concatenate(x) for x in zip(*index, strict=True)), queries(), least):
-                out.append(row)
-                if len(out) >= 5000:
-                    yield table_of(out)
-                    out = []
-            yield table_of(out)
-
-    def table_of(out: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["code", "links", "peers"])
-
-    both = stored.select(columns).unionByName(asked.select(columns)).repartitionByRange(wanted, "shard").sortWithinPartitions("shard", "kind", "code")
+        at, shard = None, None
+        for batch in batches:
+            number = batch.column("shard").to_numpy()
+            graph = batch.column("graph")
+            first = np.flatnonzero(np.asarray(graph.is_valid()))
+            cuts = sorted({0, len(number), *(np.flatnonzero(np.diff(number)) + 1).tolist(), *first.tolist(), *(first + 1).tolist()})
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if graph[a].is_valid:
+                    at, shard = number[a], Shard(graph[a].as_py())
+                elif at == number[a]:  # a shard without vectors has no graph and no links
+                    own = batch.slice(a, b - a)
+                    out = list(shard.links(own.column("code").to_numpy(zero_copy_only=False).astype(np.int64), matrix(own), least))
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["code", "links", "peers"])
+
+    both = asked.unionByName(beside).repartition("shard", "slice").sortWithinPartitions("shard", "slice", F.col("graph").isNull())
     found = written(both.mapInArrow(run, "code long, links long, peers array<long>"), "vector-links")
     linked = connected_components(found.select(F.col("code").alias("a"), F.explode("peers").alias("b"))).select(F.col("id").alias("code"), "component")
     direct = found.groupBy("code").agg(F.sum("links").alias("links"))
