@@ -37,8 +37,8 @@ SALTS = 64
 FEW = 100_000
 BLOCK_BITS = 16
 FLUSH = 2_000_000
-#: The sketch has four cells a row for each anchor, and so many bits a row at most (rows * 2^27 bits are 64 MB).
-MOST_BITS = 27
+#: The sketch has four cells a row for each segment, and so many bits a row at most (4 * 2^25 bits are 16 MB).
+MOST_BITS = 25
 
 
 # --- documents with a key that tells repeated ids apart ---
