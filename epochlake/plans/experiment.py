@@ -16,11 +16,11 @@ SIDE = "CASE WHEN subject % 3 = 0 THEN 'test' ELSE 'train' END"
 
 def images(spark, sf):
     e = read(spark, sf, "embeddings")
-    bits = F.transform(F.slice("embedding", 1, 36), lambda v: (v > 0).cast("int"))
-    return e.withColumn("bits", bits).select(F.col("vec_id").alias("epoch_id"), F.transform(F.sequence(F.lit(0), F.lit(5)), lambda r: F.slice("bits", r * 6 + 1, 6)).alias("img"))
+    bits = F.transform("embedding", lambda v: (v > 0).cast("int"))
+    return e.withColumn("bits", bits).select(F.col("vec_id").alias("epoch_id"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice("bits", r * 8 + 1, 8)).alias("img"))
 
 
-@query("g1_build_targets", with_("sig1", sql="SELECT epoch_id, 'pixel_r' || CAST(t_idx // 6 AS VARCHAR) || '_c' || CAST(t_idx % 6 AS VARCHAR) AS task, CASE WHEN x > 0 THEN 1 ELSE 0 END AS y FROM sig1 WHERE t_idx < 36"))
+@query("g1_build_targets", with_("sig1", sql="SELECT epoch_id, 'pixel_r' || CAST(t_idx // 8 AS VARCHAR) || '_c' || CAST(t_idx % 8 AS VARCHAR) AS task, CASE WHEN x > 0 THEN 1 ELSE 0 END AS y FROM sig1"))
 def g1(spark, sf):
     return op.pixel_targets(images(spark, sf), "epoch_id")
 
@@ -109,10 +109,10 @@ def g16(spark, sf):
     return op.align(read(spark, sf, "documents").select(F.col("doc_id").alias("key"), "n_chars"), wide, "key")
 
 
-@query("g18_target_payload_check", with_("sig1", sql="SELECT count(*) AS tasks, CAST(sum(CASE WHEN y <> CASE WHEN x > 0 THEN 1 ELSE 0 END THEN 1 ELSE 0 END) AS BIGINT) AS wrong FROM (SELECT *, CASE WHEN x > 0 THEN 1 ELSE 0 END AS y FROM sig1 WHERE t_idx < 36)"))
+@query("g18_target_payload_check", with_("sig1", sql="SELECT count(*) AS tasks, CAST(sum(CASE WHEN y <> CASE WHEN x > 0 THEN 1 ELSE 0 END THEN 1 ELSE 0 END) AS BIGINT) AS wrong FROM (SELECT *, CASE WHEN x > 0 THEN 1 ELSE 0 END AS y FROM sig1)"))
 def g18(spark, sf):
     t = op.pixel_targets(images(spark, sf), "epoch_id")
-    s = sig1(spark, sf).where("t_idx < 36").select("epoch_id", F.format_string("pixel_r%d_c%d", F.floor(F.col("t_idx") / 6), F.col("t_idx") % 6).alias("task"), (F.col("x") > 0).cast("int").alias("source_y"))
+    s = sig1(spark, sf).select("epoch_id", F.format_string("pixel_r%d_c%d", F.floor(F.col("t_idx") / 8), F.col("t_idx") % 8).alias("task"), (F.col("x") > 0).cast("int").alias("source_y"))
     return t.join(s, ["epoch_id", "task"]).agg(F.count("*").alias("tasks"), F.sum(flag(F.col("y") != F.col("source_y"))).alias("wrong"))
 
 
@@ -155,11 +155,11 @@ def a3(spark, sf):
     return select.best_k(select.f_score(part_features(spark, sf)), 2).select("feature", "rank")
 
 
-EPOCH_ROWS = "er AS (SELECT s.epoch_id, t.task, 's' || CAST(s.t_idx AS VARCHAR) AS feature, s.x AS value, CASE WHEN t.task = 'even' THEN CASE WHEN e.label % 2 = 0 THEN 1 ELSE 0 END ELSE CASE WHEN e.label >= 5 THEN 1 ELSE 0 END END AS y FROM sig1 s JOIN epochs e ON s.epoch_id = e.epoch_id CROSS JOIN (SELECT 'even' AS task UNION ALL SELECT 'high') t WHERE s.t_idx < 12)"
+EPOCH_ROWS = "er AS (SELECT s.epoch_id, t.task, 's' || CAST(s.t_idx AS VARCHAR) AS feature, s.x AS value, CASE WHEN t.task = 'even' THEN CASE WHEN e.label % 2 = 0 THEN 1 ELSE 0 END ELSE CASE WHEN e.label >= 5 THEN 1 ELSE 0 END END AS y FROM sig1 s JOIN epochs e ON s.epoch_id = e.epoch_id CROSS JOIN (SELECT 'even' AS task UNION ALL SELECT 'high') t)"
 
 
 def epoch_rows(spark, sf):
-    s = sig1(spark, sf).where("t_idx < 12").join(epochs(spark, sf), "epoch_id")
+    s = sig1(spark, sf).join(epochs(spark, sf), "epoch_id")
     tasks = F.array(F.struct(F.lit("even").alias("task"), (F.col("label") % 2 == 0).cast("int").alias("y")), F.struct(F.lit("high").alias("task"), (F.col("label") >= 5).cast("int").alias("y")))
     return s.select("epoch_id", F.format_string("s%d", "t_idx").alias("feature"), F.col("x").alias("value"), F.explode(tasks).alias("t")).select("epoch_id", "feature", "value", "t.task", "t.y")
 
