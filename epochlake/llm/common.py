@@ -30,12 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage of df: write it as Parquet into the shared folder and read it back."""
+def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """Cut the lineage of df: write it as Parquet into the shared folder and read it back; the rows and their path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    return stored(df, what)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
@@ -68,18 +78,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Null ends are dropped; loops give the node itself; repeated edges count once.
     """
     now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    now = written(now.distinct(), "cc-edges")  # the edges may be costly, and both lines below read them
+    spark = edges.sparkSession
+    now, _ = stored(now.distinct(), "cc-edges")  # the edges may be costly, and the lines below read them, the nodes until the end
     nodes = now.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     now = now.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = written(now, "cc-edges")
+    now, edges_at = stored(now, "cc-edges")
     maps: list[DataFrame] = []
     while not now.isEmpty():
         up = now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("p"))
-        up = written(up, "cc-up")
+        up, up_at = stored(up, "cc-up")
         while True:
             nxt = up.alias("x").join(up.alias("y"), F.col("x.p") == F.col("y.id"), "left")
-            nxt = written(nxt.select("x.id", F.coalesce("y.p", "x.p").alias("p"), F.col("y.p").isNotNull().alias("moved")), "cc-up")
-            up = nxt.select("id", "p")
+            nxt, nxt_at = stored(nxt.select("x.id", F.coalesce("y.p", "x.p").alias("p"), F.col("y.p").isNotNull().alias("moved")), "cc-up")
+            discard(spark, up_at)
+            up, up_at = nxt.select("id", "p"), nxt_at
             if nxt.where("moved").isEmpty():
                 break
         maps.append(up)
@@ -87,7 +99,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             other = "b" if end == "a" else "a"
             now = now.join(up.withColumnRenamed("id", end), end, "left").select(F.coalesce("p", end).alias(end), other)
         now = now.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        now = written(now, "cc-edges")
+        now, left_at = stored(now, "cc-edges")
+        discard(spark, edges_at)
+        edges_at = left_at
     out = nodes.withColumn("component", F.col("id"))
     for up in maps:
         out = out.join(up.select(F.col("id").alias("component"), "p"), "component", "left")
