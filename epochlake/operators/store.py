@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def epoch_index(spark: SparkSession, root: str, step: str) -> DataFrame:
-    """One row per block of the label files root/S_<n>/Trial_<n>/labels.json, in key order."""
-    raw = spark.read.option("multiLine", True).json(f"{root.rstrip('/')}/S_*/Trial_*/labels.json").withColumn("path", F.input_file_name())
+def epoch_index(spark: SparkSession, root: str, step: str, files: str = "S_*/Trial_*/labels.json") -> DataFrame:
+    """One row per block of the label files below root, in key order; their path holds S_<n>/ and Trial_<n>/."""
+    raw = spark.read.option("multiLine", True).json(f"{root.rstrip('/')}/{files}").withColumn("path", F.input_file_name())
     rows = raw.select("path", F.explode("blocks").alias("b"))
     number = lambda what: F.regexp_extract("path", rf"{what}_(\d+)/", 1).cast("long")
     block = F.col("b.Exec_Block_Index").cast("long")

@@ -26,6 +26,17 @@ def scratch(spark) -> str:
     return f"{root.rstrip('/')}/epochlake-{uuid.uuid4().hex}"
 
 
+@query("s1_epoch_index", "SELECT user_id AS subject_id, 1 + event_id % 2 AS trial_number, event_id AS block_index, event_type AS type, 'exec_EEG_' || event_id || '.fif' AS eeg_file, 'exec_EOG_' || event_id || '.fif' AS eog_file FROM events")
+def s1(spark, sf):
+    # label files of every user's events, two trials each, written as the index expects them
+    root = scratch(spark)
+    block = F.struct(F.col("event_id").alias("Exec_Block_Index"), F.col("event_type").alias("type"))
+    trial = read(spark, sf, "events").groupBy("user_id", (1 + F.col("event_id") % 2).alias("trial")).agg(F.collect_list(block).alias("blocks"))
+    files = trial.select(F.concat(F.lit("S_"), "user_id").alias("s"), F.concat(F.lit("Trial_"), "trial").alias("t"), F.to_json(F.struct("blocks")).alias("value"))
+    files.write.partitionBy("s", "t").text(root)
+    return store.epoch_index(spark, root, "exec", "s=S_*/t=Trial_*/*.txt")
+
+
 # --- validation ---
 
 
