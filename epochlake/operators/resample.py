@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epochlake.functions.columns import balanced
+from epochlake.operators.store import kept
 
 
 def draws(spark: SparkSession, groups: list, n: int, seed: int) -> DataFrame:
@@ -57,7 +58,7 @@ def complete_bootstrap(stats: DataFrame, n: int, seed: int, most: int = 100) ->
     """
     tried = n
     while True:
-        reps = bootstrap_sums(hashed(stats, tried, seed), n).localCheckpoint()
+        reps = kept(bootstrap_sums(hashed(stats, tried, seed), n))
         if reps.count() >= n:
             return reps
         if tried >= n * most:

@@ -4,11 +4,30 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one that all executors share; below a temporary one in local mode only."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.gettempdir()
+    return f"{root.rstrip('/')}/epochlake-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read again, so that they are computed once and survive lost executors."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def epoch_index(spark: SparkSession, root: str, step: str, files: str = "S_*/Trial_*/labels.json") -> DataFrame:
     """One row per block of the label files below root, in key order; their path holds S_<n>/ and Trial_<n>/."""
     raw = spark.read.option("multiLine", True).json(f"{root.rstrip('/')}/{files}").withColumn("path", F.input_file_name())

@@ -175,20 +175,21 @@ STEPS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.98101184
 STATS = "st AS (SELECT run_id, subject, task, " + SUMS + " FROM scores GROUP BY run_id, subject, task)"
 
 
-def fraction_draws(stats, reps):
-    """Draws whose multiplicity is a fixed function of replicate and subject number (0, 1 or 2)."""
-    number = F.regexp_extract("subject", r"(\d+)", 1).cast("long")
-    drawn = stats.select("subject").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    return drawn.withColumn("mult", (number * 7919 + F.col("rep") * 104729 + number * F.col("rep") * 31) % 3).where("mult > 0").select("rep", "subject", "mult")
+MULT = " + ".join(f"CAST(u >= CAST({s!r} AS DOUBLE) AS BIGINT)" for s in resample.POISSON_STEPS)
+
 
+def draw_sql(name: str, reps: int) -> str:
+    """The uniform number behind each draw, from the MD5 of seed, replicate and subject."""
+    return f"{name} AS (SELECT r.rep, s.subject, CAST(('0x' || substr(md5('42|' || r.rep || '|' || s.subject), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u FROM (SELECT DISTINCT subject FROM scores) s CROSS JOIN (SELECT CAST(unnest(range(0, {reps})) AS INTEGER) AS rep) r)"
 
-DRAWS = "dr AS (SELECT r.rep, s.subject, (s.num * 7919 + r.rep * 104729 + s.num * r.rep * 31) % 3 AS mult FROM (SELECT DISTINCT subject, CAST(regexp_extract(subject, '([0-9]+)', 1) AS BIGINT) AS num FROM scores) s CROSS JOIN (SELECT CAST(unnest(range(0, 200)) AS INTEGER) AS rep) r)"
+
+DRAWS = f"{draw_sql('du', 200)}, dr AS (SELECT rep, subject, {MULT} AS mult FROM du)"
 REPS = f"bs AS (SELECT st.run_id, dr.rep, st.task, sum(tp * mult) AS tp, sum(fn * mult) AS fn, sum(tn * mult) AS tn, sum(fp * mult) AS fp FROM st JOIN dr ON st.subject = dr.subject WHERE mult > 0 GROUP BY st.run_id, dr.rep, st.task), rp AS (SELECT run_id, rep, avg({BA}) AS value FROM bs GROUP BY run_id, rep HAVING min(tp + fn) > 0 AND min(tn + fp) > 0)"
 
 
 def replicates(spark, sf, run):
     c = metrics.confusion(scores(spark, sf).where(F.col("run_id") == run), "subject", "task")
-    return resample.bootstrap(c, fraction_draws(c, 200))
+    return resample.bootstrap(c, resample.hashed_draws(c, 200, 42))
 
 
 def both_runs(spark, sf):
@@ -296,10 +297,9 @@ def u1(spark, sf):
 # --- the same of all four metrics, with hashed draws; the SQL tries twice as many replicates as it keeps ---
 
 REPLICATES = 2000
-MULT = " + ".join(f"CAST(u >= CAST({s!r} AS DOUBLE) AS BIGINT)" for s in resample.POISSON_STEPS)
 METRICS = ("balanced_accuracy", "score_mse", "sample_iou", "hamming_loss")
 HASHED = (
-    f"hu AS (SELECT r.rep, s.subject, CAST(('0x' || substr(md5('42|' || r.rep || '|' || s.subject), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u FROM (SELECT DISTINCT subject FROM scores) s CROSS JOIN (SELECT CAST(unnest(range(0, {2 * REPLICATES})) AS INTEGER) AS rep) r), "
+    f"{draw_sql('hu', 2 * REPLICATES)}, "
     f"hm AS (SELECT rep, subject, {MULT} AS mult FROM hu), "
     f"hc AS (SELECT run_id, subject, task, {SUMS}, sum((score - y) * (score - y)) AS sq FROM scores GROUP BY run_id, subject, task), "
     "ht AS (SELECT run_id, rep, task, sum(tp * mult) AS tp, sum(fn * mult) AS fn, sum(tn * mult) AS tn, sum(fp * mult) AS fp, sum(sq * mult) AS sq FROM hc JOIN hm ON hc.subject = hm.subject WHERE mult > 0 GROUP BY run_id, rep, task), "

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from epochlake.plans.evaluation import r6
 from epochlake.plans.registry import query
-from epochlake.plans.stores import scratch
+from epochlake.operators.store import scratch
 from epochlake.streaming import live
 
 

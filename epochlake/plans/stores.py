@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,22 +12,10 @@ from epochlake.plans.registry import query
 from epochlake.sources.tables import class_scores, epochs, read, scores, scores_big, sig1, sig4, with_
 
 
-def scratch(spark) -> str:
-    """A new folder below the one that all executors share; a temporary one in local mode only."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.gettempdir()
-    return f"{root.rstrip('/')}/epochlake-{uuid.uuid4().hex}"
-
-
 @query("s1_epoch_index", "SELECT user_id AS subject_id, 1 + event_id % 2 AS trial_number, event_id AS block_index, event_type AS type, 'exec_EEG_' || event_id || '.fif' AS eeg_file, 'exec_EOG_' || event_id || '.fif' AS eog_file FROM events")
 def s1(spark, sf):
     # label files of every user's events, two trials each, written as the index expects them
-    root = scratch(spark)
+    root = store.scratch(spark)
     block = F.struct(F.col("event_id").alias("Exec_Block_Index"), F.col("event_type").alias("type"))
     trial = read(spark, sf, "events").groupBy("user_id", (1 + F.col("event_id") % 2).alias("trial")).agg(F.collect_list(block).alias("blocks"))
     files = trial.select(F.concat(F.lit("S_"), "user_id").alias("s"), F.concat(F.lit("Trial_"), "trial").alias("t"), F.to_json(F.struct("blocks")).alias("value"))
@@ -113,7 +99,7 @@ def v11(spark, sf):
 @query("s7_materialize", "SELECT count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS total FROM documents")
 def s7(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", "n_chars")
-    root, config = scratch(spark), {"table": "documents", "columns": ["doc_id", "n_chars"]}
+    root, config = store.scratch(spark), {"table": "documents", "columns": ["doc_id", "n_chars"]}
     store.materialize(d, root, config)
     return store.materialize(d, root, config).agg(F.count("*").alias("n"), F.sum("n_chars").alias("total"))
 
@@ -153,7 +139,7 @@ def s10(spark, sf):
 
 @query("s11_write_scores", with_("scores", sql="SELECT run_id, count(*) AS n FROM scores GROUP BY run_id"))
 def s11(spark, sf):
-    path = scratch(spark)
+    path = store.scratch(spark)
     s = scores(spark, sf)
     store.append_scores(s.where("run_id = 'a'"), path)
     store.append_scores(s.where("run_id = 'b'"), path)
