@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,6 +162,17 @@ class Benchmark:
         return found
 
 
+_built: dict[str, Benchmark] = {}
+
+
+def benchmark_of(name: str, held: Broadcast, p: int, q: int) -> Benchmark:
+    """One index for all tasks that a Python worker runs on this part of the items."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Benchmark(held.value, p, q)
+    return _built[name]
+
+
 def leaks(docs: DataFrame, items: DataFrame, p: int = 80, q: int = 100) -> DataFrame:
     """Documents that hold a benchmark item: a row (doc_id, item_id, similarity) for each document and item.
 
@@ -182,8 +195,8 @@ def leaks(docs: DataFrame, items: DataFrame, p: int = 80, q: int = 100) -> DataF
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).orderBy("item_id", "text").toArrow()
         held = docs.sparkSession.sparkContext.broadcast(list(zip(rows.column("item_id").to_pylist(), [t.encode() for t in rows.column("text").to_pylist()], strict=True)))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(held.value, p, q)
+        def run(batches: Iterator[pa.RecordBatch], held=held, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            bench = benchmark_of(name, held, p, q)
             for batch in slices(batches):
                 at, item, best = [], [], []
                 for row, t in enumerate(texts_of(batch, "text")):
