@@ -220,10 +220,12 @@ def fit_ml(df: DataFrame, x: list[str], y: list[str], kind: str) -> DataFrame:
 
     make = {"logistic": lambda: LogisticRegression(regParam=0.01, elasticNetParam=0.0), "svm": lambda: LinearSVC(regParam=0.01, maxIter=30), "elastic": lambda: LinearRegression(regParam=0.01, elasticNetParam=0.5), "forest": lambda: RandomForestRegressor(numTrees=10, maxDepth=4, seed=42)}[kind]
     rows = []
+    table = df.select(*x, *y).cache()
     for t in y:
-        model = make().fit(assembled(df, x, t))
+        model = make().fit(assembled(table, x, t))
         weights = model.featureImportances if kind == "forest" else model.coefficients
         rows += [(t, f, float(w)) for f, w in zip(x, weights.toArray(), strict=True)]
+    table.unpersist()
     return df.sparkSession.createDataFrame(rows, "task string, feature string, weight double")
 
 
@@ -247,17 +249,19 @@ def one_vs_rest(df: DataFrame, x: list[str], classes: int) -> DataFrame:
 
 
 def platt(df: DataFrame, rounds: int = 12) -> DataFrame:
-    """Slope and offset of a one-feature logistic by Newton steps; each step is one aggregation."""
+    """Slope and offset of a one-feature logistic by Newton steps; each step is one aggregation of the kept scores."""
     a, b = 1.0, 0.0
+    rows = df.select("score", "y").cache()
     for _ in range(rounds):
         p = 1 / (1 + F.exp(-(F.col("score") * a + b)))
         e, v, s = p - F.col("y"), p * (1 - p), F.col("score")
-        r = df.agg(F.sum(e * s), F.sum(e), F.sum(v * s * s), F.sum(v * s), F.sum(v)).first()
+        r = rows.agg(F.sum(e * s), F.sum(e), F.sum(v * s * s), F.sum(v * s), F.sum(v)).first()
         h = np.array([[r[2] + 1e-9, r[3]], [r[3], r[4] + 1e-9]])
         step = np.linalg.solve(h, [r[0], r[1]])
         a, b = a - step[0], b - step[1]
         if abs(step).max() < 1e-10:
             break
+    rows.unpersist()
     return df.sparkSession.createDataFrame([(float(a), float(b))], "a double, b double")
 
 

@@ -352,7 +352,7 @@ def m1_refit(spark, sf):
 @query("m6_out_of_fold_platt")
 def m6_oof(spark, sf):
     t = line_table(spark, sf).withColumn("fold", (F.col("subject") % 5).cast("int"))
-    oof = models.out_of_fold(t, X, "y1", "fold", 5).select("score", F.col("y1").alias("y")).cache()
+    oof = models.out_of_fold(t, X, "y1", "fold", 5).select("score", F.col("y1").alias("y"))
     return models.platt(oof)
 
 
