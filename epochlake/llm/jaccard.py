@@ -20,7 +20,7 @@ SLACK = 1.4
 #: Shingles and sets that one cell of a candidate group holds on each side.
 CELL_SHINGLES = 400_000
 CELL_SETS = 1000
-BAND = 1.5
+BAND = 2.0
 
 
 def shingle_set(raw: np.ndarray, size: int) -> np.ndarray:
@@ -175,7 +175,8 @@ def near_components(docs: DataFrame, size: int = 3, p: int = 90, q: int = 100) -
     first = known.where("size(keys) > 0").groupBy("code").agg(F.min(F.struct("kd", "tie")).alias("at"), F.max("n_shingles").alias("n"))
     keys = first.select("code", "at.*").join(known.select("code", "kd", "tie", "keys"), ["code", "kd", "tie"]).groupBy("code", "kd", "tie").agg(F.any_value("keys").alias("keys"))
     keys = keys.select("code", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("code").alias("lo"), F.max("code").alias("hi")).where("lo < hi").select("key", "lo")
+    # a class has a key once, so a key that stands twice is shared
+    shared = keys.groupBy("key").agg(F.min("code").alias("lo"), F.count("*").alias("sets")).where("sets > 1").select("key", "lo")
     stars = keys.join(shared, "key").where("code <> lo").select(F.col("code").alias("a"), F.col("lo").alias("b"))
     blocks = connected_components(stars).select(F.col("id").alias("code"), F.col("component").alias("block"))
 
