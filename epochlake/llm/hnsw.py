@@ -312,7 +312,8 @@ def vector_links(vectors: DataFrame, least: float = 0.95, shards: int = SHARDS)
         if parts:
             yield done()
 
-    order = stored.select("shard", "code", "weight", "embedding").repartition("shard").sortWithinPartitions("shard", "code")
+    # the numbers are given so that shards, which are small but costly, aren't put together in one task
+    order = stored.select("shard", "code", "weight", "embedding").repartition(4 * wanted, "shard").sortWithinPartitions("shard", "code")
     graphs = written(order.mapInArrow(build, "shard long, graph binary"), "vector-graphs")
     part = F.pmod(F.xxhash64("code", F.lit(1)), F.lit(slices)).cast("int")
     asked = held.withColumn("shard", F.explode(F.sequence(F.col("dim") * wanted, F.col("dim") * wanted + (wanted - 1)))).select("shard", part.alias("slice"), "code", "embedding", F.lit(None).cast("binary").alias("graph"))
@@ -333,7 +334,7 @@ def vector_links(vectors: DataFrame, least: float = 0.95, shards: int = SHARDS)
                     out = list(shard.links(own.column("code").to_numpy(zero_copy_only=False).astype(np.int64), matrix(own), least))
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["code", "links", "peers"])
 
-    both = asked.unionByName(beside).repartition("shard", "slice").sortWithinPartitions("shard", "slice", F.col("graph").isNull())
+    both = asked.unionByName(beside).repartition(2 * wanted * slices, "shard", "slice").sortWithinPartitions("shard", "slice", F.col("graph").isNull())
     found = written(both.mapInArrow(run, "code long, links long, peers array<long>"), "vector-links")
     linked = connected_components(found.select(F.col("code").alias("a"), F.explode("peers").alias("b"))).select(F.col("id").alias("code"), "component")
     direct = found.groupBy("code").agg(F.sum("links").alias("links"))
