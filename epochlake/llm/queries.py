@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifiers, decontaminate, hnsw, html, jaccard, licenses, repeats
+from . import bpe, classifiers, decontaminate, hnsw, html, jaccard, licenses, merkle, repeats
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_html, op3_toxicity, op4_license_scan, op5_decontamination, op6_embedding_dedup, op7_substring_dedup, op8_quality, op9_ngram_join, op10_bpe)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and inclusion proof of every document, and whether the proof holds after tampering."""
+    return merkle.checked_proofs(read(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op4_license_scan": licenses.licence_sql()}
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_html, op3_toxicity, op4_license_scan, op5_decontamination, op6_embedding_dedup, op7_substring_dedup, op8_quality, op9_ngram_join, op10_bpe, op11_merkle)}
+
+ORACLES: dict[str, str] = {"op4_license_scan": licenses.licence_sql(), "op11_merkle": merkle.proofs_sql()}
