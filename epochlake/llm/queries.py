@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, bpe, classifiers, decontaminate, hnsw, html, jaccard, licenses, merkle, repeats
+from . import align, bpe, classifiers, decontaminate, divergence, hnsw, html, jaccard, licenses, merkle, repeats
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,11 +73,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked_proofs(read(spark, sf_dir, "documents"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats, symbols and lengths of every document, and whether its distributions are those of a language."""
+    return divergence.quality_rules(read(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups into which two tokenizers' ids of every document fall, and how usual their links are in the corpus."""
     return align.alignment(read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_html, op3_toxicity, op4_license_scan, op5_decontamination, op6_embedding_dedup, op7_substring_dedup, op8_quality, op9_ngram_join, op10_bpe, op11_merkle, op13_alignment)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_html, op3_toxicity, op4_license_scan, op5_decontamination, op6_embedding_dedup, op7_substring_dedup, op8_quality, op9_ngram_join, op10_bpe, op11_merkle, op12_quality_rules, op13_alignment)}
 
-ORACLES: dict[str, str] = {"op4_license_scan": licenses.licence_sql(), "op11_merkle": merkle.proofs_sql()}
+ORACLES: dict[str, str] = {"op4_license_scan": licenses.licence_sql(), "op11_merkle": merkle.proofs_sql(), "op12_quality_rules": divergence.rules_sql()}
