@@ -27,68 +27,76 @@ def draws(spark: SparkSession, groups: list, n: int, seed: int) -> DataFrame:
 POISSON_STEPS = tuple(math.fsum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12))
 
 
-def hashed_mult(seed: int) -> Column:
-    """Multiplicity of a subject in a replicate, a Poisson variable of mean one.
+def with_mult(df: DataFrame, seed: int) -> DataFrame:
+    """Rows with the multiplicity mult of their subject in their replicate, a Poisson variable of mean one; those of 0 go.
 
     By inversion of the first 32 bits of the MD5 of seed, replicate and subject. (A CRC is linear: with it the draws of
     two replicates differ by one constant.)
     """
     text = F.concat_ws("|", F.lit(seed).cast("string"), F.col("rep").cast("string"), F.col("subject").cast("string"))
     u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    # the transform computes the hash once for all steps
-    return F.element_at(F.transform(F.array(u), lambda v: F.size(F.filter(F.array(*map(F.lit, POISSON_STEPS)), lambda s: s <= v))), 1).cast("long")
+    drawn = df.withColumn("u", u)
+    return drawn.withColumn("mult", sum((F.col("u") >= s).cast("long") for s in POISSON_STEPS)).drop("u").where("mult > 0")
 
 
-def hashed(stats: DataFrame, n: int, seed: int) -> DataFrame:
-    """Rows of subjects repeated for each replicate that draws them: rep, mult. Nothing is joined or shuffled."""
-    reps = stats.where("subject IS NOT NULL").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return reps.withColumn("mult", hashed_mult(seed)).where("mult > 0")
+def repeated(rows: DataFrame, first: int, end: int, seed: int) -> DataFrame:
+    """A row of each subject for each replicate of [first, end) that draws it: rep, mult. Nothing is joined or shuffled."""
+    return with_mult(rows.where("subject IS NOT NULL").withColumn("rep", F.explode(F.sequence(F.lit(first), F.lit(end - 1)))), seed)
 
 
 def hashed_draws(groups: DataFrame, n: int, seed: int) -> DataFrame:
     """Multiplicities by a Poisson draw from a hash of replicate and group: any number of groups, no driver, any engine."""
-    return hashed(groups.select("subject").distinct(), n, seed).select("rep", "subject", "mult")
+    return repeated(groups.select("subject").distinct(), 0, n, seed).select("rep", "subject", "mult")
 
 
 def complete_bootstrap(stats: DataFrame, n: int, seed: int, most: int = 100) -> DataFrame:
     """Mean balanced accuracy of the first n replicates in which every task has both classes: rep, value.
 
-    Attempts are numbered from 0 and doubled until n are complete, at most to `most` for each; an error if they never
-    are. The n rows are computed once and kept.
+    A subject is one row with the counts of its tasks, drawn once for all of them. Attempts are numbered from 0; as long
+    as fewer than n are complete, as many again as were made follow, at most `most` for each; then it is an error. What
+    was computed is kept, and the n rows are.
     """
-    tried = n
+    subjects = kept(stats.where("subject IS NOT NULL").groupBy("subject").agg(F.collect_list(F.struct("task", "tp", "fn", "tn", "fp")).alias("tasks")))
+    reps, tried, end = None, 0, n
     while True:
-        reps = kept(bootstrap_sums(hashed(stats, tried, seed), n))
+        drawn = repeated(subjects, tried, end, seed).select("rep", "mult", F.inline("tasks"))
+        more = kept(bootstrap_sums(drawn))
+        reps = more if reps is None else reps.unionByName(more)
         if reps.count() >= n:
-            return reps
-        if tried >= n * most:
-            raise RuntimeError("Could not draw enough class-complete bootstrap samples")
-        tried = min(2 * tried, n * most)
+            return reps.withColumn("r", F.row_number().over(Window.orderBy("rep"))).where(F.col("r") <= n).drop("r")
+        if end >= n * most:
+            raise RuntimeError(f"after {end} attempts fewer than {n} replicates have both classes in every task")
+        tried, end = end, min(2 * end, n * most)
 
 
 def complete_draws(stats: DataFrame, n: int, seed: int) -> DataFrame:
     """Hashed draws of the replicates of complete_bootstrap: rep, subject, mult."""
     reps = complete_bootstrap(stats, n, seed).select("rep")
-    return stats.where("subject IS NOT NULL").select("subject").distinct().crossJoin(F.broadcast(reps)).withColumn("mult", hashed_mult(seed)).where("mult > 0")
+    return with_mult(stats.where("subject IS NOT NULL").select("subject").distinct().crossJoin(F.broadcast(reps)), seed)
 
 
-def bootstrap_metrics(df: DataFrame, drawn: DataFrame, sample: str, *key: str) -> DataFrame:
+def bootstrap_metrics(df: DataFrame, drawn: DataFrame, sample: str, *key: str, decimals: int | None = None) -> DataFrame:
     """Balanced accuracy, mean squared score error, mean sample IoU and Hamming loss per key and replicate.
 
-    Every metric is made of sums that add up over subjects; the draws are class-complete (see complete_draws).
+    Every metric is made of sums that add up over subjects; the draws are class-complete (see complete_draws). Errors of
+    scores with so many decimals are summed as whole numbers, which is exact in any order. Also n and, as sums behind
+    the two ratios, wrong and squared (in units of 10 ** -2 decimals).
     """
     y, p, d = F.col("y") == 1, F.col("pred") == 1, F.col("score") - F.col("y")
+    if decimals is not None:
+        d = F.round(d * 10**decimals).cast("long")
+    unit = 1 if decimals is None else 10 ** (2 * decimals)
     one = lambda c: F.sum(c.cast("long"))
     cells = df.groupBy(*key, "subject", "task").agg(one(y & p).alias("tp"), one(y & ~p).alias("fn"), one(~y & ~p).alias("tn"), one(~y & p).alias("fp"), F.sum(d * d).alias("sq"))
     names = ("tp", "fn", "tn", "fp", "sq")
     per = cells.join(drawn, "subject").groupBy(*key, "rep", "task").agg(*(F.sum(F.col(c) * F.col("mult")).alias(c) for c in names))
     n = F.sum(F.col("tp") + F.col("fn") + F.col("tn") + F.col("fp"))
-    most = per.groupBy(*key, "rep").agg(F.avg(balanced(*(F.col(c) for c in names[:4]))).alias("balanced_accuracy"), (F.sum("sq") / n).alias("score_mse"), (F.sum(F.col("fn") + F.col("fp")) / n).alias("hamming_loss"))
+    most = per.groupBy(*key, "rep").agg(F.avg(balanced(*(F.col(c) for c in names[:4]))).alias("balanced_accuracy"), (F.sum("sq") / (n * unit)).alias("score_mse"), (F.sum(F.col("fn") + F.col("fp")) / n).alias("hamming_loss"), n.alias("n"), F.sum(F.col("fn") + F.col("fp")).alias("wrong"), F.sum("sq").alias("squared"))
     rows = df.groupBy(*key, "subject", sample).agg(one(y & p).alias("i"), one(y | p).alias("u"))
     iou = F.when(F.col("u") == 0, 1.0).otherwise(F.col("i") / F.col("u"))
     units = rows.groupBy(*key, "subject").agg(F.sum(iou).alias("iou"), F.count("*").alias("n"))
     shared = units.join(drawn, "subject").groupBy(*key, "rep").agg((F.sum(F.col("iou") * F.col("mult")) / F.sum(F.col("n") * F.col("mult"))).alias("sample_iou"))
-    return most.join(shared, [*key, "rep"]).select(*key, "rep", "balanced_accuracy", "score_mse", "sample_iou", "hamming_loss")
+    return most.join(shared, [*key, "rep"]).select(*key, "rep", "balanced_accuracy", "score_mse", "sample_iou", "hamming_loss", "n", "wrong", "squared")
 
 
 def bootstrap(stats: DataFrame, drawn: DataFrame, kept: int | None = None) -> DataFrame:

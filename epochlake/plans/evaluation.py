@@ -301,13 +301,13 @@ METRICS = ("balanced_accuracy", "score_mse", "sample_iou", "hamming_loss")
 HASHED = (
     f"{draw_sql('hu', 2 * REPLICATES)}, "
     f"hm AS (SELECT rep, subject, {MULT} AS mult FROM hu), "
-    f"hc AS (SELECT run_id, subject, task, {SUMS}, sum((score - y) * (score - y)) AS sq FROM scores GROUP BY run_id, subject, task), "
+    f"hc AS (SELECT run_id, subject, task, {SUMS}, CAST(sum(CAST(round(100 * (score - y)) AS BIGINT) * CAST(round(100 * (score - y)) AS BIGINT)) AS BIGINT) AS sq FROM scores GROUP BY run_id, subject, task), "
     "ht AS (SELECT run_id, rep, task, sum(tp * mult) AS tp, sum(fn * mult) AS fn, sum(tn * mult) AS tn, sum(fp * mult) AS fp, sum(sq * mult) AS sq FROM hc JOIN hm ON hc.subject = hm.subject WHERE mult > 0 GROUP BY run_id, rep, task), "
-    f"hr AS (SELECT run_id, rep, avg({BA}) AS balanced_accuracy, sum(sq) / sum(tp + fn + tn + fp) AS score_mse, CAST(sum(fn + fp) AS DOUBLE) / sum(tp + fn + tn + fp) AS hamming_loss FROM ht GROUP BY run_id, rep HAVING min(tp + fn) > 0 AND min(tn + fp) > 0 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY rep) <= {REPLICATES}), "
+    f"hr AS (SELECT run_id, rep, avg({BA}) AS balanced_accuracy, CAST(sum(sq) AS DOUBLE) / (10000 * sum(tp + fn + tn + fp)) AS score_mse, CAST(sum(fn + fp) AS DOUBLE) / sum(tp + fn + tn + fp) AS hamming_loss, CAST(sum(tp + fn + tn + fp) AS BIGINT) AS n, CAST(sum(fn + fp) AS BIGINT) AS wrong, CAST(sum(sq) AS BIGINT) AS squared FROM ht GROUP BY run_id, rep HAVING min(tp + fn) > 0 AND min(tn + fp) > 0 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY rep) <= {REPLICATES}), "
     "hk AS (SELECT run_id, subject, key, sum(y * pred) AS i, sum(greatest(y, pred)) AS n FROM scores GROUP BY run_id, subject, key), "
     "hs AS (SELECT run_id, subject, sum(CASE WHEN n = 0 THEN 1.0 ELSE CAST(i AS DOUBLE) / n END) AS iou, count(*) AS n FROM hk GROUP BY run_id, subject), "
     "hi AS (SELECT run_id, rep, sum(CAST(iou AS DOUBLE) * mult) / sum(n * mult) AS sample_iou FROM hs JOIN hm ON hs.subject = hm.subject WHERE mult > 0 GROUP BY run_id, rep), "
-    "hb AS (SELECT hr.run_id, hr.rep, balanced_accuracy, score_mse, sample_iou, hamming_loss FROM hr JOIN hi ON hr.run_id = hi.run_id AND hr.rep = hi.rep), "
+    "hb AS (SELECT hr.run_id, hr.rep, balanced_accuracy, score_mse, sample_iou, hamming_loss, n, wrong, squared FROM hr JOIN hi ON hr.run_id = hi.run_id AND hr.rep = hi.rep), "
     "hl AS (" + " UNION ALL ".join(f"SELECT run_id, rep, '{m}' AS metric, {m} AS value FROM hb" for m in METRICS) + ")"
 )
 
@@ -315,7 +315,7 @@ HASHED = (
 def hashed_metrics(spark, sf):
     s = scores(spark, sf)
     c = metrics.confusion(s.where("run_id = 'a'"), "subject", "task")
-    return resample.bootstrap_metrics(s, resample.complete_draws(c, REPLICATES, 42), "key", "run_id")
+    return resample.bootstrap_metrics(s, resample.complete_draws(c, REPLICATES, 42), "key", "run_id", decimals=2)
 
 
 def hashed_long(spark, sf):
@@ -323,9 +323,14 @@ def hashed_long(spark, sf):
     return hashed_metrics(spark, sf).select("run_id", "rep", F.explode(each).alias("m")).select("run_id", "rep", "m.metric", "m.value")
 
 
-@query("u2_bootstrap_metrics", with_("scores", more=HASHED, sql=f"SELECT run_id, rep, {', '.join(f'round({m}, 6) AS {m}' for m in METRICS)} FROM hb"))
+#: Ratios of whole numbers to six places, half up, without a double that stands on a tie.
+EXACT = {"score_mse": "(200 * squared + n) {div} (2 * n) / 1e6", "hamming_loss": "(2000000 * wrong + n) {div} (2 * n) / 1e6"}
+
+
+@query("u2_bootstrap_metrics", with_("scores", more=HASHED, sql=f"SELECT run_id, rep, {', '.join(EXACT[m].format(div='//') + f' AS {m}' if m in EXACT else f'round({m}, 6) AS {m}' for m in METRICS)} FROM hb"))
 def u2_metrics(spark, sf):
-    return r6(hashed_metrics(spark, sf), *METRICS)
+    found = hashed_metrics(spark, sf)
+    return found.select("run_id", "rep", *(F.expr(EXACT[m].format(div="div")).alias(m) if m in EXACT else F.round(m, 6).alias(m) for m in METRICS))
 
 
 @query("u3_metric_intervals", with_("scores", more=HASHED, sql="SELECT run_id, metric, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM hl GROUP BY run_id, metric"))

@@ -23,11 +23,10 @@ def w2(spark, sf):
     return w.select("epoch_id", "win", (F.col("win") * 8).alias("lo"), (F.col("win") * 8 + 16).alias("hi"), "n", "total")
 
 
-@query("w2_event_windows", with_("events_sig", sql="SELECT user_id, w.win, count(*) AS n, round(avg(value), 6) AS mean FROM events_sig JOIN (SELECT CAST(unnest(range(0, 11)) AS INTEGER) AS win) w ON t_idx >= w.win * 10 AND t_idx < w.win * 10 + 20 GROUP BY user_id, w.win"))
+@query("w2_event_windows", with_("events_sig", more="uw AS (SELECT user_id, CAST(unnest(range(0, (count(*) - 20) // 10 + 1)) AS INTEGER) AS win FROM events_sig GROUP BY user_id HAVING count(*) >= 20)", sql="SELECT e.user_id, w.win, count(*) AS n, round(avg(e.value), 6) AS mean FROM events_sig e JOIN uw w ON e.user_id = w.user_id AND e.t_idx >= w.win * 10 AND e.t_idx < w.win * 10 + 20 GROUP BY e.user_id, w.win"))
 def w2_events(spark, sf):
     e = events_sig(spark, sf).withColumn("events", F.count("*").over(Window.partitionBy("user_id")))
-    # the SQL has 11 windows for every user; users with more events go on to their last complete one
-    w = shape.windows(e, F.greatest(F.lit(120), F.col("events")), 20, 10)
+    w = shape.windows(e, F.col("events"), 20, 10)
     return w.groupBy("user_id", "win").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
