@@ -6,31 +6,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Features that one Gram matrix may have; its square goes to the driver.
-MOST_FEATURES = 4096
-
+from epochlake.operators.folds import Moments, collected, merged, pls_weights
 
 def gram(df: DataFrame, columns: list[str]) -> DataFrame:
     """Sums of products of all column pairs in one pass: a, b, g."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    sums = df.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"p{k}") for k, (a, b) in enumerate(pairs)))
-    both = [(a, b, k) for k, (a, b) in enumerate(pairs)] + [(b, a, k) for k, (a, b) in enumerate(pairs) if a != b]
-    return sums.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{k}").alias("g")) for a, b, k in both))).alias("r")).select("r.*")
-
-
-def centred_gram(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Centred sums of products, means and row count; rows with a null are left out."""
-    if len(columns) > MOST_FEATURES:
-        raise ValueError(f"more than {MOST_FEATURES} features")
-    rows = df.select(columns).dropna()
-    first = rows.agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in columns)).first()
-    n, mean = first["n"], np.array([first[c] or 0.0 for c in columns])
-    moved = rows.select(*((F.col(c) - F.lit(float(m))).alias(c) for c, m in zip(columns, mean, strict=True)))
-    at = {c: k for k, c in enumerate(columns)}
-    out = np.zeros((len(columns), len(columns)))
-    for r in gram(moved, columns).collect():
-        out[at[r["a"]], at[r["b"]]] = r["g"] or 0.0
-    return out, mean, n
+    n, mean, c = collected(df, columns).get(0, nothing(len(columns)))
+    g = c + n * np.outer(mean, mean)
+    rows = [(a, b, float(g[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, g double")
+
+
+def nothing(k: int) -> Moments:
+    return 0, np.zeros(k), np.zeros((k, k))
 
 
 def coefficients(df: DataFrame, names: list[str], targets: list[str], weights: np.ndarray, intercept: np.ndarray) -> DataFrame:
@@ -40,34 +27,21 @@ def coefficients(df: DataFrame, names: list[str], targets: list[str], weights: n
 
 def fit_ridge(df: DataFrame, x: list[str], y: list[str], alpha: float) -> DataFrame:
     """Ridge weights of all targets from one pass: task, feature, weight. The intercept isn't penalised."""
-    g, mean, _ = centred_gram(df, [*x, *y])
-    k = len(x)
+    w, b = ridge_of(collected(df, [*x, *y]).get(0, nothing(len(x) + len(y))), len(x), alpha)
+    return coefficients(df, x, y, w, b)
+
+
+def ridge_of(moments: Moments, k: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    _, mean, g = moments
     w = np.linalg.solve(g[:k, :k] + alpha * np.eye(k), g[:k, k:])
-    return coefficients(df, x, y, w, mean[k:] - mean[:k] @ w)
+    return w, mean[k:] - mean[:k] @ w
 
 
 def fit_pls(df: DataFrame, x: list[str], y: list[str], components: int) -> DataFrame:
     """Partial least squares weights from sums of products alone (kernel form)."""
-    g, mean, _ = centred_gram(df, [*x, *y])
+    _, mean, g = collected(df, [*x, *y]).get(0, nothing(len(x) + len(y)))
     k = len(x)
-    xx, xy = g[:k, :k], g[:k, k:].copy()
-    rs, ps, qs = [], [], []
-    for _ in range(min(components, k)):
-        values, vectors = np.linalg.eigh(xy.T @ xy)
-        w = xy @ vectors[:, -1]
-        if not np.linalg.norm(w) > 0:
-            break
-        w /= np.linalg.norm(w)
-        r = w.copy()
-        for p, before in zip(ps, rs, strict=True):
-            r -= (p @ w) * before
-        tt = r @ xx @ r
-        p, q = xx @ r / tt, xy.T @ r / tt
-        xy -= np.outer(p, q) * tt
-        rs.append(r)
-        ps.append(p)
-        qs.append(q)
-    w = np.stack(rs, axis=1) @ np.stack(qs) if rs else np.zeros((k, len(y)))
+    w = pls_weights(g[:k, :k], g[:k, k:], components)[-1]
     return coefficients(df, x, y, w, mean[k:] - mean[:k] @ w)
 
 
@@ -77,36 +51,44 @@ def fit_lda(df: DataFrame, x: list[str], shrinkage: float | None) -> DataFrame:
     shrinkage None: each class's covariance is shrunk by the Ledoit-Wolf amount of its standardised features; 0: none,
     and directions without variance are left out (the form by singular values).
     """
-    grams = {c: centred_gram(df.where(F.col("y") == c), x) for c in (0, 1)}
-    n = sum(g[2] for g in grams.values())
+    held = collected(df.where("y IN (0, 1)"), x, "y")
+    grams = {c: held.get(c, nothing(len(x))) for c in (0, 1)}
+    n = sum(g[0] for g in grams.values())
     if shrinkage is None:
-        s = sum(_ledoit_wolf(df.where(F.col("y") == c).select(x).dropna(), x, *grams[c]) * grams[c][2] for c in (0, 1)) / max(n, 1)
+        shrunk = _ledoit_wolf(df.select(*x, "y").dropna(), x, grams)
+        s = sum(shrunk[c] * grams[c][0] for c in (0, 1)) / max(n, 1)
     else:
-        s = sum(g[0] for g in grams.values()) / max(n, 1)
+        s = sum(g[2] for g in grams.values()) / max(n, 1)
         s = (1 - shrinkage) * s + shrinkage * np.trace(s) / len(x) * np.eye(len(x))
     apart = grams[1][1] - grams[0][1]
     w = np.linalg.pinv(s, hermitian=True) @ apart if shrinkage == 0 else np.linalg.solve(s, apart)
-    b = -(grams[1][1] + grams[0][1]) @ w / 2 + np.log(max(grams[1][2], 1) / max(grams[0][2], 1))
+    b = -(grams[1][1] + grams[0][1]) @ w / 2 + np.log(max(grams[1][0], 1) / max(grams[0][0], 1))
     return coefficients(df, x, ["y"], w[:, None], np.array([b]))
 
 
-def _ledoit_wolf(rows: DataFrame, x: list[str], gram: np.ndarray, mean: np.ndarray, n: int) -> np.ndarray:
-    """Covariance of standardised columns shrunk to its mean variance, in the columns' own scale.
+def _ledoit_wolf(rows: DataFrame, x: list[str], grams: dict[int, Moments]) -> dict[int, np.ndarray]:
+    """Each class's covariance of standardised columns shrunk to its mean variance, in the columns' own scale.
 
-    Besides the products of columns it takes one sum over rows, of their squared lengths squared.
+    Besides the products of columns it takes one sum over rows for each class, of their squared lengths squared, all in
+    one pass.
     """
-    if not n:
-        return np.zeros_like(gram)
-    scale = np.sqrt(np.diag(gram) / n)
-    scale[scale == 0] = 1.0
-    s = gram / n / np.outer(scale, scale)
-    lengths = sum(F.pow((F.col(c) - float(m)) / float(d), 2) for c, m, d in zip(x, mean, scale, strict=True))
-    beta = rows.agg(F.sum(lengths * lengths)).first()[0]
-    p, mu, norm = len(x), np.trace(s) / len(x), float((s * s).sum())
-    delta = (norm - p * mu * mu) / p
-    by = min((beta / n - norm) / (p * n), delta)
-    amount = by / delta if delta > 0 else 0.0
-    return ((1 - amount) * s + amount * mu * np.eye(p)) * np.outer(scale, scale)
+    scales = {c: np.sqrt(np.diag(g) / max(n, 1)) for c, (n, _, g) in grams.items()}
+    for s in scales.values():
+        s[s == 0] = 1.0
+    square = lambda c: sum(F.pow((F.col(f) - float(m)) / float(d), 2) for f, m, d in zip(x, grams[c][1], scales[c], strict=True))
+    beta = rows.agg(*(F.sum(F.when(F.col("y") == c, F.pow(square(c), 2))) for c in grams)).first()
+    out = {}
+    for b, (c, (n, _, g)) in zip(beta, grams.items(), strict=True):
+        if not n:
+            out[c] = np.zeros_like(g)
+            continue
+        s = g / n / np.outer(scales[c], scales[c])
+        p, mu, norm = len(x), np.trace(s) / len(x), float((s * s).sum())
+        delta = (norm - p * mu * mu) / p
+        by = min((b / n - norm) / (p * n), delta)
+        amount = by / delta if delta > 0 else 0.0
+        out[c] = ((1 - amount) * s + amount * mu * np.eye(p)) * np.outer(scales[c], scales[c])
+    return out
 
 
 def distinct_rows(df: DataFrame, *columns: str) -> DataFrame:
@@ -172,30 +154,33 @@ def fit_logistic_grid(df: DataFrame, x: list[str], task: str, fold: str, grid: l
 def out_of_fold(df: DataFrame, x: list[str], y: str, fold: str, folds: int, alpha: float = 1.0) -> DataFrame:
     """Rows with score: the decision value of a ridge classifier that was fitted on the other folds (0 to folds - 1).
 
-    Each fold's model is solved from sums of products of the rest; the scores are one expression over all rows, and a
-    row whose fold isn't among them is an error, so that every row is covered once.
+    Sums of products by fold are made in one pass, and each fold's model is solved from those of the rest; the scores are
+    one expression over all rows, and a row whose fold isn't among them is an error, so that every row is covered once.
     """
     if not df.where(F.col(fold).isNull() | ~F.col(fold).between(0, folds - 1)).isEmpty():
         raise ValueError("rows outside the folds")
     cases = []
-    signs = df.withColumn("sign", 2.0 * F.col(y) - 1.0)
+    held = collected(df.withColumn("sign", 2.0 * F.col(y) - 1.0), [*x, "sign"], fold)
     for f in range(folds):
-        w = {r["feature"]: r["weight"] for r in fit_ridge(signs.where(F.col(fold) != f), x, ["sign"], alpha).collect()}
-        cases.append(F.when(F.col(fold) == f, F.lit(w["(intercept)"]) + sum(F.col(c) * w[c] for c in x)))
+        rest: Moments = nothing(len(x) + 1)
+        for g, m in held.items():
+            rest = rest if g == f else merged(rest, m)
+        w, b = ridge_of(rest, len(x), alpha)
+        cases.append(F.when(F.col(fold) == f, F.lit(float(b[0])) + sum(F.col(c) * float(v) for c, v in zip(x, w[:, 0], strict=True))))
     return df.withColumn("score", F.coalesce(*cases))
 
 
 def fit_hinge(df: DataFrame, x: list[str], y: str, penalty: float, rounds: int = 60) -> DataFrame:
     """Hinge-loss weights by subgradient steps of size 1 / (penalty * t), averaged over the second half of the steps.
 
-    Each step is one aggregation over the different rows; the intercept isn't penalised.
+    Each step is one aggregation over the cached rows; the intercept isn't penalised.
     """
-    rows = distinct_rows(df, *x, y).withColumn("sign", 2.0 * F.col(y) - 1.0).cache()
-    n = rows.agg(F.sum("rows")).first()[0] or 1.0
+    rows = df.select(*x, y).dropna().withColumn("sign", 2.0 * F.col(y) - 1.0).cache()
+    n = float(rows.count() or 1)
     w, total, taken = np.zeros(len(x) + 1), np.zeros(len(x) + 1), 0
     for t in range(1, rounds + 1):
         margin = F.col("sign") * (F.lit(float(w[-1])) + sum(F.col(c) * float(v) for c, v in zip(x, w, strict=False)))
-        short = F.when(margin < 1, F.col("rows") * F.col("sign")).otherwise(0.0)
+        short = F.when(margin < 1, F.col("sign")).otherwise(0.0)
         g = np.array(rows.agg(*(F.sum(short * F.col(c)) for c in x), F.sum(short)).first(), dtype=float) / n
         step = 1 / (penalty * (t + 10))
         w = w + step * (g - penalty * np.append(w[:-1], 0.0))

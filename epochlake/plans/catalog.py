@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from epochlake.plans import evaluation, experiment, features, live, reuse, shape, spectral, stores  # noqa: F401
+from epochlake.plans import evaluation, experiment, features, grids, live, reuse, shape, spectral, stores  # noqa: F401

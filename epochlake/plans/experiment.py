@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from epochlake.functions.columns import flag
 from epochlake.operators import metrics, models, select, targets as op
 from epochlake.plans.evaluation import BA, SUMS, r6
+from epochlake.plans.grids import long_weights
 from epochlake.plans.registry import query
 from epochlake.sources.tables import N, class_scores, epochs, part_features, read, scores, sig1, targets, with_
 
@@ -274,15 +275,15 @@ def line_table(spark, sf):
 X = ["x1", "x2", "x3"]
 
 
-@query("m8_ridge")
+@query("m8_ridge", long_weights(1.0, "1.0 ELSE 0.0 END AS y1", "0, 1"))
 def m8(spark, sf):
-    return models.fit_ridge(line_table(spark, sf), X, ["y1", "y2"], 1.0)
+    return models.fit_ridge(line_table(spark, sf), X, ["y1", "y2"], 1.0).withColumn("weight", F.round("weight", 5))
 
 
-@query("m5_ridge_classifier")
+@query("m5_ridge_classifier", long_weights(1.0, "1.0 ELSE -1.0 END AS y1", "0"))
 def m5(spark, sf):
     t = line_table(spark, sf)
-    return models.fit_ridge(t.withColumn("y1", 2 * F.col("y1") - 1), X, ["y1"], 1.0)
+    return models.fit_ridge(t.withColumn("y1", 2 * F.col("y1") - 1), X, ["y1"], 1.0).withColumn("weight", F.round("weight", 5))
 
 
 @query("m1_logistic")
