@@ -280,8 +280,8 @@ def fits(moments: DataFrame, k: int, m: int, folds: list[int], grid: list[Candid
     return moments.withColumn("held", F.explode(sets)).groupBy("held").applyInArrow(solve, kind)
 
 
-def fold_scores(rows: DataFrame, weights: DataFrame, k: int, m: int, candidates: int, threshold: float = 0.5) -> DataFrame:
-    """Balanced accuracy and mean squared error of predictions clipped to [0, 1] by fold, candidate and target.
+def fold_scores(rows: DataFrame, weights: DataFrame, k: int, m: int, candidates: int, threshold: float = 0.5, logistic: bool = False) -> DataFrame:
+    """Balanced accuracy and mean squared error of predictions clipped to [0, 1], or made probabilities, by fold, candidate and target.
 
     Every row is scored once, by all candidates of its fold. Targets are 0 or 1; in a fold with one class the accuracy is
     that class's recall.
@@ -300,7 +300,8 @@ def fold_scores(rows: DataFrame, weights: DataFrame, k: int, m: int, candidates:
             for f in np.unique(fold).tolist():
                 w, b = known.value[f]
                 own = fold == f
-                p = np.clip(x[own] @ w + b, 0.0, 1.0).reshape(-1, candidates, m)
+                z = x[own] @ w + b
+                p = (1 / (1 + np.exp(-np.clip(z, -700, 700))) if logistic else np.clip(z, 0.0, 1.0)).reshape(-1, candidates, m)
                 yes, said = y[own][:, None, :] == 1, p >= threshold
                 new = np.stack([np.broadcast_to(yes.sum(axis=0), said.shape[1:]), (yes & said).sum(axis=0), np.broadcast_to((~yes).sum(axis=0), said.shape[1:]), (~yes & ~said).sum(axis=0), ((p - y[own][:, None, :]) ** 2).sum(axis=0)])
                 sums[f] = sums.get(f, 0.0) + new

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epochlake.operators.folds import Moments, collected, merged, pls_weights
+from epochlake.operators import logits
+from epochlake.operators.folds import ALL, Moments, collected, merged, pls_weights
 
 def gram(df: DataFrame, columns: list[str]) -> DataFrame:
     """Sums of products of all column pairs in one pass: a, b, g."""
@@ -91,64 +92,23 @@ def _ledoit_wolf(rows: DataFrame, x: list[str], grams: dict[int, Moments]) -> di
     return out
 
 
-def distinct_rows(df: DataFrame, *columns: str) -> DataFrame:
-    """Different rows with their number as weight, rows with a null left out: fits see each once."""
-    return df.select(*columns).dropna().groupBy(*columns).agg(F.count("*").cast("double").alias("rows"))
-
-
-def fit_logistic_grid(df: DataFrame, x: list[str], task: str, fold: str, grid: list[dict], parallel: int = 4) -> tuple[DataFrame, DataFrame]:
+def fit_logistic_grid(df: DataFrame, x: list[str], task: str, fold: str, grid: list[dict]) -> tuple[DataFrame, DataFrame]:
     """Candidates of a logistic model by mean balanced accuracy over folds, and the weights of the best refitted.
 
     A candidate has k (features with the largest F score of the training rows), c (inverse penalty, as 1 / (c * n)),
-    l1 (share of the absolute penalty) and balanced (classes weighted to equal shares). Equal rows are one weighted
-    row; each fit is a Spark job of its own, some at a time. Returns (candidate, k, c, l1, balanced, score, rank) and
-    (task, feature, weight), features not selected with weight 0.
+    l1 (share of the absolute penalty) and balanced (classes weighted to equal shares). All candidates and folds move
+    together, a pass a round (see logits). Returns (candidate, k, c, l1, balanced, score, rank) and (task, feature,
+    weight), features not selected with weight 0.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = distinct_rows(df, *x, task, fold).withColumnRenamed(task, "label").cache()
-    folds = sorted(r[0] for r in rows.select(fold).distinct().limit(1001).collect())
-    if len(folds) > 1000:
-        raise ValueError("more than 1000 folds")
-
-    def chosen(train: DataFrame, k: int) -> list[str]:
-        w = F.col("rows")
-        per = train.groupBy("label").agg(F.sum(w).alias("n"), *(F.sum(w * F.col(c)).alias(f"s_{c}") for c in x), *(F.sum(w * F.col(c) * F.col(c)).alias(f"q_{c}") for c in x)).collect()
-        score = {}
-        for c in x:
-            n, s, q = (np.array([r[f"{a}{c}" if a != "n" else "n"] for r in per]) for a in ("n", "s_", "q_"))
-            between = (s * s / n).sum() - s.sum() ** 2 / n.sum()
-            within = (q - s * s / n).sum()
-            score[c] = between / within if within > 0 else 0.0
-        return [c for c in x if c in sorted(x, key=lambda c: (-score[c], x.index(c)))[:k]]
-
-    def fit(train: DataFrame, g: dict):  # noqa: ANN202
-        per = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.sum("rows").alias("n")).collect()}
-        n, names = sum(per.values()), chosen(train, g["k"])
-        weight = F.col("rows") * F.coalesce(*(F.when(F.col("label") == y, n / (len(per) * c)) for y, c in per.items())) if g["balanced"] else F.col("rows")
-        data = VectorAssembler(inputCols=names, outputCol="features").transform(train.withColumn("weight", weight))
-        return names, LogisticRegression(regParam=1 / (g["c"] * n), elasticNetParam=float(g["l1"]), weightCol="weight", standardization=False, tol=1e-8, maxIter=200).fit(data)
-
-    def score(job: tuple[dict, object]) -> float:
-        g, held = job
-        names, model = fit(rows.where(F.col(fold) != F.lit(held)), g)
-        test = VectorAssembler(inputCols=names, outputCol="features").transform(rows.where(F.col(fold) == F.lit(held)))
-        per = model.transform(test).groupBy("label").agg((F.sum(F.when(F.col("prediction") == F.col("label"), F.col("rows")).otherwise(0.0)) / F.sum("rows")).alias("recall")).collect()
-        return float(np.mean([r["recall"] for r in per]))
-
-    jobs = [(g, f) for g in grid for f in folds]
-    with ThreadPoolExecutor(parallel) as pool:
-        scores = np.array(list(pool.map(score, jobs))).reshape(len(grid), len(folds)).mean(axis=1)
-    order = sorted(range(len(grid)), key=lambda k: (-round(scores[k], 12), k))
-    names, best = fit(rows, grid[order[0]])
-    rows.unpersist()
-    weights = dict(zip(names, best.coefficients.toArray().tolist(), strict=True))
-    table = [(k, g["k"], float(g["c"]), float(g["l1"]), bool(g["balanced"]), float(scores[k]), order.index(k) + 1) for k, g in enumerate(grid)]
+    rows = df.select(F.col(fold).alias("fold"), F.array(*(F.col(c).cast("double") for c in x)).alias("x"), F.array(F.col(task).cast("double")).alias("y"))
+    logit = [logits.Logit(g["k"], g["c"], float(g["l1"]), bool(g["balanced"]), scaled=False) for g in grid]
+    _, ranks, weights = logits.search(rows, len(x), 1, logit)
+    held = {r["candidate"]: r for r in ranks.collect()}
+    table = [(k, g["k"], float(g["c"]), float(g["l1"]), bool(g["balanced"]), held[k]["balanced_accuracy"], held[k]["rank"]) for k, g in enumerate(grid)]
+    best = min(held, key=lambda k: held[k]["rank"])
+    w = weights.where((F.col("held") == ALL) & (F.col("candidate") == best)).first()
     spark = df.sparkSession
-    return spark.createDataFrame(table, "candidate int, k int, c double, l1 double, balanced boolean, score double, rank int"), spark.createDataFrame([(task, c, weights.get(c, 0.0)) for c in x] + [(task, "(intercept)", float(best.intercept))], "task string, feature string, weight double")
+    return spark.createDataFrame(table, "candidate int, k int, c double, l1 double, balanced boolean, score double, rank int"), spark.createDataFrame([*((task, c, v) for c, v in zip(x, w["weights"], strict=True)), (task, "(intercept)", w["intercept"])], "task string, feature string, weight double")
 
 
 def out_of_fold(df: DataFrame, x: list[str], y: str, fold: str, folds: int, alpha: float = 1.0) -> DataFrame:
@@ -226,11 +186,12 @@ def predict_logistic(df: DataFrame, x: list[str], y: str) -> DataFrame:
 
 
 def one_vs_rest(df: DataFrame, x: list[str], classes: int) -> DataFrame:
-    from pyspark.ml.classification import LogisticRegression, OneVsRest
-
-    model = OneVsRest(classifier=LogisticRegression(regParam=0.01)).fit(assembled(df, x, "y"))
-    rows = [(c, f, float(w)) for c, m in enumerate(model.models) for f, w in zip(x, m.coefficients.toArray(), strict=True)]
-    return df.sparkSession.createDataFrame(rows, "class int, feature string, weight double")
+    """Logistic weights of each class against the others, all classes in the same passes: class, feature, weight."""
+    rows = df.select(F.array(*(F.col(c) for c in x)).alias("x"), "y")
+    c = 100.0 / max(rows.count(), 1)  # a penalty of 0.01 on the mean loss
+    found = logits.one_vs_rest(rows, len(x), classes, logits.Logit(len(x), c)).collect()
+    out = [(r["task"], f, float(w)) for r in found for f, w in zip(x, r["weights"], strict=True)]
+    return df.sparkSession.createDataFrame(out, "class int, feature string, weight double")
 
 
 def platt(df: DataFrame, rounds: int = 12) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from epochlake.operators import folds
+from epochlake.operators import folds, logits
 from epochlake.operators.folds import Candidate
+from epochlake.operators.logits import Logit
 from epochlake.plans.evaluation import r6
 from epochlake.plans.registry import query
 from epochlake.sources.tables import read
@@ -92,6 +93,19 @@ def m11_grid(spark, sf):
     return r6(search(spark, sf, OTHERS)[1], "balanced_accuracy", "clipped_mse")
 
 
+@query("m3_fold_screening")
+def m3_folds(spark, sf):
+    """Feature families by the folds' balanced accuracy of logistic models of both targets."""
+    return r6(logits.search(line_rows(spark, sf), 3, 2, [Logit(3, balanced=True, features=f) for f in FAMILIES], refit=False)[1], "balanced_accuracy", "clipped_mse")
+
+
+@query("m1_logistic_tasks")
+def m1_tasks(spark, sf):
+    """Kinds of penalty, penalties and class weights for both targets at once."""
+    grid = [Logit(k, c, l1, b) for k in (2, 3) for c in (0.01, 1.0) for l1 in (0.0, 1.0) for b in (False, True)]
+    return r6(logits.search(line_rows(spark, sf), 3, 2, grid)[1], "balanced_accuracy", "clipped_mse")
+
+
 def long_weights(sql_alpha: float, shift: str, tasks: str) -> str:
     """SQL of unscaled ridge weights on all rows, one row for each target and feature."""
     lines = LINES.replace("1.0 ELSE 0.0 END AS y1", shift)
