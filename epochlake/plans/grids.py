@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from epochlake.operators import folds, logits
+from epochlake.operators import folds, forest, logits
 from epochlake.operators.folds import Candidate
 from epochlake.operators.logits import Logit
 from epochlake.plans.evaluation import r6
@@ -21,7 +21,8 @@ def line_rows(spark, sf):
     line = read(spark, sf, "lineitem")
     x = F.array(F.col("l_discount").cast("double"), F.col("l_quantity") / 50, F.col("l_tax").cast("double"))
     y = F.array((F.col("l_returnflag") == "R").cast("double"), (F.col("l_linestatus") == "O").cast("double"))
-    return line.select((F.col("l_suppkey") % 3).cast("int").alias("fold"), x.alias("x"), y.alias("y"))
+    key = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return line.select((F.col("l_suppkey") % 3).cast("int").alias("fold"), x.alias("x"), y.alias("y"), key.alias("key"))
 
 
 def solved_sql(held: str, scaled: bool, cells: str) -> str:
@@ -106,6 +107,33 @@ def m1_tasks(spark, sf):
     return r6(logits.search(line_rows(spark, sf), 3, 2, grid)[1], "balanced_accuracy", "clipped_mse")
 
 
+GAINS = " UNION ALL ".join(f"SELECT {k} AS feature, x{k + 1} AS threshold, sum(count(*)) OVER w AS n, sum(sum(y1)) OVER w AS s1, sum(sum(y2)) OVER w AS s2 FROM lt GROUP BY x{k + 1} WINDOW w AS (ORDER BY x{k + 1})" for k in range(3))
+STUMP = (
+    f"WITH {LINES}, a AS (SELECT count(*) AS n, sum(y1) AS s1, sum(y2) AS s2 FROM lt), g AS ({GAINS}), "
+    "b AS (SELECT g.*, a.n - g.n AS rn, a.s1 - g.s1 AS r1, a.s2 - g.s2 AS r2, (g.s1 * g.s1 + g.s2 * g.s2) / g.n + ((a.s1 - g.s1) * (a.s1 - g.s1) + (a.s2 - g.s2) * (a.s2 - g.s2)) / (a.n - g.n) - (a.s1 * a.s1 + a.s2 * a.s2) / a.n AS gain FROM g, a WHERE g.n < a.n) "
+    "SELECT CAST(feature AS INTEGER) AS feature, round(threshold, 6) AS threshold, round(gain, 4) AS gain, round(s1 / n, 6) AS left_1, round(s2 / n, 6) AS left_2, round(r1 / rn, 6) AS right_1, round(r2 / rn, 6) AS right_2 FROM b ORDER BY round(gain, 9) DESC, feature, threshold LIMIT 1"
+)
+
+
+@query("m10_forest_stump", STUMP)
+def m10_stump(spark, sf):
+    """The first split of a tree of both targets over all rows, with its leaves."""
+    tree = forest.fit(line_rows(spark, sf), 3, 2, trees=1, depth=1, bins=256, bootstrap=False).trees[0]
+    left, right = (tree[tree[0][c]]["value"] for c in ("left", "right"))
+    row = (tree[0]["feature"], round(tree[0]["threshold"], 6), round(tree[0]["gain"], 4), *(round(float(v), 6) for v in (*left, *right)))
+    return spark.createDataFrame([row], "feature int, threshold double, gain double, left_1 double, left_2 double, right_1 double, right_2 double")
+
+
+@query("m10_forest_multioutput")
+def m10_forest(spark, sf):
+    """Importance of each feature in a forest whose trees predict both targets, beside the mean predictions."""
+    rows = line_rows(spark, sf)
+    model = forest.fit(rows, 3, 2, trees=10, depth=4, least=5, share=0.67)
+    means = forest.predict(rows, model, 3).agg(F.count("*").alias("n"), *(F.round(F.avg(F.col("p")[t]), 6).alias(f"mean_{t + 1}") for t in range(2)))
+    shares = spark.createDataFrame([(c, round(float(v), 6)) for c, v in zip(NAMES, model.importances(3), strict=True)], "feature string, importance double")
+    return shares.crossJoin(F.broadcast(means))  # three rows and one
+
+
 def long_weights(sql_alpha: float, shift: str, tasks: str) -> str:
     """SQL of unscaled ridge weights on all rows, one row for each target and feature."""
     lines = LINES.replace("1.0 ELSE 0.0 END AS y1", shift)
