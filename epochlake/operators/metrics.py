@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochlake.functions.columns import balanced, macro_f1, safe_div
+from epochlake.operators.running import running_sums
 
 
 def confusion(df: DataFrame, *key: str) -> DataFrame:
@@ -59,16 +60,14 @@ def score_counts(df: DataFrame, *key: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, *key: str) -> DataFrame:
     """Area under the ROC curve with ties, null for one class."""
-    w = Window.partitionBy(*key).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    s = score_counts(df, *key).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    s = running_sums(score_counts(df, *key), key, ("score",), {"below": F.col("neg")})
     won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return s.groupBy(*key).agg(F.when((F.sum("pos") > 0) & (F.sum("neg") > 0), won / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, *key: str) -> DataFrame:
     """Sum of recall steps times precision from the highest score down."""
-    w = Window.partitionBy(*key).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    s = score_counts(df, *key).withColumn("tp", F.sum("pos").over(w)).withColumn("n", F.sum(F.col("pos") + F.col("neg")).over(w))
+    s = running_sums(score_counts(df, *key), key, (F.desc("score"),), {"tp": F.col("pos"), "n": F.col("pos") + F.col("neg")}, inclusive=True)
     return s.groupBy(*key).agg((F.sum(F.col("pos") * F.col("tp") / F.col("n")) / F.sum("pos")).alias("average_precision"))
 
 

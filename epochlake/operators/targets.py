@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epochlake.operators.running import numbered
+
 #: Groups that a driver-side permutation may list; more is an error, since the list is dealt and broadcast (megabytes).
 MOST_GROUPS = 100_000
 
@@ -123,5 +125,5 @@ def align(features: DataFrame, target: DataFrame, *key: str) -> DataFrame:
 
 
 def number_within(df: DataFrame, *group: str, order: tuple[Column | str, ...]) -> DataFrame:
-    """Running number from 0 within groups in the given order."""
-    return df.withColumn("epoch_index", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
+    """Running number from 0 within groups in the given order; a group of any size is spread over ranges."""
+    return numbered(df, group, order, "epoch_index").withColumn("epoch_index", F.col("epoch_index").cast("int"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from epochlake.operators import shape
@@ -25,7 +24,8 @@ def w2(spark, sf):
 
 @query("w2_event_windows", with_("events_sig", more="uw AS (SELECT user_id, CAST(unnest(range(0, (count(*) - 20) // 10 + 1)) AS INTEGER) AS win FROM events_sig GROUP BY user_id HAVING count(*) >= 20)", sql="SELECT e.user_id, w.win, count(*) AS n, round(avg(e.value), 6) AS mean FROM events_sig e JOIN uw w ON e.user_id = w.user_id AND e.t_idx >= w.win * 10 AND e.t_idx < w.win * 10 + 20 GROUP BY e.user_id, w.win"))
 def w2_events(spark, sf):
-    e = events_sig(spark, sf).withColumn("events", F.count("*").over(Window.partitionBy("user_id")))
+    events = read(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("events"))
+    e = events_sig(spark, sf).join(events, "user_id")
     w = shape.windows(e, F.col("events"), 20, 10)
     return w.groupBy("user_id", "win").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 

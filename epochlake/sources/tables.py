@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from epochlake.operators.running import numbered
+
 #: Samples per second and per epoch of the stand-in recordings.
 FS = 64
 N = 64
@@ -66,8 +68,8 @@ def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_sig(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One irregular signal per user: user_id, t_idx, value."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return read(spark, sf_dir, "events").select("user_id", (F.row_number().over(w) - 1).alias("t_idx"), "value", "event_id", "ts")
+    e = read(spark, sf_dir, "events").select("user_id", "value", "event_id", "ts")
+    return numbered(e, ("user_id",), ("ts", "event_id"), "t_idx").withColumn("t_idx", F.col("t_idx").cast("int"))
 
 
 def part_features(spark: SparkSession, sf_dir: str) -> DataFrame:
