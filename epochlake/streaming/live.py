@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from epochlake.operators.metrics import confusion
 
@@ -28,15 +31,100 @@ def first_fingerprints(docs: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str, path: str) -> DataFrame:
-    """Run a stream over what is there now into Parquet and read it; `complete` results keep the last batch."""
-    spark = stream.sparkSession
+    """Run a stream over what is there now into Parquet below path and read all of it; `complete` results keep the last batch.
+
+    A batch has a folder of its own, which a batch that is run again after a failure overwrites, so that its rows stand
+    there once. The state lies below path, too: a later call with the same path goes on where this one ended.
+    """
+    spark, schema = stream.sparkSession, stream.schema
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/data")
+        batch.write.mode("overwrite").parquet(f"{path}/data" if mode == "complete" else f"{path}/data/batch={number}")
 
-    q = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/state-{uuid.uuid4().hex}").foreachBatch(keep).start()
+    q = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/state").foreachBatch(keep).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{path}/data")
+    if mode != "complete":
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/data/batch=-1")  # a table even without a batch
+    return spark.read.schema(schema).parquet(f"{path}/data")
+
+
+#: What a sample window holds: its number, first and last time, and features of its values.
+SAMPLE_WINDOW = "user_id long, win int, start timestamp, end timestamp, n long, mean double, variance double, std double, rms double, range double"
+
+
+class SampleWindows(StatefulProcessor):
+    """Windows of `width` samples every `stride` over one user's values in the order of (ts, event_id).
+
+    Rows wait until the watermark has passed them, for then nothing can come before them any more; a timer at the
+    earliest of them brings the user back. Released values go through a ring of fewer than `width` values; a window is
+    given out as soon as its last sample is there. State: what waits, the ring, and the number of samples so far.
+    """
+
+    def __init__(self, width: int, stride: int):
+        self.width, self.stride = width, stride
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts timestamp, event_id long, value double")
+        self.ring = handle.getListState("ring", "ts timestamp, value double")
+        self.seen = handle.getValueState("seen", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803  Spark's names
+        for part in rows:
+            for row in part[["ts", "event_id", "value"]].itertuples(index=False):
+                self.waiting.appendValue((row.ts.to_pydatetime(), int(row.event_id), None if pd.isna(row.value) else float(row.value)))
+        yield self.released(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        yield self.released(key, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+    def released(self, key: tuple, watermark: int) -> pd.DataFrame:
+        """Windows that the rows before the watermark complete."""
+        rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1]))
+        millis = lambda t: t.timestamp() * 1000
+        ready = [r for r in rows if millis(r[0]) < watermark]
+        later = rows[len(ready) :]
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if later:
+            self.handle.registerTimer(int(millis(later[0][0])) + 1)
+        out = []
+        if ready:
+            self.waiting.put(later) if later else self.waiting.clear()
+            ring, n = [tuple(r) for r in self.ring.get()], self.seen.get()[0] if self.seen.exists() else 0
+            for ts, _, value in ready:
+                ring, n = [*ring, (ts, value)][-self.width :], n + 1
+                if n >= self.width and (n - self.width) % self.stride == 0:
+                    out.append(self.window(key[0], (n - self.width) // self.stride, ring))
+            ring = ring[-(self.width - 1) :] if self.width > 1 else []
+            self.ring.put(ring) if ring else self.ring.clear()
+            self.seen.update((n,))
+        columns = [c.split()[0] for c in SAMPLE_WINDOW.split(", ")]
+        return pd.DataFrame(out, columns=columns)
+
+    def window(self, user: int, win: int, ring: list[tuple]) -> tuple:
+        v = np.array([x for _, x in ring if x is not None], dtype=float)
+        if not len(v):
+            return user, win, ring[0][0], ring[-1][0], 0, *[None] * 5
+        return user, win, ring[0][0], ring[-1][0], len(v), v.mean(), v.var(), v.std(), float(np.sqrt((v * v).mean())), v.max() - v.min()
+
+
+def sample_windows(events: DataFrame, width: int, stride: int, late: str = "10 minutes") -> DataFrame:
+    """Live windows over the sample index of each user (ts, event_id, user_id, value); rows later than the watermark go.
+
+    The state of a user is what came within `late` and fewer than `width` values. Null values count as samples without a
+    value; null users are left out. Needs the state store that is kept in files.
+    """
+    rows = events.select("user_id", "ts", "event_id", "value").where("user_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late)
+    return rows.groupBy("user_id").transformWithStateInPandas(SampleWindows(width, stride), SAMPLE_WINDOW, "Append", "EventTime")
+
+
+def with_state_files(spark: SparkSession) -> None:
+    """Choose the state store that keyed state with timers needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def stream_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
