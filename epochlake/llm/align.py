@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Numbering, byte_alphabet
+from .bpe import Numbering, byte_alphabet, ragged
 from .common import texts_of
 
 #: Rows and characters taken together, characters of new chunks encoded together, and chunks and their characters kept.
 ROWS, CHARACTERS = 1024, 4_000_000
-LEARNT_CHARACTERS = 200_000
-KEPT_CHUNKS, KEPT_CHARACTERS = 250_000, 8_000_000
+LEARNT_CHARACTERS = 20_000
+KEPT_CHUNKS, KEPT_CHARACTERS = 600_000, 12_000_000
 
 #: What a text may be cut into without a change of either side's tokens: see Aligner.
 CHUNK = re.compile(r" .*?(?:\S(?= )|\Z)", re.DOTALL)
@@ -75,7 +75,7 @@ class Aligner:
     chunks are encoded together and aligned once; a text's results are put together from those of its chunks.
     """
 
-    def __init__(self, a_file: bytes, b_file: bytes, pairs: np.ndarray, counts: np.ndarray | None = None):
+    def __init__(self, a_file: bytes, b_file: bytes, pairs: np.ndarray):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -91,17 +91,33 @@ class Aligner:
         self.a_bytes, self.b_bytes = token_bytes(a_file, b_file)
         self.a_size, self.b_size = (np.array([len(x) for x in y], dtype=np.int64) for y in (self.a_bytes, self.b_bytes))
         self.apart = split.get("use_regex", True) and not any(b" " in x.lstrip(b" ") for x in self.b_bytes)
-        self.pairs, self.counts = pairs, counts
-        if counts is not None:
-            best = np.zeros(len(self.b_bytes), dtype=np.int64)
-            np.maximum.at(best, pairs & 0xFFFFFFFF, counts)
-            self.is_best = (counts > 0) & (counts == best[pairs & 0xFFFFFFFF])
+        self.pairs, self.counts = pairs, None
+        # ids as they are written in groups: A's before a comma and before the bar, B's before a comma and at a group's end
+        self.written = [f"{i}{end}" for size, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for end in ends for i in range(size)]
         self.number = Numbering()
         self.clear()
 
+    def count(self, name: object, counts: np.ndarray) -> None:
+        """Take over the corpus's links by possible pair; sums of the chunks that are known follow."""
+        if self.counts is not None and self.counts[0] == name:
+            return
+        best = np.zeros(len(self.b_bytes), dtype=np.int64)
+        np.maximum.at(best, self.pairs & 0xFFFFFFFF, counts)
+        self.counts = name, np.stack([(counts > 0) & (counts == best[self.pairs & 0xFFFFFFFF]), counts], axis=1).astype(np.int64)
+        self.numbers[:, 4:] = self.summed(self.links, self.numbers[:, 3])
+
+    def summed(self, links: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Best links and counts of chunks that have so many links each."""
+        if self.counts is None:
+            return np.zeros((len(sizes), 2), dtype=np.int64)
+        running = np.concatenate((np.zeros((1, 2), dtype=np.int64), np.cumsum(self.counts[1][links], axis=0)))
+        ends = np.cumsum(sizes)
+        return running[ends] - running[ends - sizes]
+
     def clear(self) -> None:
         self.number.clear()
         self.characters = 0
+        self.seen = np.zeros(0, dtype=np.int64)  # times that each chunk was met
         self.numbers = np.zeros((0, len(NUMBERS)), dtype=np.int64)  # a row for each chunk
         self.valid: list[bool] = []
         self.groups: list[str] = []
@@ -113,69 +129,65 @@ class Aligner:
             return [spaced]
         return CHUNK.findall(spaced) if LOOSE(spaced) else [" " + x for x in text.split(" ")]
 
-    def align(self, text: str, bound: np.ndarray | None) -> tuple[np.ndarray, ...] | None:
+    def align(self, text: str, bound: np.ndarray) -> tuple[np.ndarray, ...] | None:
         """Ids of both sides and the indices of the tokens that end together; None if bytes differ or if a chunk's end,
         of which bound has the offsets, isn't among them."""
-        a = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int64)
+        a = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int64)
         b = np.array(self.pieces.encode(text[1:], num_threads=1), dtype=np.int64)
         raw = text.encode()
         if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != raw:
             return None
-        a_index = {end: k for k, end in enumerate(np.cumsum(self.a_size[a]).tolist())}
-        b_index = {end: k for k, end in enumerate(np.cumsum(self.b_size[b]).tolist())}
-        ends = sorted(a_index.keys() & b_index.keys())
-        if bound is not None and not a_index.keys() & b_index.keys() >= set(bound.tolist()):
+        a_index = dict(zip(np.cumsum(self.a_size[a]).tolist(), range(len(a)), strict=True))
+        b_index = dict(zip(np.cumsum(self.b_size[b]).tolist(), range(len(b)), strict=True))
+        common = a_index.keys() & b_index.keys()
+        if not common.issuperset(bound.tolist()):
             return None
+        ends = sorted(common)
         of_a, of_b = (np.fromiter(map(x.__getitem__, ends), dtype=np.int64, count=len(ends)) for x in (a_index, b_index))
         return a, b, of_a, of_b, np.array(ends, dtype=np.int64)
 
     def learn(self) -> None:
         """Align the chunks that have a number but no results yet."""
         new = list(self.number)[len(self.valid) :]
-        at = 0
+        found, linked, at = [], [], 0
         while at < len(new):
             size, end = 0, at
             # a chunk that ends in white space would run into the next one's space; marks that stand for spaces don't come back
             while end < len(new) and size < LEARNT_CHARACTERS and self.apart and not new[end][-1].isspace() and MARK not in new[end]:
                 size, end = size + len(new[end]), end + 1
-            self.add(new[at : max(end, at + 1)])
+            rows, links = self.add(new[at : max(end, at + 1)])
+            found, linked = found + rows, linked + links
             at = max(end, at + 1)
+        self.numbers, self.links = np.concatenate([self.numbers, *found]), np.concatenate([self.links, *linked])
 
-    def add(self, chunks: list[str]) -> None:
+    def add(self, chunks: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Align some chunks together, or in halves where that can't be: their numbers and their links."""
         bound = np.cumsum([len(c.encode()) for c in chunks])
         found = self.align("".join(chunks), bound)
         if found is None and len(chunks) > 1:
-            self.add(chunks[: len(chunks) // 2])
-            self.add(chunks[len(chunks) // 2 :])
-            return
+            both = self.add(chunks[: len(chunks) // 2]), self.add(chunks[len(chunks) // 2 :])
+            return both[0][0] + both[1][0], both[0][1] + both[1][1]
         self.characters += sum(map(len, chunks))
         self.valid += [found is not None] * len(chunks)
         if found is None:
-            self.numbers = np.concatenate((self.numbers, np.zeros((1, len(NUMBERS)), dtype=np.int64)))
             self.groups.append("")
-            return
+            return [np.zeros((1, len(NUMBERS)), dtype=np.int64)], []
         a, b, of_a, of_b, ends = found
         last = np.searchsorted(ends, bound)  # the group that ends each chunk
         sizes = [np.diff(x, prepend=0) for x in (of_a[last] + 1, of_b[last] + 1, last + 1)]
         links = np.searchsorted(self.pairs, (a[of_a] << 32) | b[of_b]).astype(np.int32)
-        sums = [np.zeros(len(chunks), dtype=np.int64)] * 2
-        if self.counts is not None:
-            starts = last + 1 - sizes[2]
-            sums = [np.add.reduceat(x[links].astype(np.int64), starts) for x in (self.is_best, self.counts)]
-        self.numbers = np.concatenate((self.numbers, np.stack([*sizes, sizes[2], *sums], axis=1)))
-        self.links = np.concatenate((self.links, links))
-        if self.counts is not None:
-            x, y = list(map(str, a.tolist())), list(map(str, b.tolist()))
-            parts, i, j = [], 0, 0
-            for k, m in zip((of_a + 1).tolist(), (of_b + 1).tolist(), strict=True):
-                parts.append(f"{x[i]}|{y[j]}" if k - i == 1 == m - j else ",".join(x[i:k]) + "|" + ",".join(y[j:m]))
-                i, j = k, m
-            first = 0
-            for end in (last + 1).tolist():
-                self.groups.append(";".join(parts[first:end]))
-                first = end
-        else:
-            self.groups += [""] * len(chunks)
+        # a group's ids of A, then those of B
+        sizes_a, sizes_b = np.diff(of_a, prepend=-1), np.diff(of_b, prepend=-1)
+        order = np.empty(len(a) + len(b), dtype=np.int64)
+        order[np.arange(len(a)) + np.repeat(of_b + 1 - sizes_b, sizes_a)] = a
+        order[np.arange(len(b)) + np.repeat(of_a + 1, sizes_b)] = b + 2 * len(self.a_bytes)
+        order[of_a + of_b + 1 - sizes_b] += len(self.a_bytes)
+        order[of_a + of_b + 1] += len(self.b_bytes)
+        said, first = list(map(self.written.__getitem__, order.tolist())), 0
+        for end in (of_a[last] + of_b[last] + 2).tolist():
+            self.groups.append("".join(said[first:end]))
+            first = end
+        return [np.concatenate((np.stack([*sizes, sizes[2]], axis=1), self.summed(links, sizes[2])), axis=1)], [links]
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray]:
         """Numbers of the chunks of each text; none where the text has no tokens."""
@@ -190,12 +202,27 @@ class Aligner:
                 whole = self.number[" " + texts[k]]
                 self.learn()
                 found[k] = np.array([whole] if self.valid[whole] else [], dtype=np.int64)
+        times = np.bincount(np.concatenate([*found, np.zeros(0, dtype=np.int64)]), minlength=len(self.valid))
+        times[: len(self.seen)] += self.seen
+        self.seen = times
         return found
 
     def rest(self) -> None:
-        """Forget what was learnt once it is much."""
-        if len(self.number) > KEPT_CHUNKS or self.characters > KEPT_CHARACTERS:
+        """Once much was learnt, forget all but the chunks that came back; all of them if those are many, too."""
+        if len(self.number) <= KEPT_CHUNKS and self.characters <= KEPT_CHARACTERS:
+            return
+        stay = np.flatnonzero(self.seen > 2)
+        words, sizes = list(self.number), self.numbers[:, 3]
+        words = [words[k] for k in stay.tolist()]
+        if len(stay) > KEPT_CHUNKS // 2 or sum(map(len, words)) > KEPT_CHARACTERS // 2:
             self.clear()
+            return
+        self.number.clear()
+        self.number.update(zip(words, range(len(words)), strict=True))
+        self.characters = sum(map(len, words))
+        self.links = self.links[ragged((np.cumsum(sizes) - sizes)[stay], sizes[stay])]
+        self.numbers, self.seen = self.numbers[stay], np.zeros(len(stay), dtype=np.int64)
+        self.valid, self.groups = ([x[k] for k in stay.tolist()] for x in (self.valid, self.groups))
 
 
 def portions(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
@@ -212,14 +239,14 @@ def portions(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[p
             yield batch.slice(first, len(texts)), texts
 
 
-_aligners: dict[tuple, Aligner] = {}
+_aligners: dict[str, Aligner] = {}
 
 
-def aligner_of(name: tuple, files, counts=None) -> Aligner:
-    """One aligner for all tasks that a Python worker runs with these files and counts."""
+def aligner_of(name: str, files) -> Aligner:
+    """One aligner for all tasks, of both passes, that a Python worker runs with these files."""
     if name not in _aligners:
         _aligners.clear()
-        _aligners[name] = Aligner(*files.value, None if counts is None else counts.value)
+        _aligners[name] = Aligner(*files.value)
     return _aligners[name]
 
 
@@ -229,10 +256,10 @@ def shared_files(docs: DataFrame, a_path: str, b_path: str):
         files = a.read(), b.read()
     pairs = possible_pairs(*token_bytes(*files))
     name = hashlib.sha256(files[0] + files[1]).hexdigest()
-    return (name,), docs.sparkSession.sparkContext.broadcast((*files, pairs)), pairs
+    return name, docs.sparkSession.sparkContext.broadcast((*files, pairs)), pairs
 
 
-def counted(docs: DataFrame, text: str, name: tuple, files) -> DataFrame:
+def counted(docs: DataFrame, text: str, name: str, files) -> DataFrame:
     """Links of the corpus by possible pair: rows (pair, n), n summed over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,21 +304,22 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", keep: t
     counts = np.zeros(len(pairs), dtype=np.int64)
     counts[held.column("pair").to_numpy()] = held.column("n").to_numpy()
     known = docs.sparkSession.sparkContext.broadcast(counts)
-    named = (*name, hashlib.sha256(counts.tobytes()).hexdigest())
+    digest = hashlib.sha256(counts.tobytes()).hexdigest()
     added = {"groups": "array<struct<a: array<int>, b: array<int>>>"} if "groups" in keep else {}
     added |= {**dict.fromkeys(NUMBERS, "long"), "groups_sha256": "string"}
     base = docs.drop(*(c for c in docs.columns if c.lower() in added and c != text))
     names = [c for c in base.columns if c.lower() not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = aligner_of(named, files, known)
+        aligner = aligner_of(name, files)
+        aligner.count(digest, known.value)
         for batch, texts in portions(batches, text):
             numbers = aligner.texts(texts)
             sums = aligner.numbers[np.concatenate([*numbers, np.zeros(0, dtype=np.int64)])]
             ends = np.cumsum([len(x) for x in numbers])
             running = np.concatenate((np.zeros((1, len(NUMBERS)), dtype=np.int64), np.cumsum(sums, axis=0)))
             of_text = running[ends] - running[ends - [len(x) for x in numbers]]
-            written = [";".join(map(aligner.groups.__getitem__, x.tolist())) for x in numbers]
+            written = ["".join(map(aligner.groups.__getitem__, x.tolist()))[:-1] for x in numbers]
             made = [pa.array(x) for x in of_text.T.copy()]
             made.append(pa.array([hashlib.sha256(x.encode()).hexdigest() if x else "" for x in written], pa.string()))
             if "groups" in keep:

@@ -112,7 +112,9 @@ def test_forgets_when_full(spark, plain, monkeypatch):
     want, count, _ = plain.rows(texts)
     counts = np.array([count.get((int(p) >> 32, int(p) & 0xFFFFFFFF), 0) for p in pairs])
     assert counts.sum() == sum(count.values())  # no link outside the possible pairs
-    aligner = align.Aligner(*files, pairs, counts)
+    aligner = align.Aligner(*files, pairs)
+    aligner.texts(texts[:9])
+    aligner.count("corpus", counts)
     for k in range(0, len(texts), 3):
         for x, w in zip(aligner.texts(texts[k : k + 3]), want[k : k + 3], strict=True):
             assert tuple(aligner.numbers[x].sum(axis=0)) == w[:6]
