@@ -20,9 +20,12 @@ RAW = frozenset("script style textarea title noscript template iframe svg xmp no
 DROPPED = frozenset("head nav header footer aside form button select script style textarea title noscript template iframe svg dialog menu object canvas audio video noembed noframes".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul xmp".split())
 INLINE = frozenset("abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
-BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header menu modal nav navbar navigation newsletter notice notices popup promo promoted related respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split())
+BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment commentlist comments cookie cookies consent disqus footer gdpr header menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies reply respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split())
 #: Words that may stand beside one of those in a compound such as site-footer; with any other word the name tells nothing.
 NEUTRAL = frozenset("area bar block bottom box buttons container content footer global google group holder icons inner js links list items main module outer page pane panel placeholder popup posts primary region row secondary section signup site slot top unit wrap wrapper".split())
+#: Those that take away prose of the main element, too.
+COMMENTS = frozenset("comment commentlist comments replies reply respond disqus".split())
+INSERTED = COMMENTS | frozenset("ad ads advert adverts advertisement advertising newsletter promo promoted sponsor sponsored subscribe subscription".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 MAIN = frozenset(("article", "main"))
 #: Inside the main element these are its text: no class and no recurrence takes them away, nor lists unless of links.
@@ -44,9 +47,6 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 LEAST_PAGES = 3
 LEAST_SHARE = 0.5
 MANY_PAGES = 50
-#: Recurring subtrees that hold most of a page, and so many words, are what the page says.
-MAIN_WORDS = 40
-
 
 class Node:
     __slots__ = ("children", "closed", "drop", "has_main", "links", "mark", "name", "soft", "words")
@@ -62,11 +62,11 @@ class Node:
 BREAK = Node("br")
 
 
-def marked_by_words(names: str) -> bool:
-    """Whether one of the class or id names is a boilerplate word, alone or with neutral words."""
+def marked_by_words(names: str, telling: frozenset[str] = BOILERPLATE) -> bool:
+    """Whether one of the class or id names is a telling word, alone or with neutral words."""
     for name in names.split():
         words = [w.lower() for w in WORDS.findall(name)]
-        if any(w in BOILERPLATE for w in words) and all(w in BOILERPLATE or w in NEUTRAL for w in words):
+        if any(w in telling for w in words) and all(w in telling or w in NEUTRAL for w in words):
             return True
     return False
 
@@ -74,7 +74,7 @@ def marked_by_words(names: str) -> bool:
 def boilerplate(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     """Whether an element isn't main text, and whether only its class or id says so; inside: in the main element."""
     if name in DROPPED and not (name == "header" and inside):
-        return True, False
+        return True, name == "form"
     if not attributes or name in ("html", "body"):
         return False, False
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
@@ -84,9 +84,9 @@ def boilerplate(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
         return True, False
     names = values.get("class", "") + " " + values.get("id", "")
     if name in MAIN:
-        return "comment" in names.lower(), False
+        return marked_by_words(names, COMMENTS), False
     if inside and (name in PROSE or name in INLINE or name in LISTS and not marked_by_words(names) or name == "header"):
-        return False, False
+        return marked_by_words(names, INSERTED), False
     if inside and "header" in names.lower():
         names = " ".join(n for n in names.split() if "header" not in n.lower())
     return marked_by_words(names), True
@@ -231,9 +231,38 @@ def parse(html: str) -> Node:
         at = found.end() if found else end
         tree.pop(len(tree.open) - 1, True)
     tree.pop(1)
+    keep_only_content(tree.root)
     return tree.root
 
 
+def keep_only_content(root: Node) -> None:
+    """Take back what the rules dropped although it is the page: its only main element, and a form around nearly all of its prose."""
+    mains, forms, seen, prose = [], [], 0, 0
+    stack = [(root, False, False)]
+    while stack:
+        node, dropped, text = stack.pop()
+        if node.name in MAIN:
+            seen += 1
+            if node.drop and not dropped:
+                mains.append(node)
+        if node.name == "form" and node.drop and not dropped:
+            forms.append(node)
+        below = dropped or node.drop
+        text = text or node.name in PROSE and node.name != "a"
+        for c in node.children:
+            if isinstance(c, Node):
+                stack.append((c, below, text))
+            elif text and not below:
+                prose += len(c.split())
+    if seen == 1:
+        for m in mains:
+            m.drop = False
+    for f in forms:
+        f.drop = False
+        own = prose_words(f, within=PROSE - {"a"})
+        f.drop = not own or own < 4 * prose
+
+
 def hash_subtrees(root: Node) -> list[Node]:
     """Hash, words and words in links of each element, children included; returns those that may be templates.
 
@@ -274,8 +303,8 @@ def hash_subtrees(root: Node) -> list[Node]:
 def delete_templates(root: Node, gone: set[int]) -> None:
     """Drop the outermost subtrees whose hash is in gone.
 
-    Where they hold most of the page's words, and more than a few, they are its main text and not a template;
-    then only those go that consist mostly of links.
+    Where they hold most of the page's words they are its main text and not a template; then only those go that
+    consist mostly of links.
     """
     may_go = {id(n) for n in hash_subtrees(root) if n.mark in gone}
     found, stack = [], [root]
@@ -285,7 +314,7 @@ def delete_templates(root: Node, gone: set[int]) -> None:
             if isinstance(c, Node) and not c.drop and c is not BREAK:
                 (found if id(c) in may_go else stack).append(c)
     total = sum(n.words for n in found)
-    if total >= MAIN_WORDS and 2 * total >= root.words:
+    if 2 * total >= root.words:
         found = [n for n in found if 2 * n.links > n.words]
     for n in found:
         n.drop = True
@@ -317,18 +346,31 @@ def blocks_of(node: Node) -> Iterator[str]:
     yield from flush()
 
 
-def prose_words(node: Node) -> int:
-    """Words outside links of what isn't dropped."""
-    total, stack = 0, [node]
+def prose_words(node: Node, within: frozenset[str] | None = None) -> int:
+    """Words outside links of what isn't dropped; of text inside certain elements only, if they are given."""
+    total, stack = 0, [(node, within is None)]
     while stack:
-        for c in stack.pop().children:
+        x, counts = stack.pop()
+        for c in x.children:
             if isinstance(c, str):
-                total += len(c.split())
+                total += len(c.split()) if counts else 0
             elif not c.drop and c.name != "a":
-                stack.append(c)
+                stack.append((c, counts or c.name in within))
     return total
 
 
+def mostly_links(node: Node) -> bool:
+    """Whether links hold more than half of the words that aren't dropped."""
+    words, stack = 0, [node]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, str):
+                words += len(c.split())
+            elif not c.drop:
+                stack.append(c)
+    return 2 * prose_words(node) < words
+
+
 def outermost(root: Node, name: str) -> list[Node]:
     found, stack = [], [root]
     while stack:
@@ -340,23 +382,53 @@ def outermost(root: Node, name: str) -> list[Node]:
     return found
 
 
+def largest_run(root: Node) -> int:
+    """Most prose words that stand right below one element outside of articles, in its text and its paragraphs."""
+    most, stack = 0, [root]
+    while stack:
+        x, own = stack.pop(), 0
+        for c in x.children:
+            if isinstance(c, str):
+                own += len(c.split())
+            elif not c.drop and c.name not in ("a", "article"):
+                if c.name in PROSE:
+                    own += prose_words(c)
+                else:
+                    stack.append(c)
+        most = max(most, own)
+    return most
+
+
+def around(main: Node, ruling: list[Node]) -> None:
+    """Drop what stands beside the ruling articles of a main element without being its headline or text: teasers and links."""
+    rules, stack = {id(a) for a in ruling}, [main]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, str) or c.drop or c is BREAK or id(c) in rules:
+                continue
+            if c.name == "article" or not c.has_main and c.name not in INLINE and mostly_links(c):
+                c.drop = True
+            else:
+                stack.append(c)
+
+
 def main_nodes(root: Node) -> list[Node]:
     """The main parts in page order.
 
-    In a main element its one article, if that holds most of its words outside links, else the main element whole:
-    teasers don't stand for the story around them. Without a main element the articles, unless they hold less than
-    a quarter of the page's words outside links, else the page.
+    The main element is taken with all that isn't boilerplate; where one article in it holds most of its words outside
+    links, other articles and lists of links beside it are teasers and go. Without a main element the articles, unless
+    more words stand together elsewhere on the page: then the page, for the articles are teasers beside a story.
     """
     mains = [m for m in outermost(root, "main") if prose_words(m)]
+    for m in mains:
+        whole = prose_words(m)
+        ruling = [a for a in outermost(m, "article") if 2 * prose_words(a) > whole]
+        if ruling:
+            around(m, ruling)
     if mains:
-        out = []
-        for m in mains:
-            whole = prose_words(m)
-            ruling = [a for a in outermost(m, "article") if 2 * prose_words(a) > whole]
-            out += ruling or [m]
-        return out
+        return mains
     articles = outermost(root, "article")
-    return articles if articles and 4 * sum(map(prose_words, articles)) >= prose_words(root) else [root]
+    return articles if articles and sum(map(prose_words, articles)) >= largest_run(root) else [root]
 
 
 def main_text(root: Node) -> str:
@@ -379,10 +451,11 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     """Main text of every page: page_id, url, text, n_chars, for each row of pages.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go by element name,
-    role, class or id; inside an article or main element its header stays, and classes decide on containers only.
+    role, class or id; inside an article or main element its header stays, and of its prose only adverts and reader
+    comments go by class. The page's only main element and a form around nearly all of its prose always stay.
     Then site templates: every remaining subtree's hash is counted per host over pages of different content, and a
     subtree that stands on least_share of them and least_pages, or on many_pages, is deleted, except what holds the
-    main element, prose within it, and subtrees that are most of what the page says (see delete_templates). The
+    main element, prose within it, and subtrees that hold most of the page's words (see delete_templates). The
     text is that of the main element or the articles (see main_nodes), else of the page; references are decoded,
     white space in a block is one space, blocks are joined by one space.
 

@@ -23,7 +23,19 @@ def text(page):
     ("page", "want"),
     [
         ("<main><h1>Title</h1><p>Long main story of some words</p><div><article>Teaser</article></div></main>", "Title Long main story of some words Teaser"),
-        ("<main><div>Crumbs</div><article><p>One long story of some words</p></article></main>", "One long story of some words"),
+        ("<main><div class=breadcrumbs>Crumbs</div><article><p>One long story of some words</p></article></main>", "One long story of some words"),
+        ("<main><h1>Headline</h1><p>Standfirst</p><article><p>One long story of some words</p></article><article>Teaser</article><ul><li><a href=x>Next one</a></ul></main>", "Headline Standfirst One long story of some words"),
+        ("<article class='post has-comments'><p>Body.</p></article>", "Body."),
+        ("<article class='entry comments-open'><p>Body.</p></article>", "Body."),
+        ("<article class=commentary><p>Body.</p></article>", "Body."),
+        ("<main class=comments><p>The only main element.</p></main>", "The only main element."),
+        ("<article><p>Story of several words.</p></article><article class=comment><p>I agree</p></article>", "Story of several words."),
+        ("<div id=story><p>" + "story " * 30 + "</p><p>" + "more " * 30 + "</p></div><article><p>" + "teaser " * 30 + "</p></article>", " ".join(["story"] * 30 + ["more"] * 30 + ["teaser"] * 30)),
+        ("<article><p>" + "story " * 30 + "</p></article><div>Side</div><div>Other</div>", " ".join(["story"] * 30)),
+        ("<form action=/p><div><h1>Head</h1><p>Text of the page.</p></div></form>", "Head Text of the page."),
+        ("<form><main><p>In main</p></main></form>", "In main"),
+        ("<p>Some page text.</p><form><p>Search here for what you want</p><input></form>", "Some page text."),
+        ("<article><p>Real.</p><p class=advert>Buy</p><p class=comment>First!</p><ol class=commentlist><li>me too</li></ol><div class=replies>hi</div><ul class=points><li>kept</li></ul></article>", "Real. kept"),
         ("<article><header><h1>Headline</h1></header><div class='article-header'>Lead</div><p class='promo-code'>Code</p><section id='share-prices'>Prices</section><p>Body.</p></article>", "Headline Lead Code Prices Body."),
         ("<article><p>Body.</p><div class='ad'>no</div><div class='site-footer'>no</div><div id=cookieBanner>no</div><footer>no</footer><aside>no</aside></article>", "Body."),
         ("<p>Hello<!-->world</p><!--->!", "Helloworld !"),
@@ -53,6 +65,14 @@ def test_repeated_pages_keep_their_text(spark):
     assert all(got[200 + k] == f"{want} Posted {k} days ago" for k in range(12))
 
 
+@pytest.mark.parametrize("words", [5, 20, 39, 40, 200])
+def test_equal_bodies_of_a_host_stay(spark, words):
+    """Whatever its length: what holds most of a page's words is its text, although every page of the host has it."""
+    body = " ".join(f"word{k}" for k in range(words))
+    got = texts(spark, [(k, f"http://a.org/{k}", f"<div><div>{body}</div></div><p>date {k}</p>") for k in range(6)])
+    assert got == {k: f"{body} date {k}" for k in range(6)}
+
+
 def test_templates_equal_a_plain_count(spark):
     """Hosts without articles whose pages are flat lists of div elements: a div goes by the count of different pages."""
     rows, own = [], defaultdict(list)
