@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochlake.operators.store import kept
+
 
 def _covariances(sig: DataFrame, n: int, key: tuple[str, ...], finish: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Matrices of each key as rows (i, j, value): an epoch is gathered once, its products are taken where it lies."""
@@ -104,21 +106,68 @@ def log_covariance(cov: DataFrame, channels: int, *key: str) -> DataFrame:
     return _mapped(matrices(cov, channels, *key), channels, _log, *key)
 
 
+#: Matrices taken together, and rows to which partial sums of partitions are brought before the driver adds them.
+TOGETHER, SHARES = 1024, 64
+
+Partial = tuple[int, np.ndarray]
+
+
+def _summed(rows: DataFrame, channels: int, part, join) -> Partial:  # noqa: ANN001
+    """Count and matrix of all rows: part makes them of some matrices, join of two of them.
+
+    Every partition sends one matrix, those of many partitions are joined in Spark first, and the driver joins at most
+    64 of channels squared numbers.
+    """
+    to_arrow = pa.schema([("share", pa.int32()), ("n", pa.int64()), ("m", pa.list_(pa.float64()))])
+    kind = "share int, n long, m array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, share = None, 0
+        for b in batches:
+            for k in range(0, b.num_rows, TOGETHER):
+                own = b.slice(k, TOGETHER)
+                share = own.column("share")[0].as_py()
+                m = own.column("m").flatten().to_numpy(zero_copy_only=False).reshape(-1, channels, channels)
+                new = len(m), part(m)
+                held = new if held is None else join(held, new)
+        if held is not None:
+            yield pa.RecordBatch.from_pylist([{"share": share, "n": held[0], "m": held[1].ravel()}], schema=to_arrow)
+
+    def joined(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            for k in range(b.num_rows):
+                new = b.column("n")[k].as_py(), b.column("m")[k].values.to_numpy().reshape(channels, channels)
+                held = new if held is None else join(held, new)
+        yield pa.RecordBatch.from_pylist([{"share": key[0].as_py(), "n": held[0], "m": held[1].ravel()}], schema=to_arrow)
+
+    parts = rows.select("m", (F.spark_partition_id() % SHARES).alias("share")).mapInArrow(run, kind)
+    held: Partial | None = None
+    for r in parts.groupBy("share").applyInArrow(joined, kind).orderBy("share").collect():
+        new = r["n"], np.array(r["m"]).reshape(channels, channels)
+        held = new if held is None else join(held, new)
+    if held is None:
+        raise ValueError("no matrices")
+    return held
+
+
+def _add(a: Partial, b: Partial) -> Partial:
+    return a[0] + b[0], a[1] + b[1]
+
+
 def mean_matrix(rows: DataFrame, channels: int) -> np.ndarray:
     """Mean of matrices, channels squared numbers whatever the number of rows."""
-    cells = rows.select(F.posexplode("m").alias("p", "v")).groupBy("p").agg(F.avg("v").alias("v")).collect()
-    out = np.zeros(channels * channels)
-    for r in cells:
-        out[r["p"]] = r["v"]
-    return out.reshape(channels, channels)
+    n, total = _summed(rows, channels, lambda m: m.sum(axis=0), _add)
+    return total / n
 
 
 def tangent_space(cov: DataFrame, channels: int, train: Column, *key: str) -> DataFrame:
     """Logarithm of each matrix at the log-Euclidean mean of the training matrices: log(M^-1/2 C M^-1/2)."""
-    logs = log_covariance(cov.where(train), channels, *key)
-    values, vectors = np.linalg.eigh(mean_matrix(matrices(logs, channels, *key), channels))
+    rows = kept(matrices(cov, channels, *key))
+    n, total = _summed(rows.where(train), channels, lambda m: _log(m).sum(axis=0), _add)
+    values, vectors = np.linalg.eigh(total / n)
     white = vectors @ np.diag(np.exp(-values / 2)) @ vectors.T
-    return _mapped(matrices(cov, channels, *key), channels, lambda m: _log(white @ m @ white), *key)
+    return _mapped(rows, channels, lambda m: _log(white @ m @ white), *key)
 
 
 def _power(m: np.ndarray, by: float) -> np.ndarray:
@@ -126,27 +175,51 @@ def _power(m: np.ndarray, by: float) -> np.ndarray:
     return vectors @ np.diag(np.maximum(values, 1e-12 * values.max()) ** by) @ vectors.T
 
 
-def riemannian_mean(cov: DataFrame, channels: int, *key: str, rounds: int = 20, tol: float = 1e-9) -> np.ndarray:
-    """Affine-invariant mean of positive matrices: the place where the logarithms of all average to zero.
+def _moved(mean: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Where the geodesic from mean in the direction of step ends."""
+    values, vectors = np.linalg.eigh(step)
+    root = _power(mean, 0.5)
+    return root @ (vectors @ np.diag(np.exp(values)) @ vectors.T) @ root
+
+
+def _logs_at(mean: np.ndarray, m: np.ndarray) -> np.ndarray:
+    white = _power(mean, -0.5)
+    return _log(white @ m @ white)
+
+
+def _between(a: Partial, b: Partial) -> Partial:
+    """The weighted point on the geodesic from one mean to another."""
+    n = a[0] + b[0]
+    return n, _moved(a[1], _logs_at(a[1], b[1][None])[0] * (b[0] / n))
+
+
+def _near_mean(m: np.ndarray) -> np.ndarray:
+    mean = m.mean(axis=0)
+    for _ in range(3):
+        mean = _moved(mean, _logs_at(mean, m).mean(axis=0))
+    return mean
+
+
+def riemannian_mean(rows: DataFrame, channels: int, rounds: int = 20, tol: float = 1e-9) -> np.ndarray:
+    """Affine-invariant mean of stored positive matrices (m): the place where the logarithms of all average to zero.
 
-    Each round averages log(M^-1/2 C M^-1/2) in Spark; only channels squared numbers reach the driver.
+    The means of portions, joined along geodesics by their weights, are the start, so that few exact rounds are left;
+    each of these averages log(M^-1/2 C M^-1/2) over all matrices in one pass.
     """
-    mean = mean_matrix(matrices(cov, channels, *key), channels)
+    _, mean = _summed(rows, channels, _near_mean, _between)
     for _ in range(rounds):
-        root, white = _power(mean, 0.5), _power(mean, -0.5)
-        logs = _mapped(matrices(cov, channels, *key), channels, lambda m, white=white: _log(white @ m @ white), *key)
-        step = mean_matrix(matrices(logs, channels, *key), channels)
-        values, vectors = np.linalg.eigh(step)
-        mean = root @ (vectors @ np.diag(np.exp(values)) @ vectors.T) @ root
-        if np.linalg.norm(step) < tol:
+        n, total = _summed(rows, channels, lambda m, mean=mean: _logs_at(mean, m).sum(axis=0), _add)
+        mean = _moved(mean, total / n)
+        if np.linalg.norm(total / n) < tol:
             break
     return mean
 
 
 def riemannian_tangent(cov: DataFrame, channels: int, train: Column, *key: str) -> DataFrame:
-    """Logarithm of each matrix at the affine-invariant mean of the training matrices."""
-    white = _power(riemannian_mean(cov.where(train), channels, *key), -0.5)
-    return _mapped(matrices(cov, channels, *key), channels, lambda m: _log(white @ m @ white), *key)
+    """Logarithm of each matrix at the affine-invariant mean of the training matrices; they are made once and stored."""
+    rows = kept(matrices(cov, channels, *key))
+    white = _power(riemannian_mean(rows.where(train), channels), -0.5)
+    return _mapped(rows, channels, lambda m: _log(white @ m @ white), *key)
 
 
 def xdawn_covariances(sig: DataFrame, channels: int, n: int, filters: int, train: Column) -> tuple[DataFrame, int]:
@@ -186,13 +259,14 @@ def csp_features(sig: DataFrame, channels: int, n: int, components: int, train:
     Class covariances are averaged in Spark; the eigenproblem has the size of the channels and is solved here.
     """
     cov = empirical(sig, n, "epoch_id", "y")
-    fit = matrices(cov.where(train), channels, "epoch_id", "y")
+    stored = kept(matrices(cov, channels, "epoch_id", "y"))
+    fit = stored.where(train)
     a, b = (mean_matrix(fit.where(F.col("y") == c), channels) for c in (0, 1))
     values, vectors = np.linalg.eigh(a + b)
     white = vectors / np.sqrt(np.maximum(values, 1e-12 * values.max()))
     share, turn = np.linalg.eigh(white.T @ a @ white)
     filters = (white @ turn)[:, np.argsort(-np.abs(share - 0.5), kind="stable")[:components]].T
     weights = F.array(*(F.array(*(F.lit(float(w)) for w in f)) for f in filters))
-    rows = matrices(cov, channels, "epoch_id", "y").select("epoch_id", "m", F.posexplode(weights).alias("component", "w"))
+    rows = stored.select("epoch_id", "m", F.posexplode(weights).alias("component", "w"))
     power = F.aggregate(F.sequence(F.lit(0), F.lit(channels * channels - 1)), F.lit(0.0), lambda acc, p: acc + F.element_at("m", p + 1) * F.element_at("w", F.floor(p / channels).cast("int") + 1) * F.element_at("w", p % channels + 1))
     return rows.select("epoch_id", "component", F.log(F.greatest(power, F.lit(1e-300))).alias("value"))

@@ -128,7 +128,7 @@ def test_riemannian_mean_of_commuting_matrices(spark):
     rows = [(k, i, j, float((turn * v @ turn.T)[i, j])) for k, v in enumerate(values) for i in range(3) for j in range(3)]
     cov = spark.createDataFrame(rows, "epoch_id int, i int, j int, value double")
     want = turn * np.exp(np.log(values).mean(axis=0)) @ turn.T
-    assert spatial.riemannian_mean(cov, 3, "epoch_id") == pytest.approx(want)
+    assert spatial.riemannian_mean(spatial.matrices(cov, 3, "epoch_id"), 3) == pytest.approx(want)
 
 
 def test_xdawn_covariances_equal_numpy(spark):
