@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epochlake.functions.columns import samples
+from epochlake.operators.running import numbered
 
 KEY = ("epoch_id", "channel")
 
@@ -86,3 +87,21 @@ def pad_right(arrays: DataFrame, column: str, longest: Column) -> DataFrame:
     size, total = F.size(column), longest
     padded = F.concat(F.col(column), F.array_repeat(F.lit(0.0), (total - size).cast("int")))
     return arrays.withColumn("length", size.cast("long")).withColumn("mask", F.transform(F.sequence(F.lit(1), total.cast("int")), lambda i: i <= size)).withColumn(column, padded)
+
+
+def batches(arrays: DataFrame, column: str, key: str, cells: int) -> DataFrame:
+    """Arrays dealt to batches of like length, each padded to its own longest: batch (length class, number), padded, mask.
+
+    A class holds lengths of as many binary digits, so that at most half of a batch is padding; its arrays are numbered in
+    order of (length, key), and as many make a batch as have `cells` values together at the class's upper bound, one at
+    least. Empty and null arrays make no batch. Numbers come from running sums over ranges; no class is sorted by one task.
+    """
+    rows = arrays.where(F.size(column) > 0).withColumn("length", F.size(column).cast("long"))
+    rows = rows.withColumn("digits", F.length(F.bin("length")).cast("int"))
+    rows = numbered(rows, ("digits",), ("length", key), "place")
+    room = F.greatest(F.lit(1), F.floor(F.lit(float(cells)) / (F.pow(F.lit(2.0), F.col("digits")) - 1)))
+    rows = rows.withColumn("number", F.floor(F.col("place") / room).cast("long"))
+    longest = rows.groupBy("digits", "number").agg(F.max("length").alias("padded"))
+    rows = rows.join(longest, ["digits", "number"])
+    out = pad_right(rows.withColumn("own", F.col("length")).drop("length"), column, F.col("padded"))
+    return out.withColumn("batch", F.struct("digits", "number")).drop("digits", "number", "place", "own")

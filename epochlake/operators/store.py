@@ -127,3 +127,37 @@ def comparison_frame(runs: DataFrame) -> DataFrame:
     pairs = x.join(y, "subject").where("run_x < run_y").groupBy("run_x", "run_y")
     contrast = pairs.agg(F.count("*").alias("n"), F.round(F.avg(F.col("ba_y") - F.col("ba_x")), 6).alias("value"), F.round(F.avg((F.col("ba_y") > F.col("ba_x")).cast("double")), 6).alias("better"))
     return model.unionByName(contrast.select(F.lit("contrast").alias("kind"), F.concat("run_y", F.lit("-"), "run_x").alias("name"), "n", "value", "better"))
+
+
+#: 64-bit words of a row's MD5 that are summed, and their modulus: sums don't depend on order or partitioning.
+WORDS, MODULUS = 2, "18446744073709551616"
+
+
+def set_digests(rows: DataFrame, group: str, *columns: str) -> DataFrame:
+    """Digests of each group's set of rows as a tree of 256 leaves and 16 inner nodes: group, node, n, digest.
+
+    A row belongs to the leaf that the first two digits of its MD5 name. A leaf's digest is of the row count and the sums
+    of its rows' hashes, so rows are summed where they lie and never gathered; inner nodes (one digit) and the root ('')
+    digest their children. Equal sets have equal digests whatever their partitioning, and where sets differ the leaves
+    that differ name the rows to look at. Repeated rows count each; nulls count as values.
+    """
+    text = F.concat_ws("|", *(F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns))
+    md5 = rows.select(group, F.md5(text).alias("h"))
+    word = lambda k: F.conv(F.substring("h", 1 + 16 * k, 16), 16, 10).cast("decimal(20,0)")
+    sums = [(F.sum(word(k)) % F.lit(MODULUS).cast("decimal(38,0)")).cast("decimal(20,0)").cast("string").alias(f"s{k}") for k in range(WORDS)]
+    leaves = md5.groupBy(group, F.substring("h", 1, 2).alias("node")).agg(F.count("*").alias("n"), *sums)
+    leaves = kept(leaves.select(group, "node", "n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), *(f"s{k}" for k in range(WORDS))), 256).alias("digest")))
+    out, level = leaves, leaves
+    for digits in (1, 0):
+        children = F.array_sort(F.collect_list(F.struct("node", "digest")))  # at most sixteen
+        up = level.groupBy(group, F.substring("node", 1, digits).alias("up")).agg(F.sum("n").alias("n"), children.alias("c"))
+        level = up.select(group, F.col("up").alias("node"), "n", F.sha2(F.array_join(F.transform("c", lambda x: F.concat(x["node"], F.lit(":"), x["digest"])), "|"), 256).alias("digest"))
+        out = out.unionByName(level)
+    return out
+
+
+def differing(a: DataFrame, b: DataFrame, group: str) -> DataFrame:
+    """Leaves of set_digests that two sides don't share: group, node."""
+    leaf = F.length("node") == 2
+    one, two = (x.where(leaf).select(group, "node", "digest") for x in (a, b))
+    return one.exceptAll(two).select(group, "node").union(two.exceptAll(one).select(group, "node")).distinct()

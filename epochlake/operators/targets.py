@@ -47,32 +47,43 @@ def group_kfold(df: DataFrame, group: str, k: int, seed: int) -> DataFrame:
     return df.join(F.broadcast(table), group)
 
 
+def count_class(n: Column) -> Column:
+    """Counts under 64 as they are, larger ones to two significant binary places after the first: about 12 % apart."""
+    unit = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))) - 3))
+    return F.when(n < 64, n).otherwise((F.floor(n / unit) * unit).cast("long"))
+
+
 def stratified_group_kfold(df: DataFrame, group: str, k: int, seed: int) -> DataFrame:
     """Rows (with task and y) with a fold per task: groups stay whole, folds get nearly equal class counts.
 
-    Counts per task, group and class are made in Spark; the groups of each task, largest spread first, are put where
-    the class counts deviate least.
+    Counts per task, group and class are made in Spark. Groups whose counts are alike (see count_class) are one kind and
+    are numbered in an order by hash; a kind's groups are dealt evenly, and what is left over goes where the class counts
+    deviate least, kinds with the largest spread first. The driver sees kinds, of which there are a few thousand for a task
+    whatever the number of groups.
     """
-    counts = df.groupBy("task", group).agg(F.sum(F.col("y").cast("long")).alias("one"), F.sum(1 - F.col("y").cast("long")).alias("zero"))
-    rows = counts.orderBy("task", group).limit(MOST_GROUPS + 1).collect()
-    if len(rows) > MOST_GROUPS:
-        raise ValueError(f"more than {MOST_GROUPS} groups")
-    out = []
-    rng = np.random.RandomState(seed)
-    for task in sorted({r["task"] for r in rows}):
-        own = [r for r in rows if r["task"] == task]
+    counts = df.groupBy("task", group).agg(F.sum(1 - F.col("y").cast("long")).alias("zero"), F.sum(F.col("y").cast("long")).alias("one"))
+    counts = counts.withColumn("zeros", count_class(F.col("zero"))).withColumn("ones", count_class(F.col("one")))
+    counts = numbered(counts, ("task", "zeros", "ones"), (F.xxhash64(F.lit(seed), F.col(group)), group), "place")
+    kinds = counts.groupBy("task", "zeros", "ones").agg(F.count("*").alias("n"), F.avg("zero").alias("zero"), F.avg("one").alias("one")).collect()
+    rows = []
+    for task in sorted({r["task"] for r in kinds}):
+        own = [r for r in kinds if r["task"] == task]
         y = np.array([[r["zero"], r["one"]] for r in own], dtype=float)
-        total = np.maximum(y.sum(axis=0), 1)
-        order = rng.permutation(len(own))
-        order = order[np.argsort(-y[order].std(axis=1), kind="stable")]
-        folds = np.zeros((k, 2))
-        for g in order:
-            spread = [np.std((folds + np.eye(k)[f][:, None] * y[g]) / total, axis=0).mean() for f in range(k)]
-            best = min(range(k), key=lambda f: (round(spread[f], 12), folds[f].sum()))
-            folds[best] += y[g]
-            out.append((task, own[g][group], best))
-    table = df.sparkSession.createDataFrame(out, f"task string, `{group}` {df.schema[group].dataType.simpleString()}, fold int")
-    return df.join(F.broadcast(table), ["task", group])
+        n = np.array([r["n"] for r in own])
+        total = np.maximum((y * n[:, None]).sum(axis=0), 1)
+        folds = np.tile(((n // k)[:, None] * y).sum(axis=0), (k, 1))
+        for g in sorted(range(len(own)), key=lambda g: (-y[g].std(), -y[g].sum(), own[g]["zeros"], own[g]["ones"])):  # noqa: B023
+            rest = []
+            for _ in range(n[g] % k):
+                spread = [np.std((folds + np.eye(k)[f][:, None] * y[g]) / total, axis=0).mean() for f in range(k)]
+                best = min(range(k), key=lambda f: (round(spread[f], 12), folds[f].sum(), f))  # noqa: B023
+                folds[best] += y[g]
+                rest.append(best)
+            rows.append((task, own[g]["zeros"], own[g]["ones"], int(n[g] // k * k), rest))
+    plan = df.sparkSession.createDataFrame(rows, "task string, zeros long, ones long, even long, rest array<int>")
+    fold = F.when(F.col("place") < F.col("even"), F.col("place") % k).otherwise(F.element_at("rest", (F.col("place") - F.col("even") + 1).cast("int"))).cast("int")
+    dealt = counts.join(plan, ["task", "zeros", "ones"]).select("task", group, fold.alias("fold"))
+    return df.join(dealt, ["task", group])
 
 
 def leave_one_out(df: DataFrame, group: str) -> DataFrame:

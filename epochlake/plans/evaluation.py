@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from epochlake.functions.columns import flag, logistic
 from epochlake.operators import metrics, resample
+from epochlake.operators.store import set_digests
 from epochlake.plans.registry import query
 from epochlake.sources.tables import class_scores, scores, scores_big, with_
 
@@ -161,11 +162,13 @@ def b2(spark, sf):
     return s.where("key % 5 = 0").join(f, "task").select("run_id", "task", "key", F.round("f", 6).alias("score"))
 
 
-@query("b3_seeded_bernoulli")
+@query("b3_seeded_bernoulli", with_("scores", sql="SELECT s.run_id, s.task, s.key, CASE WHEN CAST(('0x' || substr(md5('42|' || s.key || '|' || s.task), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) < g.f THEN 1 ELSE 0 END AS pred FROM scores s JOIN (SELECT task, avg(y) AS f FROM scores WHERE key % 5 <> 0 GROUP BY task) g ON s.task = g.task WHERE s.key % 5 = 0"))
 def b3(spark, sf):
+    """Draws of each key and task with the task's frequency, from the MD5 of seed, key and task."""
     s = scores(spark, sf)
     f = s.where("key % 5 <> 0").groupBy("task").agg(F.avg("y").alias("f"))
-    u = F.pmod(F.xxhash64("key", "task", F.lit(42)), F.lit(1_000_000)) / 1_000_000
+    text = F.concat_ws("|", F.lit("42"), F.col("key").cast("string"), "task")
+    u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
     return s.where("key % 5 = 0").join(f, "task").select("run_id", "task", "key", (u < F.col("f")).cast("int").alias("pred"))
 
 
@@ -287,6 +290,21 @@ def u14(spark, sf):
     return s.select("subject", F.sha2(F.array_join(F.transform("k", lambda r: F.concat(r["key"].cast("string"), F.lit(":"), r["task"])), ","), 256).alias("rows_hash"), "n")
 
 
+TREE = (
+    "h AS (SELECT run_id, md5(strlen(CAST(key AS VARCHAR)) || ':' || key || '|' || length(task) || ':' || task) AS h FROM scores), "
+    "l AS (SELECT run_id, substr(h, 1, 2) AS node, count(*) AS n, sum(('0x' || substr(h, 1, 16))::UBIGINT::HUGEINT) % 18446744073709551616 AS s0, sum(('0x' || substr(h, 17, 16))::UBIGINT::HUGEINT) % 18446744073709551616 AS s1 FROM h GROUP BY ALL), "
+    "t2 AS (SELECT run_id, node, n, sha256(n || '|' || s0 || '|' || s1) AS digest FROM l), "
+    "t1 AS (SELECT run_id, substr(node, 1, 1) AS up, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(node || ':' || digest, '|' ORDER BY node)) AS digest FROM t2 GROUP BY ALL), "
+    "t0 AS (SELECT run_id, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(up || ':' || digest, '|' ORDER BY up)) AS digest FROM t1 GROUP BY ALL)"
+)
+
+
+@query("u14_split_digests", with_("scores", more=TREE, sql="SELECT run_id, node, n, digest FROM t2 UNION ALL SELECT run_id, up, n, digest FROM t1 UNION ALL SELECT run_id, '', n, digest FROM t0"))
+def u14_digests(spark, sf):
+    """Digests of the rows (key, task) of each run as a tree that doesn't depend on their order."""
+    return set_digests(scores(spark, sf), "run_id", "key", "task")
+
+
 @query("u1_cluster_bootstrap")
 def u1(spark, sf):
     c = metrics.confusion(scores_big(spark, sf), "subject", "task")

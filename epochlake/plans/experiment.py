@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -31,7 +32,20 @@ def g2(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("fp"))
 
 
-@query("g3_group_shuffle_split")
+def literal(pairs) -> str:
+    return ", ".join(f"({a}, {b!r})" for a, b in pairs)
+
+
+#: The ten subjects' sides and folds by the same seeded permutations.
+SHUFFLED = literal((int(g), "test" if n < 2 else "train") for n, g in enumerate(np.random.RandomState(42).permutation(10)))
+
+
+def dealt_sql(subjects: list[int], k: int) -> str:
+    parts = np.array_split(np.random.RandomState(42).permutation(len(subjects)), k)
+    return literal((subjects[i], n) for n, part in enumerate(parts) for i in part)
+
+
+@query("g3_group_shuffle_split", with_("epochs", sql=f"SELECT e.*, p.side FROM epochs e JOIN (VALUES {SHUFFLED}) p(subject, side) ON e.subject = p.subject"))
 def g3(spark, sf):
     return op.group_shuffle_split(epochs(spark, sf), "subject", 0.2, 42)
 
@@ -92,7 +106,7 @@ def g12(spark, sf):
     return op.stratified_group_kfold(targets(spark, sf), "subject", 3, 42)
 
 
-@query("g13_group_kfold")
+@query("g13_group_kfold", with_("epochs", sql=f"SELECT e.*, CAST(p.fold AS INTEGER) AS fold FROM epochs e JOIN (VALUES {dealt_sql(list(range(10)), 5)}) p(subject, fold) ON e.subject = p.subject"))
 def g13(spark, sf):
     return op.group_kfold(epochs(spark, sf), "subject", 5, 42)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from epochlake.functions.columns import safe_div
 from epochlake.operators import features, metrics, models, shape, targets as op
 from epochlake.plans.evaluation import BA, SUMS, r6
+from epochlake.plans.experiment import dealt_sql
 from epochlake.plans.registry import query
 from epochlake.sources.tables import FS, class_scores, epochs, read, scores, sig1, sig4, with_
 
@@ -46,7 +47,7 @@ def g7(spark, sf):
     return op.leave_one_out_counts(class_scores(spark, sf), "fold")
 
 
-@query("g14_train_group_kfold")
+@query("g14_train_group_kfold", with_("epochs", sql=f"SELECT e.*, CAST(p.fold AS INTEGER) AS fold FROM epochs e JOIN (VALUES {dealt_sql([s for s in range(10) if s % 3], 3)}) p(subject, fold) ON e.subject = p.subject"))
 def g14(spark, sf):
     return op.group_kfold(epochs(spark, sf).where("subject % 3 <> 0"), "subject", 3, 42)
 

@@ -72,3 +72,28 @@ def w10(spark, sf):
     total = F.round(F.aggregate("v", F.lit(0.0), lambda a, b: a + b), 4)
     zeros = F.size(F.filter("mask", lambda b: ~b)).cast("long")
     return p.select("user_id", "length", F.size("v").cast("long").alias("padded"), zeros.alias("zeros"), total.alias("total"))
+
+
+BATCHED = "a AS ({arrays}), k AS (SELECT *, length(bin(length)) AS digits FROM a WHERE length > 0), o AS (SELECT *, row_number() OVER (PARTITION BY digits ORDER BY length, {key}) - 1 AS place FROM k), b AS (SELECT *, CAST(place // greatest(1, {cells} // (pow(2, digits)::BIGINT - 1)) AS BIGINT) AS number FROM o) SELECT CAST(digits AS INTEGER) AS digits, number, count(*) AS arrays, CAST(max(length) AS BIGINT) AS padded, CAST(count(*) * max(length) AS BIGINT) AS cells, CAST(sum(length) AS BIGINT) AS samples, CAST(min({key}) AS BIGINT) AS first_key, round(sum(total), 2) AS total FROM b GROUP BY digits, number"
+
+
+def batch_report(arrays, key, cells):
+    b = shape.batches(arrays, "v", key, cells)
+    samples = F.sum(F.size(F.filter("mask", lambda x: x))).alias("samples")
+    total = F.round(F.sum(F.aggregate("v", F.lit(0.0), lambda x, y: x + y)), 2).alias("total")
+    out = b.groupBy("batch").agg(F.count("*").alias("arrays"), F.max("padded").alias("padded"), F.sum(F.size("v")).alias("cells"), samples, F.min(key).alias("first_key"), total)
+    return out.select("batch.digits", "batch.number", "arrays", "padded", "cells", "samples", "first_key", "total")
+
+
+@query("w10_padded_batches", "WITH " + BATCHED.format(arrays="SELECT user_id, count(*) AS length, sum(value) AS total FROM events GROUP BY user_id", key="user_id", cells=1000))
+def w10_batches(spark, sf):
+    """Users' values in batches of like length with about 1000 cells."""
+    e = read(spark, sf, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda s: s["value"].cast("double")).alias("v"))
+    return batch_report(e, "user_id", 1000)
+
+
+@query("w11_padded_batches", "WITH " + BATCHED.format(arrays="SELECT o_custkey, count(*) AS length, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey", key="o_custkey", cells=256))
+def w11_batches(spark, sf):
+    """Customers' orders in batches of like length with about 256 cells."""
+    a = read(spark, sf, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))), lambda s: s["o_totalprice"].cast("double")).alias("v"))
+    return batch_report(a, "o_custkey", 256)
