@@ -53,6 +53,12 @@ def class_metrics(df: DataFrame, classes: int, *key: str) -> DataFrame:
     return a.select(*key, (add(lambda s: s["tp"].cast("double")) / F.col("total")).alias("accuracy"), (add(lambda s: safe_div(s["tp"].cast("double"), s["real"])) / seen).alias("balanced_accuracy"), (add(lambda s: safe_div(2.0 * s["tp"], s["real"] + s["said"])) / classes).alias("macro_f1"))
 
 
+def brier(df: DataFrame, *key: str) -> DataFrame:
+    """Mean squared difference of scores and targets per key."""
+    d = F.col("score") - F.col("y")
+    return df.groupBy(*key).agg(F.avg(d * d).alias("brier"))
+
+
 def score_counts(df: DataFrame, *key: str) -> DataFrame:
     """Positives and negatives at each distinct score: what ranks need, after one combined aggregation."""
     return df.groupBy(*key, "score").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg"))

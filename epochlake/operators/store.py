@@ -75,9 +75,17 @@ def disagreements(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return j.select(F.coalesce("f.path", "m.path").alias("path"), problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def file_table(spark: SparkSession, path: str) -> DataFrame:
-    """Path, size and sha256 of files."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+def file_table(spark: SparkSession, path: str, names: str = "part-*") -> DataFrame:
+    """Path, size and sha256 of the data files below path. A file is hashed by one task, which holds it: a file beyond
+    spark.sql.sources.binaryFile.maxLength is an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(path)
+    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored table or folder."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def append_scores(scores: DataFrame, path: str) -> None:

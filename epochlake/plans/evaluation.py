@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from epochlake.functions.columns import flag, logistic
-from epochlake.operators import metrics, resample
+from epochlake.operators import checks, metrics, resample
 from epochlake.operators.store import set_digests
 from epochlake.plans.registry import query
 from epochlake.sources.tables import class_scores, scores, scores_big, with_
@@ -40,8 +40,7 @@ def e1_big(spark, sf):
 
 @query("e3_brier", with_("scores", sql="SELECT run_id, round(avg((score - y) * (score - y)), 6) AS brier FROM scores GROUP BY run_id"))
 def e3(spark, sf):
-    d = F.col("score") - F.col("y")
-    return scores(spark, sf).groupBy("run_id").agg(F.round(F.avg(d * d), 6).alias("brier"))
+    return r6(metrics.brier(scores(spark, sf), "run_id"), "brier")
 
 
 SAMPLE = "p AS (SELECT run_id, key, sum(CASE WHEN y = 1 AND pred = 1 THEN 1 ELSE 0 END) AS i, sum(CASE WHEN y = 1 OR pred = 1 THEN 1 ELSE 0 END) AS u, sum(CASE WHEN y <> pred THEN 1 ELSE 0 END) AS wrong, count(*) AS n FROM scores GROUP BY run_id, key)"
@@ -151,25 +150,21 @@ def e16(spark, sf):
 @query("b1_global_majority", with_("scores", sql="SELECT s.run_id, s.task, s.key, round(g.f, 6) AS score FROM scores s CROSS JOIN (SELECT avg(y) AS f FROM scores WHERE key % 5 <> 0) g WHERE s.key % 5 = 0"))
 def b1(spark, sf):
     s = scores(spark, sf)
-    f = s.where("key % 5 <> 0").agg(F.avg("y").alias("f"))
-    return s.where("key % 5 = 0").crossJoin(F.broadcast(f)).select("run_id", "task", "key", F.round("f", 6).alias("score"))
+    return r6(checks.rate_scores(s.where("key % 5 <> 0"), s.where("key % 5 = 0")).select("run_id", "task", "key", "score"), "score")
 
 
 @query("b2_task_frequency", with_("scores", sql="SELECT s.run_id, s.task, s.key, round(g.f, 6) AS score FROM scores s JOIN (SELECT task, avg(y) AS f FROM scores WHERE key % 5 <> 0 GROUP BY task) g ON s.task = g.task WHERE s.key % 5 = 0"))
 def b2(spark, sf):
     s = scores(spark, sf)
-    f = s.where("key % 5 <> 0").groupBy("task").agg(F.avg("y").alias("f"))
-    return s.where("key % 5 = 0").join(f, "task").select("run_id", "task", "key", F.round("f", 6).alias("score"))
+    return r6(checks.rate_scores(s.where("key % 5 <> 0"), s.where("key % 5 = 0"), "task").select("run_id", "task", "key", "score"), "score")
 
 
 @query("b3_seeded_bernoulli", with_("scores", sql="SELECT s.run_id, s.task, s.key, CASE WHEN CAST(('0x' || substr(md5('42|' || s.key || '|' || s.task), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) < g.f THEN 1 ELSE 0 END AS pred FROM scores s JOIN (SELECT task, avg(y) AS f FROM scores WHERE key % 5 <> 0 GROUP BY task) g ON s.task = g.task WHERE s.key % 5 = 0"))
 def b3(spark, sf):
     """Draws of each key and task with the task's frequency, from the MD5 of seed, key and task."""
     s = scores(spark, sf)
-    f = s.where("key % 5 <> 0").groupBy("task").agg(F.avg("y").alias("f"))
-    text = F.concat_ws("|", F.lit("42"), F.col("key").cast("string"), "task")
-    u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    return s.where("key % 5 = 0").join(f, "task").select("run_id", "task", "key", (u < F.col("f")).cast("int").alias("pred"))
+    scored = checks.rate_scores(s.where("key % 5 <> 0"), s.where("key % 5 = 0"), "task")
+    return checks.drawn_predictions(scored, 42, "key", "task").select("run_id", "task", "key", "pred")
 
 
 # --- resampling; the draws come from a checksum, so SQL can repeat them ---

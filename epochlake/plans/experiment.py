@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from epochlake.functions.columns import flag
-from epochlake.operators import metrics, models, select, targets as op
+from epochlake.operators import checks, metrics, models, select, targets as op
 from epochlake.plans.evaluation import BA, SUMS, r6
 from epochlake.plans.grids import long_weights
 from epochlake.plans.registry import query
@@ -146,7 +146,7 @@ def s2(spark, sf):
 
 @query("s3_filter_pattern", "SELECT event_id, event_type, round(value, 6) AS value FROM events WHERE event_type = 'click'")
 def s3(spark, sf):
-    return read(spark, sf, "events").where("event_type = 'click'").select("event_id", "event_type", F.round("value", 6).alias("value"))
+    return checks.of_pattern(read(spark, sf, "events"), "event_type", "click").select("event_id", "event_type", F.round("value", 6).alias("value"))
 
 
 # --- selection ---

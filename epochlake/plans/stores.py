@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from epochlake.functions.columns import flag
-from epochlake.operators import metrics, store
+from epochlake.operators import checks, metrics, store
 from epochlake.plans.evaluation import BA, CONF, SUMS, r6
 from epochlake.plans.registry import query
 from epochlake.sources.tables import class_scores, epochs, read, scores, scores_big, sig1, sig4, with_
@@ -56,41 +56,32 @@ def v5(spark, sf):
 
 @query("v6_header_audit", "SELECT lang, count(*) AS files, count(DISTINCT source) AS sources, min(n_chars) AS shortest, max(n_chars) AS longest, round(avg(n_chars), 4) AS mean FROM documents GROUP BY lang")
 def v6(spark, sf):
-    d = read(spark, sf, "documents").groupBy("lang")
-    return d.agg(F.count("*").alias("files"), F.countDistinct("source").alias("sources"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"), F.round(F.avg("n_chars"), 4).alias("mean"))
+    return checks.header_audit(read(spark, sf, "documents"), "source", "n_chars", "lang").withColumn("mean", F.round("mean", 4))
 
 
 @query("v7_paired_pivot_check", with_("scores", sql="SELECT key, task, max(CASE WHEN run_id = 'a' THEN y END) AS a, max(CASE WHEN run_id = 'b' THEN y END) AS b, max(CASE WHEN run_id = 'a' THEN y END) = max(CASE WHEN run_id = 'b' THEN y END) AS equal FROM scores GROUP BY key, task"))
 def v7(spark, sf):
-    p = scores(spark, sf).groupBy("key", "task").pivot("run_id", ["a", "b"]).agg(F.max("y"))
-    return p.withColumn("equal", F.col("a") == F.col("b"))
+    return checks.paired(scores(spark, sf), "run_id", ["a", "b"], "y", "key", "task")
 
 
 @query("v8_missing_fraction", with_("sig4", sql="SELECT channel, count(*) AS epochs, round(avg(small), 6) AS mean, round(max(small), 6) AS most FROM (SELECT epoch_id, channel, avg(CASE WHEN abs(x) < 0.05 THEN 1.0 ELSE 0.0 END) AS small FROM sig4 GROUP BY epoch_id, channel) GROUP BY channel"))
 def v8(spark, sf):
-    per = sig4(spark, sf).groupBy("epoch_id", "channel").agg(F.avg((F.abs("x") < 0.05).cast("double")).alias("small"))
-    return per.groupBy("channel").agg(F.count("*").alias("epochs"), F.round(F.avg("small"), 6).alias("mean"), F.round(F.max("small"), 6).alias("most"))
+    return r6(checks.event_fraction(sig4(spark, sf), F.abs("x") < 0.05, ("epoch_id",), "channel").withColumnRenamed("units", "epochs"), "mean", "most")
 
 
 @query("v9_sample_stratified", with_("epochs", more="r AS (SELECT *, dense_rank() OVER (ORDER BY subject) - 1 AS pos FROM epochs), f AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY epoch_id) AS n FROM r WHERE pos IN (0, 3, 6, 9) AND trial = 1 + pos // 3 % 2)", sql="SELECT subject, trial, epoch_id FROM f WHERE n = 1"))
 def v9(spark, sf):
-    e = epochs(spark, sf)
-    pos = e.select("subject").distinct().withColumn("pos", F.dense_rank().over(Window.orderBy("subject")) - 1)  # one row per subject
-    some = e.join(F.broadcast(pos.where(F.col("pos").isin(0, 3, 6, 9)).limit(4)), "subject").where(F.col("trial") == 1 + F.floor(F.col("pos") / 3) % 2)
-    return some.groupBy("subject", "trial").agg(F.min("epoch_id").alias("epoch_id"))
+    return checks.sample_stratified(epochs(spark, sf), "subject", "trial", "epoch_id", [0, 3, 6, 9])
 
 
 @query("v10_score_contract", with_("scores_big", sql="SELECT count(*) AS n, CAST(sum(CASE WHEN score < 0 OR score > 1 OR pred <> CASE WHEN score >= 0.6 THEN 1 ELSE 0 END THEN 1 ELSE 0 END) AS BIGINT) AS violations FROM scores_big"))
 def v10(spark, sf):
-    s = F.col("score")
-    bad = (s < 0) | (s > 1) | (F.col("pred") != (s >= 0.6).cast("int"))
-    return scores_big(spark, sf).agg(F.count("*").alias("n"), F.sum(flag(bad)).alias("violations"))
+    return checks.contract_violations(scores_big(spark, sf), 0.6)
 
 
 @query("v11_class_complete", with_("scores", sql="SELECT subject, task FROM scores GROUP BY subject, task HAVING sum(y) = 0 OR sum(y) = count(*)"))
 def v11(spark, sf):
-    g = scores(spark, sf).groupBy("subject", "task").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    return g.where("p = 0 OR p = n").select("subject", "task")
+    return checks.one_class(scores(spark, sf), "subject", "task")
 
 
 # --- stored runs ---
@@ -137,6 +128,25 @@ def s10(spark, sf):
     return store.disagreements(files, manifest)
 
 
+@query("s10_file_manifest", "SELECT lang, CASE WHEN lang = 'es' THEN 'missing' WHEN lang = 'fr' THEN 'altered' ELSE 'unexpected' END AS problem FROM (SELECT DISTINCT lang FROM documents WHERE lang IN ('es', 'fr') UNION ALL SELECT 'xx') ORDER BY 1")
+def s10_files(spark, sf):
+    """Files of a stored run against their manifest after one was lost, one rewritten and one added."""
+    root = store.scratch(spark)
+    d = read(spark, sf, "documents").select("doc_id", "lang", "text")
+    put = lambda rows, lang: rows.drop("lang").repartitionByRange(1, "doc_id").write.mode("overwrite").json(f"{root}/lang={lang}")
+    langs = ("de", "en", "es", "fr")
+    for lang in langs:
+        put(d.where(F.col("lang") == lang), lang)
+    manifest = store.kept(store.file_table(spark, root))
+    put(d.where("lang = 'fr'").withColumn("text", F.translate("text", "e", "E")), "fr")
+    put(d.where("lang = 'de'").limit(0).unionByName(d.where("lang = 'en'")), "xx")
+    store.remove(spark, f"{root}/lang=es")
+    name = lambda df: df.withColumn("path", F.regexp_extract("path", r"(lang=\w+)/part", 1))  # noqa: E731  writers choose file names
+    found = store.disagreements(name(store.file_table(spark, root)), name(manifest))
+    problem = F.when(F.col("problem").isin("size", "hash"), "altered").otherwise(F.col("problem"))
+    return found.select(F.regexp_extract("path", r"lang=(\w+)", 1).alias("lang"), problem.alias("problem"))
+
+
 @query("s11_write_scores", with_("scores", sql="SELECT run_id, count(*) AS n FROM scores GROUP BY run_id"))
 def s11(spark, sf):
     path = store.scratch(spark)
@@ -253,8 +263,7 @@ def r11_frame(spark, sf):
 
 @query("r12_leader_checks", with_("scores", more=RUNS, sql="SELECT run_id, subject AS leader, ba FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ba DESC NULLS LAST, subject) AS r FROM m) WHERE r = 1"))
 def r12(spark, sf):
-    w = Window.partitionBy("run_id").orderBy(F.desc_nulls_last("ba"), "subject")
-    return run_table(spark, sf).withColumn("r", F.row_number().over(w)).where("r = 1").select("run_id", F.col("subject").alias("leader"), "ba")
+    return checks.leaders(run_table(spark, sf), "subject", "ba", "run_id")
 
 
 @query("r13_epochs_per_group", with_("epochs", sql="SELECT subject, trial, label, count(*) AS n FROM epochs GROUP BY subject, trial, label"))
