@@ -156,3 +156,53 @@ def test_xdawn_covariances_equal_numpy(spark):
         s = min(1.0, (alpha + mu * mu) / ((n + 1) * (alpha - mu * mu / 4)))
         want = (1 - s) * c + s * mu * np.eye(4)
         assert np.abs(got[e]) == pytest.approx(np.abs(want))
+
+
+def test_probabilities_of_other_subjects(spark):
+    """Scores of every fifth subject by a model of the others, with a penalty of 0.01 on standardised features."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 2)) * [1.0, 3.0]
+    y = (x[:, 0] + 0.2 * x[:, 1] + rng.normal(size=400) > 0).astype(float)
+    df = spark.createDataFrame([(k % 10, float(a), float(b), float(c)) for k, ((a, b), c) in enumerate(zip(x, y, strict=True))], "subject int, x1 double, x2 double, y double")
+    train = np.arange(400) % 5 != 0
+    sd = x[train].std(axis=0, ddof=1)
+    z = np.hstack((x / sd, np.ones((400, 1))))
+    w = np.zeros(3)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z[train] @ w))
+        g = z[train].T @ (p - y[train]) / train.sum() + 0.01 * np.append(w[:2], 0)
+        w -= np.linalg.solve(z[train].T @ (z[train] * (p * (1 - p))[:, None]) / train.sum() + 0.01 * np.diag([1, 1, 0]), g)
+    out = models.predict_logistic(df, ["x1", "x2"], "y").collect()
+    want = 1 / (1 + np.exp(-z[~train] @ w))
+    assert len(out) == 80 and sorted(r.score for r in out) == pytest.approx(sorted(want), abs=1e-4)
+    assert all(r.pred == (r.score >= 0.5) for r in out)
+
+
+def test_linear_svm_comes_near_the_least_loss(table):
+    df, x, y, _ = table
+    got = {r["feature"]: r["weight"] for r in models.fit_ml(df.withColumnRenamed("y", "y1"), X, ["y1"], "svm").collect()}
+    z, sign = x / x.std(axis=0, ddof=1), 2 * y - 1
+    own = np.array([got[c] for c in X]) * x.std(axis=0, ddof=1)
+    loss = lambda w, b: np.maximum(0, 1 - sign * (z @ w + b)).mean() + 0.005 * (w @ w)
+    w, b, best = np.zeros(3), 0.0, np.inf
+    for t in range(1, 30_000):
+        short = sign * (z @ w + b) < 1
+        w, b = w - (0.01 * w - (sign[short, None] * z[short]).sum(axis=0) / len(z)) / (0.01 * t + 10), b + sign[short].sum() / len(z) / (0.01 * t + 10)
+        best = min(best, loss(w, b))
+    assert min(loss(own, c) for c in np.linspace(-2, 2, 2001)) <= 1.02 * best
+
+
+def test_elastic_net_meets_its_optimum(table):
+    """At the weights the gradient of the squared error is that of the penalty (share one half, 0.01 in all)."""
+    df, x, y, _ = table
+    got = {r["feature"]: r["weight"] for r in models.fit_ml(df.withColumnRenamed("y", "y1"), X, ["y1"], "elastic").collect()}
+    sx, sy = x.std(axis=0, ddof=1), y.std(ddof=1)
+    z, v = (x - x.mean(axis=0)) / sx, (y - y.mean()) / sy
+    w = np.array([got[c] for c in X]) * sx / sy
+    g = z.T @ (z @ w - v) / len(z)
+    alpha = 0.01 / sy
+    for a, b in zip(g, w, strict=True):
+        if b:
+            assert a + alpha * (0.5 * np.sign(b) + 0.5 * b) == pytest.approx(0, abs=2e-3)
+        else:
+            assert abs(a) <= 0.5 * alpha + 2e-3
