@@ -28,9 +28,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def epoch_index(spark: SparkSession, root: str, step: str, files: str = "S_*/Trial_*/labels.json") -> DataFrame:
-    """One row per block of the label files below root, in key order; their path holds S_<n>/ and Trial_<n>/."""
-    raw = spark.read.option("multiLine", True).json(f"{root.rstrip('/')}/{files}").withColumn("path", F.input_file_name())
+def epoch_index(spark: SparkSession, root: str, step: str, files: str = "S_*/Trial_*/labels.json", lines: bool = False) -> DataFrame:
+    """One row per block of the label files below root, in key order; their path holds S_<n>/ and Trial_<n>/.
+
+    A file is one JSON value, which one task reads whole, or, with lines, a value in each line with some of the trial's
+    blocks, so that files of any size are split.
+    """
+    raw = spark.read.option("multiLine", not lines).json(f"{root.rstrip('/')}/{files}").withColumn("path", F.input_file_name())
     rows = raw.select("path", F.explode("blocks").alias("b"))
     number = lambda what: F.regexp_extract("path", rf"{what}_(\d+)/", 1).cast("long")
     block = F.col("b.Exec_Block_Index").cast("long")
