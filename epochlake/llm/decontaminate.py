@@ -25,6 +25,8 @@ BLOCKS = 23
 STRETCH = 1024
 #: Characters of benchmark text that one broadcast index holds; larger benchmarks are taken in several parts.
 PART_CHARS = 20_000_000
+#: Items of one index, each of about 25 kB in every Python worker.
+PART_ITEMS = 8_000
 SEEN_BITS = 20
 
 
@@ -184,11 +186,12 @@ def leaks(docs: DataFrame, items: DataFrame, p: int = 80, q: int = 100) -> DataF
     Rows that repeat give repeated rows; null ids stay null; other columns are never read; long texts count whole.
     SimHash of 256 bits at radius 68 misses a window just at the threshold in about one case of a million.
 
-    The items of a part (at most PART_CHARS characters) are broadcast; a larger benchmark takes several passes.
+    The items of a part (about PART_CHARS characters and PART_ITEMS items at most) are broadcast; a larger benchmark takes
+    several passes.
     """
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    chars = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-int(chars) // PART_CHARS))
+    chars, number = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    parts = max(1, -(-int(chars) // PART_CHARS), -(-number // PART_ITEMS))
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     out = None
     for k in range(parts):

@@ -18,6 +18,8 @@ DEGREE = 16
 #: what a search keeps); queries come in slices of so many vectors, each a task of its own beside a shard.
 SHARDS = 6
 SHARD_VECTORS = 60_000
+#: Bytes of a shard's vectors in single precision; a task holds about five times as much.
+SHARD_BYTES = 64 << 20
 SLICE_VECTORS = 10_000
 FIRST_BEAM = 48
 RECALL = 0.99
@@ -264,6 +266,11 @@ class Shard:
                 yield int(codes[a + r]), int(total[r]), self.codes[pairs[heads[r] : heads[r + 1], 1]].tolist()
 
 
+def shards_of(number: int, floats: int, least: int = SHARDS) -> int:
+    """Shards of a table, by vectors and by bytes: those of long vectors hold fewer."""
+    return max(least, -(-number // SHARD_VECTORS), -(-4 * floats // SHARD_BYTES))
+
+
 def vector_links(vectors: DataFrame, least: float = 0.95, shards: int = SHARDS) -> DataFrame:
     """Links of cosine >= least among all vectors, and the groups they join.
 
@@ -283,8 +290,8 @@ def vector_links(vectors: DataFrame, least: float = 0.95, shards: int = SHARDS)
     clean = F.when(F.coalesce(sound, F.lit(False)), F.transform("embedding", lambda v: v + F.lit(0).cast("float")))
     rows = vectors.select("vec_id", clean.alias("embedding")).withColumn("code", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")))
     classes = rows.where("code IS NOT NULL").groupBy("code").agg(F.first("embedding").alias("embedding"), F.count("*").alias("weight"))
-    number = classes.count()
-    wanted = max(shards, -(-number // SHARD_VECTORS))
+    number, floats = classes.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
+    wanted = shards_of(number, floats, shards)
     held = classes.withColumn("dim", F.size("embedding").cast("long"))
     stored = held.withColumn("shard", F.col("dim") * wanted + F.pmod(F.xxhash64("code"), F.lit(wanted)))
     slices = max(1, -(-number // SLICE_VECTORS))
