@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from cases import documents, odd_texts, passages
+from pyspark.sql import functions as F
 
 from epochlake.llm import align, queries
 
@@ -76,12 +77,13 @@ def strange_texts():
     alphabet = [*"aaab bc\t\n\r  '1sd\x1c\x85 　éßñ中文😀lltre\x00٣", "<|endoftext|>", "<s>", "</s>", "<unk>", "<0x41>", "  ", "the ", "aaa", " of", "\n\n", "    "]
     out = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 60))) for _ in range(500)]
     marks = ["▁", "a ▁b", "the of▁", "x ▁ y", "it▁is", " ▁", "▁▁ a"]
-    return out + marks + [" ", "  ", "\n", " a", "a ", "a  ", "  a  b  ", "a\n b", "a \nb", "trail \n", "x" * 3000, " " * 3000, "a b " * 3000, "the\n" * 2000]
+    return out + marks + [" ", "  ", "\n", " a", "a ", "a  ", "  a  b  ", "a\n b", "a \nb", "trail \n", "x" * 3000, " " * 3000, "a b " * 3000, "the\n" * 2000, "long text of words " * 20_000]
 
 
 def test_equals_whole_encoding(spark, plain):
     texts = odd_texts() + list(enumerate(strange_texts(), start=2000)) + passages()[:40]
-    got = align.align(documents(spark, texts).repartition(3), A, B).collect()
+    clashing = documents(spark, texts).withColumns({c: F.lit("x") for c in ("n_a", "groups", "pair", "N_LINKS")})
+    got = align.align(clashing.repartition(3), A, B).collect()
     want, count, best = plain.rows([r.text for r in got])
     assert len(got) == len(texts) and {"lang", "kd", "marks"} <= set(got[0].asDict())
     for r, w in zip(got, want, strict=True):
