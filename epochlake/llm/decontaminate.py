@@ -25,7 +25,7 @@ BLOCKS = 23
 STRETCH = 1024
 #: Characters of benchmark text that one broadcast index holds; larger benchmarks are taken in several parts.
 PART_CHARS = 20_000_000
-#: Items of one index, each of about 25 kB in every Python worker.
+#: Items of one index, each of about 15 kB in every Python worker.
 PART_ITEMS = 8_000
 SEEN_BITS = 20
 
@@ -61,37 +61,46 @@ class HammingIndex:
     """Fingerprints within a radius: cut into blocks, one block differs in at most radius // blocks bits.
 
     Each fingerprint is listed under every block value within that distance, so one lookup per block finds all
-    fingerprints within the radius; others are removed by their full distance.
+    fingerprints within the radius; others are removed by their full distance. The lists of all blocks lie end to end
+    in one array, and all blocks of all queries are looked up together.
     """
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS):
         self.prints, self.radius = prints, radius
         cuts = [BITS * k // blocks for k in range(blocks + 1)]
-        self.blocks = []
-        for lo, hi in itertools.pairwise(cuts):
+        widest = max(hi - lo for lo, hi in itertools.pairwise(cuts))
+        self.weights = np.zeros((BITS, blocks), dtype=np.float32)  # of bits in a block's value; these stay below 2^24
+        for k, (lo, hi) in enumerate(itertools.pairwise(cuts)):
+            self.weights[lo:hi, k] = 2.0 ** np.arange(hi - lo)
+        self.first = np.arange(blocks, dtype=np.int32) << widest
+        keys = self.keys(prints)
+        listed, owner = [], []
+        for k, (lo, hi) in enumerate(itertools.pairwise(cuts)):
             near = [sum(1 << b for b in some) for n in range(radius // blocks + 1) for some in itertools.combinations(range(hi - lo), n)]
-            value = self.part(prints, lo, hi)[:, None] ^ np.array(near, dtype=np.uint64)[None, :]
-            owner = np.repeat(np.arange(len(prints)), value.shape[1])
-            order = np.argsort(value.ravel(), kind="stable")
-            self.blocks.append((lo, hi, value.ravel()[order], owner[order]))
+            listed.append((keys[:, k, None] ^ np.array(near, dtype=np.int32)[None, :]).ravel())
+            owner.append(np.repeat(np.arange(len(prints), dtype=np.int32), len(near)))
+        listed, owner = np.concatenate(listed), np.concatenate(owner)
+        order = np.argsort(listed, kind="stable")
+        self.listed, self.owner = listed[order].astype(np.int32), owner[order]
 
-    @staticmethod
-    def part(prints: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        bits = np.unpackbits(prints.view(np.uint8), axis=1)[:, lo:hi]
-        return bits.astype(np.uint64) @ (np.uint64(1) << np.arange(hi - lo, dtype=np.uint64))
+    def keys(self, prints: np.ndarray) -> np.ndarray:
+        """Block values of each fingerprint, told apart by block: a row each, a column for each block."""
+        bits = np.unpackbits(prints.view(np.uint8), axis=1).astype(np.float32)
+        return (bits @ self.weights).astype(np.int32) + self.first
 
     def within(self, prints: np.ndarray) -> np.ndarray:
         """Pairs (query, fingerprint) within the radius."""
-        pairs = []
-        for lo, hi, values, owner in self.blocks:
-            key = self.part(prints, lo, hi)
-            a, b = np.searchsorted(values, key), np.searchsorted(values, key, side="right")
-            rows = np.repeat(np.arange(len(prints)), b - a)
-            at = np.arange(len(rows)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
-            pairs.append(np.stack((rows, owner[at]), axis=1))
-        both = np.unique(np.concatenate(pairs), axis=0)
-        far = np.bitwise_count(prints[both[:, 0]] ^ self.prints[both[:, 1]]).sum(axis=1, dtype=np.int64)
-        return both[far <= self.radius]
+        keys = self.keys(prints)
+        a = np.searchsorted(self.listed, keys.ravel())
+        n = np.searchsorted(self.listed, keys.ravel(), side="right") - a
+        total = n.reshape(keys.shape).sum(axis=1)
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - a, n)
+        near = np.zeros((len(prints), len(self.prints)), dtype=bool)
+        near[np.repeat(np.arange(len(prints)), total), self.owner[at]] = True
+        rows, owner = np.nonzero(near)
+        far = np.bitwise_count(prints[rows] ^ self.prints[owner]).sum(axis=1, dtype=np.int64)
+        close = far <= self.radius
+        return np.stack((rows[close], owner[close]), axis=1)
 
 
 def stretches(start: np.ndarray, width: int) -> list[np.ndarray]:
