@@ -383,7 +383,7 @@ def outermost(root: Node, name: str) -> list[Node]:
 
 
 def largest_run(root: Node) -> int:
-    """Most prose words that stand right below one element outside of articles, in its text and its paragraphs."""
+    """Most prose words that stand right below one container outside of articles, in its text and its paragraphs."""
     most, stack = 0, [root]
     while stack:
         x, own = stack.pop(), 0
@@ -395,7 +395,8 @@ def largest_run(root: Node) -> int:
                     own += prose_words(c)
                 else:
                     stack.append(c)
-        most = max(most, own)
+        if x.name not in ("#root", "html", "body"):
+            most = max(most, own)
     return most
 
 
@@ -417,7 +418,8 @@ def main_nodes(root: Node) -> list[Node]:
 
     The main element is taken with all that isn't boilerplate; where one article in it holds most of its words outside
     links, other articles and lists of links beside it are teasers and go. Without a main element the articles, unless
-    more words stand together elsewhere on the page: then the page, for the articles are teasers beside a story.
+    more words stand together in another container, or three quarters of the page's words outside links elsewhere: then
+    the page, for the articles are teasers beside a story.
     """
     mains = [m for m in outermost(root, "main") if prose_words(m)]
     for m in mains:
@@ -428,7 +430,8 @@ def main_nodes(root: Node) -> list[Node]:
     if mains:
         return mains
     articles = outermost(root, "article")
-    return articles if articles and sum(map(prose_words, articles)) >= largest_run(root) else [root]
+    own = sum(map(prose_words, articles))
+    return articles if articles and own >= largest_run(root) and 4 * own >= prose_words(root) else [root]
 
 
 def main_text(root: Node) -> str:
