@@ -303,8 +303,8 @@ def hash_subtrees(root: Node) -> list[Node]:
 def delete_templates(root: Node, gone: set[int]) -> None:
     """Drop the outermost subtrees whose hash is in gone.
 
-    Where they hold most of the page's words they are its main text and not a template; then only those go that
-    consist mostly of links.
+    Where they hold four fifths of the page's words, whatever their number, they are its main text and not a template;
+    then only those go that consist mostly of links.
     """
     may_go = {id(n) for n in hash_subtrees(root) if n.mark in gone}
     found, stack = [], [root]
@@ -314,7 +314,7 @@ def delete_templates(root: Node, gone: set[int]) -> None:
             if isinstance(c, Node) and not c.drop and c is not BREAK:
                 (found if id(c) in may_go else stack).append(c)
     total = sum(n.words for n in found)
-    if 2 * total >= root.words:
+    if 5 * total >= 4 * root.words:
         found = [n for n in found if 2 * n.links > n.words]
     for n in found:
         n.drop = True
@@ -458,7 +458,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     comments go by class. The page's only main element and a form around nearly all of its prose always stay.
     Then site templates: every remaining subtree's hash is counted per host over pages of different content, and a
     subtree that stands on least_share of them and least_pages, or on many_pages, is deleted, except what holds the
-    main element, prose within it, and subtrees that hold most of the page's words (see delete_templates). The
+    main element, prose within it, and subtrees that hold four fifths of the page's words (see delete_templates). The
     text is that of the main element or the articles (see main_nodes), else of the page; references are decoded,
     white space in a block is one space, blocks are joined by one space.
 

@@ -65,9 +65,9 @@ def test_repeated_pages_keep_their_text(spark):
     assert all(got[200 + k] == f"{want} Posted {k} days ago" for k in range(12))
 
 
-@pytest.mark.parametrize("words", [5, 20, 39, 40, 200])
+@pytest.mark.parametrize("words", [10, 20, 39, 40, 200])
 def test_equal_bodies_of_a_host_stay(spark, words):
-    """Whatever its length: what holds most of a page's words is its text, although every page of the host has it."""
+    """Whatever its length: what holds four fifths of a page's words is its text, although every page of the host has it."""
     body = " ".join(f"word{k}" for k in range(words))
     got = texts(spark, [(k, f"http://a.org/{k}", f"<div><div>{body}</div></div><p>date {k}</p>") for k in range(6)])
     assert got == {k: f"{body} date {k}" for k in range(6)}
