@@ -57,9 +57,11 @@ def complete_bootstrap(stats: DataFrame, n: int, seed: int, most: int = 100) ->
     was computed is kept, and the n rows are.
     """
     subjects = kept(stats.where("subject IS NOT NULL").groupBy("subject").agg(F.collect_list(F.struct("task", "tp", "fn", "tn", "fp")).alias("tasks")))
+    # few rows that become many: they are spread before, for what is small to read would be one task's
+    tasks = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     reps, tried, end = None, 0, n
     while True:
-        drawn = repeated(subjects, tried, end, seed).select("rep", "mult", F.inline("tasks"))
+        drawn = repeated(subjects.repartition(tasks, "subject"), tried, end, seed).select("rep", "mult", F.inline("tasks"))
         more = kept(bootstrap_sums(drawn))
         reps = more if reps is None else reps.unionByName(more)
         if reps.count() >= n:
