@@ -28,17 +28,33 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def epoch_index(spark: SparkSession, root: str, step: str, files: str = "S_*/Trial_*/labels.json", lines: bool = False) -> DataFrame:
+#: What a label file holds.
+LABELS = "blocks array<struct<Exec_Block_Index: long, type: string>>"
+
+
+def epoch_index(spark: SparkSession, root: str, step: str, files: str = "S_*/Trial_*/labels.json") -> DataFrame:
     """One row per block of the label files below root, in key order; their path holds S_<n>/ and Trial_<n>/.
 
-    A file is one JSON value, which one task reads whole, or, with lines, a value in each line with some of the trial's
-    blocks, so that files of any size are split.
+    A file is one JSON value, which one task reads whole.
+    """
+    raw = spark.read.option("multiLine", True).json(f"{root.rstrip('/')}/{files}")
+    return indexed(raw.select(F.input_file_name().alias("path"), "blocks"), step)
+
+
+def packed_index(files: DataFrame, step: str) -> DataFrame:
+    """The same from label files that are packed as rows of a table: path, value (the JSON text, or a part of its blocks).
+
+    Folders and files cost as much as many rows, so trials that grow with the input are kept in this form.
     """
-    raw = spark.read.option("multiLine", not lines).json(f"{root.rstrip('/')}/{files}").withColumn("path", F.input_file_name())
-    rows = raw.select("path", F.explode("blocks").alias("b"))
-    number = lambda what: F.regexp_extract("path", rf"{what}_(\d+)/", 1).cast("long")
+    return indexed(files.select("path", F.from_json("value", LABELS)["blocks"].alias("blocks")), step)
+
+
+def indexed(labels: DataFrame, step: str) -> DataFrame:
+    rows = labels.select("path", F.explode("blocks").alias("b"))
+    number = lambda what: F.regexp_extract("path", rf"{what}_(-?\d+)/", 1).try_cast("long")
     block = F.col("b.Exec_Block_Index").cast("long")
-    return rows.select(number("S").alias("subject_id"), number("Trial").alias("trial_number"), block.alias("block_index"), F.col("b.type").alias("type"), F.format_string(f"{step}_EEG_%d.fif", block).alias("eeg_file"), F.format_string(f"{step}_EOG_%d.fif", block).alias("eog_file")).orderBy("subject_id", "trial_number", "block_index")
+    name = lambda kind: F.concat(F.lit(f"{step}_{kind}_"), block.cast("string"), F.lit(".fif"))
+    return rows.select(number("S").alias("subject_id"), number("Trial").alias("trial_number"), block.alias("block_index"), F.col("b.type").alias("type"), name("EEG").alias("eeg_file"), name("EOG").alias("eog_file")).orderBy("subject_id", "trial_number", "block_index")
 
 
 def exclude(df: DataFrame, what: dict[int, list[int]]) -> DataFrame:
