@@ -25,13 +25,13 @@ CLASSES = ("a-z", SPACE_CLASSES[1], "A-Z", r"\p{N}", SPACE_CLASSES[0], r".,;:!?'
 @dataclass(frozen=True)
 class Rules:
     """least_words and most_repeated (percent) are the base rules. A word is common that makes up at least `common` of its
-    language's words; references are those of the `languages` with the most words. A document's classes are compared from
-    `class_characters` on, its words by the limits of (words, distance), the longest length that it reaches."""
+    language's words; references are those of all languages, or only of the `languages` with the most words. A document's
+    classes are compared from `class_characters` on, its words by the limits of (words, distance), the longest length that it reaches."""
 
     least_words: int = 20
     most_repeated: int = 30
     common: float = 1 / 500
-    languages: int = 16
+    languages: int | None = None
     class_characters: int = 200
     class_limit: float = 0.3
     word_limits: tuple[tuple[int, float], ...] = ((40, 0.45), (100, 0.37))
@@ -61,13 +61,15 @@ def with_classes(rows: DataFrame, text: str, name: str) -> DataFrame:
 def references(docs: DataFrame, rules: Rules = Rules()) -> list[dict]:
     """For each language (a value of lang that isn't null) the shares of its classes and of its common words, by language.
 
-    Counts cover all words of all documents and are summed before they are shuffled. The driver gets at most
-    `languages` rows, and in each at most 1 / `common` words.
+    Counts cover all words of all documents and are summed before they are shuffled. The driver gets a row for each
+    language, and in each at most 1 / `common` words.
     """
     docs = docs.select("lang", F.coalesce("text", F.lit("")).alias("text")).where("lang IS NOT NULL")
     counts = docs.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     # the counts are shuffled once for both sides
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(rules.languages)
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    if rules.languages is not None:
+        totals = totals.orderBy(F.desc("total"), "lang").limit(rules.languages)
     common = counts.join(F.broadcast(totals), "lang").where(F.col("n") >= F.col("total") * rules.common)
     each = totals.select("lang", "total", F.lit(None).cast("string").alias("word"), F.lit(0).cast("long").alias("n"))
     words: dict[str, dict[str, float]] = {}
@@ -184,8 +186,9 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), known: list[dict] | N
     return out.select(*columns, "base_failed", "divergence", (~F.col("base_failed") & (F.coalesce("divergence", F.lit(0.0)) <= 1)).alias("kept"))
 
 
-def rules_sql(rules: Rules = Rules()) -> str:
-    """DuckDB SQL of the rows of quality_rules over `documents`."""
+def rules_sql(rules: Rules = Rules(languages=16)) -> str:
+    """DuckDB SQL of the rows of quality_rules over `documents`; without rules that of up to sixteen languages."""
+    most = "" if rules.languages is None else f" LIMIT {rules.languages}"
     size = lambda c: f"length(regexp_replace(t, '[^{c}]+', '', 'g'))".replace("'\\x22", "''\\x22")
     sizes = ", ".join(size(c) for c in CLASSES)
     n = len(CLASSES)
@@ -200,7 +203,7 @@ rep AS (SELECT rid, sum(least({WINDOW}, coalesce(nxt - i, {WINDOW}))) AS n FROM
 b AS (SELECT w.*, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^{SYMBOLS}]+', '', 'g')) AS n_symbols,
   len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, list_append(c, length(t) - list_sum(c)) AS cc FROM w LEFT JOIN rep USING (rid)),
 lang_words AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM b WHERE lang IS NOT NULL) GROUP BY ALL),
-totals AS (SELECT lang, sum(n) AS total FROM lang_words GROUP BY lang ORDER BY total DESC, lang LIMIT {rules.languages}),
+totals AS (SELECT lang, sum(n) AS total FROM lang_words GROUP BY lang ORDER BY total DESC, lang{most}),
 rw AS (SELECT lang, word, n / total AS p FROM lang_words JOIN totals USING (lang) WHERE n >= total * {rules.common!r}),
 rc AS (SELECT lang, {", ".join(f"sum(cc[{k}]) / sum(length(t)) AS p{k}" for k in range(1, n + 2))} FROM b JOIN totals USING (lang) GROUP BY lang),
 held AS (SELECT rid, word, count(*) AS n FROM (SELECT rid, unnest(w) AS word FROM b WHERE n_words >= {rules.word_limits[0][0]}) SEMI JOIN rw USING (word) GROUP BY ALL),
