@@ -96,12 +96,32 @@ def disagreements(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def file_table(spark: SparkSession, path: str, names: str = "part-*") -> DataFrame:
-    """Path, size and sha256 of the data files below path. A file is hashed by one task, which holds it: a file beyond
-    spark.sql.sources.binaryFile.maxLength is an error."""
+    """Path, size and sha256 of the data files below path. A file is hashed by one task, which holds it: tables are written
+    in files of bounded size (see in_files), and one beyond spark.sql.sources.binaryFile.maxLength is an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(path)
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
+#: Bytes of text that one data file holds about.
+FILE_BYTES = 32 << 20
+
+
+def in_files(rows: DataFrame, text: str, key: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Rows dealt by their key to as many partitions as files of file_bytes of text take."""
+    total = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return rows.repartition(max(1, -(-total // file_bytes)), key)
+
+
+def folder_table(files: DataFrame, folder: str) -> DataFrame:
+    """Path, size and sha256 of whole folders, from a file_table: the digest is that of the set of their files' hashes.
+
+    folder is a regular expression whose group is the folder's path. Which file holds which hash doesn't count.
+    """
+    own = files.select(F.regexp_extract("path", folder, 1).alias("path"), "size", "sha256")
+    digests = set_digests(own, "path", "size", "sha256").where("node = ''").select("path", F.col("digest").alias("sha256"))
+    return own.groupBy("path").agg(F.sum("size").alias("size")).join(digests, "path")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a stored table or folder."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
