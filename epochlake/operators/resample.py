@@ -27,16 +27,23 @@ def draws(spark: SparkSession, groups: list, n: int, seed: int) -> DataFrame:
 POISSON_STEPS = tuple(math.fsum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12))
 
 
+#: The same as eight hex digits, of which a draw has to reach one more for each time that a subject is taken.
+HEX_STEPS = tuple(f"{n:08x}" for s in POISSON_STEPS if (n := math.ceil(s * (1 << 32))) < 1 << 32)
+
+
 def with_mult(df: DataFrame, seed: int) -> DataFrame:
     """Rows with the multiplicity mult of their subject in their replicate, a Poisson variable of mean one; those of 0 go.
 
-    By inversion of the first 32 bits of the MD5 of seed, replicate and subject. (A CRC is linear: with it the draws of
-    two replicates differ by one constant.)
+    By inversion of the first 32 bits of the MD5 of seed, replicate and subject, whose hex digits are in the order of the
+    numbers. (A CRC is linear: with it the draws of two replicates differ by one constant.) Exploding an array of one
+    value computes the hash once, where the filter would repeat it for each step.
     """
     text = F.concat_ws("|", F.lit(seed).cast("string"), F.col("rep").cast("string"), F.col("subject").cast("string"))
-    u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    drawn = df.withColumn("u", u)
-    return drawn.withColumn("mult", sum((F.col("u") >= s).cast("long") for s in POISSON_STEPS)).drop("u").where("mult > 0")
+    drawn = df.select("*", F.explode(F.array(F.substring(F.md5(text), 1, 8))).alias("_h")).where(F.col("_h") >= HEX_STEPS[0])
+    mult = F.when(F.col("_h") < HEX_STEPS[1], 1)
+    for k, step in enumerate(HEX_STEPS[2:], start=2):
+        mult = mult.when(F.col("_h") < step, k)
+    return drawn.withColumn("mult", mult.otherwise(len(HEX_STEPS)).cast("long")).drop("_h")
 
 
 def repeated(rows: DataFrame, first: int, end: int, seed: int) -> DataFrame:

@@ -44,3 +44,21 @@ def test_incomplete_draws_are_rejected(spark):
     assert drawn.groupBy("rep").count().where("count = 2").count() == 50
     with pytest.raises(RuntimeError):
         resample.complete_draws(stats.where("subject = 'x'"), 5, 1).count()
+
+
+def test_a_draw_is_hashed_once(spark):
+    """The plan of the draws has one hash, and multiplicities are those of the inverted distribution."""
+    import hashlib
+    import math
+
+    subjects = spark.createDataFrame([(f"s{k}",) for k in range(40)], "subject string")
+    drawn = resample.repeated(subjects, 3, 60, 42)
+    assert drawn._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    steps = [math.fsum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+    want = {}
+    for rep in range(3, 60):
+        for k in range(40):
+            u = int(hashlib.md5(f"42|{rep}|s{k}".encode()).hexdigest()[:8], 16) / 2**32
+            if n := sum(u >= s for s in steps):
+                want[rep, f"s{k}"] = n
+    assert {(r.rep, r.subject): r.mult for r in drawn.collect()} == want
