@@ -1,7 +1,7 @@
 """Linear models over folds and grids from one pass: centred moments of every fold, merged, and fits of all candidates.
 
-Rows have fold (int), x (array of features) and y (array of targets); a row with a null, a NaN or an infinity is left
-out. A fold's training moments are those of the other folds merged, so that the rows are read once for all folds,
+Rows have fold (int), x (array of features), y (array of targets) and, if they stand for several equal ones, their number
+times; a row with a null, a NaN or an infinity is left out. A fold's training moments are those of the other folds merged, so that the rows are read once for all folds,
 feature families, penalties and component counts, and once more to score them.
 """
 
@@ -56,17 +56,24 @@ def whole_rows(rows: DataFrame, k: int, m: int) -> DataFrame:
     """Rows of k finite features and m finite targets."""
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     fine = lambda c, n: (F.size(c) == n) & ~F.exists(c, bad)
-    return rows.select(F.col("fold").cast("int").alias("fold"), F.col("x").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y")).where(F.col("fold").isNotNull() & fine("x", k) & fine("y", m))
+    times = F.col("times") if "times" in rows.columns else F.lit(1)
+    return rows.select(F.col("fold").cast("int").alias("fold"), F.col("x").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"), times.cast("double").alias("times")).where(F.col("fold").isNotNull() & fine("x", k) & fine("y", m))
 
 
-def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Folds, features and targets of some rows."""
+def counted(rows: DataFrame) -> DataFrame:
+    """Whole rows, equal ones as one with their number, spread over tasks: what is read many times is read shortened."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.groupBy("fold", "x", "y").agg(F.sum("times").alias("times")).repartition(n)
+
+
+def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Folds, features, targets and numbers of some rows."""
     for batch in batches:
         for k in range(0, batch.num_rows, ROWS):
             part = batch.slice(k, ROWS)
             x, y = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("x", "y"))
             x, y = (v.reshape(part.num_rows, len(v) // part.num_rows) for v in (x, y))
-            yield part.column("fold").to_numpy(), x, y
+            yield part.column("fold").to_numpy(), x, y, part.column("times").to_numpy()
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -88,13 +95,13 @@ def fold_moments(rows: DataFrame, k: int, m: int, folds: int, block: int = BLOCK
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Moments] = {}
-        for fold, x, y in matrices(batches):
+        for fold, x, y, times in matrices(batches):
             z = np.hstack((x, y))
             for f in np.unique(fold).tolist():
-                own = z[fold == f]
-                mean = own.mean(axis=0)
+                own, each = z[fold == f], times[fold == f]
+                mean = each @ own / each.sum()
                 own = own - mean
-                held[f] = merged(held.get(f), (len(own), mean, own.T @ own))
+                held[f] = merged(held.get(f), (int(each.sum()), mean, (own * each[:, None]).T @ own))
         for f, (n, mean, c) in held.items():
             for i, (a, b) in enumerate(cuts):
                 for j, (d, e) in enumerate(cuts[i:], start=i):
@@ -296,14 +303,15 @@ def fold_scores(rows: DataFrame, weights: DataFrame, k: int, m: int, candidates:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for fold, x, y in matrices(batches):
+        for fold, x, y, times in matrices(batches):
             for f in np.unique(fold).tolist():
                 w, b = known.value[f]
                 own = fold == f
                 z = x[own] @ w + b
                 p = (1 / (1 + np.exp(-np.clip(z, -700, 700))) if logistic else np.clip(z, 0.0, 1.0)).reshape(-1, candidates, m)
-                yes, said = y[own][:, None, :] == 1, p >= threshold
-                new = np.stack([np.broadcast_to(yes.sum(axis=0), said.shape[1:]), (yes & said).sum(axis=0), np.broadcast_to((~yes).sum(axis=0), said.shape[1:]), (~yes & ~said).sum(axis=0), ((p - y[own][:, None, :]) ** 2).sum(axis=0)])
+                yes, said, each = y[own][:, None, :] == 1, p >= threshold, times[own]
+                total = lambda v: np.tensordot(each, v, axes=1)  # noqa: B023, E731
+                new = np.stack([np.broadcast_to(total(yes), said.shape[1:]), total(yes & said), np.broadcast_to(total(~yes), said.shape[1:]), total(~yes & ~said), total((p - y[own][:, None, :]) ** 2)])
                 sums[f] = sums.get(f, 0.0) + new
         for f, s in sums.items():
             c, t = np.divmod(np.arange(candidates * m), m)

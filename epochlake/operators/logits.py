@@ -1,7 +1,8 @@
 """Many logistic models at once: every round is one pass that holds loss, gradient and Hessian of all candidates.
 
 Models of all candidates, folds and targets move together by Newton steps; those with a penalty of absolute values take
-the step's quadratic form with that penalty. The number of passes doesn't depend on the number of models.
+the step's quadratic form with that penalty. The number of passes doesn't depend on the number of models. Passes go over
+the distinct rows with their numbers, which are gathered once.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epochlake.operators.folds import ALL, MOST_BYTES, Candidate, Fits, assembled, fold_moments, fold_scores, matrices, ranked, spread, whole_rows
+from epochlake.operators.folds import ALL, MOST_BYTES, Candidate, Fits, assembled, counted, fold_moments, fold_scores, matrices, ranked, spread, whole_rows
 from epochlake.operators.folds import BLOCK as FOLD_BLOCK
 from epochlake.operators.store import kept
 
@@ -121,14 +122,14 @@ def sums(rows: DataFrame, states: dict[int, State]) -> dict[int, np.ndarray]:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        for fold, x, y in matrices(batches):
+        for fold, x, y, times in matrices(batches):
             for held, at, mean, scale, own, w, task, weight in known.value:
                 rest = fold != held
                 if not rest.any():
                     continue
                 z = np.concatenate(((x[rest][:, at] - mean) / scale, np.ones((int(rest.sum()), 1))), axis=1)
                 yes = y[rest][:, task] == 1
-                margin, by = z @ w, np.where(yes, weight[:, 1], weight[:, 0])
+                margin, by = z @ w, np.where(yes, weight[:, 1], weight[:, 0]) * times[rest][:, None]
                 p = 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
                 loss = (by * np.logaddexp(0, np.where(yes, -margin, margin))).sum(axis=0)
                 g, v = z.T @ (by * (p - yes)), by * p * (1 - p)
@@ -178,10 +179,10 @@ def search(rows: DataFrame, k: int, m: int, grid: list[Logit], most_folds: int =
     Features are chosen by the training rows of each fold. The weights on all rows are those with held = -1. Targets are
     0 or 1; the class of a row is 1 from a probability of one half on.
     """
-    folds = sorted(r[0] for r in whole_rows(rows, k, m).select("fold").distinct().limit(most_folds + 1).collect())
+    rows = kept(counted(whole_rows(rows, k, m)))
+    folds = sorted(r[0] for r in rows.select("fold").distinct().limit(most_folds + 1).collect())
     if len(folds) > most_folds:
         raise ValueError(f"more than {most_folds} folds")
-    rows = kept(whole_rows(rows, k, m))
     chosen = choices(fold_moments(rows, k, m, len(folds)), k, m, folds, grid)
     states, _ = fit_all(rows, chosen if refit else chosen.where(f"held <> {ALL}"), grid)
     weights = kept(weights_of(rows, states, k))
@@ -202,6 +203,6 @@ def weights_of(rows: DataFrame, states: list[State], k: int) -> DataFrame:
 def one_vs_rest(df: DataFrame, k: int, classes: int, model: Logit) -> DataFrame:
     """Weights of each class (y from 0) against all others, x an array of k features: held = -1, task is the class."""
     is_class = F.array(*((F.col("y") == c).cast("double") for c in range(classes)))
-    rows = kept(whole_rows(df.select(F.lit(0).alias("fold"), "x", is_class.alias("y")), k, classes))
+    rows = kept(counted(whole_rows(df.select(F.lit(0).alias("fold"), "x", is_class.alias("y")), k, classes)))
     chosen = choices(fold_moments(rows, k, classes, 1), k, classes, [], [model])
     return weights_of(rows, fit_all(rows, chosen, [model])[0], k)

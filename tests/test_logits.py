@@ -86,3 +86,24 @@ def test_classes_against_the_rest(spark):
     for c in range(3):
         w, b = single(x, (y == c).astype(float), Logit(5, 0.3))
         assert np.allclose(got[c].weights, w, atol=1e-6) and got[c].intercept == pytest.approx(b, abs=1e-6)
+
+
+def test_equal_rows_are_read_as_one(spark, monkeypatch):
+    """Passes go over distinct rows with their numbers; scores and weights are those of all rows."""
+    x, y, fold = data(60, 3, 2, seed=9)
+    times = np.arange(60) % 4 + 1
+    many = table(spark, np.repeat(x, times, axis=0), np.repeat(y, times, axis=0), np.repeat(fold, times))
+    read = []
+    sums = logits.sums
+    monkeypatch.setattr(logits, "sums", lambda rows, states: (read.append(rows.count()), sums(rows, states))[1])
+    scores, _, weights = logits.search(many, 3, 2, [Logit(2, 0.5), Logit(3, 1.0, 0.5, True)])
+    assert set(read) == {60}
+    got = {(r.held, r.candidate, r.task): (r.weights, r.intercept) for r in weights.collect()}
+    for t in range(2):
+        rest = np.repeat(fold, times) != 1
+        w, b = single(np.repeat(x, times, axis=0)[rest], np.repeat(y, times, axis=0)[rest, t], Logit(3, 1.0, 0.5, True))
+        assert np.allclose(got[1, 1, t][0], w, atol=1e-6) and got[1, 1, t][1] == pytest.approx(b, abs=1e-6)
+    z = 1 / (1 + np.exp(-(x @ np.array(got[1, 1, 0][0]) + got[1, 1, 0][1])))
+    own = fold == 1
+    mse = ((z - y[:, 0]) ** 2)[own] @ times[own] / times[own].sum()
+    assert {(r.fold, r.candidate, r.task): r.clipped_mse for r in scores.collect()}[1, 1, 0] == pytest.approx(mse, abs=1e-9)
