@@ -48,16 +48,21 @@ def drained(stream: DataFrame, mode: str, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/data")
 
 
-#: What a sample window holds: its number, first and last time, and features of its values.
-SAMPLE_WINDOW = "user_id long, win int, start timestamp, end timestamp, n long, mean double, variance double, std double, rms double, range double"
+#: What a sample window holds: its number, first and last time (microseconds), and features of its values.
+SAMPLE_WINDOW = "user_id long, win int, start long, end long, n long, mean double, variance double, std double, rms double, range double"
+#: A sample as it is kept in state, samples in one value of a list, and values that windows are made of at once.
+SAMPLE = np.dtype([("us", "<i8"), ("event_id", "<i8"), ("value", "<f8")])
+PACKED = 1 << 16
+TOGETHER = 1 << 20
 
 
 class SampleWindows(StatefulProcessor):
-    """Windows of `width` samples every `stride` over one user's values in the order of (ts, event_id).
+    """Windows of `width` samples every `stride` over one user's values in the order of (us, event_id).
 
     Rows wait until the watermark has passed them, for then nothing can come before them any more; a timer at the
-    earliest of them brings the user back. Released values go through a ring of fewer than `width` values; a window is
-    given out as soon as its last sample is there. State: what waits, the ring, and the number of samples so far.
+    earliest of them brings the user back. Released values follow the fewer than `width` values that were kept of those
+    before; windows are given out as soon as their last sample is there. State: what waits, those last values and the
+    number of samples so far, each packed, for a call to the state store costs as much as many samples.
     """
 
     def __init__(self, width: int, stride: int):
@@ -65,61 +70,77 @@ class SampleWindows(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts timestamp, event_id long, value double")
-        self.ring = handle.getListState("ring", "ts timestamp, value double")
-        self.seen = handle.getValueState("seen", "n long")
+        self.waiting = handle.getListState("waiting", "samples binary")
+        self.past = handle.getValueState("past", "seen long, samples binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803  Spark's names
-        for part in rows:
-            for row in part[["ts", "event_id", "value"]].itertuples(index=False):
-                self.waiting.appendValue((row.ts.to_pydatetime(), int(row.event_id), None if pd.isna(row.value) else float(row.value)))
-        yield self.released(key, timerValues.getCurrentWatermarkInMs())
+        yield from self.released(key, timerValues.getCurrentWatermarkInMs(), [packed(part) for part in rows])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        yield self.released(key, timerValues.getCurrentWatermarkInMs())
+        yield from self.released(key, timerValues.getCurrentWatermarkInMs(), [])
 
     def close(self) -> None:
         pass
 
-    def released(self, key: tuple, watermark: int) -> pd.DataFrame:
+    def released(self, key: tuple, watermark: int, new: list[np.ndarray]) -> Iterator[pd.DataFrame]:
         """Windows that the rows before the watermark complete."""
-        rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1]))
-        millis = lambda t: t.timestamp() * 1000
-        ready = [r for r in rows if millis(r[0]) < watermark]
-        later = rows[len(ready) :]
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        if later:
-            self.handle.registerTimer(int(millis(later[0][0])) + 1)
-        out = []
-        if ready:
-            self.waiting.put(later) if later else self.waiting.clear()
-            ring, n = [tuple(r) for r in self.ring.get()], self.seen.get()[0] if self.seen.exists() else 0
-            for ts, _, value in ready:
-                ring, n = [*ring, (ts, value)][-self.width :], n + 1
-                if n >= self.width and (n - self.width) % self.stride == 0:
-                    out.append(self.window(key[0], (n - self.width) // self.stride, ring))
-            ring = ring[-(self.width - 1) :] if self.width > 1 else []
-            self.ring.put(ring) if ring else self.ring.clear()
-            self.seen.update((n,))
-        columns = [c.split()[0] for c in SAMPLE_WINDOW.split(", ")]
-        return pd.DataFrame(out, columns=columns)
-
-    def window(self, user: int, win: int, ring: list[tuple]) -> tuple:
-        v = np.array([x for _, x in ring if x is not None], dtype=float)
-        if not len(v):
-            return user, win, ring[0][0], ring[-1][0], 0, *[None] * 5
-        return user, win, ring[0][0], ring[-1][0], len(v), v.mean(), v.var(), v.std(), float(np.sqrt((v * v).mean())), v.max() - v.min()
+        waited = [np.frombuffer(r[0], SAMPLE) for r in self.waiting.get()]
+        rows = np.concatenate([np.zeros(0, SAMPLE), *waited, *new])
+        rows = rows[np.lexsort((rows["event_id"], rows["us"]))]
+        cut = int(np.searchsorted(rows["us"], watermark * 1000, side="left"))
+        ready, later = rows[:cut], rows[cut:]
+        if waited and new:  # a timer stands only where rows wait, and one that has expired is gone
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+        if len(later):
+            self.handle.registerTimer(int(later["us"][0]) // 1000 + 1)
+        if len(ready) or new:
+            if waited:
+                self.waiting.clear()
+            for k in range(0, len(later), PACKED):
+                self.waiting.appendValue((later[k : k + PACKED].tobytes(),))
+        if len(ready):
+            seen, had = self.past.get() if self.past.exists() else (0, b"")
+            line = np.concatenate((np.frombuffer(had, SAMPLE), ready))
+            total = seen + len(ready)
+            self.past.update((total, line[max(0, len(line) - self.width + 1) :].tobytes()))
+            first, end = max(0, -(-(seen + 1 - self.width) // self.stride)), (total - self.width) // self.stride + 1
+            step = max(1, TOGETHER // self.width)
+            for k in range(first, end, step):
+                yield self.windows(key[0], np.arange(k, min(k + step, end)), line, total - len(line))
+
+    def windows(self, user: int, win: np.ndarray, line: np.ndarray, before: int) -> pd.DataFrame:
+        """Windows by their numbers from a line of samples, before which so many others came."""
+        at = win * self.stride - before
+        v = np.lib.stride_tricks.sliding_window_view(line["value"], self.width)[at]
+        there = ~np.isnan(v)
+        n = there.sum(axis=1)
+        some = n > 0
+        over = lambda x: np.divide(np.where(there, x, 0.0).sum(axis=1), n, out=np.full(len(n), np.nan), where=some)
+        mean = over(v)
+        variance, square = over((v - mean[:, None]) ** 2), over(v * v)
+        most = np.where(there, v, -np.inf).max(axis=1) - np.where(there, v, np.inf).min(axis=1)
+        return pd.DataFrame({"user_id": user, "win": win.astype(np.int32), "start": line["us"][at], "end": line["us"][at + self.width - 1], "n": n, "mean": mean, "variance": variance, "std": np.sqrt(variance), "rms": np.sqrt(square), "range": np.where(some, most, np.nan)})
+
+
+def packed(part: pd.DataFrame) -> np.ndarray:
+    """Samples of a portion of rows; a value that isn't there is not a number."""
+    out = np.empty(len(part), SAMPLE)
+    for c in SAMPLE.names:
+        out[c] = part[c].to_numpy()
+    return out
 
 
 def sample_windows(events: DataFrame, width: int, stride: int, late: str = "10 minutes") -> DataFrame:
     """Live windows over the sample index of each user (ts, event_id, user_id, value); rows later than the watermark go.
 
     The state of a user is what came within `late` and fewer than `width` values. Null values count as samples without a
-    value; null users are left out. Needs the state store that is kept in files.
+    value, null ids come last at their time; null users are left out. Needs the state store that is kept in files.
     """
-    rows = events.select("user_id", "ts", "event_id", "value").where("user_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late)
-    return rows.groupBy("user_id").transformWithStateInPandas(SampleWindows(width, stride), SAMPLE_WINDOW, "Append", "EventTime")
+    last = F.coalesce(F.col("event_id").cast("long"), F.lit(2**63 - 1)).alias("event_id")
+    rows = events.select("user_id", "ts", F.unix_micros("ts").alias("us"), last, F.col("value").cast("double").alias("value")).where("user_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late)
+    out = rows.groupBy("user_id").transformWithStateInPandas(SampleWindows(width, stride), SAMPLE_WINDOW, "Append", "EventTime")
+    return out.withColumns({c: F.timestamp_micros(c) for c in ("start", "end")})
 
 
 def with_state_files(spark: SparkSession) -> None:

@@ -3,6 +3,7 @@
 import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from epochlake.streaming import live
@@ -72,3 +73,64 @@ def test_a_batch_that_is_run_again_stands_once(spark, tmp_path):
     for f in sorted((tmp_path / "run" / "state" / "commits").iterdir()):  # as if the driver had been lost before it could note the batch
         f.unlink()
     assert sorted(r.fp for r in live.drained(stream(), "append", path).collect()) == [f"f{k}" for k in range(5)]
+
+
+def test_state_is_packed(spark, state_files, tmp_path, monkeypatch):
+    """Calls to the state store follow users and batches, not samples; windows without values are rows of nulls."""
+    calls = []
+
+    class Kept:
+        def __init__(self):
+            self.now = []
+
+        def get(self):
+            calls.append("get")
+            return iter(self.now) if isinstance(self.now, list) else self.now
+
+        def appendValue(self, v):  # noqa: N802
+            calls.append("append")
+            self.now.append(v)
+
+        def put(self, rows):
+            calls.append("put")
+            self.now = list(rows)
+
+        def clear(self):
+            calls.append("clear")
+            self.now = []
+
+        def exists(self):
+            return bool(self.now)
+
+        def update(self, v):
+            calls.append("update")
+            self.now = v
+
+    class Handle:
+        getListState = getValueState = lambda self, name, schema: Kept()  # noqa: E731, N815
+        listTimers = lambda self: iter([])  # noqa: E731, N815
+        registerTimer = lambda self, t: calls.append("timer")  # noqa: E731, N815
+
+    class Times:
+        def __init__(self, now):
+            self.getCurrentWatermarkInMs = lambda: now
+
+    rng = np.random.default_rng(4)
+    minutes = rng.permutation(3000)
+    values = [None if m % 7 == 0 or m < 40 else float(np.round(rng.normal(), 3)) for m in minutes]
+    frame = pd.DataFrame({"ts": pd.to_datetime(minutes * 60, unit="s"), "us": minutes * 60_000_000, "event_id": minutes, "value": pd.array(values, dtype="Float64").to_numpy(dtype=float, na_value=np.nan)})
+    windows = live.SampleWindows(20, 10)
+    windows.init(Handle())
+    out = []
+    for watermark, parts in ((0, [frame[:1000], frame[1000:]]), (1000 * 60_000, []), (3000 * 60_000, [])):
+        got_ = windows.handleInputRows((5,), iter(parts), Times(watermark)) if parts else windows.handleExpiredTimer((5,), Times(watermark), None)
+        out += [r for df in got_ for r in df.itertuples(index=False)]
+    assert len(calls) < 30
+    v = np.array([x if x is not None else np.nan for _, x in sorted(zip(minutes.tolist(), values, strict=True), key=lambda r: r[0])])
+    assert [r.win for r in out] == list(range(299))
+    for r in out:
+        own = v[r.win * 10 : r.win * 10 + 20]
+        own = own[~np.isnan(own)]
+        assert r.n == len(own) and r.start == r.win * 600_000_000 and r.end == r.start + 19 * 60_000_000
+        want = (own.mean(), own.var(), own.std(), np.sqrt((own * own).mean()), own.max() - own.min()) if len(own) else (np.nan,) * 5
+        assert np.allclose(want, r[5:], equal_nan=True)
