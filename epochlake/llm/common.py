@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,11 +49,24 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker process stays for later tasks, and beside stages that don't need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library on Linux
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that what a kernel makes of one batch stays small beside long texts."""
+    """The same rows in smaller batches, so that what a kernel makes of one batch stays small beside long texts.
+
+    Freed memory is given back after each batch and at the end.
+    """
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+        del batch
+        give_back()
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> Iterator[bytes | None]:
