@@ -4,8 +4,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import documents, odd_texts
+from pyspark.sql import functions as F
 
 from epochlake.llm import jaccard
 
@@ -87,3 +89,57 @@ def test_keys_stay_few():
         sizes = np.exp(rng.uniform(np.log(20), np.log(8000), 150)).astype(int)
         keys = sum(len(jaccard.keys_of(np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)), p, 100)) for n in sizes)
         assert keys <= most * sizes.sum()
+
+
+def test_unrelated_sets_share_no_key():
+    """With 4096 places a block, 112 of these sets had an equal block."""
+    rng = np.random.default_rng(2)
+    keys = np.concatenate([np.unique(jaccard.keys_of(np.unique(x), 80, 100)) for x in rng.integers(0, 2**63, (20_000, 40), dtype=np.uint64)])
+    assert len(np.unique(keys)) == len(keys)
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_close_pairs_keep_links_and_drop_others(alike):
+    rng = np.random.default_rng(4)
+    sets, origin = [], []
+    for k, n in enumerate([1, 2, 9, 30, 31, 63, 64, 120, 127, 128, 500, 1000, 4000] * 3):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for _ in range(4):
+            both = base[: n - int(rng.integers(0, n // 5 + 1))]
+            sets.append(np.unique(np.append(both, rng.integers(0, 2**63, int(rng.integers(0, n // 8 + 1)), dtype=np.uint64))))
+            origin.append(k)
+    side = rng.integers(0, 2, len(sets))
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sizes = np.array([len(x) for x in sets])
+    for i, j in jaccard.close_pairs([jaccard.sketch_of(x) for x in sets], sizes, side, 80, 100, alike):
+        assert alike or side[i] != side[j]
+        assert origin[i] == origin[j] or min(sizes[i], sizes[j]) < 5
+        root[find(i)] = find(j)
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if (alike or side[i] != side[j]) and 100 * both >= 80 * (sizes[i] + sizes[j] - both):
+                assert find(i) == find(j)
+
+
+def test_sets_of_a_key_are_cut_by_size_across_batches():
+    rows = [(1, 10, 5), (1, 12, 3), (1, 15, 9), (1, 40, 7), (1, 44, 2), (2, 44, 8), (2, 44, 8), (3, 1, 4), (3, 1, 6)]
+    parts = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[a : a + 2], strict=True)], names=["key", "n", "code"]) for a in range(0, len(rows), 2)]
+    got = [tuple(x.values()) for b in jaccard.sharing(iter(parts), 80, 100) for x in b.to_pylist()]
+    assert sorted(got) == [(2, 7), (3, 5), (6, 4), (9, 5)]
+
+
+def test_other_texts_are_kept_out_of_the_shuffle(spark):
+    docs = spark.range(20_000).select((F.col("id") - 5000).alias("kd"), F.xxhash64("id").alias("tie"), F.lit("x").alias("text"))
+    members = docs.where("kd % 20 = 0").select("kd", "tie")
+    got = jaccard.likely(docs, members)
+    assert got.columns == docs.columns
+    assert members.exceptAll(got.select("kd", "tie")).isEmpty()
+    assert got.count() <= 3000
+    assert jaccard.likely(docs, members.limit(0)).isEmpty()
