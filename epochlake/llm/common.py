@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,13 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def uri_of(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as pyarrow.fs takes it in a task."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return re.sub("^file:/+", "file:///", whole)
+
+
 def give_back() -> None:
     """Return freed memory to the system: a worker process stays for later tasks, and beside stages that don't need it."""
     pa.default_memory_pool().release_unused()

@@ -3,24 +3,32 @@
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import connected_components, discard, give_back, shared_dir, uri_of, written
 from .text import mix
 
 DEGREE = 16
 #: Shards are at least so many, and more where one would hold more vectors than this (about 100 MB with its graph and
-#: what a search keeps); queries come in slices of so many vectors, each a task of its own beside a shard.
+#: what a search keeps); queries come in slices of so many vectors and bytes at most, each a task of its own that reads
+#: one shard after the other.
 SHARDS = 6
 SHARD_VECTORS = 60_000
 #: Bytes of a shard's vectors in single precision; a task holds about five times as much.
 SHARD_BYTES = 64 << 20
 SLICE_VECTORS = 10_000
+SLICE_BYTES = 16 << 20
+#: Slices are at least so many, for the cores; and the places of a beam search of all queries together.
+SLICES = 48
+BEAM_PLACES = 1_000_000
 FIRST_BEAM = 48
 RECALL = 0.99
 AUDITS = 256
@@ -170,13 +178,16 @@ class Graph:
         rows, found, ask = [], [], np.arange(len(q))
         while len(ask):
             width = min(beam, len(self.x))
-            ids, sims = base.nearest(q[ask], at[ask], width)
-            hit = sims >= least
-            full = (hit.sum(axis=1) > width // 2) & (width < len(self.x))
-            r, c = np.nonzero(hit & ~full[:, None])
-            rows.append(ask[r])
-            found.append(ids[r, c])
-            ask = ask[full]
+            again = [ask[:0]]
+            for part in np.split(ask, range(step := max(1, BEAM_PLACES // width), len(ask), step)):
+                ids, sims = base.nearest(q[part], at[part], width)
+                hit = sims >= least
+                full = (hit.sum(axis=1) > width // 2) & (width < len(self.x))
+                r, c = np.nonzero(hit & ~full[:, None])
+                rows.append(part[r])
+                found.append(ids[r, c])
+                again.append(part[full])
+            ask = np.concatenate(again)
             beam *= 4
         return np.concatenate(rows), np.concatenate(found)
 
@@ -207,8 +218,8 @@ def verified(graph: Graph, exact: np.ndarray, q: np.ndarray, beam: int, least: f
     """(query, number) of the vectors found whose cosine in double precision is at least `least`."""
     rows, found = graph.search(q.astype(np.float32), beam, least - SLACK)
     sims = np.empty(len(rows))
-    for k in range(0, len(rows), 100_000):
-        sims[k : k + 100_000] = np.einsum("ad,ad->a", q[rows[k : k + 100_000]], exact[found[k : k + 100_000]])
+    for k in range(0, len(rows), 20_000):
+        sims[k : k + 20_000] = np.einsum("ad,ad->a", q[rows[k : k + 20_000]], exact[found[k : k + 20_000]])
     return rows[sims >= least], found[sims >= least]
 
 
@@ -266,6 +277,21 @@ class Shard:
                 yield int(codes[a + r]), int(total[r]), self.codes[pairs[heads[r] : heads[r + 1], 1]].tolist()
 
 
+def stored_graph(folder: str, shard: int) -> bytes | None:
+    """A built shard from the shared folder, for the task that asks it; None if the shard has no vectors."""
+    store, at = pafs.FileSystem.from_uri(f"{folder}/shard={shard}")
+    for file in store.get_file_info(pafs.FileSelector(at, allow_not_found=True)):
+        if file.path.endswith(".parquet"):
+            with store.open_input_file(file.path) as f:
+                return pq.ParquetFile(f).read(["graph"]).column("graph")[0].as_py()
+    return None
+
+
+def slices_of(number: int, floats: int) -> int:
+    """Slices of a table's queries, by vectors and by bytes."""
+    return max(SLICES, -(-number // SLICE_VECTORS), -(-4 * floats // SLICE_BYTES))
+
+
 def shards_of(number: int, floats: int, least: int = SHARDS) -> int:
     """Shards of a table, by vectors and by bytes: those of long vectors hold fewer."""
     return max(least, -(-number // SHARD_VECTORS), -(-4 * floats // SHARD_BYTES))
@@ -281,20 +307,23 @@ def vector_links(vectors: DataFrame, least: float = 0.95, shards: int = SHARDS)
     other; its component_id is null if no row of its group has an id, and kept is then false. Vectors of any length
     are taken whole; other columns of vectors are never read, whatever their names.
 
-    Each shard's graph is built in one task from its part of the vectors and stored in the shared folder. Every vector
-    is sent to every shard, in slices: a task holds one shard and a batch of one slice, so there are as many tasks as
-    shards times slices. Candidates are verified in double precision. A query returns one member of each group it links
+    Each shard's graph is built in one task from its part of the vectors and stored in the shared folder, which
+    pyarrow.fs must be able to read. Vectors are dealt to slices; a slice's task asks every shard, reading one graph
+    after the other, so that a task holds one shard and one slice, and neither graphs nor copies of vectors are shuffled.
+    Candidates are verified in double precision. A query returns one member of each group it links
     to in the shard, not all links.
     """
     sound = F.coalesce(F.size("embedding") > 0, F.lit(False)) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     clean = F.when(F.coalesce(sound, F.lit(False)), F.transform("embedding", lambda v: v + F.lit(0).cast("float")))
     rows = vectors.select("vec_id", clean.alias("embedding")).withColumn("code", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")))
-    classes = rows.where("code IS NOT NULL").groupBy("code").agg(F.first("embedding").alias("embedding"), F.count("*").alias("weight"))
+    classes = written(rows.where("code IS NOT NULL").groupBy("code").agg(F.first("embedding").alias("embedding"), F.count("*").alias("weight")), "vector-classes")
     number, floats = classes.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
     wanted = shards_of(number, floats, shards)
     held = classes.withColumn("dim", F.size("embedding").cast("long"))
     stored = held.withColumn("shard", F.col("dim") * wanted + F.pmod(F.xxhash64("code"), F.lit(wanted)))
-    slices = max(1, -(-number // SLICE_VECTORS))
+    slices = slices_of(number, floats)
+    most = 2 * max(1, -(-number // slices))  # a slice is dealt by hash, and so may be somewhat larger than others
+    spark = vectors.sparkSession
 
     def matrix(batch: pa.RecordBatch) -> np.ndarray:
         return batch.column("embedding").flatten().to_numpy().reshape(batch.num_rows, -1)
@@ -321,28 +350,40 @@ def vector_links(vectors: DataFrame, least: float = 0.95, shards: int = SHARDS)
 
     # the numbers are given so that shards, which are small but costly, aren't put together in one task
     order = stored.select("shard", "code", "weight", "embedding").repartition(4 * wanted, "shard").sortWithinPartitions("shard", "code")
-    graphs = written(order.mapInArrow(build, "shard long, graph binary"), "vector-graphs")
-    part = F.pmod(F.xxhash64("code", F.lit(1)), F.lit(slices)).cast("int")
-    asked = held.withColumn("shard", F.explode(F.sequence(F.col("dim") * wanted, F.col("dim") * wanted + (wanted - 1)))).select("shard", part.alias("slice"), "code", "embedding", F.lit(None).cast("binary").alias("graph"))
-    beside = graphs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(None).cast("long").alias("code"), F.lit(None).cast(classes.schema["embedding"].dataType).alias("embedding"), "graph")
+    graphs = f"{shared_dir(spark)}/vector-graphs-{uuid.uuid4().hex}"
+    order.mapInArrow(build, "shard long, graph binary").write.partitionBy("shard").parquet(graphs)
+    folder = uri_of(spark, graphs)
+
+    def asked(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of some vectors of one length in all shards."""
+        codes, own = np.concatenate([p.column("code").to_numpy() for p in parts]), np.concatenate([matrix(p) for p in parts])
+        for shard in range(own.shape[1] * wanted, (own.shape[1] + 1) * wanted):
+            graph = stored_graph(folder, shard)
+            if graph is None:
+                continue
+            out = list(Shard(graph).links(codes, own, least))
+            del graph
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["code", "links", "peers"])
+            give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, shard = None, None
+        parts: list[pa.RecordBatch] = []
         for batch in batches:
-            number = batch.column("shard").to_numpy()
-            graph = batch.column("graph")
-            first = np.flatnonzero(np.asarray(graph.is_valid()))
-            cuts = sorted({0, len(number), *(np.flatnonzero(np.diff(number)) + 1).tolist(), *first.tolist(), *(first + 1).tolist()})
+            dim = batch.column("dim").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(dim)) + 1).tolist(), len(dim)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if graph[a].is_valid:
-                    at, shard = number[a], Shard(graph[a].as_py())
-                elif at == number[a]:  # a shard without vectors has no graph and no links
-                    own = batch.slice(a, b - a)
-                    out = list(shard.links(own.column("code").to_numpy(zero_copy_only=False).astype(np.int64), matrix(own), least))
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["code", "links", "peers"])
-
-    both = asked.unionByName(beside).repartition(2 * wanted * slices, "shard", "slice").sortWithinPartitions("shard", "slice", F.col("graph").isNull())
-    found = written(both.mapInArrow(run, "code long, links long, peers array<long>"), "vector-links")
+                for k in range(a, b, most):
+                    part = batch.slice(k, min(most, b - k))
+                    if parts and (parts[0].column("dim")[0].as_py() != dim[a] or sum(p.num_rows for p in parts) + part.num_rows > most):
+                        yield from asked(parts)
+                        parts.clear()
+                    parts.append(part)
+        if parts:
+            yield from asked(parts)
+
+    asking = held.select("dim", "code", "embedding").repartition(slices, "code").sortWithinPartitions("dim", "code")
+    found = written(asking.mapInArrow(run, "code long, links long, peers array<long>"), "vector-links")
+    discard(spark, graphs)
     linked = connected_components(found.select(F.col("code").alias("a"), F.explode("peers").alias("b"))).select(F.col("id").alias("code"), "component")
     direct = found.groupBy("code").agg(F.sum("links").alias("links"))
     facts = classes.select("code", "weight").join(direct, "code", "left").join(linked, "code", "left")

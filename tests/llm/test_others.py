@@ -205,6 +205,39 @@ def test_shards_follow_memory():
         assert 10**6 * dim * 4 / hnsw.shards_of(10**6, 10**6 * dim) <= hnsw.SHARD_BYTES
 
 
+def test_slices_by_vectors_and_bytes():
+    for number in (1000, 10**5, 10**6):
+        for dim in (64, 768, 1536):
+            slices = hnsw.slices_of(number, number * dim)
+            assert number / slices <= hnsw.SLICE_VECTORS and 4 * number * dim / slices <= hnsw.SLICE_BYTES
+
+
+def test_wide_searches_go_in_parts(monkeypatch):
+    """All queries whose beam was full were asked again together, in beams up to the size of the shard."""
+    rng = np.random.default_rng(8)
+    x = hnsw.unit((np.eye(1, 16) + 0.02 * rng.standard_normal((1500, 16))).astype(np.float32)).astype(np.float32)
+    graph, places, nearest = hnsw.Graph(x, np.arange(len(x))), [], hnsw.Layer.nearest
+    monkeypatch.setattr(hnsw, "BEAM_PLACES", 20_000)
+    monkeypatch.setattr(hnsw.Layer, "nearest", lambda self, q, entry, beam, expand=4: places.append(len(q) * beam) or nearest(self, q, entry, beam, expand))
+    rows, found = graph.search(x[:64], 48, 0.95)
+    assert max(places) <= 20_000
+    assert len(rows) == (x[:64] @ x.T >= 0.95).sum()
+
+
+def test_graphs_are_not_shuffled(spark, monkeypatch):
+    """A graph went through a shuffle once for each slice: most bytes of the vectors' tasks."""
+    monkeypatch.setattr(hnsw, "SLICES", 40)
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(k, [float(v) for v in x]) for k, x in enumerate(rng.standard_normal((600, 8)))], "vec_id long, embedding array<float>")
+    kinds = []
+    save = hnsw.written
+    monkeypatch.setattr(hnsw, "written", lambda frame, what: kinds.append((what, frame._jdf.queryExecution().optimizedPlan().toString())) or save(frame, what))
+    assert hnsw.vector_links(df, shards=3).count() == 600
+    assert [what for what, _ in kinds] == ["vector-classes", "vector-links"]
+    assert not any("graph" in plan for _, plan in kinds)
+
+
+
 # --- linked groups ---
 
 
